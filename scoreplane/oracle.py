@@ -89,7 +89,105 @@ VIEWS = {
 }
 
 
-def with_views(sql: str, *names: str) -> str:
-    """Prefix a query with the CTEs it names (in dependency order)."""
+def with_views(sql: str, *names: str, extra: str = "") -> str:
+    """Prefix a query with the CTEs it names (in dependency order) plus extra CTEs."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in names)
+    if extra:
+        ctes = f"{ctes},{extra}" if ctes else extra
     return f"WITH {ctes}\n{sql}"
+
+
+# ---------------------------------------------------------------- classifier
+from scoreplane.functions.text import WS, phrase_pattern_portable  # noqa: E402
+
+
+def strip_lower_sql(x: str) -> str:
+    return f"lower(regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g'))"
+
+
+def fold_replace_sql(x: str, pairs) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, {q(old)}, {q(new)})"
+    return x
+
+
+def classify_ctes(rs, src: str, id_col: str, title_sql: str, desc_sql: str) -> str:
+    """CTEs ending in ``kwres(id, kw_domain)``: the J1 rule written relationally."""
+    from scoreplane.plans.classify import dictionary_for
+
+    d = dictionary_for(rs)
+    doms = rs.domains
+    rank = {dm: i + 1 for i, dm in enumerate(doms)}
+    terms = ", ".join(f"({i}, {q(t)}, {q(phrase_pattern_portable(t))})" for i, t in enumerate(d.terms))
+    kw = ", ".join(f"({rank[dm]}, {d.tid(k)})" for dm, k in rs.keywords)
+    dm_rows = ", ".join(f"({rank[dm]}, {q(dm)}, {float(rs.weights.get(dm, 0))})" for dm in doms)
+    bst_rows = [f"({rank[dm]}, {d.tid(t)})" for dm, ts in rs.boosts.items() for t in ts]
+    bst = ", ".join(bst_rows) if bst_rows else "(0, -1)"
+    fs = ", ".join(str(i) for i in d.tids(FV.FULLSTACK_TERMS))
+    strong = ", ".join(str(i) for i in d.tids(FV.STRONG_PHRASES))
+    fe, be = (rank.get(x, -1) for x in FV.COMBO_DOMAINS)
+    t_norm = fold_replace_sql(strip_lower_sql(title_sql), rs.replacements)
+    d_norm = fold_replace_sql(strip_lower_sql(desc_sql), rs.replacements)
+    nws = WS.replace("[", "[^", 1)
+
+    def combo(r):
+        return (f"(SELECT count(*) FROM kw WHERE kw.rank = {r} AND kw.tid IN "
+                f"(SELECT tid FROM th WHERE th.id = n.id UNION SELECT tid FROM dh WHERE dh.id = n.id))")
+
+    def has(tbl, ids):
+        return f"EXISTS (SELECT 1 FROM {tbl} WHERE {tbl}.id = n.id AND {tbl}.tid IN ({ids}))"
+
+    overrides = " ".join(
+        f"WHEN EXISTS (SELECT 1 FROM th WHERE th.id = b.id AND th.tid = {d.tid(p)}) THEN {q(lbl)}"
+        for p, lbl in FV.TITLE_OVERRIDES)
+    return f"""
+norm AS (SELECT {id_col} AS id, {t_norm} AS t, {d_norm} AS d FROM {src}),
+terms(tid, term, pat) AS (VALUES {terms}),
+th AS (SELECT n.id, tm.tid FROM norm n, terms tm WHERE contains(n.t, tm.term) AND regexp_matches(n.t, tm.pat)),
+dh AS (SELECT n.id, tm.tid FROM norm n, terms tm WHERE contains(n.d, tm.term) AND regexp_matches(n.d, tm.pat)),
+kw(rank, tid) AS (VALUES {kw}),
+doms(rank, domain, weight) AS (VALUES {dm_rows}),
+bst(rank, tid) AS (VALUES {bst}),
+tc AS (SELECT th.id, kw.rank, count(*) AS n FROM th JOIN kw ON th.tid = kw.tid GROUP BY 1, 2),
+dc AS (SELECT dh.id, kw.rank, count(*) AS n FROM dh JOIN kw ON dh.tid = kw.tid GROUP BY 1, 2),
+bt AS (SELECT DISTINCT th.id, bst.rank FROM th JOIN bst ON th.tid = bst.tid),
+bd AS (SELECT DISTINCT dh.id, bst.rank FROM dh JOIN bst ON dh.tid = bst.tid),
+flags AS (
+  SELECT n.id,
+         ({has('th', fs)} OR {has('dh', fs)}) AS fs,
+         ({combo(fe)} >= {FV.COMBO_MIN_HITS} AND {combo(be)} >= {FV.COMBO_MIN_HITS}) AS combo,
+         (NOT ({has('th', strong)} OR {has('dh', strong)})
+          AND NOT regexp_matches(n.d, '^{WS}*(?:{nws}+{WS}+){{{FV.SHORT_DESC_WORDS - 1}}}{nws}')) AS pen
+  FROM norm n),
+sc AS (
+  SELECT n.id, dm.rank, dm.domain, dm.weight, f.pen, COALESCE(dc.n, 0) AS dn,
+         CAST((({FV.TITLE_FACTOR} * COALESCE(tc.n, 0) + {FV.DESC_FACTOR} * COALESCE(dc.n, 0)) * dm.weight)
+              + CASE WHEN dm.domain = {q(FV.FULLSTACK_DOMAIN)}
+                     THEN (CASE WHEN f.fs THEN {FV.FULLSTACK_BONUS} ELSE 0 END)
+                        + (CASE WHEN f.combo THEN {FV.COMBO_BONUS} ELSE 0 END) ELSE 0 END
+              + CASE WHEN bt.id IS NOT NULL THEN {FV.BOOST_TITLE} ELSE 0 END
+              + CASE WHEN bd.id IS NOT NULL THEN {FV.BOOST_DESC} ELSE 0 END AS DOUBLE) AS raw
+  FROM norm n CROSS JOIN doms dm JOIN flags f ON f.id = n.id
+  LEFT JOIN tc ON tc.id = n.id AND tc.rank = dm.rank
+  LEFT JOIN dc ON dc.id = n.id AND dc.rank = dm.rank
+  LEFT JOIN bt ON bt.id = n.id AND bt.rank = dm.rank
+  LEFT JOIN bd ON bd.id = n.id AND bd.rank = dm.rank),
+fin AS (
+  SELECT id, rank, domain,
+         CASE WHEN pen THEN greatest(0.0, raw - dn * weight * {FV.SHORT_DESC_PENALTY}) ELSE raw END AS score
+  FROM sc),
+best AS (
+  SELECT id, domain, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, rank ASC) AS rn FROM fin) WHERE rn = 1),
+kwres AS (
+  SELECT b.id, CASE WHEN b.score >= {FV.MIN_SCORE}
+                    THEN (CASE {overrides} ELSE b.domain END)
+                    ELSE {q(FV.UNCLASSIFIED)} END AS kw_domain
+  FROM best b)"""
+
+
+def compose_sql(desc: str, resume: str) -> str:
+    """H5 in DuckDB."""
+    return (f"CASE WHEN COALESCE({resume}, '') <> '' "
+            f"THEN regexp_replace({desc} || chr(10) || chr(10) || {resume}, '^{WS}+|{WS}+$', '', 'g') "
+            f"ELSE {desc} END")

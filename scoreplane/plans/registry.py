@@ -179,3 +179,31 @@ FROM (SELECT req_id, username FROM registrations) r LEFT JOIN accounts a ON r.us
 # random order is not comparable row by row; rows-only check.
 register("f6_shuffled_keys")(
     lambda s, d: FL.shuffled(FX.call_log(s, d).select("api_key").distinct()))
+
+# ---------------------------------------------------------------- text rules
+from scoreplane import oracle as O  # noqa: E402
+from scoreplane import rules as R  # noqa: E402
+from scoreplane.functions.text import compose_text  # noqa: E402
+from scoreplane.plans import classify as CL  # noqa: E402
+
+_RS = R.sample_ruleset()
+_COMPOSED = O.compose_sql("job_description", "resume_text")
+
+
+def _postings_classified(s, d):
+    p = FX.postings(s, d)
+    return CL.classify(p, _RS, "job_title", compose_text("job_description", "resume_text"),
+                       keep=["id"])
+
+
+register("j1_keyword_domain", W("SELECT id, kw_domain FROM kwres", "postings",
+                                extra=O.classify_ctes(_RS, "postings", "id", "job_title", _COMPOSED)))(
+    _postings_classified)
+
+register("d12_keyword_hits", W("""
+SELECT COALESCE(tc.id, dc.id) AS id, dm.domain, COALESCE(tc.n, 0) AS title_hits, COALESCE(dc.n, 0) AS desc_hits
+FROM tc FULL OUTER JOIN dc ON tc.id = dc.id AND tc.rank = dc.rank
+JOIN doms dm ON dm.rank = COALESCE(tc.rank, dc.rank)""", "postings",
+                               extra=O.classify_ctes(_RS, "postings", "id", "job_title", _COMPOSED)))(
+    lambda s, d: CL.keyword_hits(FX.postings(s, d), _RS, "id", "job_title",
+                                 compose_text("job_description", "resume_text")))
