@@ -88,6 +88,11 @@ VIEWS = {
   FROM events WHERE event_type IN ('signup', 'click')""",
 }
 
+VIEWS["label_pairs"] = f"""
+  SELECT event_id AS id, {pick(FV.DOMAIN_LABELS, 'user_id % 33')} AS resume_domain,
+         {pick(FX.SIM_PROBES, f'event_id % {len(FX.SIM_PROBES)}')} AS job_domain
+  FROM events"""
+
 
 def with_views(sql: str, *names: str, extra: str = "") -> str:
     """Prefix a query with the CTEs it names (in dependency order) plus extra CTEs."""
@@ -191,3 +196,43 @@ def compose_sql(desc: str, resume: str) -> str:
     return (f"CASE WHEN COALESCE({resume}, '') <> '' "
             f"THEN regexp_replace({desc} || chr(10) || chr(10) || {resume}, '^{WS}+|{WS}+$', '', 'g') "
             f"ELSE {desc} END")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def similarity_ctes(src: str, a: str, b: str) -> str:
+    """CTEs ending in ``sim(id, similarity)`` over ``src(id, a, b)``."""
+    al = ", ".join(f"({q(k)}, {q(v)})" for k, v in FV.SIMILARITY_ALIASES.items())
+    pr = ", ".join(f"({q(x)}, {q(y)}, {s})" for (x, y), s in FV.SIMILARITY_PAIRS.items())
+    gr = ", ".join(f"({q(lbl)}, {q(g)})" for g, ls in FV.SIMILARITY_GROUPS.items() for lbl in ls)
+    cross = " ".join(
+        f"WHEN EXISTS (SELECT 1 FROM grp x, grp y WHERE x.label = n.ra AND y.label = n.rb AND "
+        f"((x.g = {q(g1)} AND y.g = {q(g2)}) OR (x.g = {q(g2)} AND y.g = {q(g1)}))) THEN {s}"
+        for g1, g2, s in FV.CROSS_GROUP_SCORES)
+    return f"""
+alias(k, v) AS (VALUES {al}),
+pairs(a, b, s) AS (VALUES {pr}),
+grp(label, g) AS (VALUES {gr}),
+n0 AS (SELECT id, lower({strip_sql(a)}) AS na, lower({strip_sql(b)}) AS nb FROM {src}),
+n AS (SELECT n0.id, COALESCE(x.v, n0.na) AS ra, COALESCE(y.v, n0.nb) AS rb
+      FROM n0 LEFT JOIN alias x ON x.k = n0.na LEFT JOIN alias y ON y.k = n0.nb),
+sim AS (
+  SELECT n.id, CAST(CASE
+      WHEN n.ra = n.rb THEN {FV.SAME_LABEL_SCORE}
+      WHEN f.s IS NOT NULL THEN f.s
+      WHEN r.s IS NOT NULL THEN r.s
+      WHEN EXISTS (SELECT 1 FROM grp x, grp y WHERE x.label = n.ra AND y.label = n.rb AND x.g = y.g)
+        THEN {FV.SAME_GROUP_SCORE}
+      {cross}
+      ELSE {FV.DEFAULT_SIMILARITY} END AS DOUBLE) AS similarity
+  FROM n LEFT JOIN pairs f ON f.a = n.ra AND f.b = n.rb
+         LEFT JOIN pairs r ON r.a = n.rb AND r.b = n.ra)"""
+
+
+def labels_cte(src: str = "model_labels") -> str:
+    lst_ = ", ".join(q(x) for x in FV.DOMAIN_LABELS)
+    return f"""
+lbl AS (SELECT id, min(CASE WHEN {strip_sql('label')} IN ({lst_}) THEN {strip_sql('label')} END) AS llm_domain
+        FROM {src} GROUP BY id)"""

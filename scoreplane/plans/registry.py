@@ -207,3 +207,43 @@ JOIN doms dm ON dm.rank = COALESCE(tc.rank, dc.rank)""", "postings",
                                extra=O.classify_ctes(_RS, "postings", "id", "job_title", _COMPOSED)))(
     lambda s, d: CL.keyword_hits(FX.postings(s, d), _RS, "id", "job_title",
                                  compose_text("job_description", "resume_text")))
+
+# ---------------------------------------------------------------- similarity and labels
+from scoreplane.operators import labels as LB  # noqa: E402
+from scoreplane.operators import similarity as SM  # noqa: E402
+
+register("j3_domain_similarity", W("SELECT id, similarity FROM sim", "label_pairs",
+                                   extra=O.similarity_ctes("label_pairs", "resume_domain", "job_domain")))(
+    lambda s, d: SM.similarity(FX.label_pairs(s, d), "resume_domain", "job_domain").select("id", "similarity"))
+
+register("b8_valid_model_labels", W(f"""
+SELECT id, label FROM model_labels WHERE {O.strip_sql('label')} IN ({', '.join(O.q(x) for x in FV.DOMAIN_LABELS)})""",
+                                    "model_labels"))(
+    lambda s, d: LB.valid_labels(FX.model_labels(s, d)))
+
+_J2_SQL = W("""
+SELECT k.id, CASE WHEN l.llm_domain IS NULL THEN k.kw_domain ELSE l.llm_domain END AS domain,
+       CASE WHEN l.llm_domain IS NULL THEN 'low'
+            WHEN lower(l.llm_domain) = lower(k.kw_domain) THEN 'high'
+            WHEN k.kw_domain = 'Unclassified' THEN 'high' ELSE 'medium' END AS confidence,
+       l.llm_domain, k.kw_domain,
+       COALESCE(l.llm_domain IS NOT NULL AND lower(l.llm_domain) = lower(k.kw_domain), false) AS agreed
+FROM kwres k LEFT JOIN lbl l ON l.id = k.id""", "postings", "model_labels",
+            extra=O.classify_ctes(_RS, "postings", "id", "job_title", _COMPOSED) + "," + O.labels_cte())
+
+
+def _j2(s, d):
+    k = _postings_classified(s, d)
+    return LB.reconcile(LB.attach_labels(k, FX.model_labels(s, d))).select(
+        "id", "domain", "confidence", "llm_domain", "kw_domain", "agreed")
+
+
+register("j2_domain_with_confidence", _J2_SQL)(_j2)
+
+register("j2b_label_or_keyword", W("""
+SELECT k.id, COALESCE(l.llm_domain, k.kw_domain) AS domain FROM kwres k LEFT JOIN lbl l ON l.id = k.id""",
+                                   "postings", "model_labels",
+                                   extra=O.classify_ctes(_RS, "postings", "id", "job_title", _COMPOSED)
+                                   + "," + O.labels_cte()))(
+    lambda s, d: LB.label_or_keyword(LB.attach_labels(_postings_classified(s, d), FX.model_labels(s, d)))
+    .select("id", "domain"))

@@ -154,3 +154,19 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     return p.select(F.col("page_id").alias("catalog_id"),
                     F.create_map(lang, F.create_map(host, courses)).alias("catalog"))
+
+
+# Free-text labels compared against candidate domains: alias spellings,
+# plain labels in other cases and spacing, and unknown text.
+SIM_PROBES = (list(FV.SIMILARITY_ALIASES)
+              + [x.upper() for x in FV.DOMAIN_LABELS[:8]]
+              + ["  " + x.lower() + " " for x in FV.DOMAIN_LABELS[8:]]
+              + ["Unknown Role", "frontend ", "  ML", "Data Science"])
+
+
+def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(candidate domain, free-text job label) per event."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("id"),
+                     _pick(FV.DOMAIN_LABELS, F.col("user_id") % 33).alias("resume_domain"),
+                     _pick(SIM_PROBES, F.col("event_id") % len(SIM_PROBES)).alias("job_domain"))
