@@ -236,3 +236,37 @@ def labels_cte(src: str = "model_labels") -> str:
     return f"""
 lbl AS (SELECT id, min(CASE WHEN {strip_sql('label')} IN ({lst_}) THEN {strip_sql('label')} END) AS llm_domain
         FROM {src} GROUP BY id)"""
+
+
+# ---------------------------------------------------------------- call log
+def reason_sql(err: str) -> str:
+    cond = " OR ".join(f"contains(lower({err}), {q(w)})" for w in FV.QUOTA_WORDS)
+    return f"CASE WHEN {cond} THEN {q(FV.REASON_QUOTA)} ELSE {q(FV.REASON_ERROR)} END"
+
+
+def hash_sql(model: str = "model", prompt: str = "prompt") -> str:
+    return f"sha256({model} || '|' || {prompt})"
+
+
+def cache_cte(name: str, src: str) -> str:
+    return f"""
+{name} AS (SELECT prompt_hash, response, ts AS timestamp FROM (
+    SELECT *, {hash_sql()} AS prompt_hash,
+           row_number() OVER (PARTITION BY {hash_sql()} ORDER BY ts DESC, call_id DESC) AS rn
+    FROM {src} WHERE error IS NULL) WHERE rn = 1)"""
+
+
+def usage_cte(name: str, src: str) -> str:
+    return f"""
+{name} AS (SELECT api_key, CAST(arg_max(n, day) AS BIGINT) AS usage_count, max(day) AS last_reset
+    FROM (SELECT api_key, CAST(ts AS DATE) AS day, count(*) AS n FROM {src} WHERE error IS NULL GROUP BY 1, 2)
+    GROUP BY api_key)"""
+
+
+def failures_cte(name: str, src: str) -> str:
+    return f"""
+{name} AS (SELECT api_key, ts AS fail_time, reason FROM (
+    SELECT api_key, ts, error IS NOT NULL AS failed,
+           CASE WHEN error IS NOT NULL THEN {reason_sql('error')} END AS reason,
+           row_number() OVER (PARTITION BY api_key ORDER BY ts DESC, call_id DESC) AS rn
+    FROM {src} WHERE error IS NOT NULL OR NOT own_key) WHERE rn = 1 AND failed)"""

@@ -247,3 +247,126 @@ SELECT k.id, COALESCE(l.llm_domain, k.kw_domain) AS domain FROM kwres k LEFT JOI
                                    + "," + O.labels_cte()))(
     lambda s, d: LB.label_or_keyword(LB.attach_labels(_postings_classified(s, d), FX.model_labels(s, d)))
     .select("id", "domain"))
+
+# ---------------------------------------------------------------- call log
+from scoreplane.operators import calllog as CG  # noqa: E402
+
+SPLIT_TS = "2024-01-15 00:00:00"
+PURGE_AS_OF = "2024-01-30 00:00:00"
+PROBE_AS_OF = "2024-01-29 12:00:00"
+HEALTH_AS_OF = "2024-01-30 20:00:00"
+HEALTH_LIMIT = 25
+
+
+def _calls(s, d):
+    return FX.call_log(s, d)
+
+
+def _before(df, ts):
+    return df.where(F.col("ts") < F.lit(ts).cast("timestamp_ntz"))
+
+
+def _from(df, ts):
+    return df.where(F.col("ts") >= F.lit(ts).cast("timestamp_ntz"))
+
+
+register("h6_prompt_hash", W(f"SELECT call_id, {O.hash_sql()} AS prompt_hash FROM call_log", "call_log"))(
+    lambda s, d: CG.with_hash(_calls(s, d)).select("call_id", "prompt_hash"))
+
+register("h15_failure_reason", W(f"""
+SELECT call_id, {O.reason_sql('error')} AS reason FROM call_log WHERE error IS NOT NULL""", "call_log"))(
+    lambda s, d: _calls(s, d).where(F.col("error").isNotNull())
+    .select("call_id", CG.failure_reason("error").alias("reason")))
+
+register("i5_cache_state", W("SELECT * FROM cache", "call_log", extra=O.cache_cte("cache", "call_log")))(
+    lambda s, d: CG.cache_state(_calls(s, d)))
+
+register("i5_cache_upsert", W("SELECT * FROM cache", "call_log", extra=O.cache_cte("cache", "call_log")))(
+    lambda s, d: CG.upsert_latest(CG.cache_state(_before(_calls(s, d), SPLIT_TS)),
+                                  CG.cache_state(_from(_calls(s, d), SPLIT_TS)),
+                                  "prompt_hash", "timestamp", ["response", "timestamp"]))
+
+register("d16_key_usage", W("SELECT * FROM usage", "call_log", extra=O.usage_cte("usage", "call_log")))(
+    lambda s, d: CG.usage_state(_calls(s, d)))
+
+register("i6_usage_merge", W("SELECT * FROM usage", "call_log", extra=O.usage_cte("usage", "call_log")))(
+    lambda s, d: CG.merge_usage(CG.usage_state(_before(_calls(s, d), SPLIT_TS)),
+                                _from(_calls(s, d), SPLIT_TS)))
+
+register("j7_failure_state", W("SELECT * FROM failures", "call_log",
+                               extra=O.failures_cte("failures", "call_log")))(
+    lambda s, d: CG.failure_state(_calls(s, d)))
+
+register("i7_failure_upsert", W(f"""
+SELECT api_key, fail_time, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY api_key ORDER BY fail_time DESC, src DESC) AS rn FROM (
+    SELECT api_key, fail_time, reason, 0 AS src FROM old_f
+    UNION ALL
+    SELECT api_key, ts AS fail_time, {O.reason_sql('error')} AS reason, 1 AS src
+    FROM call_log WHERE error IS NOT NULL AND ts >= TIMESTAMP '{SPLIT_TS}')) WHERE rn = 1""",
+                                "call_log",
+                                extra="\nold_calls AS (SELECT * FROM call_log WHERE ts < TIMESTAMP '"
+                                + SPLIT_TS + "')," + O.failures_cte("old_f", "old_calls")))(
+    lambda s, d: CG.mark_failures(
+        CG.failure_state(_before(_calls(s, d), SPLIT_TS)),
+        CG.failure_events(_from(_calls(s, d), SPLIT_TS)).where("failed")
+        .select("api_key", F.col("ts").alias("fail_time"), "reason")))
+
+register("i4_clear_failures", W("""
+SELECT * FROM failures WHERE api_key NOT IN ('key_1', 'key_2')""", "call_log",
+                                extra=O.failures_cte("failures", "call_log")))(
+    lambda s, d: CG.clear_failures(CG.failure_state(_calls(s, d)),
+                                   s.createDataFrame([("key_1",), ("key_2",)], "api_key string")))
+
+register("i3_purge_cache", W(f"""
+SELECT * FROM cache WHERE timestamp >= TIMESTAMP '{PURGE_AS_OF}' - INTERVAL 24 HOUR""", "call_log",
+                             extra=O.cache_cte("cache", "call_log")))(
+    lambda s, d: CG.purge_cache(CG.cache_state(_calls(s, d)), PURGE_AS_OF))
+
+register("i3_purge_failures", W(f"""
+SELECT * FROM failures WHERE fail_time >= TIMESTAMP '{PURGE_AS_OF}' - INTERVAL 3 DAY""", "call_log",
+                                extra=O.failures_cte("failures", "call_log")))(
+    lambda s, d: CG.purge_failures(CG.failure_state(_calls(s, d)), PURGE_AS_OF))
+
+register("c2_cache_probe", W(f"""
+SELECT r.call_id, r.model, r.prompt, {O.hash_sql('r.model', 'r.prompt')} AS prompt_hash,
+       c.response AS cached_response, c.response IS NOT NULL AS hit
+FROM (SELECT call_id, model, prompt FROM call_log WHERE ts >= TIMESTAMP '{PROBE_AS_OF}') r
+LEFT JOIN (SELECT * FROM cache WHERE timestamp >= TIMESTAMP '{PROBE_AS_OF}' - INTERVAL 24 HOUR
+           AND response <> '') c
+  ON c.prompt_hash = {O.hash_sql('r.model', 'r.prompt')}""", "call_log",
+                             extra="\nold_calls AS (SELECT * FROM call_log WHERE ts < TIMESTAMP '"
+                             + PROBE_AS_OF + "')," + O.cache_cte("cache", "old_calls")))(
+    lambda s, d: CG.probe_cache(_from(_calls(s, d), PROBE_AS_OF).select("call_id", "model", "prompt"),
+                                CG.cache_state(_before(_calls(s, d), PROBE_AS_OF)), PROBE_AS_OF))
+
+_HEALTH_SQL = f"""
+SELECT k.api_key,
+       CASE WHEN f.fail_time IS NOT NULL AND TIMESTAMP '{HEALTH_AS_OF}' < f.fail_time +
+                 CASE WHEN f.reason = 'quota' THEN INTERVAL {FV.QUOTA_COOLDOWN_MINUTES} MINUTE
+                      ELSE INTERVAL {FV.ERROR_COOLDOWN_MINUTES} MINUTE END THEN 'cooling'
+            WHEN COALESCE(CASE WHEN u.last_reset = DATE '{HEALTH_AS_OF[:10]}' THEN u.usage_count END, 0)
+                 >= {HEALTH_LIMIT} THEN 'over_quota'
+            ELSE 'healthy' END AS status,
+       CAST(COALESCE(CASE WHEN u.last_reset = DATE '{HEALTH_AS_OF[:10]}' THEN u.usage_count END, 0) AS BIGINT)
+         AS usage_today
+FROM (SELECT DISTINCT api_key FROM call_log) k
+LEFT JOIN failures f ON f.api_key = k.api_key LEFT JOIN usage u ON u.api_key = k.api_key"""
+_HEALTH_CTES = ("\nupto AS (SELECT * FROM call_log WHERE ts <= TIMESTAMP '" + HEALTH_AS_OF + "'),"
+                + O.failures_cte("failures", "upto") + "," + O.usage_cte("usage", "upto"))
+
+
+def _health(s, d):
+    c = _calls(s, d)
+    upto = c.where(F.col("ts") <= F.lit(HEALTH_AS_OF).cast("timestamp_ntz"))
+    return CG.key_health(c.select("api_key"), CG.failure_state(upto), CG.usage_state(upto),
+                         HEALTH_AS_OF, HEALTH_LIMIT)
+
+
+register("j6_key_health", W(_HEALTH_SQL, "call_log", extra=_HEALTH_CTES))(_health)
+register("j6_healthy_keys", W(f"SELECT api_key FROM ({_HEALTH_SQL}) WHERE status = 'healthy'", "call_log",
+                              extra=_HEALTH_CTES))(lambda s, d: CG.healthy_keys(_health(s, d)))
+register("j6_quota_failures", W(f"""
+SELECT api_key, TIMESTAMP '{HEALTH_AS_OF}' AS fail_time, 'quota' AS reason
+FROM ({_HEALTH_SQL}) WHERE status = 'over_quota'""", "call_log", extra=_HEALTH_CTES))(
+    lambda s, d: CG.quota_failures(_health(s, d), HEALTH_AS_OF))
