@@ -79,7 +79,7 @@ VIEWS = {
               ELSE {pick(FV.DOMAIN_LABELS, 'doc_id % 33')} END AS label
   FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 15 = 0""",
     "code_events": """
-  SELECT user_id,
+  SELECT event_id, user_id,
          CASE WHEN event_type = 'signup' THEN 'issue' ELSE 'attempt' END AS kind,
          CASE WHEN event_type = 'signup' OR event_id % 4 <> 0
               THEN lpad(CAST((user_id * 7919 + dayofyear(ts) * 104729) % 1000000 AS VARCHAR), 6, '0')
@@ -93,6 +93,13 @@ VIEWS["label_pairs"] = f"""
          {pick(FX.SIM_PROBES, f'event_id % {len(FX.SIM_PROBES)}')} AS job_domain
   FROM events"""
 
+VIEWS["login_attempts"] = """
+  SELECT event_id AS req_id,
+         CASE WHEN event_id % 3 = 0 THEN 'user' || CAST(user_id * 10 AS VARCHAR) || '@example.com'
+              WHEN event_id % 3 = 1 THEN 'Customer#' || lpad(CAST(user_id * 10 AS VARCHAR), 9, '0')
+              ELSE 'nobody' || CAST(user_id AS VARCHAR) END AS identifier
+  FROM events WHERE event_type = 'view'"""
+
 
 def with_views(sql: str, *names: str, extra: str = "") -> str:
     """Prefix a query with the CTEs it names (in dependency order) plus extra CTEs."""

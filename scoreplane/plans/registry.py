@@ -370,3 +370,74 @@ register("j6_quota_failures", W(f"""
 SELECT api_key, TIMESTAMP '{HEALTH_AS_OF}' AS fail_time, 'quota' AS reason
 FROM ({_HEALTH_SQL}) WHERE status = 'over_quota'""", "call_log", extra=_HEALTH_CTES))(
     lambda s, d: CG.quota_failures(_health(s, d), HEALTH_AS_OF))
+
+# ---------------------------------------------------------------- accounts and audit
+from scoreplane.operators import accounts as AC  # noqa: E402
+
+CODE_TTL = 21600  # widened from 180 s: fixture events are minutes apart
+
+register("c3_existing_conflicts", W("""
+SELECT r.req_id, r.username, r.email, r.ts,
+       CASE WHEN r.email IS NOT NULL AND r.email IN (SELECT email FROM accounts WHERE email IS NOT NULL) THEN 'email'
+            WHEN r.username IN (SELECT username FROM accounts) THEN 'username' END AS conflict
+FROM registrations r""", "accounts", "registrations"))(
+    lambda s, d: AC.existing_conflicts(FX.registrations(s, d), FX.accounts(s, d)))
+
+_I9_SQL = """
+SELECT r.req_id, r.username, r.email, r.ts,
+       CASE WHEN r.username IN (SELECT username FROM accounts) OR fu.rn > 1 THEN 'username'
+            WHEN (r.email IS NOT NULL AND r.email IN (SELECT email FROM accounts WHERE email IS NOT NULL))
+                 OR fe.rn > 1 THEN 'email' END AS rejected_for
+FROM registrations r
+JOIN (SELECT req_id, row_number() OVER (PARTITION BY username ORDER BY ts, req_id) AS rn FROM registrations) fu
+  ON fu.req_id = r.req_id
+LEFT JOIN (SELECT req_id, row_number() OVER (PARTITION BY email ORDER BY ts, req_id) AS rn
+           FROM registrations WHERE email IS NOT NULL) fe ON fe.req_id = r.req_id"""
+
+register("i9_register_batch", W(f"SELECT *, rejected_for IS NULL AS accepted FROM ({_I9_SQL})",
+                                "accounts", "registrations"))(
+    lambda s, d: AC.register_batch(FX.registrations(s, d), FX.accounts(s, d)))
+
+register("i9_new_accounts", W(f"""
+SELECT CAST((SELECT max(id) FROM accounts) + row_number() OVER (ORDER BY ts, req_id) AS BIGINT) AS id,
+       username, email
+FROM ({_I9_SQL}) WHERE rejected_for IS NULL""", "accounts", "registrations"))(
+    lambda s, d: AC.new_accounts(AC.register_batch(FX.registrations(s, d), FX.accounts(s, d)),
+                                 FX.accounts(s, d)))
+
+register("c8_resolve_identity", W("""
+SELECT l.req_id, l.identifier, a.username AS matched_username
+FROM login_attempts l LEFT JOIN accounts a
+  ON (CASE WHEN contains(l.identifier, '@') THEN a.email ELSE a.username END) = l.identifier""",
+                                  "accounts", "login_attempts"))(
+    lambda s, d: AC.resolve_identity(FX.login_attempts(s, d), FX.accounts(s, d)))
+
+register("c10_code_match", W(f"""
+SELECT m.event_id, m.user_id, m.ts, m.code, m.issue_ts,
+       CASE WHEN u.uts IS NOT NULL AND (m.ts > u.uts OR (m.ts = u.uts AND m.event_id > u.ueid))
+            THEN 'no_pending' ELSE m.raw END AS outcome
+FROM m LEFT JOIN (
+  SELECT user_id, issue_ts, ts AS uts, event_id AS ueid FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, issue_ts ORDER BY ts, event_id) AS rn
+    FROM m WHERE raw IN ('ok', 'expired')) WHERE rn = 1) u
+  ON u.user_id = m.user_id AND u.issue_ts = m.issue_ts""", "code_events", extra=f"""
+m0 AS (SELECT a.event_id, a.user_id, a.ts, a.code, i.ts AS issue_ts, i.code AS issue_code
+       FROM (SELECT * FROM code_events WHERE kind = 'attempt') a
+       ASOF LEFT JOIN (SELECT * FROM code_events WHERE kind = 'issue') i
+       ON a.user_id = i.user_id AND a.ts >= i.ts),
+m AS (SELECT *, CASE WHEN issue_ts IS NULL THEN 'no_pending'
+                     WHEN (epoch_us(ts) - epoch_us(issue_ts)) / 1e6 > {CODE_TTL} THEN 'expired'
+                     WHEN code <> issue_code THEN 'invalid' ELSE 'ok' END AS raw FROM m0)"""))(
+    lambda s, d: AC.match_codes(FX.code_events(s, d), CODE_TTL))
+
+register("i8_update_email", W("""
+SELECT a.id, a.username, CASE WHEN u.username IS NOT NULL THEN u.new_email ELSE a.email END AS email,
+       (u.username IS NOT NULL AND a.email IS DISTINCT FROM u.new_email) AS changed
+FROM accounts a LEFT JOIN (SELECT username, arg_max(email, ts) AS new_email FROM registrations GROUP BY username) u
+  ON u.username = a.username""", "accounts", "registrations"))(
+    lambda s, d: AC.update_column(FX.accounts(s, d), FX.registrations(s, d).select("username", "email", "ts"),
+                                  "username", "email", ts="ts"))
+
+register("h13_email_valid", W(f"""
+SELECT id, username, email, COALESCE(regexp_matches(email, {O.q(FV.EMAIL_PATTERN)}), false) AS email_valid
+FROM accounts""", "accounts"))(lambda s, d: AC.email_check(FX.accounts(s, d)))

@@ -135,7 +135,7 @@ def code_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     day_code = F.lpad(((uid * 7919 + F.dayofyear("ts") * 104729) % 1000000).cast("string"), 6, "0")
     is_issue = F.col("event_type") == "signup"
     code = F.when(is_issue | (eid % 4 != 0), day_code).otherwise(F.lit("999999"))
-    return ev.select(uid.alias("user_id"),
+    return ev.select(eid.alias("event_id"), uid.alias("user_id"),
                      F.when(is_issue, "issue").otherwise("attempt").alias("kind"),
                      code.alias("code"), F.col("ts"))
 
@@ -170,3 +170,13 @@ def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("id"),
                      _pick(FV.DOMAIN_LABELS, F.col("user_id") % 33).alias("resume_domain"),
                      _pick(SIM_PROBES, F.col("event_id") % len(SIM_PROBES)).alias("job_domain"))
+
+
+def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-in identifiers: e-mail, username or unknown text, per view event."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    ident = (F.when(eid % 3 == 0, F.concat(F.lit("user"), (uid * 10).cast("string"), F.lit("@example.com")))
+             .when(eid % 3 == 1, F.concat(F.lit("Customer#"), F.lpad((uid * 10).cast("string"), 9, "0")))
+             .otherwise(F.concat(F.lit("nobody"), uid.cast("string"))))
+    return ev.select(eid.alias("req_id"), ident.alias("identifier"))
