@@ -27,12 +27,12 @@ def valid_labels(model_labels: DataFrame, label: str = "label", labels=None) ->
 
 
 def attach_labels(df: DataFrame, model_labels: DataFrame, id_col: str = "id",
-                  label: str = "label", out: str = "llm_domain") -> DataFrame:
+                  label: str = "label", out: str = "llm_domain", label_id: str = "id") -> DataFrame:
     """Left join of the label table by record id; invalid labels -> NULL.
 
     Keeps one label per id (the smallest) so the join never multiplies rows.
     """
-    ml = (model_labels.select(F.col(id_col).alias("_lid"), valid_label(F.col(label)).alias("_lbl"))
+    ml = (model_labels.select(F.col(label_id).alias("_lid"), valid_label(F.col(label)).alias("_lbl"))
           .groupBy("_lid").agg(F.min("_lbl").alias(out)))
     return df.join(ml, F.col(id_col) == F.col("_lid"), "left").drop("_lid")
 

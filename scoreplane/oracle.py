@@ -100,6 +100,24 @@ VIEWS["login_attempts"] = """
               ELSE 'nobody' || CAST(user_id AS VARCHAR) END AS identifier
   FROM events WHERE event_type = 'view'"""
 
+VIEWS["submissions"] = f"""
+  SELECT doc_id AS sub_id, 'cv_' || CAST(doc_id AS VARCHAR) || '.pdf' AS resume_name,
+         'person_' || CAST(doc_id % 997 AS VARCHAR) AS candidate_name,
+         CAST((doc_id * 13) % 103 - 1 AS DOUBLE) AS ats_score,
+         CASE WHEN doc_id % 11 = 0 THEN (doc_id * 7) % 100 + 0.5 ELSE CAST((doc_id * 7) % 100 AS DOUBLE) END
+           AS edu_score,
+         CAST((doc_id * 3) % 101 AS DOUBLE) AS exp_score,
+         CASE WHEN doc_id % 97 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST((doc_id * 5) % 101 AS DOUBLE) END
+           AS skills_score,
+         CAST((doc_id * 9) % 101 AS DOUBLE) AS lang_score,
+         CAST((doc_id * 19) % 101 AS DOUBLE) AS keyword_score,
+         CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 1001) / 10.0 END AS format_score,
+         ((doc_id * 7) % 102) / 100.0 AS bias_score,
+         {pick(R.SAMPLE_TITLES, f'doc_id % {len(R.SAMPLE_TITLES)}')} AS job_title,
+         {pick(R.SAMPLE_PHRASES, f'(doc_id * 7) % {len(R.SAMPLE_PHRASES)}')} AS job_description,
+         CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS resume_text
+  FROM documents"""
+
 
 def with_views(sql: str, *names: str, extra: str = "") -> str:
     """Prefix a query with the CTEs it names (in dependency order) plus extra CTEs."""

@@ -441,3 +441,114 @@ FROM accounts a LEFT JOIN (SELECT username, arg_max(email, ts) AS new_email FROM
 register("h13_email_valid", W(f"""
 SELECT id, username, email, COALESCE(regexp_matches(email, {O.q(FV.EMAIL_PATTERN)}), false) AS email_valid
 FROM accounts""", "accounts"))(lambda s, d: AC.email_check(FX.accounts(s, d)))
+
+# ---------------------------------------------------------------- catalogue
+from scoreplane.operators import catalog as CT  # noqa: E402
+
+_LINK = FX.LINK_PATTERN
+_FLAT_SQL = f"""
+SELECT page_id AS catalog_id, unnest(regexp_extract_all(html, {O.q(_LINK)}, 2)) AS name,
+       unnest(regexp_extract_all(html, {O.q(_LINK)}, 1)) AS link,
+       regexp_extract(html, '<html lang="([a-z]+)"', 1) AS category,
+       regexp_extract(url, '^https?://([^/?#]+)', 1) AS role
+FROM pages"""
+ROLE_HOST = "blog.tionsh.example.net"
+
+register("h21_flatten_catalog", _FLAT_SQL)(lambda s, d: CT.flatten(FX.catalog(s, d)))
+register("c7_courses_for_role", f"""
+SELECT catalog_id, name, link FROM ({_FLAT_SQL}) WHERE category = 'en' AND role = '{ROLE_HOST}'""")(
+    lambda s, d: CT.courses_for_role(FX.catalog(s, d), "en", ROLE_HOST))
+register("c7_courses_missing_role", f"""
+SELECT catalog_id, name, link FROM ({_FLAT_SQL}) WHERE category = 'xx' AND role = 'nowhere'""")(
+    lambda s, d: CT.courses_for_role(FX.catalog(s, d), "xx", "nowhere"))
+register("j5_courses_for_requests", f"""
+SELECT r.req_id, f.category, f.role, f.catalog_id, f.name, f.link
+FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' ||
+             regexp_extract(html, '<html lang="([a-z]+)"', 1) AS req_id,
+             regexp_extract(html, '<html lang="([a-z]+)"', 1) AS category,
+             regexp_extract(url, '^https?://([^/?#]+)', 1) AS role FROM pages) r
+JOIN ({_FLAT_SQL}) f ON f.category = r.category AND f.role = r.role""")(
+    lambda s, d: CT.courses_for_requests(
+        ST.read_table(s, d, "pages").select(
+            F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("category"),
+            F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("role")).distinct()
+        .withColumn("req_id", F.concat_ws("/", "role", "category")),
+        CT.flatten(FX.catalog(s, d))))
+
+# ---------------------------------------------------------------- ingest and table changes
+import datetime as _dt  # noqa: E402
+from zoneinfo import ZoneInfo  # noqa: E402
+
+from scoreplane.operators import tables as TB  # noqa: E402
+from scoreplane.plans import ingest as IG  # noqa: E402
+from scoreplane.sources import tables as ST  # noqa: E402
+from scoreplane.sources.schemas import CANDIDATES  # noqa: E402
+
+INGEST_AS_OF = "2025-02-20 06:30:00"
+_LOCAL = (_dt.datetime.fromisoformat(INGEST_AS_OF).replace(tzinfo=_dt.timezone.utc)
+          .astimezone(ZoneInfo(FV.LOCAL_ZONE)).strftime("%Y-%m-%d %H:%M:%S"))
+
+
+def _ingest(s, d):
+    return IG.ingest(FX.submissions(s, d), FX.candidates(s, d), FX.model_labels(s, d), _RS, INGEST_AS_OF)
+
+
+def _ok(x):
+    return f"({x} IS NOT NULL AND NOT isnan({x}) AND {x} >= 0 AND {x} <= 100)"
+
+
+_ERRS = ", ".join(
+    [f"CASE WHEN NOT {_ok(c)} THEN '{c}' END" for c in IG.INT_SCORES]
+    + ["CASE WHEN isnan(COALESCE(format_score, 0.0)) OR NOT "
+       + _ok("trunc(COALESCE(format_score, 0.0))") + " THEN 'format_score' END",
+       "CASE WHEN NOT (bias_score IS NOT NULL AND NOT isnan(bias_score) AND bias_score >= 0 AND bias_score <= 1)"
+       " THEN 'bias_score' END"])
+_SUB_COMPOSED = O.compose_sql("job_description", "resume_text")
+_INGEST_CTES = (O.classify_ctes(_RS, "submissions", "sub_id", "job_title", _SUB_COMPOSED) + "," + O.labels_cte()
+                + f""",
+j AS (SELECT s.*, CASE WHEN l.llm_domain IS NULL THEN k.kw_domain ELSE l.llm_domain END AS domain,
+             CASE WHEN l.llm_domain IS NULL THEN 'low' WHEN lower(l.llm_domain) = lower(k.kw_domain) THEN 'high'
+                  WHEN k.kw_domain = 'Unclassified' THEN 'high' ELSE 'medium' END AS confidence,
+             list_filter([{_ERRS}], lambda x: x IS NOT NULL) AS errors
+      FROM submissions s JOIN kwres k ON k.id = s.sub_id LEFT JOIN lbl l ON l.id = s.sub_id)""")
+
+register("j4_ingest_accepted", W(f"""
+SELECT CAST((SELECT max(id) FROM candidates) + row_number() OVER (ORDER BY sub_id) AS BIGINT) AS id,
+       resume_name, candidate_name,
+       {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in IG.INT_SCORES)},
+       CAST(trunc(COALESCE(format_score, 0.0)) AS INTEGER) AS format_score,
+       CAST(bias_score AS FLOAT) AS bias_score, domain, confidence,
+       TIMESTAMP '{_LOCAL}' AS timestamp
+FROM j WHERE len(errors) = 0""", "candidates", "submissions", "postings", "model_labels", extra=_INGEST_CTES))(
+    lambda s, d: _ingest(s, d).accepted)
+
+register("h19_ingest_rejected", W("""
+SELECT sub_id, array_to_string(errors, ',') AS errors FROM j WHERE len(errors) > 0""",
+                                  "submissions", "model_labels", extra=_INGEST_CTES))(
+    lambda s, d: _ingest(s, d).rejected.select("sub_id", F.array_join("errors", ",").alias("errors")))
+
+register("i1_delete_ids", W(f"""
+SELECT {ALL_CAND} FROM candidates WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",
+                            "candidates"))(
+    lambda s, d: TB.delete_ids(FX.candidates(s, d),
+                               ST.read_table(s, d, "events").where(F.col("event_type") == "error")
+                               .select(F.col("event_id").alias("id"))))
+
+register("i2_retention_keep", W(f"""
+SELECT {ALL_CAND} FROM candidates WHERE CAST(timestamp AS DATE) >= DATE '{AS_OF}' - 365""", "candidates"))(
+    lambda s, d: TB.retain_recent(FX.candidates(s, d), AS_OF, 365))
+
+register("i2_retention_deleted_count", W(f"""
+SELECT COUNT(*) AS deleted FROM candidates WHERE CAST(timestamp AS DATE) < DATE '{AS_OF}' - 365""", "candidates"))(
+    lambda s, d: TB.expired_rows(FX.candidates(s, d), AS_OF, 365).agg(F.count(F.lit(1)).alias("deleted")))
+
+register("a2_parameterised_sql", W("""
+SELECT domain, COUNT(*) AS n FROM candidates WHERE ats_score >= 50 AND domain <> 'Unclassified' GROUP BY domain""",
+                                   "candidates"))(
+    lambda s, d: ST.run_sql(s, "SELECT domain, COUNT(*) AS n FROM {c} WHERE ats_score >= :m "
+                               "AND domain <> :x GROUP BY domain",
+                            args={"m": 50, "x": "Unclassified"}, c=FX.candidates(s, d)))
+
+register("a4_add_missing_column", W(f"SELECT {ALL_CAND.replace('format_score', '0 AS format_score')} FROM candidates",
+                                    "candidates"))(
+    lambda s, d: ST.conform(FX.candidates(s, d).drop("format_score"), CANDIDATES, {"format_score": 0}))

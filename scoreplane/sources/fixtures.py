@@ -180,3 +180,32 @@ def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(eid % 3 == 1, F.concat(F.lit("Customer#"), F.lpad((uid * 10).cast("string"), 9, "0")))
              .otherwise(F.concat(F.lit("nobody"), uid.cast("string"))))
     return ev.select(eid.alias("req_id"), ident.alias("identifier"))
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored records to ingest, one per document, some deliberately invalid.
+
+    ats spans -1..101, edu is fractional on every 11th row, bias reaches
+    1.01, format is missing on every 4th row and fractional elsewhere,
+    and every 97th row has a NaN skills score.
+    """
+    d = read_table(spark, sf_dir, "documents")
+    did = F.col("doc_id")
+    return d.select(
+        did.alias("sub_id"),
+        F.concat(F.lit("cv_"), did.cast("string"), F.lit(".pdf")).alias("resume_name"),
+        F.concat(F.lit("person_"), (did % 997).cast("string")).alias("candidate_name"),
+        ((did * 13) % 103 - 1).cast("double").alias("ats_score"),
+        F.when(did % 11 == 0, (did * 7) % 100 + 0.5).otherwise(((did * 7) % 100).cast("double"))
+        .alias("edu_score"),
+        ((did * 3) % 101).cast("double").alias("exp_score"),
+        F.when(did % 97 == 0, F.lit(float("nan"))).otherwise(((did * 5) % 101).cast("double"))
+        .alias("skills_score"),
+        ((did * 9) % 101).cast("double").alias("lang_score"),
+        ((did * 19) % 101).cast("double").alias("keyword_score"),
+        F.when(did % 4 == 0, F.lit(None).cast("double")).otherwise((did % 1001) / 10.0).alias("format_score"),
+        (((did * 7) % 102) / 100.0).alias("bias_score"),
+        _pick(R.SAMPLE_TITLES, did % len(R.SAMPLE_TITLES)).alias("job_title"),
+        _pick(R.SAMPLE_PHRASES, (did * 7) % len(R.SAMPLE_PHRASES)).alias("job_description"),
+        F.when(did % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("resume_text"),
+    )

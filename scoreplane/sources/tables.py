@@ -21,9 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return r.parquet(path)
 
 
-def run_sql(spark: SparkSession, sql: str, **params) -> DataFrame:
-    """A2: parameterised SQL; values are bound, never formatted into the text."""
-    return spark.sql(sql, args=params or None)
+def run_sql(spark: SparkSession, sql: str, args: dict | None = None, **frames) -> DataFrame:
+    """A2: parameterised SQL; values are bound (``:name``), never formatted into the text.
+
+    ``frames`` are DataFrames referenced as ``{name}`` in the text.
+    """
+    return spark.sql(sql, args=args or None, **frames)
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
