@@ -552,3 +552,51 @@ SELECT domain, COUNT(*) AS n FROM candidates WHERE ats_score >= 50 AND domain <>
 register("a4_add_missing_column", W(f"SELECT {ALL_CAND.replace('format_score', '0 AS format_score')} FROM candidates",
                                     "candidates"))(
     lambda s, d: ST.conform(FX.candidates(s, d).drop("format_score"), CANDIDATES, {"format_score": 0}))
+
+# ---------------------------------------------------------------- streaming forms
+from scoreplane.streaming import streams as SS  # noqa: E402
+
+
+def _s1(s, d):
+    return SS.run_to_table(SS.daily_usage(FX.call_log_from(SS.file_stream(s, d, "events"))), "s1")
+
+
+register("s1_daily_usage_stream", W("""
+SELECT * FROM (
+  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start,
+         CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, api_key, COUNT(*) AS calls
+  FROM call_log WHERE error IS NULL GROUP BY 1, 2, 3)
+WHERE window_end <= (SELECT max(ts) FROM call_log WHERE error IS NULL) - INTERVAL 1 HOUR""", "call_log"))(_s1)
+
+register("s2_first_prompts_stream")(
+    lambda s, d: SS.run_to_table(SS.first_prompts(FX.call_log_from(SS.file_stream(s, d, "events"))), "s2"))
+
+
+def _s3(s, d):
+    base = SS.failure_state_stream(FX.call_log_from(SS.file_stream(s, d, "events")), "s3")
+    return SS.read_failure_state(s, base)
+
+
+register("s3_failure_state_stream", W("SELECT * FROM failures", "call_log",
+                                      extra=O.failures_cte("failures", "call_log")))(_s3)
+
+register("s4_logins_per_day_stream", W("""
+SELECT CAST(strptime(timestamp, '%Y-%m-%d %H:%M:%S') AS DATE) AS day, COUNT(*) AS logins
+FROM user_logs WHERE action = 'login' GROUP BY 1
+HAVING CAST(CAST(strptime(timestamp, '%Y-%m-%d %H:%M:%S') AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
+       <= (SELECT max(strptime(timestamp, '%Y-%m-%d %H:%M:%S')) FROM user_logs WHERE action = 'login')
+          - INTERVAL 1 HOUR""", "user_logs"))(
+    lambda s, d: SS.run_to_table(SS.logins_per_local_day(FX.user_logs_from(SS.file_stream(s, d, "events"))), "s4"))
+
+
+def _s5(s, d):
+    ce = FX.code_events_from(SS.file_stream(s, d, "events"))
+    return SS.run_to_table(SS.code_interval_join(ce.where("kind = 'issue'"), ce.where("kind = 'attempt'"),
+                                                 CODE_TTL), "s5")
+
+
+register("s5_code_interval_join", W(f"""
+SELECT a.event_id, a.user_id, a.ts, i.ts AS issue_ts, a.code = i.code AS code_ok
+FROM (SELECT * FROM code_events WHERE kind = 'attempt') a
+JOIN (SELECT * FROM code_events WHERE kind = 'issue') i
+  ON a.user_id = i.user_id AND a.ts >= i.ts AND a.ts <= i.ts + INTERVAL {CODE_TTL} SECOND""", "code_events"))(_s5)

@@ -57,7 +57,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return user_logs_from(read_table(spark, sf_dir, "events"))
+
+
+def user_logs_from(ev: DataFrame) -> DataFrame:
     et = F.col("event_type")
     return ev.select(
         F.col("event_id").alias("id"),
@@ -69,7 +72,10 @@ def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model call per event: key by user, error text on error events."""
-    ev = read_table(spark, sf_dir, "events")
+    return call_log_from(read_table(spark, sf_dir, "events"))
+
+
+def call_log_from(ev: DataFrame) -> DataFrame:
     eid, uid = F.col("event_id"), F.col("user_id")
     is_err = F.col("event_type") == "error"
     return ev.select(
@@ -130,7 +136,11 @@ def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issued codes (signup) and attempts (click) per user."""
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "click"))
+    return code_events_from(read_table(spark, sf_dir, "events"))
+
+
+def code_events_from(ev: DataFrame) -> DataFrame:
+    ev = ev.where(F.col("event_type").isin("signup", "click"))
     uid, eid = F.col("user_id"), F.col("event_id")
     day_code = F.lpad(((uid * 7919 + F.dayofyear("ts") * 104729) % 1000000).cast("string"), 6, "0")
     is_issue = F.col("event_type") == "signup"
