@@ -122,3 +122,19 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
         f"'desc_hits', {hit_count_sql('_dh', t)})" for dom, t in _kw_tids(rs, d).items())
     return (staged.select(id_col, F.expr(f"inline(array({per_dom}))"))
             .where((F.col("title_hits") > 0) | (F.col("desc_hits") > 0)))
+
+
+def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_description",
+                keep: list[str] | None = None) -> DataFrame:
+    """First highest-scoring domain in rule order and its score (before threshold/overrides)."""
+    d = dictionary_for(rs)
+    keep = keep if keep is not None else list(df.columns)
+    df = spread(df)
+    staged = _hits(df.select(*keep, _fold(normalize(title), rs).alias("_t"),
+                             _fold(normalize(desc), rs).alias("_d")), keep, d)
+    staged = staged.select(*keep, "_th", "_dh", F.array_union("_th", "_dh").alias("_both"),
+                           fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
+    best = (f"aggregate({scores_sql(rs, d)}, named_struct('rank', 0, 'domain', CAST(NULL AS STRING), "
+            f"'score', -1.0D), (acc, x) -> IF(x.score > acc.score, x, acc))")
+    return staged.select(*keep, F.expr(best).alias("_b")).select(
+        *keep, F.col("_b.domain").alias("best_domain"), F.col("_b.score").alias("best_score"))

@@ -600,3 +600,109 @@ SELECT a.event_id, a.user_id, a.ts, i.ts AS issue_ts, a.code = i.code AS code_ok
 FROM (SELECT * FROM code_events WHERE kind = 'attempt') a
 JOIN (SELECT * FROM code_events WHERE kind = 'issue') i
   ON a.user_id = i.user_id AND a.ts >= i.ts AND a.ts <= i.ts + INTERVAL {CODE_TTL} SECOND""", "code_events"))(_s5)
+
+# ---------------------------------------------------------------- scalar rules as queries
+from scoreplane.functions import scalars as SC  # noqa: E402
+from scoreplane.functions import text as TX  # noqa: E402
+
+_DOC_LOWER = "lower(text)"
+
+register("h1_normalize_title", W(f"SELECT id, {O.strip_lower_sql('job_title')} AS title FROM postings", "postings"))(
+    lambda s, d: FX.postings(s, d).select("id", TX.normalize("job_title").alias("title")))
+
+register("h2_replaced_text", W(f"""
+SELECT id, {O.fold_replace_sql(O.strip_lower_sql(_COMPOSED), _RS.replacements)} AS text FROM postings""",
+                               "postings"))(
+    lambda s, d: FX.postings(s, d).select(
+        "id", CL.normalized(compose_text("job_description", "resume_text"), _RS).alias("text")))
+
+_PHRASES = ["ai", "c++", "802.11", "the", "data science"]
+register("h3_bounded_phrases", f"""
+SELECT doc_id, {', '.join(
+    f"regexp_matches(lower(text), {O.q(TX.phrase_pattern_portable(p))}) AS has_{i}" for i, p in enumerate(_PHRASES))}
+FROM documents""")(
+    lambda s, d: ST.read_table(s, d, "documents").select(
+        "doc_id", *[TX.has_phrase(F.lower("text"), p).alias(f"has_{i}") for i, p in enumerate(_PHRASES)]))
+
+register("h4_word_count", f"""
+SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{TX.WS}+'), lambda w: w <> '')) AS words,
+       NOT regexp_matches(text, '^{TX.WS}*(?:{TX.WS.replace('[', '[^', 1)}+{TX.WS}+){{7}}{TX.WS.replace('[', '[^', 1)}')
+         AS short_text
+FROM documents""")(
+    lambda s, d: ST.read_table(s, d, "documents").select(
+        "doc_id", TX.word_count("text").alias("words"), TX.fewer_words_than("text", 8).alias("short_text")))
+
+register("h5_compose_text", W(f"SELECT id, {_COMPOSED} AS text FROM postings", "postings"))(
+    lambda s, d: FX.postings(s, d).select("id", compose_text("job_description", "resume_text").alias("text")))
+
+register("h14_split_list", f"""
+SELECT conv_id, turn,
+       array_to_string(list_filter(list_transform(string_split(text, ','),
+                                                  lambda x: regexp_replace(x, '^{TX.WS}+|{TX.WS}+$', '', 'g')),
+                                   lambda x: x <> ''), '|') AS items
+FROM conversations""")(
+    lambda s, d: ST.read_table(s, d, "conversations").select(
+        "conv_id", "turn", F.array_join(TX.split_list("text"), "|").alias("items")))
+
+register("h16_local_stamp", W("""
+SELECT call_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS local_time FROM call_log""",
+                              "call_log"))(
+    lambda s, d: FX.call_log(s, d).select("call_id", SC.local_stamp("ts").alias("local_time")))
+
+register("c5_alias_resolve", W("""
+SELECT n0.id, COALESCE(x.v, n0.nb) AS resolved FROM n0 LEFT JOIN alias x ON x.k = n0.nb""", "label_pairs",
+                               extra=O.similarity_ctes("label_pairs", "resume_domain", "job_domain")))(
+    lambda s, d: SM.resolve_alias(
+        FX.label_pairs(s, d).select("id", TX.normalize("job_domain").alias("nb")), "nb",
+        F.broadcast(R.alias_table(s)), "resolved").select("id", "resolved"))
+
+register("c4_pair_lookup", W("""
+SELECT n.id, COALESCE(f.s, r.s) AS pair_sim FROM n
+LEFT JOIN pairs f ON f.a = n.ra AND f.b = n.rb LEFT JOIN pairs r ON r.a = n.rb AND r.b = n.ra""", "label_pairs",
+                             extra=O.similarity_ctes("label_pairs", "resume_domain", "job_domain")))(
+    lambda s, d: SM.pair_lookup(
+        SM.resolve_alias(SM.resolve_alias(
+            FX.label_pairs(s, d).select("id", TX.normalize("resume_domain").alias("na"),
+                                        TX.normalize("job_domain").alias("nb")),
+            "na", F.broadcast(R.alias_table(s)), "ra"), "nb", F.broadcast(R.alias_table(s)), "rb"),
+        "ra", "rb", F.broadcast(R.pair_table(s)), "pair_sim").select("id", "pair_sim"))
+
+register("d13_best_domain_score", W("SELECT id, domain AS best_domain, score AS best_score FROM best", "postings",
+                                    extra=O.classify_ctes(_RS, "postings", "id", "job_title", _COMPOSED)))(
+    lambda s, d: CL.best_scores(FX.postings(s, d), _RS, "job_title",
+                                compose_text("job_description", "resume_text"), keep=["id"]))
+
+register("d17_boost_any", W("""
+SELECT n.id, bs.rank IS NOT NULL AS ai_boost_in_text
+FROM norm n LEFT JOIN (SELECT DISTINCT id, rank FROM bd WHERE rank = 2) bs ON bs.id = n.id""", "postings",
+                            extra=O.classify_ctes(_RS, "postings", "id", "job_title", _COMPOSED)))(
+    lambda s, d: FX.postings(s, d).select(
+        "id", TX.has_any_phrase(CL.normalized(compose_text("job_description", "resume_text"), _RS),
+                                FV.DOMAIN_BOOSTS["AI/Machine Learning"]).alias("ai_boost_in_text")))
+
+
+# ---------------------------------------------------------------- sinks
+from scoreplane.session import scratch_path  # noqa: E402
+from scoreplane.sources.schemas import USER_LOGS  # noqa: E402
+
+_EXPORT = {"min_ats": 40, "domain": "Data Science", "start_date": "2024-02-01", "end_date": "2024-12-31"}
+
+
+def _a6(s, d):
+    out = scratch_path(s, "export")
+    ST.export_csv(FL.export_filter(FX.candidates(s, d), _EXPORT), out)
+    return ST.read_csv(s, out, CANDIDATES)
+
+
+register("a6_export_csv_readback", ORACLE["b5_export_filter"])(_a6)
+
+
+def _a7(s, d):
+    out = scratch_path(s, "audit")
+    logs = FX.user_logs(s, d).where(F.col("action") == "register")
+    ST.append(logs.where(F.col("timestamp") < "2024-01-15"), out)
+    ST.append(logs.where(F.col("timestamp") >= "2024-01-15"), out)
+    return s.read.schema(USER_LOGS).parquet(out)
+
+
+register("a7_append_audit", W("SELECT * FROM user_logs WHERE action = 'register'", "user_logs"))(_a7)

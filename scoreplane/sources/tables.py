@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CSV_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                schema: T.StructType | None = None) -> DataFrame:
     """A1: read one table; with a schema nothing is inferred."""
@@ -73,5 +76,12 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     out = df.coalesce(1) if single_file else df
     (out.write.mode("errorifexists")
         .option("header", True).option("escape", '"').option("quoteAll", False)
+        .option("timestampFormat", CSV_TS).option("timestampNTZFormat", CSV_TS)
         .csv(path))
     return path
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read an export back with its schema (microsecond time stamps kept)."""
+    return (spark.read.schema(schema).option("header", True).option("escape", '"')
+            .option("timestampFormat", CSV_TS).option("timestampNTZFormat", CSV_TS).csv(path))
