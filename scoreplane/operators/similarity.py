@@ -50,9 +50,11 @@ def similarity(df: DataFrame, a: str, b: str, out: str = "similarity",
                groups: DataFrame | None = None) -> DataFrame:
     """Append ``out`` = similarity of labels in columns ``a`` and ``b``."""
     spark: SparkSession = df.sparkSession
-    aliases = _bounded(aliases if aliases is not None else R.alias_table(spark), "aliases")
-    pairs = _bounded(pairs if pairs is not None else R.pair_table(spark), "pairs")
-    gs = _bounded(group_sets(groups if groups is not None else R.group_table(spark)), "groups")
+    # built-in tables have a known, fixed size; caller tables are counted first
+    aliases = _bounded(aliases, "aliases") if aliases is not None else F.broadcast(R.alias_table(spark))
+    pairs = _bounded(pairs, "pairs") if pairs is not None else F.broadcast(R.pair_table(spark))
+    gs = (_bounded(group_sets(groups), "groups") if groups is not None
+          else F.broadcast(group_sets(R.group_table(spark))))
     x = df.withColumn("_na", normalize(F.col(a))).withColumn("_nb", normalize(F.col(b)))
     x = resolve_alias(x, "_na", aliases, "_ra")
     x = resolve_alias(x, "_nb", aliases, "_rb")

@@ -72,11 +72,14 @@ def term_hits_sql(text: str, toks: str, d: Dictionary) -> str:
     """array<int>: ids of dictionary terms present in ``text``.
 
     ``toks`` names a column holding ``tokens_sql(text)`` computed in an
-    earlier projection, so the lambda does not re-tokenise per term.
+    earlier projection. It is referenced twice below, which keeps Catalyst
+    from collapsing that projection into the lambda (a single reference
+    would be inlined and re-tokenise the text once per term).
     """
     return (f"transform(filter({d.literal_sql()}, x -> "
-            f"forall(x.runs, r -> array_contains({toks}, r)) AND "
-            f"(x.exact OR (contains({text}, x.term) AND regexp({text}, x.pat)))), x -> x.tid)")
+            f"IF(x.exact, array_contains({toks}, x.term), "
+            f"forall(x.runs, r -> array_contains({toks}, r)) "
+            f"AND contains({text}, x.term) AND regexp({text}, x.pat))), x -> x.tid)")
 
 
 def hit_count_sql(hits: str, tids) -> str:

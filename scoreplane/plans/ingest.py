@@ -18,6 +18,7 @@ from scoreplane.operators import labels as LB
 from scoreplane.operators.tables import assign_ids
 from scoreplane.plans.classify import classify
 from scoreplane.rules import RuleSet
+from scoreplane.session import checkpoint_dir
 from scoreplane.sources.schemas import SCORE_COLUMNS
 
 INT_SCORES = [c for c in SCORE_COLUMNS if c != "format_score"]
@@ -69,6 +70,11 @@ def ingest(batch: DataFrame, existing: DataFrame, model_labels: DataFrame, rs: R
     k = classify(batch, rs, "job_title", text, keep=keep)
     j = LB.reconcile(LB.attach_labels(k, model_labels, id_col=id_col))
     j = j.withColumn("errors", validation_errors(j))
+    # Materialise the decided batch once (no text columns are kept): the
+    # accepted and rejected outputs and the id assignment's range sampling
+    # all read it instead of re-running the classifier.
+    checkpoint_dir(batch.sparkSession)
+    j = j.checkpoint(eager=True)
     local = F.to_timestamp(F.date_format(
         F.from_utc_timestamp(F.lit(as_of).cast("timestamp"), FV.LOCAL_ZONE), FV.LOG_TIME_FORMAT)).cast(
         "timestamp_ntz")

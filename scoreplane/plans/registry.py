@@ -603,6 +603,7 @@ JOIN (SELECT * FROM code_events WHERE kind = 'issue') i
 
 # ---------------------------------------------------------------- scalar rules as queries
 from scoreplane.functions import scalars as SC  # noqa: E402
+from scoreplane.session import spread  # noqa: E402
 from scoreplane.functions import text as TX  # noqa: E402
 
 _DOC_LOWER = "lower(text)"
@@ -621,7 +622,7 @@ register("h3_bounded_phrases", f"""
 SELECT doc_id, {', '.join(
     f"regexp_matches(lower(text), {O.q(TX.phrase_pattern_portable(p))}) AS has_{i}" for i, p in enumerate(_PHRASES))}
 FROM documents""")(
-    lambda s, d: ST.read_table(s, d, "documents").select(
+    lambda s, d: spread(ST.read_table(s, d, "documents")).select(
         "doc_id", *[TX.has_phrase(F.lower("text"), p).alias(f"has_{i}") for i, p in enumerate(_PHRASES)]))
 
 register("h4_word_count", f"""
@@ -629,7 +630,7 @@ SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{TX.WS}+'), lambda w
        NOT regexp_matches(text, '^{TX.WS}*(?:{TX.WS.replace('[', '[^', 1)}+{TX.WS}+){{7}}{TX.WS.replace('[', '[^', 1)}')
          AS short_text
 FROM documents""")(
-    lambda s, d: ST.read_table(s, d, "documents").select(
+    lambda s, d: spread(ST.read_table(s, d, "documents")).select(
         "doc_id", TX.word_count("text").alias("words"), TX.fewer_words_than("text", 8).alias("short_text")))
 
 register("h5_compose_text", W(f"SELECT id, {_COMPOSED} AS text FROM postings", "postings"))(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scoreplane import fixed_values as FV
 from scoreplane import rules as R
+from scoreplane.session import spread
 from scoreplane.sources.tables import read_table
 
 # Fixed reference instant for "now"-relative queries on the fixtures.
@@ -115,7 +116,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job postings over whole documents: title and phrase chosen by doc_id."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     did = F.col("doc_id")
     return d.select(
         did.alias("id"),
@@ -199,7 +200,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     1.01, format is missing on every 4th row and fractional elsewhere,
     and every 97th row has a NaN skills score.
     """
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     did = F.col("doc_id")
     return d.select(
         did.alias("sub_id"),
