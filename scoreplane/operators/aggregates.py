@@ -18,9 +18,14 @@ from scoreplane.functions.scalars import check_unit_interval, percent_of, round_
 from scoreplane.sources.schemas import SCORE_COLUMNS
 
 
-def _with_total(grouped: DataFrame, df: DataFrame, count_col: str) -> DataFrame:
-    """Attach the table's row count (scalar subquery) to grouped rows."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+def _with_total(grouped: DataFrame, count_col: str) -> DataFrame:
+    """Attach the grand total (the scalar subquery) to grouped rows.
+
+    The total is the sum of the group counts, so the table is scanned once;
+    both branches read the same aggregation exchange, and the one-row total
+    is broadcast.
+    """
+    total = grouped.agg(F.sum(count_col).alias("_total"))
     return grouped.crossJoin(F.broadcast(total))
 
 
@@ -48,7 +53,7 @@ def top_groups(df: DataFrame, k: int = FV.TOP_DOMAINS_DEFAULT, key: str = "domai
 def group_distribution(df: DataFrame, key: str = "domain") -> DataFrame:
     """D3: count and percent of all rows per group, most frequent first."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
-    return (_with_total(g, df, "count")
+    return (_with_total(g, "count")
             .select(key, "count", percent_of("count", "_total").alias("percentage"))
             .orderBy(F.desc("count"), F.asc(key)))
 
@@ -65,7 +70,7 @@ def threshold_split(df: DataFrame, threshold: float = FV.BIAS_THRESHOLD,
     check_unit_interval(threshold)
     bucket = F.when(F.col(col) >= F.lit(float(threshold)), hit).otherwise(miss)
     g = df.groupBy(bucket.alias("bias_category")).agg(F.count(F.lit(1)).alias("count"))
-    return (_with_total(g, df, "count")
+    return (_with_total(g, "count")
             .select("bias_category", "count", percent_of("count", "_total").alias("percentage")))
 
 
@@ -99,8 +104,10 @@ def group_frequency(df: DataFrame, key: str = "domain", min_count: int = 1) -> D
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("frequency"),
                             round_avg("ats_score", 2).alias("avg_performance"),
                             round_avg("bias_score", 3).alias("avg_bias"))
+    total = df.agg(F.count(F.lit(1)).alias("_total")) if min_count > 1 else None
     g = having_count(g, "frequency", min_count)
-    return (_with_total(g, df, "frequency")
+    g = g.crossJoin(F.broadcast(total)) if total is not None else _with_total(g, "frequency")
+    return (g
             .select(key, "frequency", "avg_performance", "avg_bias",
                     percent_of("frequency", "_total").alias("percentage"))
             .orderBy(F.desc("frequency"), F.asc(key)))

@@ -51,8 +51,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     d = tempfile.mkdtemp(prefix="scoreplane-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -303,3 +303,34 @@ def test_identity_resolution(spark):
 def test_email_pattern(spark):
     df = spark.createDataFrame([("a.b@c.io",), ("a@b",), ("a@b.c",), ("x y@z.com",), (None,)], "email string")
     assert [r["email_valid"] for r in AC.email_check(df).collect()] == [True, False, False, False, False]
+
+
+# ---------------------------------------------------------------- catalogue
+def test_nested_catalog_json_roundtrip(spark, tmp_path):
+    import json
+
+    from scoreplane.operators import catalog as CT
+    from scoreplane.sources.catalog import read_catalog_json
+
+    doc = {"catalog": {"Software": {"Frontend Developer": [{"title": "CSS", "url": "u1"},
+                                                           {"title": "React", "url": "u2"}],
+                                    "Backend Developer": [{"title": "Go", "url": "u3"}]},
+                       "Data": {"Analyst": [{"title": "SQL", "url": "u4"}]}}}
+    p = tmp_path / "cat.json"
+    p.write_text(json.dumps(doc) + "\n")
+    cat = read_catalog_json(spark, str(p))
+    flat = {(r["category"], r["role"], r["name"], r["link"]) for r in CT.flatten(cat).collect()}
+    assert flat == {("Software", "Frontend Developer", "CSS", "u1"), ("Software", "Frontend Developer", "React", "u2"),
+                    ("Software", "Backend Developer", "Go", "u3"), ("Data", "Analyst", "SQL", "u4")}
+    got = [r["name"] for r in CT.courses_for_role(cat, "Software", "Backend Developer").collect()]
+    assert got == ["Go"]
+    assert CT.courses_for_role(cat, "Software", "Nobody").count() == 0
+    assert CT.courses_for_role(cat, "Nothing", "Backend Developer").count() == 0
+
+
+def test_percentages_use_whole_table_total_with_having(spark):
+    df = cand(spark, [(1, 10, 0.1, "A", T0), (2, 20, 0.1, "A", T0), (3, 30, 0.1, "B", T0)])
+    rows = {r["domain"]: r["percentage"] for r in AG.group_frequency(df, min_count=2).collect()}
+    assert rows == {"A": 66.67}
+    rows = {r["domain"]: r["percentage"] for r in AG.group_distribution(df).collect()}
+    assert rows == {"A": 66.67, "B": 33.33}
