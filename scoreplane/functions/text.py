@@ -60,7 +60,7 @@ def has_any_phrase(c, phrases) -> Column:
 
 def word_count(c) -> Column:
     """H4: whitespace-separated word count (empty text has 0 words)."""
-    return F.size(F.filter(F.split(_c(c), f"{WS}+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(_c(c), f"{WS}+"), lambda w: w != "")).cast("bigint")
 
 
 def fewer_words_than(c, n: int) -> Column:

@@ -230,7 +230,7 @@ def strip_sql(x: str) -> str:
 def similarity_ctes(src: str, a: str, b: str) -> str:
     """CTEs ending in ``sim(id, similarity)`` over ``src(id, a, b)``."""
     al = ", ".join(f"({q(k)}, {q(v)})" for k, v in FV.SIMILARITY_ALIASES.items())
-    pr = ", ".join(f"({q(x)}, {q(y)}, {s})" for (x, y), s in FV.SIMILARITY_PAIRS.items())
+    pr = ", ".join(f"({q(x)}, {q(y)}, CAST({s} AS DOUBLE))" for (x, y), s in FV.SIMILARITY_PAIRS.items())
     gr = ", ".join(f"({q(lbl)}, {q(g)})" for g, ls in FV.SIMILARITY_GROUPS.items() for lbl in ls)
     cross = " ".join(
         f"WHEN EXISTS (SELECT 1 FROM grp x, grp y WHERE x.label = n.ra AND y.label = n.rb AND "

@@ -121,7 +121,8 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
         f"named_struct('domain', {sql_str(dom)}, 'title_hits', {hit_count_sql('_th', t)}, "
         f"'desc_hits', {hit_count_sql('_dh', t)})" for dom, t in _kw_tids(rs, d).items())
     return (staged.select(id_col, F.expr(f"inline(array({per_dom}))"))
-            .where((F.col("title_hits") > 0) | (F.col("desc_hits") > 0)))
+            .where((F.col("title_hits") > 0) | (F.col("desc_hits") > 0))
+            .select(id_col, "domain", F.col("title_hits").cast("bigint"), F.col("desc_hits").cast("bigint")))
 
 
 def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_description",
