@@ -15,8 +15,18 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as literal characters, for btrim (which only looks at the ends).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c) -> Column:
-    """Trim every kind of whitespace at both ends (Spark trim strips spaces only)."""
+    """Trim every kind of whitespace at both ends (Spark ``trim`` strips spaces only)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
+
+
+def strip_ws_regex(c) -> Column:
+    """Regex form of ``strip_ws`` (same result, scans the whole text)."""
     return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
 
 
