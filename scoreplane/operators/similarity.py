@@ -7,7 +7,7 @@ without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreplane import fixed_values as FV
@@ -45,10 +45,62 @@ def group_sets(groups: DataFrame) -> DataFrame:
     return groups.groupBy("label").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
 
 
+def _lit_map(d: dict) -> Column:
+    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+
+
+def _score(ra: Column, rb: Column, ps: Column, ga: Column, gb: Column) -> Column:
+    """Equal -> pair -> same group -> cross-group rules -> default."""
+    def cross(g1, g2):
+        return ((F.array_contains(ga, g1) & F.array_contains(gb, g2))
+                | (F.array_contains(ga, g2) & F.array_contains(gb, g1)))
+
+    fallback = F.lit(FV.DEFAULT_SIMILARITY)
+    for g1, g2, sc in reversed(FV.CROSS_GROUP_SCORES):
+        fallback = F.when(cross(g1, g2), F.lit(sc)).otherwise(fallback)
+    return (F.when(ra == rb, F.lit(FV.SAME_LABEL_SCORE))
+            .when(ps.isNotNull(), ps)
+            .when(F.arrays_overlap(ga, gb), F.lit(FV.SAME_GROUP_SCORE))
+            .otherwise(fallback)).cast("double")
+
+
+def similarity_fixed(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
+    """J3 with the built-in tables inlined as literal maps (fixed, small size).
+
+    No join and no broadcast job: each row does a few lookups in maps of at
+    most a few dozen keys, inside one projection.
+    """
+    alias = _lit_map(FV.SIMILARITY_ALIASES)
+    pairs = _lit_map({f"{x}\u0001{y}": float(v) for (x, y), v in FV.SIMILARITY_PAIRS.items()})
+    memb: dict[str, list[str]] = {}
+    for g, ls in FV.SIMILARITY_GROUPS.items():
+        for lbl in ls:
+            memb.setdefault(lbl, []).append(g)
+    groups = F.create_map(*[x for k, v in memb.items()
+                            for x in (F.lit(k), F.array(*[F.lit(g) for g in sorted(v)]))])
+    na, nb = normalize(F.col(a)), normalize(F.col(b))
+    x = df.withColumn("_na", na).withColumn("_nb", nb)
+    x = (x.withColumn("_ra", F.coalesce(F.try_element_at(alias, F.col("_na")), F.col("_na")))
+          .withColumn("_rb", F.coalesce(F.try_element_at(alias, F.col("_nb")), F.col("_nb"))))
+    sep = F.lit("\u0001")
+    ps = F.coalesce(F.try_element_at(pairs, F.concat(F.col("_ra"), sep, F.col("_rb"))),
+                    F.try_element_at(pairs, F.concat(F.col("_rb"), sep, F.col("_ra"))))
+    e = F.array().cast("array<string>")
+    ga = F.coalesce(F.try_element_at(groups, F.col("_ra")), e)
+    gb = F.coalesce(F.try_element_at(groups, F.col("_rb")), e)
+    return x.withColumn(out, _score(F.col("_ra"), F.col("_rb"), ps, ga, gb)).drop("_na", "_nb", "_ra", "_rb")
+
+
 def similarity(df: DataFrame, a: str, b: str, out: str = "similarity",
                aliases: DataFrame | None = None, pairs: DataFrame | None = None,
                groups: DataFrame | None = None) -> DataFrame:
-    """Append ``out`` = similarity of labels in columns ``a`` and ``b``."""
+    """Append ``out`` = similarity of labels in columns ``a`` and ``b``.
+
+    With no rule tables given the fixed tables are inlined (``similarity_fixed``);
+    caller tables are size-checked and joined by broadcast.
+    """
+    if aliases is None and pairs is None and groups is None:
+        return similarity_fixed(df, a, b, out)
     spark: SparkSession = df.sparkSession
     # built-in tables have a known, fixed size; caller tables are counted first
     aliases = _bounded(aliases, "aliases") if aliases is not None else F.broadcast(R.alias_table(spark))
@@ -64,18 +116,7 @@ def similarity(df: DataFrame, a: str, b: str, out: str = "similarity",
     x = (x.join(ga, F.col("_ra") == F.col("_gla"), "left")
           .join(gb, F.col("_rb") == F.col("_glb"), "left"))
     e = F.array().cast("array<string>")
-    ga_, gb_ = F.coalesce(F.col("_ga"), e), F.coalesce(F.col("_gb"), e)
-
-    def cross(g1, g2):
-        return ((F.array_contains(ga_, g1) & F.array_contains(gb_, g2))
-                | (F.array_contains(ga_, g2) & F.array_contains(gb_, g1)))
-
-    fallback = F.lit(FV.DEFAULT_SIMILARITY)
-    for g1, g2, s in reversed(FV.CROSS_GROUP_SCORES):
-        fallback = F.when(cross(g1, g2), F.lit(s)).otherwise(fallback)
-    score = (F.when(F.col("_ra") == F.col("_rb"), F.lit(FV.SAME_LABEL_SCORE))
-             .when(F.col("_ps").isNotNull(), F.col("_ps"))
-             .when(F.arrays_overlap(ga_, gb_), F.lit(FV.SAME_GROUP_SCORE))
-             .otherwise(fallback))
-    return x.withColumn(out, score.cast("double")).drop(
+    score = _score(F.col("_ra"), F.col("_rb"), F.col("_ps"),
+                   F.coalesce(F.col("_ga"), e), F.coalesce(F.col("_gb"), e))
+    return x.withColumn(out, score).drop(
         "_na", "_nb", "_ra", "_rb", "_ps", "_gla", "_ga", "_glb", "_gb")

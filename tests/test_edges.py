@@ -334,3 +334,14 @@ def test_percentages_use_whole_table_total_with_having(spark):
     assert rows == {"A": 66.67}
     rows = {r["domain"]: r["percentage"] for r in AG.group_distribution(df).collect()}
     assert rows == {"A": 66.67, "B": 33.33}
+
+
+def test_similarity_literal_and_join_forms_agree(spark):
+    from scoreplane.sources import fixtures as FX
+
+    df = FX.label_pairs(spark, "/root/testdata/sf0.001")
+    a = SM.similarity(df, "resume_domain", "job_domain").select("id", "similarity")
+    b = SM.similarity(df, "resume_domain", "job_domain", aliases=R.alias_table(spark), pairs=R.pair_table(spark),
+                      groups=R.group_table(spark)).select("id", F.col("similarity").alias("s2"))
+    assert a.join(b, "id").where(F.col("similarity") != F.col("s2")).count() == 0
+    assert a.count() == df.count()
