@@ -577,6 +577,13 @@ def _s3(s, d):
     return SS.read_failure_state(s, base)
 
 
+def _s2x(s, d):
+    base = SS.cache_state_stream(FX.call_log_from(SS.file_stream(s, d, "events", max_files=1)), "s2x")
+    return SS.read_cache_state(s, base)
+
+
+register("s2_cache_state_stream", W("SELECT * FROM cache", "call_log", extra=O.cache_cte("cache", "call_log")))(_s2x)
+
 register("s3_failure_state_stream", W("SELECT * FROM failures", "call_log",
                                       extra=O.failures_cte("failures", "call_log")))(_s3)
 

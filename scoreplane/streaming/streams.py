@@ -81,41 +81,62 @@ def first_prompts(calls: DataFrame, ttl_hours: int = FV.CACHE_TTL_HOURS) -> Data
              .select("call_id", "prompt_hash", F.col("event_ts").cast("timestamp_ntz").alias("ts")))
 
 
-# S3 -----------------------------------------------------------------------
-def failure_state_stream(calls: DataFrame, name: str = "failures") -> str:
-    """S3: running failure table, one new version per micro-batch (I7 + I4 fold).
-
-    Each batch folds its state-changing calls into the previous version and
-    publishes a new Parquet folder; returns the folder holding the pointer
-    file ``current`` (text) to the latest version.
+# S3 (and exact S2) ---------------------------------------------------------
+def fold_latest_stream(rows: DataFrame, key: str, order: list[str], cols: list[str], name: str) -> str:
+    """Keep the latest row per key over a stream, one published version per micro-batch.
+
+    Each micro-batch is folded into the previous version with a grouped
+    ``max_by`` (partial aggregation, so a hot key is one row per task) and
+    written as a new Parquet folder; the text file ``current`` points at the
+    newest version. A restarted query resumes from its checkpoint and the
+    last complete version. Returns the base folder.
     """
-    spark = calls.sparkSession
+    spark = rows.sparkSession
     base = scratch_path(spark, f"state-{name}")
-    schema = "api_key string, fail_time timestamp_ntz, reason string, failed boolean"
+    keep = [key] + [c for c in order + cols if c != key]
+    keep = list(dict.fromkeys(keep))
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        ev = (CG.failure_events(batch)
-              .select("api_key", F.col("ts").alias("fail_time"), "reason", "failed"))
-        prev_path = f"{base}/v{epoch - 1}"
+        new = batch.select(*keep)
         try:
-            prev = spark.read.schema(schema).parquet(prev_path) if epoch > 0 else None
-        except Exception:  # noqa: BLE001 - first version or empty previous batch
-            prev = None
-        merged = CG.upsert_latest(prev, ev, "api_key", "fail_time", ["fail_time", "reason", "failed"]) \
-            if prev is not None else CG.latest_per_key(
-                ev.withColumn("_o", F.lit(1)), "api_key", "fail_time", "_o", ["fail_time", "reason", "failed"])
-        merged.write.mode("overwrite").parquet(f"{base}/v{epoch}")
-        spark.createDataFrame([(f"{base}/v{epoch}",)], "path string").coalesce(1) \
-            .write.mode("overwrite").text(f"{base}/current")
-
-    run_foreach_batch(calls, name, fold)
+            prev_path = spark.read.text(f"{base}/current").first()[0]
+            new = spark.read.schema(new.schema).parquet(prev_path).unionByName(new)
+        except Exception:  # noqa: BLE001 - no version yet
+            pass
+        payload = F.struct(*[F.col(c) for c in keep if c != key])
+        merged = (new.groupBy(key).agg(F.max_by(payload, F.struct(*order)).alias("_l"))
+                  .select(key, *[F.col("_l")[c].alias(c) for c in keep if c != key]))
+        out = f"{base}/v{epoch}"
+        merged.write.mode("overwrite").parquet(out)
+        spark.createDataFrame([(out,)], "path string").coalesce(1).write.mode("overwrite").text(f"{base}/current")
+
+    run_foreach_batch(rows, name, fold)
     return base
 
 
+def read_latest(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(spark.read.text(f"{base}/current").first()[0])
+
+
+def failure_state_stream(calls: DataFrame, name: str = "failures") -> str:
+    """S3: running failure state per key (latest state-changing call; I7 + I4)."""
+    ev = CG.failure_events(calls)
+    return fold_latest_stream(ev, "api_key", ["ts", "call_id"], ["failed", "reason"], name)
+
+
 def read_failure_state(spark: SparkSession, base: str) -> DataFrame:
-    path = spark.read.text(f"{base}/current").first()[0]
-    return (spark.read.parquet(path).where("failed")
-            .select("api_key", "fail_time", "reason"))
+    return (read_latest(spark, base).where("failed")
+            .select("api_key", F.col("ts").alias("fail_time"), "reason"))
+
+
+def cache_state_stream(calls: DataFrame, name: str = "cache") -> str:
+    """S2 exact: response cache upserted per micro-batch (I5, last write wins)."""
+    ok = CG.with_hash(CG.successes(calls))
+    return fold_latest_stream(ok, "prompt_hash", ["ts", "call_id"], ["response"], name)
+
+
+def read_cache_state(spark: SparkSession, base: str) -> DataFrame:
+    return read_latest(spark, base).select("prompt_hash", "response", F.col("ts").alias("timestamp"))
 
 
 # S4 -----------------------------------------------------------------------
