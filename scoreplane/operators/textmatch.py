@@ -2,31 +2,35 @@
 
 A term occurs in a text when it appears with no a-z letter directly before
 or after it. Every maximal letter run of such an occurrence is then also a
-maximal letter run (token) of the text, so the test is done per row in
-three native steps, with no shuffle and no row explosion:
+maximal letter run (token) of the text, so the test is done per row with
+no shuffle and no row explosion:
 
 1. the text's letter-run tokens are intersected (hash based) with the
    dictionary's runs: one pass over the text;
-2. a term is a candidate when all of its runs are among them; a term that
-   is a single run (``python``) is then decided exactly;
-3. other candidates (``node.js``, ``c++``, ``802.11``) are confirmed with a
-   ``contains`` test and the bounded regex on the text.
-
-The dictionary is inlined into the plan as one literal, so its size is
-checked against ``rules.MAX_RULE_ROWS``. Functions here return Spark SQL
-expression text over column names.
+2. a term that is a single letter run (``python``) occurs exactly when it is
+   one of those tokens, so all such terms are found with one more hash
+   intersection, in compiled code;
+3. only the remaining terms (``node.js``, ``c++``, ``802.11``, multi-word
+   phrases) are tested one by one: a candidate needs all its runs among the
+   tokens, then a ``contains`` test and the bounded regex confirm it.
+
+Hits are arrays of term strings. The dictionary is inlined into the plan
+as literals, so its size is checked against ``rules.MAX_RULE_ROWS``.
+Functions here return Spark SQL expression text over column names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
-from scoreplane.functions.sqltext import int_array, sql_str, str_array
+from scoreplane.functions.sqltext import sql_str, str_array
 from scoreplane.functions.text import phrase_pattern
 from scoreplane.rules import MAX_RULE_ROWS
 
 _RUN = re.compile(r"[a-z]+")
+_EXACT = re.compile(r"[a-z]+")
 
 
 @dataclass(frozen=True)
@@ -36,30 +40,42 @@ class Dictionary:
     def __post_init__(self):
         if len(self.terms) > MAX_RULE_ROWS:
             raise ValueError(f"term dictionary has {len(self.terms)} terms (> {MAX_RULE_ROWS})")
-        object.__setattr__(self, "_index", {t: i for i, t in enumerate(self.terms)})
 
     @staticmethod
     def of(terms) -> "Dictionary":
         return Dictionary(tuple(dict.fromkeys(terms)))
 
     def tid(self, term: str) -> int:
-        return self._index[term]
+        """Position of a term (used by the relational oracle form)."""
+        return self.terms.index(term)
 
     def tids(self, terms) -> list[int]:
-        return [self._index[t] for t in terms]
+        return [self.tid(t) for t in terms]
+
+    @property
+    def exact_terms(self) -> list[str]:
+        return [t for t in self.terms if _EXACT.fullmatch(t)]
+
+    @property
+    def other_terms(self) -> list[str]:
+        return [t for t in self.terms if not _EXACT.fullmatch(t)]
 
     @property
     def runs(self) -> list[str]:
         return list(dict.fromkeys(r for t in self.terms for r in _RUN.findall(t)))
 
-    def literal_sql(self) -> str:
-        """array<struct<tid, term, runs, exact, pat>>."""
+    def others_literal_sql(self) -> str:
+        """array<struct<term, anchor, runs, pat>> of the terms that need a text test.
+
+        ``anchor`` is the term's longest letter run (usually its rarest), tested
+        first so most terms are rejected with one lookup.
+        """
         items = []
-        for i, t in enumerate(self.terms):
-            exact = "true" if re.fullmatch(r"[a-z]+", t) else "false"
-            items.append(f"named_struct('tid', {i}, 'term', {sql_str(t)}, "
-                         f"'runs', {str_array(_RUN.findall(t))}, 'exact', {exact}, "
-                         f"'pat', {sql_str(phrase_pattern(t))})")
+        for t in self.other_terms:
+            runs = _RUN.findall(t)
+            anchor = sql_str(max(runs, key=len)) if runs else "CAST(NULL AS STRING)"
+            items.append(f"named_struct('term', {sql_str(t)}, 'anchor', {anchor}, "
+                         f"'runs', {str_array(runs)}, 'pat', {sql_str(phrase_pattern(t))})")
         return f"array({', '.join(items)})"
 
 
@@ -69,30 +85,39 @@ def tokens_sql(text: str, d: Dictionary) -> str:
 
 
 def term_hits_sql(text: str, toks: str, d: Dictionary) -> str:
-    """array<int>: ids of dictionary terms present in ``text``.
+    """array<string>: dictionary terms present in ``text``.
 
     ``toks`` names a column holding ``tokens_sql(text)`` computed in an
-    earlier projection. It is referenced twice below, which keeps Catalyst
-    from collapsing that projection into the lambda (a single reference
-    would be inlined and re-tokenise the text once per term).
+    earlier projection; it is referenced twice, which keeps Catalyst from
+    inlining the tokenisation into the per-term lambda.
     """
-    return (f"transform(filter({d.literal_sql()}, x -> "
-            f"IF(x.exact, array_contains({toks}, x.term), "
-            f"forall(x.runs, r -> array_contains({toks}, r)) "
-            f"AND contains({text}, x.term) AND regexp({text}, x.pat))), x -> x.tid)")
-
-
-def hit_count_sql(hits: str, tids) -> str:
-    """How many of ``tids`` (list entries; duplicates count) are in ``hits``."""
-    tids = list(tids)
-    if not tids:
+    exact = f"array_intersect({toks}, {str_array(d.exact_terms)})"
+    if not d.other_terms:
+        return exact
+    others = (f"transform(filter({d.others_literal_sql()}, x -> "
+              f"(x.anchor IS NULL OR array_contains({toks}, x.anchor)) "
+              f"AND forall(x.runs, r -> array_contains({toks}, r)) "
+              f"AND contains({text}, x.term) AND regexp({text}, x.pat)), x -> x.term)")
+    return f"concat({exact}, {others})"
+
+
+def hit_count_sql(hits: str, terms) -> str:
+    """How many entries of ``terms`` (a list; repeated entries count again) are in ``hits``."""
+    terms = list(terms)
+    if not terms:
         return "0"
-    return f"size(filter({int_array(tids)}, k -> array_contains({hits}, k)))"
-
-
-def any_hit_sql(hits: str, tids) -> str:
-    """Any of ``tids`` present."""
-    tids = list(tids)
-    if not tids:
+    mult = Counter(terms)
+    distinct = list(mult)
+    expr = f"size(array_intersect({str_array(distinct)}, {hits}))"
+    for t, m in mult.items():
+        if m > 1:
+            expr += f" + IF(array_contains({hits}, {sql_str(t)}), {m - 1}, 0)"
+    return f"({expr})"
+
+
+def any_hit_sql(hits: str, terms) -> str:
+    """Any of ``terms`` present."""
+    terms = list(terms)
+    if not terms:
         return "false"
-    return f"arrays_overlap({hits}, {int_array(tids)})"
+    return f"arrays_overlap({hits}, {str_array(terms)})"

@@ -40,21 +40,21 @@ def normalized(c, rs: RuleSet) -> Column:
     return _fold(normalize(c), rs)
 
 
-def _kw_tids(rs: RuleSet, d: Dictionary) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {}
+def _kw_terms(rs: RuleSet) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
     for dom, kw in rs.keywords:
-        out.setdefault(dom, []).append(d.tid(kw))
+        out.setdefault(dom, []).append(kw)
     return out
 
 
 def scores_sql(rs: RuleSet, d: Dictionary, th="_th", dh="_dh", both="_both", short="_short") -> str:
     """array<struct<rank, domain, score>> in rule order."""
-    kw = _kw_tids(rs, d)
-    fs = any_hit_sql(both, d.tids(FV.FULLSTACK_TERMS))
+    kw = _kw_terms(rs)
+    fs = any_hit_sql(both, FV.FULLSTACK_TERMS)
     fe, be = FV.COMBO_DOMAINS
     combo = (f"({hit_count_sql(both, kw.get(fe, []))} >= {FV.COMBO_MIN_HITS} AND "
              f"{hit_count_sql(both, kw.get(be, []))} >= {FV.COMBO_MIN_HITS})")
-    penalise = f"({short} AND NOT {any_hit_sql(both, d.tids(FV.STRONG_PHRASES))})"
+    penalise = f"({short} AND NOT {any_hit_sql(both, FV.STRONG_PHRASES)})"
     items = []
     for rank, dom in enumerate(rs.domains, start=1):
         w = float(rs.weights.get(dom, 0))
@@ -64,7 +64,7 @@ def scores_sql(rs: RuleSet, d: Dictionary, th="_th", dh="_dh", both="_both", sho
         if dom == FV.FULLSTACK_DOMAIN:
             score += (f" + CASE WHEN {fs} THEN {FV.FULLSTACK_BONUS} ELSE 0 END"
                       f" + CASE WHEN {combo} THEN {FV.COMBO_BONUS} ELSE 0 END")
-        btids = d.tids(rs.boosts.get(dom, []))
+        btids = rs.boosts.get(dom, [])
         if btids:
             score += (f" + CASE WHEN {any_hit_sql(th, btids)} THEN {FV.BOOST_TITLE} ELSE 0 END"
                       f" + CASE WHEN {any_hit_sql(dh, btids)} THEN {FV.BOOST_DESC} ELSE 0 END")
@@ -78,7 +78,7 @@ def best_sql(d: Dictionary, scores="_scores", th="_th") -> str:
     """D13 + threshold + title overrides: first maximum in rule order."""
     best = (f"aggregate({scores}, named_struct('rank', 0, 'domain', {sql_str(FV.UNCLASSIFIED)}, "
             f"'score', -1.0D), (acc, x) -> IF(x.score > acc.score, x, acc))")
-    overrides = " ".join(f"WHEN array_contains({th}, {d.tid(p)}) THEN {sql_str(lbl)}"
+    overrides = " ".join(f"WHEN array_contains({th}, {sql_str(p)}) THEN {sql_str(lbl)}"
                          for p, lbl in FV.TITLE_OVERRIDES)
     return (f"CASE WHEN {best}.score >= {FV.MIN_SCORE} THEN (CASE {overrides} ELSE {best}.domain END) "
             f"ELSE {sql_str(FV.UNCLASSIFIED)} END")
@@ -119,7 +119,7 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
                              _fold(normalize(desc), rs).alias("_d")), [id_col], d)
     per_dom = ", ".join(
         f"named_struct('domain', {sql_str(dom)}, 'title_hits', {hit_count_sql('_th', t)}, "
-        f"'desc_hits', {hit_count_sql('_dh', t)})" for dom, t in _kw_tids(rs, d).items())
+        f"'desc_hits', {hit_count_sql('_dh', t)})" for dom, t in _kw_terms(rs).items())
     return (staged.select(id_col, F.expr(f"inline(array({per_dom}))"))
             .where((F.col("title_hits") > 0) | (F.col("desc_hits") > 0))
             .select(id_col, "domain", F.col("title_hits").cast("bigint"), F.col("desc_hits").cast("bigint")))
