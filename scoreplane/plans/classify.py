@@ -36,8 +36,12 @@ def _fold(col: Column, rs: RuleSet) -> Column:
 
 
 def normalized(c, rs: RuleSet) -> Column:
-    """Step 1: lower + strip, then the ordered replacements (H1 + H2)."""
-    return _fold(normalize(c), rs)
+    """Step 1: lower + strip, then the ordered replacements (H1 + H2).
+
+    A NULL text is treated as empty.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return _fold(normalize(F.coalesce(c, F.lit(""))), rs)
 
 
 def _kw_terms(rs: RuleSet) -> dict[str, list[str]]:
@@ -99,8 +103,8 @@ def classify(df: DataFrame, rs: RuleSet, title: str | Column = "job_title",
     d = dictionary_for(rs)
     keep = keep if keep is not None else list(df.columns)
     df = spread(df)
-    staged = _hits(df.select(*keep, _fold(normalize(title), rs).alias("_t"),
-                             _fold(normalize(desc), rs).alias("_d")), keep, d)
+    staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
+                             normalized(desc, rs).alias("_d")), keep, d)
     staged = staged.select(*keep, "_th", "_dh", F.array_union("_th", "_dh").alias("_both"),
                            fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
     staged = staged.select(*keep, "_th", F.expr(scores_sql(rs, d)).alias("_scores"))
@@ -115,8 +119,8 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
     """Per (row, domain) the listed-keyword hit counts in title and description."""
     d = dictionary_for(rs)
     df = spread(df)
-    staged = _hits(df.select(id_col, _fold(normalize(title), rs).alias("_t"),
-                             _fold(normalize(desc), rs).alias("_d")), [id_col], d)
+    staged = _hits(df.select(id_col, normalized(title, rs).alias("_t"),
+                             normalized(desc, rs).alias("_d")), [id_col], d)
     per_dom = ", ".join(
         f"named_struct('domain', {sql_str(dom)}, 'title_hits', {hit_count_sql('_th', t)}, "
         f"'desc_hits', {hit_count_sql('_dh', t)})" for dom, t in _kw_terms(rs).items())
@@ -131,8 +135,8 @@ def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_descrip
     d = dictionary_for(rs)
     keep = keep if keep is not None else list(df.columns)
     df = spread(df)
-    staged = _hits(df.select(*keep, _fold(normalize(title), rs).alias("_t"),
-                             _fold(normalize(desc), rs).alias("_d")), keep, d)
+    staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
+                             normalized(desc, rs).alias("_d")), keep, d)
     staged = staged.select(*keep, "_th", "_dh", F.array_union("_th", "_dh").alias("_both"),
                            fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
     best = (f"aggregate({scores_sql(rs, d)}, named_struct('rank', 0, 'domain', CAST(NULL AS STRING), "

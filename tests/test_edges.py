@@ -345,3 +345,21 @@ def test_similarity_literal_and_join_forms_agree(spark):
                       groups=R.group_table(spark)).select("id", F.col("similarity").alias("s2"))
     assert a.join(b, "id").where(F.col("similarity") != F.col("s2")).count() == 0
     assert a.count() == df.count()
+
+
+def test_rules_from_tables_match_sample(spark):
+    rs = R.sample_ruleset()
+    rs2 = R.ruleset_from_tables(R.replacements_table(spark), R.keywords_table(spark, rs))
+    assert rs2.replacements == rs.replacements and rs2.keywords == rs.keywords and rs2.domains == rs.domains
+    df = spark.createDataFrame([(1, "Frontend Developer", "react css html"), (2, None, None),
+                                (3, "ML Engineer", None)], "id long, job_title string, job_description string")
+    a = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"]).collect()}
+    b = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs2, keep=["id"]).collect()}
+    assert a == b
+    assert a[2] == FV.UNCLASSIFIED and a[1] == "Frontend Development" and a[3] == "AI/Machine Learning"
+
+
+def test_rule_table_size_is_checked(spark):
+    big = spark.range(R.MAX_RULE_ROWS + 1).selectExpr("1 AS rank", "'X' AS domain", "CAST(id AS STRING) AS keyword")
+    with pytest.raises(ValueError):
+        R.ruleset_from_tables(R.replacements_table(spark), big)
