@@ -11,6 +11,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreplane.session import checkpoint_dir
+
 
 def delete_ids(table: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Remove rows whose id is in ``ids`` (left anti join)."""
@@ -29,13 +31,18 @@ def expired_rows(table: DataFrame, as_of: str | _dt.date, days: int, ts: str = "
 
 
 def assign_ids(new_rows: DataFrame, existing: DataFrame | None, id_col: str,
-               order: list[str]) -> DataFrame:
+               order: list[str], materialize: bool = True) -> DataFrame:
     """A5: ids after the current maximum, following a total order of the batch.
 
     Distributed: rows are range-sorted, each partition counts its rows, and
     a partition's offset is the sum of the counts before it (a tiny
-    aggregate), so no single task numbers the whole batch.
+    aggregate), so no single task numbers the whole batch. The batch is
+    checkpointed first (unless ``materialize=False`` because the caller
+    already did), so the range sampling and both branches read it once.
     """
+    if materialize:
+        checkpoint_dir(new_rows.sparkSession)
+        new_rows = new_rows.checkpoint(eager=True)
     base = (existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_b"))
             if existing is not None else new_rows.sparkSession.range(1).select(F.lit(0).alias("_b")))
     srt = new_rows.orderBy(*order).withColumn("_pid", F.spark_partition_id())

@@ -86,6 +86,6 @@ def ingest(batch: DataFrame, existing: DataFrame, model_labels: DataFrame, rs: R
         fmt.cast("int").alias("format_score"),
         F.col("bias_score").cast("float").alias("bias_score"),
         "domain", "confidence", local.alias("timestamp"))
-    numbered = assign_ids(rows, existing, "id", [id_col]).drop(id_col)
+    numbered = assign_ids(rows, existing, "id", [id_col], materialize=False).drop(id_col)
     rejected = j.where(F.size("errors") > 0).select(id_col, "errors")
     return IngestResult(numbered, rejected)
