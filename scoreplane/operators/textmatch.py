@@ -10,9 +10,11 @@ no shuffle and no row explosion:
 2. a term that is a single letter run (``python``) occurs exactly when it is
    one of those tokens, so all such terms are found with one more hash
    intersection, in compiled code;
-3. only the remaining terms (``node.js``, ``c++``, ``802.11``, multi-word
-   phrases) are tested one by one: a candidate needs all its runs among the
-   tokens, then a ``contains`` test and the bounded regex confirm it.
+3. the remaining terms (``node.js``, ``c++``, ``802.11``, multi-word
+   phrases) are indexed by their longest run (the anchor) in a literal map;
+   only the terms of anchors present among the tokens are fetched, and each
+   needs all its runs among the tokens, then a ``contains`` test and the
+   bounded regex confirm it. Terms without letters are always tested.
 
 Hits are arrays of term strings. The dictionary is inlined into the plan
 as literals, so its size is checked against ``rules.MAX_RULE_ROWS``.
@@ -64,6 +66,27 @@ class Dictionary:
     def runs(self) -> list[str]:
         return list(dict.fromkeys(r for t in self.terms for r in _RUN.findall(t)))
 
+    def _other_struct(self, t: str) -> str:
+        return (f"named_struct('term', {sql_str(t)}, 'runs', {str_array(_RUN.findall(t))}, "
+                f"'pat', {sql_str(phrase_pattern(t))})")
+
+    def anchored_sql(self) -> tuple[str, str, str]:
+        """(anchor list, anchor -> terms map, letterless terms) as SQL literals."""
+        by_anchor: dict[str, list[str]] = {}
+        free: list[str] = []
+        for t in self.other_terms:
+            runs = _RUN.findall(t)
+            if runs:
+                by_anchor.setdefault(max(runs, key=len), []).append(t)
+            else:
+                free.append(t)
+        empty = "CAST(array() AS array<struct<term:string,runs:array<string>,pat:string>>)"
+        pairs = ", ".join(f"{sql_str(a)}, array({', '.join(self._other_struct(t) for t in ts)})"
+                          for a, ts in by_anchor.items())
+        amap = f"map({pairs})" if pairs else "map()"
+        free_sql = f"array({', '.join(self._other_struct(t) for t in free)})" if free else empty
+        return str_array(list(by_anchor)), amap, free_sql
+
     def others_literal_sql(self) -> str:
         """array<struct<term, anchor, runs, pat>> of the terms that need a text test.
 
@@ -81,7 +104,7 @@ class Dictionary:
 
 def tokens_sql(text: str, d: Dictionary) -> str:
     """Distinct letter-run tokens of ``text`` that occur in some dictionary term."""
-    return f"array_intersect(split({text}, '[^a-z]+'), {str_array(d.runs)})"
+    return f"array_intersect({str_array(d.runs)}, split({text}, '[^a-z]+'))"
 
 
 def term_hits_sql(text: str, toks: str, d: Dictionary) -> str:
@@ -91,12 +114,17 @@ def term_hits_sql(text: str, toks: str, d: Dictionary) -> str:
     earlier projection; it is referenced twice, which keeps Catalyst from
     inlining the tokenisation into the per-term lambda.
     """
-    exact = f"array_intersect({toks}, {str_array(d.exact_terms)})"
+    exact = f"array_intersect({str_array(d.exact_terms)}, {toks})"
     if not d.other_terms:
         return exact
-    others = (f"transform(filter({d.others_literal_sql()}, x -> "
-              f"(x.anchor IS NULL OR array_contains({toks}, x.anchor)) "
-              f"AND forall(x.runs, r -> array_contains({toks}, r)) "
+    anchors, amap, free = d.anchored_sql()
+    if anchors.startswith("CAST"):
+        candidates = free
+    else:
+        candidates = (f"concat(flatten(transform(array_intersect({toks}, {anchors}), "
+                      f"a -> element_at({amap}, a))), {free})")
+    others = (f"transform(filter({candidates}, x -> "
+              f"forall(x.runs, r -> array_contains({toks}, r)) "
               f"AND contains({text}, x.term) AND regexp({text}, x.pat)), x -> x.term)")
     return f"concat({exact}, {others})"
 

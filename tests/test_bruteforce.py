@@ -119,3 +119,33 @@ def test_assign_ids_contiguous_after_max(spark):
     out = assign_ids(new, existing, "id", ["k"]).collect()
     pairs = sorted((r["k"], r["id"]) for r in out)
     assert [p[1] for p in pairs] == list(range(10, 1010))
+
+
+def test_classifier_shared_anchor_dictionary(spark):
+    """Many multi-word and punctuated terms sharing anchors, random texts over the same words."""
+    rng = random.Random(5)
+    vocab = ["data", "cloud", "go", "net", "ops", "ai", "stack", "dev"]
+    terms = set(vocab)
+    for a in vocab:
+        for b in vocab:
+            if a != b and rng.random() < 0.5:
+                terms.add(f"{a} {b}")
+        terms.add(f"{a}.js")
+        terms.add(f"{a}++")
+    terms |= {"802.11", "3d", "a/b", "ci/cd"}
+    doms = list(FV.DOMAIN_WEIGHTS)[:10]
+    kws = [(doms[i % len(doms)], t) for i, t in enumerate(sorted(terms))]
+    kws += kws[:5]  # repeated entries count again
+    rs = R.RuleSet(replacements=[("dev ops", "devops")], keywords=kws)
+    seps = [" ", " ", ".", "++ ", ", ", "/", "\n", "-", "x"]
+    words = vocab + ["802.11", "3d", "a/b", "ci/cd", "the", "js"]
+
+    def txt(n):
+        return "".join(rng.choice(words) + rng.choice(seps) for _ in range(n)).strip()
+
+    rows = [(i, txt(rng.randint(0, 3)), txt(rng.choice([2, 5, 9, 30]))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, job_title string, job_description string")
+    got = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"]).collect()}
+    want = {i: py_classify(t, d, rs) for i, t, d in rows}
+    assert got == want
+    assert len(set(want.values())) > 3
