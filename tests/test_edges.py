@@ -1,11 +1,9 @@
 """Hand-written edge rows with known answers."""
 
 import datetime as dt
-import math
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scoreplane import fixed_values as FV
 from scoreplane import rules as R
