@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreplane import fixed_values as FV
 from scoreplane.functions.scalars import seconds_between, valid_email
 from scoreplane.operators.asof import asof_join
+from scoreplane.session import checkpoint_dir
 
 
 def _taken(batch: DataFrame, accounts: DataFrame, col: str, flag: str) -> DataFrame:
@@ -25,35 +26,70 @@ def existing_conflicts(batch: DataFrame, accounts: DataFrame) -> DataFrame:
     return b.withColumn("conflict", reason).drop("_em", "_un")
 
 
-def _first_in_batch(batch: DataFrame, col: str, order: list[str], flag: str) -> DataFrame:
-    """True when an earlier request of the batch uses the same (non-NULL) key.
-
-    The earliest (order) request per key comes from a grouped ``min`` (partial
-    aggregation, so a hot key is fine) and is joined back.
-    """
-    firsts = (batch.where(F.col(col).isNotNull())
-              .groupBy(F.col(col).alias("_fk")).agg(F.min(F.struct(*order)).alias("_first")))
-    j = batch.join(firsts, F.col(col) == F.col("_fk"), "left")
-    dup = F.col("_first").isNotNull() & (F.struct(*order) != F.col("_first"))
-    return j.withColumn(flag, dup).drop("_fk", "_first")
-
-
-def register_batch(batch: DataFrame, accounts: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Accepted / rejected with the violated key.
+def register_batch(batch: DataFrame, accounts: DataFrame, order: list[str] | None = None,
+                   max_rounds: int | None = None) -> DataFrame:
+    """Accepted / rejected (with the violated key) as if inserted one by one in ``order``.
 
     A request is rejected when its username (checked first, as the unique
     index order reports it) or its non-NULL e-mail is already stored, or is
-    used by an earlier request of the same batch. Later duplicates are
-    rejected even when the earlier request was rejected for the other key.
+    taken by an earlier *accepted* request of the batch. Computed in rounds,
+    each checkpointed to the shared folder:
+
+    1. undecided requests whose username an accepted request holds are
+       rejected ('username'; all repeats of a hot key go in one round);
+    2. an undecided request that is the earliest open one for its username and
+       whose e-mail an accepted request holds is rejected ('email');
+    3. a request that is the earliest undecided one for its username and for
+       its e-mail is accepted (grouped ``min``: partial aggregation).
+
+    The earliest undecided request is always decided, so the loop ends; in
+    practice after a few rounds (chains of requests linked alternately by
+    username and e-mail need more). ``max_rounds`` only guards against
+    runaway loops by raising, it never truncates the result.
     """
     order = order or ["ts", "req_id"]
+    spark = batch.sparkSession
+    checkpoint_dir(spark)
     b = _taken(_taken(batch, accounts, "username", "_un"), accounts, "email", "_em")
-    b = _first_in_batch(_first_in_batch(b, "username", order, "_dun"), "email", order, "_dem")
-    reason = (F.when(F.col("_un") | F.col("_dun"), "username")
-              .when(F.col("_em") | F.col("_dem"), "email"))
-    return (b.withColumn("rejected_for", reason)
-             .withColumn("accepted", F.col("rejected_for").isNull())
-             .drop("_un", "_em", "_dun", "_dem"))
+    # a stored username decides at once (it is reported first); a stored
+    # e-mail only once no earlier same-username request can still be accepted
+    s = (b.withColumn("_o", F.struct(*order))
+          .withColumn("rejected_for", F.when(F.col("_un"), "username"))
+          .withColumn("_state", F.when(F.col("_un"), F.lit("rejected")))
+          .drop("_un"))
+    rounds = 0
+    while True:
+        s = s.checkpoint(eager=True)
+        if s.where(F.col("_state").isNull()).limit(1).count() == 0:
+            break
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"registration batch not decided after {max_rounds} rounds")
+        acc = s.where(F.col("_state") == "accepted")
+        und = s.where(F.col("_state").isNull())
+        acc_u = acc.select(F.col("username").alias("_au")).distinct().withColumn("_hu", F.lit(True))
+        acc_e = (acc.where(F.col("email").isNotNull()).select(F.col("email").alias("_ae")).distinct()
+                 .withColumn("_he", F.lit(True)))
+        min_u = und.groupBy(F.col("username").alias("_ku")).agg(F.min("_o").alias("_mu"))
+        min_e = (und.where(F.col("email").isNotNull()).groupBy(F.col("email").alias("_ke"))
+                 .agg(F.min("_o").alias("_me")))
+        j = (s.join(acc_u, F.col("username") == F.col("_au"), "left")
+              .join(acc_e, F.col("email") == F.col("_ae"), "left")
+              .join(min_u, F.col("username") == F.col("_ku"), "left")
+              .join(min_e, F.col("email") == F.col("_ke"), "left"))
+        undecided = F.col("_state").isNull()
+        first_u = F.col("_o") == F.col("_mu")
+        # an accepted request with the same username is always earlier and wins
+        rej_u = undecided & F.coalesce(F.col("_hu"), F.lit(False))
+        # an e-mail clash is final once no earlier same-username request is open
+        rej_e = undecided & ~rej_u & first_u & (F.col("_em") | F.coalesce(F.col("_he"), F.lit(False)))
+        earliest = (undecided & ~rej_u & ~rej_e & first_u
+                    & (F.col("email").isNull() | (F.col("_o") == F.col("_me"))))
+        s = j.select(
+            *[c for c in s.columns if c not in ("_state", "rejected_for")],
+            F.when(rej_u, "username").when(rej_e, "email").otherwise(F.col("rejected_for")).alias("rejected_for"),
+            F.when(rej_u | rej_e, "rejected").when(earliest, "accepted").otherwise(F.col("_state")).alias("_state"))
+    return s.withColumn("accepted", F.col("_state") == "accepted").drop("_state", "_o", "_em")
 
 
 def new_accounts(decided: DataFrame, accounts: DataFrame) -> DataFrame:

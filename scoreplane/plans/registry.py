@@ -383,6 +383,10 @@ SELECT r.req_id, r.username, r.email, r.ts,
 FROM registrations r""", "accounts", "registrations"))(
     lambda s, d: AC.existing_conflicts(FX.registrations(s, d), FX.accounts(s, d)))
 
+# Oracle for I9: in the registration fixture a username and an e-mail always
+# belong to the same requester, so "later repeat of a key" equals the
+# sequential insert outcome; the general rule (chains across keys) is
+# checked against a sequential brute force in tests/test_bruteforce.py.
 _I9_SQL = """
 SELECT r.req_id, r.username, r.email, r.ts,
        CASE WHEN r.username IN (SELECT username FROM accounts) OR fu.rn > 1 THEN 'username'

@@ -149,3 +149,34 @@ def test_classifier_shared_anchor_dictionary(spark):
     want = {i: py_classify(t, d, rs) for i, t, d in rows}
     assert got == want
     assert len(set(want.values())) > 3
+
+
+def test_registration_batch_equals_sequential_inserts(spark):
+    from scoreplane.operators.accounts import register_batch
+
+    rng = random.Random(9)
+    stored = [(1, "u0", "e0@x.io"), (2, "u1", None)]
+    reqs = []
+    t0 = dt.datetime(2024, 1, 1)
+    for i in range(200):
+        u = f"u{rng.randint(0, 40)}"
+        e = None if rng.random() < 0.2 else f"e{rng.randint(0, 40)}@x.io"
+        reqs.append((i, u, e, t0 + dt.timedelta(seconds=rng.randint(0, 50))))
+    acc = spark.createDataFrame(stored, "id long, username string, email string")
+    batch = spark.createDataFrame(reqs, "req_id long, username string, email string, ts timestamp_ntz")
+    got = {r["req_id"]: (r["accepted"], r["rejected_for"]) for r in register_batch(batch, acc).collect()}
+    names = {u for _, u, _ in stored}
+    mails = {e for _, _, e in stored if e}
+    want = {}
+    for rid, u, e, ts in sorted(reqs, key=lambda r: (r[3], r[0])):
+        if u in names:
+            want[rid] = (False, "username")
+        elif e is not None and e in mails:
+            want[rid] = (False, "email")
+        else:
+            want[rid] = (True, None)
+            names.add(u)
+            if e is not None:
+                mails.add(e)
+    assert got == want
+    assert sum(1 for v in want.values() if v[0]) > 10
