@@ -17,7 +17,7 @@ no shuffle and no row explosion:
    bounded regex confirm it. Terms without letters are always tested.
 
 Hits are arrays of term strings. The dictionary is inlined into the plan
-as literals, so its size is checked against ``rules.MAX_RULE_ROWS``.
+as literals, so its size is checked against ``rules.MAX_INLINE_TERMS``.
 Functions here return Spark SQL expression text over column names.
 """
 
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 from scoreplane.functions.sqltext import sql_str, str_array
 from scoreplane.functions.text import phrase_pattern
-from scoreplane.rules import MAX_RULE_ROWS
+from scoreplane.rules import MAX_INLINE_TERMS
 
 _RUN = re.compile(r"[a-z]+")
 _EXACT = re.compile(r"[a-z]+")
@@ -40,8 +40,9 @@ class Dictionary:
     terms: tuple[str, ...]
 
     def __post_init__(self):
-        if len(self.terms) > MAX_RULE_ROWS:
-            raise ValueError(f"term dictionary has {len(self.terms)} terms (> {MAX_RULE_ROWS})")
+        if len(self.terms) > MAX_INLINE_TERMS:
+            raise ValueError(f"term dictionary has {len(self.terms)} terms (> {MAX_INLINE_TERMS}); "
+                             "too large to inline into a plan")
 
     @staticmethod
     def of(terms) -> "Dictionary":

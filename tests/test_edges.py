@@ -361,3 +361,11 @@ def test_rule_table_size_is_checked(spark):
     big = spark.range(R.MAX_RULE_ROWS + 1).selectExpr("1 AS rank", "'X' AS domain", "CAST(id AS STRING) AS keyword")
     with pytest.raises(ValueError):
         R.ruleset_from_tables(R.replacements_table(spark), big)
+
+
+def test_inline_dictionary_size_is_checked():
+    from scoreplane.operators.textmatch import Dictionary
+
+    Dictionary.of([f"t{i}" for i in range(R.MAX_INLINE_TERMS)])
+    with pytest.raises(ValueError):
+        Dictionary.of([f"t{i}" for i in range(R.MAX_INLINE_TERMS + 1)])
