@@ -74,10 +74,10 @@ VIEWS = {
   FROM documents""",
     "model_labels": f"""
   SELECT doc_id AS id,
-         CASE WHEN doc_id % 15 = 0 THEN {q(FX.INVALID_LABEL)}
-              WHEN doc_id % 3 = 1 THEN {pick(FX.TITLE_LABELS, f'doc_id % {len(R.SAMPLE_TITLES)}')}
+         CASE WHEN toxic = 1 THEN {q(FX.INVALID_LABEL)}
+              WHEN quality = 1 THEN {pick(FX.TITLE_LABELS, f'doc_id % {len(R.SAMPLE_TITLES)}')}
               ELSE {pick(FV.DOMAIN_LABELS, 'doc_id % 33')} END AS label
-  FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 15 = 0""",
+  FROM labels""",
     "code_events": """
   SELECT event_id, user_id,
          CASE WHEN event_type = 'signup' THEN 'issue' ELSE 'attempt' END AS kind,

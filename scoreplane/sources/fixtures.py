@@ -127,12 +127,19 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    """Model answers for the documents the driver's ``labels`` table covers.
+
+    Documents without a ``labels`` row have no model answer (the normal case
+    in the original ingest path). A toxic document gets the error string the
+    model call returns instead of a label; a good-quality one the label its
+    title intends; the rest some domain label.
+    """
+    lab = read_table(spark, sf_dir, "labels")
     did = F.col("doc_id")
-    label = (F.when(did % 15 == 0, F.lit(INVALID_LABEL))
-             .when(did % 3 == 1, _pick(TITLE_LABELS, did % len(R.SAMPLE_TITLES)))
+    label = (F.when(F.col("toxic") == 1, F.lit(INVALID_LABEL))
+             .when(F.col("quality") == 1, _pick(TITLE_LABELS, did % len(R.SAMPLE_TITLES)))
              .otherwise(_pick(FV.DOMAIN_LABELS, did % 33)))
-    return d.where((did % 3 != 0) | (did % 15 == 0)).select(did.alias("id"), label.alias("label"))
+    return lab.select(did.alias("id"), label.alias("label"))
 
 
 def code_events(spark: SparkSession, sf_dir: str) -> DataFrame:
