@@ -8,6 +8,22 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Execution settings for data-sized inputs. The planner never broadcasts a
+# side on its static size estimate (file sizes, which say nothing about a
+# filtered, joined or decompressed input); AQE turns a shuffle join into a
+# broadcast join only after the small side's shuffle has been written and
+# its measured size is under the adaptive threshold. Explicit broadcasts are
+# kept for rule tables whose row count is checked (``rules.MAX_RULE_ROWS``)
+# and for one-row totals.
+SCALE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
 def build_session(master: str | None = None, app: str = "scoreplane",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Session with AQE on, UTC session zone and the UI off.
@@ -22,12 +38,8 @@ def build_session(master: str | None = None, app: str = "scoreplane",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # broadcast joins are chosen explicitly behind size checks
-        "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        **SCALE_CONF,
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
