@@ -93,15 +93,16 @@ def register_batch(batch: DataFrame, accounts: DataFrame, order: list[str] | Non
 
 
 def new_accounts(decided: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Append accepted requests with ids after the current maximum.
+    """Append accepted requests (``decided`` as ``register_batch`` returns it) with ids after the max.
 
-    Ids follow (ts, req_id) through a global ``row_number``, which Spark runs
-    on one partition; use ``tables.assign_ids`` for large batches.
+    Ids follow (ts, req_id); ``tables.assign_ids`` numbers them without a
+    single-partition window.
     """
     from scoreplane.operators.tables import assign_ids
 
     acc = decided.where("accepted").select("username", "email", "ts", "req_id")
-    return assign_ids(acc, accounts, "id", ["ts", "req_id"]).select("id", "username", "email")
+    # ``decided`` comes from the checkpointed final round of register_batch
+    return assign_ids(acc, accounts, "id", ["ts", "req_id"], materialize=False).select("id", "username", "email")
 
 
 def resolve_identity(requests: DataFrame, accounts: DataFrame, ident: str = "identifier") -> DataFrame:

@@ -121,6 +121,16 @@ def test_assign_ids_contiguous_after_max(spark):
     assert [p[1] for p in pairs] == list(range(10, 1010))
 
 
+def test_assign_ids_hot_leading_key_checkpointed_input(spark):
+    """A third of the rows share the leading order column; ids follow (k, j) exactly."""
+    rows = [(0 if i % 3 == 0 else i, i) for i in range(3000)]
+    new = spark.createDataFrame(rows, "k long, j long").repartition(11).checkpoint(eager=True)
+    out = assign_ids(new, None, "id", ["k", "j"], materialize=False).collect()
+    got = sorted((r["id"], r["k"], r["j"]) for r in out)
+    want = [(n + 1, k, j) for n, (k, j) in enumerate(sorted(rows))]
+    assert got == want
+
+
 def test_classifier_shared_anchor_dictionary(spark):
     """Many multi-word and punctuated terms sharing anchors, random texts over the same words."""
     rng = random.Random(5)
