@@ -49,9 +49,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
-def run_foreach_batch(stream: DataFrame, name: str, fn) -> None:
-    spark = stream.sparkSession
-    base = scratch_path(spark, f"stream-{name}")
+def run_foreach_batch(stream: DataFrame, base: str, fn) -> None:
     q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -82,46 +80,56 @@ def first_prompts(calls: DataFrame, ttl_hours: int = FV.CACHE_TTL_HOURS) -> Data
 
 
 # S3 (and exact S2) ---------------------------------------------------------
-def fold_latest_stream(rows: DataFrame, key: str, order: list[str], cols: list[str], name: str) -> str:
+def fold_latest_stream(rows: DataFrame, key: str, order: list[str], cols: list[str], name: str,
+                       base: str | None = None) -> str:
     """Keep the latest row per key over a stream, one published version per micro-batch.
 
-    Each micro-batch is folded into the previous version with a grouped
+    Micro-batch ``n`` folds its rows into version ``n - 1`` with a grouped
     ``max_by`` (partial aggregation, so a hot key is one row per task) and
-    written as a new Parquet folder; the text file ``current`` points at the
-    newest version. A restarted query resumes from its checkpoint and the
-    last complete version. Returns the base folder.
+    writes version ``n`` as a new Parquet folder. Batch ids are consecutive
+    and a batch is committed only after its fold returns, so version
+    ``n - 1`` always exists when batch ``n`` runs; a retried batch rewrites
+    its own version from the same inputs. After each version a one-row
+    pointer (batch id, path) is appended, so readers find the newest
+    complete version without a file that is ever rewritten. Pass the same
+    ``base`` to resume a stopped query from its checkpoint. Returns ``base``.
     """
     spark = rows.sparkSession
-    base = scratch_path(spark, f"state-{name}")
+    base = base or scratch_path(spark, f"state-{name}")
     keep = [key] + [c for c in order + cols if c != key]
     keep = list(dict.fromkeys(keep))
 
     def fold(batch: DataFrame, epoch: int) -> None:
         new = batch.select(*keep)
-        try:
-            prev_path = spark.read.text(f"{base}/current").first()[0]
-            new = spark.read.schema(new.schema).parquet(prev_path).unionByName(new)
-        except Exception:  # noqa: BLE001 - no version yet
-            pass
+        if epoch > 0:
+            new = spark.read.schema(new.schema).parquet(_version(base, epoch - 1)).unionByName(new)
         payload = F.struct(*[F.col(c) for c in keep if c != key])
         merged = (new.groupBy(key).agg(F.max_by(payload, F.struct(*order)).alias("_l"))
                   .select(key, *[F.col("_l")[c].alias(c) for c in keep if c != key]))
-        out = f"{base}/v{epoch}"
+        out = _version(base, epoch)
         merged.write.mode("overwrite").parquet(out)
-        spark.createDataFrame([(out,)], "path string").coalesce(1).write.mode("overwrite").text(f"{base}/current")
+        (spark.createDataFrame([(epoch, out)], "epoch long, path string")
+         .write.mode("append").parquet(f"{base}/versions"))
 
-    run_foreach_batch(rows, name, fold)
+    run_foreach_batch(rows, base, fold)
     return base
 
 
+def _version(base: str, epoch: int) -> str:
+    return f"{base}/v{epoch:012d}"
+
+
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{base}/current").first()[0])
+    """The newest complete version of a folded state."""
+    newest = (spark.read.schema("epoch long, path string").parquet(f"{base}/versions")
+              .agg(F.max_by("path", "epoch")).first()[0])
+    return spark.read.parquet(newest)
 
 
-def failure_state_stream(calls: DataFrame, name: str = "failures") -> str:
+def failure_state_stream(calls: DataFrame, name: str = "failures", base: str | None = None) -> str:
     """S3: running failure state per key (latest state-changing call; I7 + I4)."""
     ev = CG.failure_events(calls)
-    return fold_latest_stream(ev, "api_key", ["ts", "call_id"], ["failed", "reason"], name)
+    return fold_latest_stream(ev, "api_key", ["ts", "call_id"], ["failed", "reason"], name, base)
 
 
 def read_failure_state(spark: SparkSession, base: str) -> DataFrame:
@@ -129,10 +137,10 @@ def read_failure_state(spark: SparkSession, base: str) -> DataFrame:
             .select("api_key", F.col("ts").alias("fail_time"), "reason"))
 
 
-def cache_state_stream(calls: DataFrame, name: str = "cache") -> str:
+def cache_state_stream(calls: DataFrame, name: str = "cache", base: str | None = None) -> str:
     """S2 exact: response cache upserted per micro-batch (I5, last write wins)."""
     ok = CG.with_hash(CG.successes(calls))
-    return fold_latest_stream(ok, "prompt_hash", ["ts", "call_id"], ["response"], name)
+    return fold_latest_stream(ok, "prompt_hash", ["ts", "call_id"], ["response"], name, base)
 
 
 def read_cache_state(spark: SparkSession, base: str) -> DataFrame:

@@ -65,3 +65,23 @@ def test_interval_join_equals_batch(spark, split_events):
                   & (a.ts <= i.issue_ts + F.expr("INTERVAL 21600 SECONDS")))
     cols = ["event_id", "issue_ts"]
     assert _as_set(got, cols) == _as_set(want, cols)
+
+
+def test_failure_fold_resumes_after_restart(spark, split_events, tmp_path):
+    """A stopped fold restarted on the same folder continues from its last version."""
+    src = tmp_path / "events.parquet"
+    src.mkdir()
+    for i in range(2):
+        os.link(os.path.join(split_events, f"{i:02d}.parquet"), src / f"{i:02d}.parquet")
+    base = str(tmp_path / "state")
+    s1 = FX.call_log_from(SS.file_stream(spark, str(tmp_path), "events", max_files=1))
+    SS.failure_state_stream(s1, base=base)
+    for i in range(2, 4):
+        os.link(os.path.join(split_events, f"{i:02d}.parquet"), src / f"{i:02d}.parquet")
+    s2 = FX.call_log_from(SS.file_stream(spark, str(tmp_path), "events", max_files=1))
+    got = SS.read_failure_state(spark, SS.failure_state_stream(s2, base=base))
+    want = CG.failure_state(FX.call_log(spark, SF))
+    cols = ["api_key", "fail_time", "reason"]
+    assert _as_set(got, cols) == _as_set(want, cols)
+    versions = spark.read.parquet(os.path.join(base, "versions")).orderBy("epoch").collect()
+    assert [r["epoch"] for r in versions] == [0, 1, 2, 3]
