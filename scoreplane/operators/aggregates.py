@@ -104,9 +104,12 @@ def group_frequency(df: DataFrame, key: str = "domain", min_count: int = 1) -> D
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("frequency"),
                             round_avg("ats_score", 2).alias("avg_performance"),
                             round_avg("bias_score", 3).alias("avg_bias"))
-    total = df.agg(F.count(F.lit(1)).alias("_total")) if min_count > 1 else None
-    g = having_count(g, "frequency", min_count)
-    g = g.crossJoin(F.broadcast(total)) if total is not None else _with_total(g, "frequency")
+    # The total is count(*) of the input (the SQL's scalar subquery), not the
+    # sum of the group counts: this aggregation carries averages the total
+    # does not need, so the two branches would not share an exchange, while
+    # a bare count(*) reads no column data (row-group metadata only).
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    g = having_count(g, "frequency", min_count).crossJoin(F.broadcast(total))
     return (g
             .select(key, "frequency", "avg_performance", "avg_bias",
                     percent_of("frequency", "_total").alias("percentage"))
