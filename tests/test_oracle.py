@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer events documents pages conversations".split()
+TABLES = "customer events documents labels pages conversations".split()
 
 
 def _norm(v):
