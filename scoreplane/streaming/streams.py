@@ -49,12 +49,6 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
-def run_foreach_batch(stream: DataFrame, base: str, fn) -> None:
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
 # S1 -----------------------------------------------------------------------
 def daily_usage(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Successful calls per key and UTC day; a day is emitted once the watermark passes it."""
@@ -80,50 +74,43 @@ def first_prompts(calls: DataFrame, ttl_hours: int = FV.CACHE_TTL_HOURS) -> Data
 
 
 # S3 (and exact S2) ---------------------------------------------------------
+def _latest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+    """Latest row per key by ``order`` (grouped max_by: partial aggregation, a hot key is one row per task)."""
+    payload = F.struct(*[F.col(c) for c in cols])
+    return (df.groupBy(key).agg(F.max_by(payload, F.struct(*order)).alias("_l"))
+              .select(key, *[F.col("_l")[c].alias(c) for c in cols]))
+
+
 def fold_latest_stream(rows: DataFrame, key: str, order: list[str], cols: list[str], name: str,
                        base: str | None = None) -> str:
-    """Keep the latest row per key over a stream, one published version per micro-batch.
-
-    Micro-batch ``n`` folds its rows into version ``n - 1`` with a grouped
-    ``max_by`` (partial aggregation, so a hot key is one row per task) and
-    writes version ``n`` as a new Parquet folder. Batch ids are consecutive
-    and a batch is committed only after its fold returns, so version
-    ``n - 1`` always exists when batch ``n`` runs; a retried batch rewrites
-    its own version from the same inputs. After each version a one-row
-    pointer (batch id, path) is appended, so readers find the newest
-    complete version without a file that is ever rewritten. Pass the same
-    ``base`` to resume a stopped query from its checkpoint. Returns ``base``.
+    """Keep the latest row per key over a stream; returns the state folder ``base``.
+
+    A streaming aggregation (``groupBy(key).agg(max_by(..))`` in update
+    mode) holds the per-key state in Spark's state store, checkpointed below
+    ``base``, so each micro-batch touches only the keys it carries. Every
+    micro-batch appends the changed keys' new rows to ``base/changes``, in a
+    folder of its own batch id that a retried batch overwrites, so a batch
+    is never applied twice. ``read_latest`` compacts the change log with the
+    same grouped ``max_by``. Pass the same ``base`` to resume a stopped query.
     """
     spark = rows.sparkSession
     base = base or scratch_path(spark, f"state-{name}")
-    keep = [key] + [c for c in order + cols if c != key]
-    keep = list(dict.fromkeys(keep))
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new = batch.select(*keep)
-        if epoch > 0:
-            new = spark.read.schema(new.schema).parquet(_version(base, epoch - 1)).unionByName(new)
-        payload = F.struct(*[F.col(c) for c in keep if c != key])
-        merged = (new.groupBy(key).agg(F.max_by(payload, F.struct(*order)).alias("_l"))
-                  .select(key, *[F.col("_l")[c].alias(c) for c in keep if c != key]))
-        out = _version(base, epoch)
-        merged.write.mode("overwrite").parquet(out)
-        (spark.createDataFrame([(epoch, out)], "epoch long, path string")
-         .write.mode("append").parquet(f"{base}/versions"))
-
-    run_foreach_batch(rows, base, fold)
-    return base
+    vals = list(dict.fromkeys(c for c in order + cols if c != key))
+    changed = _latest(rows.select(key, *vals), key, order, vals)
 
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/changes/batch={epoch}")
 
-def _version(base: str, epoch: int) -> str:
-    return f"{base}/v{epoch:012d}"
+    q = (changed.writeStream.outputMode("update").foreachBatch(publish)
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return base
 
 
-def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest complete version of a folded state."""
-    newest = (spark.read.schema("epoch long, path string").parquet(f"{base}/versions")
-              .agg(F.max_by("path", "epoch")).first()[0])
-    return spark.read.parquet(newest)
+def read_latest(spark: SparkSession, base: str, key: str, order: list[str]) -> DataFrame:
+    """Current state of a fold: latest change per key over all published batches."""
+    ch = spark.read.parquet(f"{base}/changes").drop("batch")
+    return _latest(ch, key, order, [c for c in ch.columns if c != key])
 
 
 def failure_state_stream(calls: DataFrame, name: str = "failures", base: str | None = None) -> str:
@@ -133,7 +120,7 @@ def failure_state_stream(calls: DataFrame, name: str = "failures", base: str | N
 
 
 def read_failure_state(spark: SparkSession, base: str) -> DataFrame:
-    return (read_latest(spark, base).where("failed")
+    return (read_latest(spark, base, "api_key", ["ts", "call_id"]).where("failed")
             .select("api_key", F.col("ts").alias("fail_time"), "reason"))
 
 
@@ -144,7 +131,8 @@ def cache_state_stream(calls: DataFrame, name: str = "cache", base: str | None =
 
 
 def read_cache_state(spark: SparkSession, base: str) -> DataFrame:
-    return read_latest(spark, base).select("prompt_hash", "response", F.col("ts").alias("timestamp"))
+    return (read_latest(spark, base, "prompt_hash", ["ts", "call_id"])
+            .select("prompt_hash", "response", F.col("ts").alias("timestamp")))
 
 
 # S4 -----------------------------------------------------------------------
