@@ -1,8 +1,8 @@
 """Label-to-label similarity in 0..1 (C4 pair lookup, C5 alias, H24 groups).
 
 The rule tables are small and bounded (checked), so each lookup is a
-broadcast hash join: the pair table, however large, streams through
-without a shuffle.
+broadcast hash join and the labelled table streams through without a
+shuffle; a caller's table above the bound is joined by shuffle instead.
 """
 
 from __future__ import annotations
@@ -16,8 +16,14 @@ from scoreplane.functions.text import normalize
 
 
 def _bounded(df: DataFrame, name: str) -> DataFrame:
+    """Broadcast a caller's rule table only when its row count is within the bound.
+
+    A larger table is returned as is: the lookup becomes a shuffle join (AQE
+    may still broadcast it after measuring it, and splits skewed labels), so
+    the answer is the same either way.
+    """
     if df.limit(R.MAX_RULE_ROWS + 1).count() > R.MAX_RULE_ROWS:
-        raise ValueError(f"rule table {name} exceeds {R.MAX_RULE_ROWS} rows; not broadcast")
+        return df
     return F.broadcast(df)
 
 
@@ -97,7 +103,8 @@ def similarity(df: DataFrame, a: str, b: str, out: str = "similarity",
     """Append ``out`` = similarity of labels in columns ``a`` and ``b``.
 
     With no rule tables given the fixed tables are inlined (``similarity_fixed``);
-    caller tables are size-checked and joined by broadcast.
+    caller tables are size-checked and joined by broadcast, or by shuffle
+    above ``rules.MAX_RULE_ROWS``.
     """
     if aliases is None and pairs is None and groups is None:
         return similarity_fixed(df, a, b, out)

@@ -345,6 +345,22 @@ def test_similarity_literal_and_join_forms_agree(spark):
     assert a.count() == df.count()
 
 
+def test_similarity_oversized_pair_table_joins_by_shuffle(spark):
+    """A pair table above the broadcast bound is joined by shuffle with the same answers."""
+    from scoreplane.sources import fixtures as FX
+
+    df = FX.label_pairs(spark, "/root/testdata/sf0.001")
+    pairs = R.pair_table(spark)
+    filler = spark.range(R.MAX_RULE_ROWS + 1).selectExpr(
+        "concat('zz', CAST(id AS STRING)) AS a", "'zz' AS b", "CAST(0.9 AS DOUBLE) AS similarity")
+    big = pairs.unionByName(filler.select(*[F.col(c).cast(pairs.schema[c].dataType) for c in pairs.columns]))
+    a = SM.similarity(df, "resume_domain", "job_domain").select("id", "similarity")
+    out = SM.similarity(df, "resume_domain", "job_domain", pairs=big)
+    b = out.select("id", F.col("similarity").alias("s2"))
+    assert a.join(b, "id").where(F.col("similarity") != F.col("s2")).count() == 0
+    assert b.count() == df.count()
+
+
 def test_rules_from_tables_match_sample(spark):
     rs = R.sample_ruleset()
     rs2 = R.ruleset_from_tables(R.replacements_table(spark), R.keywords_table(spark, rs))
