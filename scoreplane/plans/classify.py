@@ -8,24 +8,31 @@ is classified in one scan with no exchange.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreplane import fixed_values as FV
 from scoreplane.functions.sqltext import sql_str
-from scoreplane.functions.text import fewer_words_than, normalize
+from scoreplane.functions.text import fewer_words_than, normalize, phrase_pattern
 from scoreplane.operators.textmatch import (Dictionary, any_hit_sql, hit_count_sql,
                                             term_hits_sql, tokens_sql)
-from scoreplane.rules import RuleSet
-from scoreplane.session import spread
+from scoreplane.rules import MAX_INLINE_TERMS, RuleSet
+from scoreplane.session import checkpoint_dir, spread
 
 
-def dictionary_for(rs: RuleSet) -> Dictionary:
+def dictionary_terms(rs: RuleSet) -> list[str]:
+    """Every term the rules look for: keywords, boosts and the fixed phrases."""
     terms = [k for _, k in rs.keywords]
     for ts in rs.boosts.values():
         terms += ts
     terms += FV.FULLSTACK_TERMS + FV.STRONG_PHRASES + [p for p, _ in FV.TITLE_OVERRIDES]
-    return Dictionary.of(terms)
+    return list(dict.fromkeys(terms))
+
+
+def dictionary_for(rs: RuleSet) -> Dictionary:
+    return Dictionary.of(dictionary_terms(rs))
 
 
 def _fold(col: Column, rs: RuleSet) -> Column:
@@ -51,19 +58,37 @@ def _kw_terms(rs: RuleSet) -> dict[str, list[str]]:
     return out
 
 
-def scores_sql(rs: RuleSet, d: Dictionary, th="_th", dh="_dh", both="_both", short="_short") -> str:
-    """array<struct<rank, domain, score>> in rule order."""
+def _ranked_count_sql(hits: str, rank: int) -> str:
+    """Keyword hits of the domain at ``rank`` in an array<struct<term, ranks>> (repeats count again)."""
+    return f"aggregate({hits}, 0, (acc, x) -> acc + size(filter(x.ranks, k -> k = {rank})))"
+
+
+def scores_sql(rs: RuleSet, d: Dictionary | None, th="_th", dh="_dh", both="_both", short="_short",
+               ranked: bool = False) -> str:
+    """array<struct<rank, domain, score>> in rule order.
+
+    ``th``/``dh``/``both`` are arrays of hit terms. With ``ranked`` the
+    per-domain keyword counts come from columns ``th + 'r'`` etc., arrays of
+    struct<term, ranks> (the join form); otherwise from the keyword lists
+    inlined into the expression.
+    """
     kw = _kw_terms(rs)
+    rank_of = {dom: i for i, dom in enumerate(rs.domains, start=1)}
+
+    def count(hits: str, dom: str) -> str:
+        if ranked:
+            return _ranked_count_sql(hits + "r", rank_of[dom]) if dom in rank_of else "0"
+        return hit_count_sql(hits, kw.get(dom, []))
+
     fs = any_hit_sql(both, FV.FULLSTACK_TERMS)
     fe, be = FV.COMBO_DOMAINS
-    combo = (f"({hit_count_sql(both, kw.get(fe, []))} >= {FV.COMBO_MIN_HITS} AND "
-             f"{hit_count_sql(both, kw.get(be, []))} >= {FV.COMBO_MIN_HITS})")
+    combo = (f"({count(both, fe)} >= {FV.COMBO_MIN_HITS} AND "
+             f"{count(both, be)} >= {FV.COMBO_MIN_HITS})")
     penalise = f"({short} AND NOT {any_hit_sql(both, FV.STRONG_PHRASES)})"
     items = []
     for rank, dom in enumerate(rs.domains, start=1):
         w = float(rs.weights.get(dom, 0))
-        tids = kw.get(dom, [])
-        t_hits, d_hits = hit_count_sql(th, tids), hit_count_sql(dh, tids)
+        t_hits, d_hits = count(th, dom), count(dh, dom)
         score = f"({t_hits} * {FV.TITLE_FACTOR} + {d_hits} * {FV.DESC_FACTOR}) * {w}"
         if dom == FV.FULLSTACK_DOMAIN:
             score += (f" + CASE WHEN {fs} THEN {FV.FULLSTACK_BONUS} ELSE 0 END"
@@ -98,22 +123,120 @@ def _hits(staged: DataFrame, keep: list[str], d: Dictionary) -> DataFrame:
 
 def classify(df: DataFrame, rs: RuleSet, title: str | Column = "job_title",
              desc: str | Column = "job_description", out: str = "kw_domain",
-             keep: list[str] | None = None, with_score: bool = False) -> DataFrame:
-    """Append the keyword label of each row."""
-    d = dictionary_for(rs)
+             keep: list[str] | None = None, with_score: bool = False,
+             method: str = "auto") -> DataFrame:
+    """Append the keyword label of each row.
+
+    ``method``: ``inline`` (the dictionary as plan literals, map-only),
+    ``join`` (the dictionary as a DataFrame joined on token anchors), or
+    ``auto``: inline up to ``rules.MAX_INLINE_TERMS`` terms, join above.
+    Both give the same labels.
+    """
     keep = keep if keep is not None else list(df.columns)
+    if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
+        return _classify_join(df, rs, title, desc, out, keep, with_score)
+    d = dictionary_for(rs)
     df = spread(df)
     staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
                              normalized(desc, rs).alias("_d")), keep, d)
     staged = staged.select(*keep, "_th", "_dh", F.array_union("_th", "_dh").alias("_both"),
                            fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
     staged = staged.select(*keep, "_th", F.expr(scores_sql(rs, d)).alias("_scores"))
-    cols = [*keep, F.expr(best_sql(d)).alias(out)]
+    return _label(staged, keep, out, with_score)
+
+
+def _label(staged: DataFrame, keep: list[str], out: str, with_score: bool) -> DataFrame:
+    cols = [*keep, F.expr(best_sql(None)).alias(out)]
     if with_score:
         cols.append(F.expr("array_max(transform(_scores, s -> s.score))").alias(out + "_score"))
     return staged.select(*cols)
 
 
+_RUN = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]+")
+_HIT = "struct<term:string,ranks:array<int>>"
+
+
+def term_table(spark, rs: RuleSet) -> tuple[DataFrame, list[tuple[str, list[int]]]]:
+    """The dictionary as rows (term, anchor, exact, pat, ranks) plus the letterless terms.
+
+    ``anchor`` is the term's longest letter run: a term can only occur in a
+    text that has its anchor as a token. ``ranks`` lists the rule rank of
+    every domain that names the term as a keyword (once per listing).
+    Letterless terms (``802.11``) have no anchor and are tested on every
+    text, so their number is bounded by ``rules.MAX_INLINE_TERMS``.
+    """
+    rank_of = {dom: i for i, dom in enumerate(rs.domains, start=1)}
+    ranks: dict[str, list[int]] = {}
+    for dom, kw in rs.keywords:
+        ranks.setdefault(kw, []).append(rank_of[dom])
+    rows, free = [], []
+    for t in dictionary_terms(rs):
+        runs = _RUN.findall(t)
+        if runs:
+            rows.append((t, max(runs, key=len), bool(_WORD.fullmatch(t)), phrase_pattern(t), ranks.get(t, [])))
+        else:
+            free.append((t, ranks.get(t, [])))
+    if len(free) > MAX_INLINE_TERMS:
+        raise ValueError(f"{len(free)} terms without letters (> {MAX_INLINE_TERMS}); too many to test per text")
+    table = spark.createDataFrame(rows, "term string, anchor string, exact boolean, pat string, ranks array<int>")
+    return table, free
+
+
+def _free_hits_sql(text: str, free: list[tuple[str, list[int]]]) -> str:
+    if not free:
+        return f"CAST(array() AS array<{_HIT}>)"
+    lit = ", ".join(f"named_struct('term', {sql_str(t)}, 'pat', {sql_str(phrase_pattern(t))}, "
+                    f"'ranks', CAST(array({', '.join(map(str, r))}) AS array<int>))" for t, r in free)
+    return (f"transform(filter(array({lit}), f -> contains({text}, f.term) AND regexp({text}, f.pat)), "
+            f"f -> named_struct('term', f.term, 'ranks', f.ranks))")
+
+
+def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list[str],
+                   with_score: bool) -> DataFrame:
+    """J1 for dictionaries too large to inline: the dictionary is a DataFrame.
+
+    Each text's distinct letter-run tokens are joined with the dictionary on
+    the term's anchor (a shuffle on the token; AQE splits a hot token), the
+    candidates are gathered per text, joined back to the text by a row id,
+    and confirmed with the same boundary test as the inline form (a
+    single-run term is a hit when it is a token). Per-domain counts come
+    from each hit's domain ranks, so no keyword list is inlined. The texts
+    get their row id in a checkpoint on the shared folder, so both sides of
+    the join agree on it.
+    """
+    spark = df.sparkSession
+    terms, free = term_table(spark, rs)
+    checkpoint_dir(spark)
+    x = (df.select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"))
+           .withColumn("_rid", F.monotonically_increasing_id())
+           .checkpoint(eager=True))
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.array_distinct(F.split("_t", "[^a-z]+")).alias("toks")),
+        F.struct(F.lit(1).alias("side"), F.array_distinct(F.split("_d", "[^a-z]+")).alias("toks")))
+    toks = (x.select("_rid", F.explode(sides).alias("_s"))
+             .select("_rid", F.col("_s.side").alias("side"), F.explode("_s.toks").alias("tok")))
+    cand = (toks.join(terms, F.col("tok") == F.col("anchor"))
+                .groupBy("_rid").agg(F.collect_list(F.struct("side", "term", "exact", "pat", "ranks")).alias("_c")))
+    j = x.join(cand, "_rid", "left")
+    empty = "CAST(array() AS array<struct<side:int,term:string,exact:boolean,pat:string,ranks:array<int>>>)"
+
+    def confirmed(side: int, text: str) -> str:
+        found = (f"transform(filter(coalesce(_c, {empty}), c -> c.side = {side} AND "
+                 f"(c.exact OR (contains({text}, c.term) AND regexp({text}, c.pat)))), "
+                 f"c -> named_struct('term', c.term, 'ranks', c.ranks))")
+        return f"concat({found}, {_free_hits_sql(text, free)})"
+
+    staged = j.select(*keep, "_d", F.expr(confirmed(0, "_t")).alias("_thr"), F.expr(confirmed(1, "_d")).alias("_dhr"))
+    staged = staged.select(
+        *keep, "_thr", "_dhr", F.array_distinct(F.concat("_thr", "_dhr")).alias("_bothr"),
+        F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"),
+        fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
+    staged = staged.withColumn("_both", F.array_union("_th", "_dh"))
+    staged = staged.select(*keep, "_th", F.expr(scores_sql(rs, None, ranked=True)).alias("_scores"))
+    return _label(staged, keep, out, with_score)
+
+
 def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_title",
                  desc="job_description") -> DataFrame:
     """Per (row, domain) the listed-keyword hit counts in title and description."""

@@ -4,6 +4,8 @@ import datetime as dt
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scoreplane import fixed_values as FV
@@ -66,7 +68,8 @@ def random_text(rng, n):
     return "".join(rng.choice(WORDS) + rng.choice(seps) for _ in range(n)).strip()
 
 
-def test_classifier_matches_python_restatement(spark):
+@pytest.mark.parametrize("method", ["inline", "join"])
+def test_classifier_matches_python_restatement(spark, method):
     rng = random.Random(7)
     rs = R.sample_ruleset()
     rows = []
@@ -75,7 +78,7 @@ def test_classifier_matches_python_restatement(spark):
         desc = random_text(rng, rng.choice([0, 3, 7, 8, 12, 40]))
         rows.append((i, title, "  " + desc.upper() if i % 7 == 0 else desc))
     df = spark.createDataFrame(rows, "id long, job_title string, job_description string")
-    got = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"]).collect()}
+    got = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"], method=method).collect()}
     want = {i: py_classify(t, d, rs) for i, t, d in rows}
     assert got == want
     assert len(set(want.values())) > 5
@@ -131,7 +134,8 @@ def test_assign_ids_hot_leading_key_checkpointed_input(spark):
     assert got == want
 
 
-def test_classifier_shared_anchor_dictionary(spark):
+@pytest.mark.parametrize("method", ["inline", "join"])
+def test_classifier_shared_anchor_dictionary(spark, method):
     """Many multi-word and punctuated terms sharing anchors, random texts over the same words."""
     rng = random.Random(5)
     vocab = ["data", "cloud", "go", "net", "ops", "ai", "stack", "dev"]
@@ -155,12 +159,25 @@ def test_classifier_shared_anchor_dictionary(spark):
 
     rows = [(i, txt(rng.randint(0, 3)), txt(rng.choice([2, 5, 9, 30]))) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, job_title string, job_description string")
-    got = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"]).collect()}
+    got = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"], method=method).collect()}
     want = {i: py_classify(t, d, rs) for i, t, d in rows}
     assert got == want
     assert len(set(want.values())) > 3
 
 
+def test_classifier_switches_to_join_above_inline_bound(spark, monkeypatch):
+    """A dictionary above the inline bound is classified by the join form, same labels."""
+    rs = R.sample_ruleset()
+    rows = [(i, t, d) for i, (t, d) in enumerate(
+        [(x, "python django sql developer with react and css") for x in R.SAMPLE_TITLES])]
+    df = spark.createDataFrame(rows, "id long, job_title string, job_description string")
+    want = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"]).collect()}
+    monkeypatch.setattr(CL, "MAX_INLINE_TERMS", 10)
+    q = CL.classify(df, rs, keep=["id"])
+    assert "Join" in q._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["kw_domain"] for r in q.collect()} == want
+
+
 def test_registration_batch_equals_sequential_inserts(spark):
     from scoreplane.operators.accounts import register_batch
 
