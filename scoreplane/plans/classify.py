@@ -205,6 +205,18 @@ def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list
     get their row id in a checkpoint on the shared folder, so both sides of
     the join agree on it.
     """
+    staged = _join_hits(df, rs, title, desc, keep)
+    staged = staged.select(
+        *keep, "_thr", "_dhr", F.array_distinct(F.concat("_thr", "_dhr")).alias("_bothr"),
+        F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"),
+        fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
+    staged = staged.withColumn("_both", F.array_union("_th", "_dh"))
+    staged = staged.select(*keep, "_th", F.expr(scores_sql(rs, None, ranked=True)).alias("_scores"))
+    return _label(staged, keep, out, with_score)
+
+
+def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str]) -> DataFrame:
+    """keep + _d + _thr/_dhr (array<struct<term, ranks>> of confirmed hits) by the anchor join."""
     spark = df.sparkSession
     terms, free = term_table(spark, rs)
     checkpoint_dir(spark)
@@ -227,19 +239,24 @@ def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list
                  f"c -> named_struct('term', c.term, 'ranks', c.ranks))")
         return f"concat({found}, {_free_hits_sql(text, free)})"
 
-    staged = j.select(*keep, "_d", F.expr(confirmed(0, "_t")).alias("_thr"), F.expr(confirmed(1, "_d")).alias("_dhr"))
-    staged = staged.select(
-        *keep, "_thr", "_dhr", F.array_distinct(F.concat("_thr", "_dhr")).alias("_bothr"),
-        F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"),
-        fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
-    staged = staged.withColumn("_both", F.array_union("_th", "_dh"))
-    staged = staged.select(*keep, "_th", F.expr(scores_sql(rs, None, ranked=True)).alias("_scores"))
-    return _label(staged, keep, out, with_score)
+    return j.select(*keep, "_d", F.expr(confirmed(0, "_t")).alias("_thr"), F.expr(confirmed(1, "_d")).alias("_dhr"))
 
 
 def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_title",
-                 desc="job_description") -> DataFrame:
-    """Per (row, domain) the listed-keyword hit counts in title and description."""
+                 desc="job_description", method: str = "auto") -> DataFrame:
+    """Per (row, domain) the listed-keyword hit counts in title and description.
+
+    ``method`` as in ``classify``: the join form above the inline bound.
+    """
+    if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
+        staged = _join_hits(df, rs, title, desc, [id_col])
+        per_dom = ", ".join(
+            f"named_struct('domain', {sql_str(dom)}, 'title_hits', {_ranked_count_sql('_thr', r)}, "
+            f"'desc_hits', {_ranked_count_sql('_dhr', r)})"
+            for r, dom in enumerate(rs.domains, start=1) if dom in _kw_terms(rs))
+        return (staged.select(id_col, F.expr(f"inline(array({per_dom}))"))
+                .where((F.col("title_hits") > 0) | (F.col("desc_hits") > 0))
+                .select(id_col, "domain", F.col("title_hits").cast("bigint"), F.col("desc_hits").cast("bigint")))
     d = dictionary_for(rs)
     df = spread(df)
     staged = _hits(df.select(id_col, normalized(title, rs).alias("_t"),

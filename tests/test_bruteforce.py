@@ -207,3 +207,17 @@ def test_registration_batch_equals_sequential_inserts(spark):
                 mails.add(e)
     assert got == want
     assert sum(1 for v in want.values() if v[0]) > 10
+
+
+def test_keyword_hits_join_form_equals_inline(spark):
+    from scoreplane.functions.text import compose_text
+    from scoreplane.sources import fixtures as FX
+
+    p = FX.postings(spark, "/root/testdata/sf0.001")
+    rs = R.sample_ruleset()
+    desc = compose_text("job_description", "resume_text")
+    a = CL.keyword_hits(p, rs, "id", "job_title", desc, method="inline")
+    b = CL.keyword_hits(p, rs, "id", "job_title", desc, method="join")
+    assert a.schema == b.schema
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert a.count() > 0
