@@ -205,14 +205,18 @@ def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list
     get their row id in a checkpoint on the shared folder, so both sides of
     the join agree on it.
     """
+    return _label(_join_scores(df, rs, title, desc, keep), keep, out, with_score)
+
+
+def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str]) -> DataFrame:
+    """keep + _th + _scores from the join form of the hits."""
     staged = _join_hits(df, rs, title, desc, keep)
     staged = staged.select(
         *keep, "_thr", "_dhr", F.array_distinct(F.concat("_thr", "_dhr")).alias("_bothr"),
         F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"),
         fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
     staged = staged.withColumn("_both", F.array_union("_th", "_dh"))
-    staged = staged.select(*keep, "_th", F.expr(scores_sql(rs, None, ranked=True)).alias("_scores"))
-    return _label(staged, keep, out, with_score)
+    return staged.select(*keep, "_th", F.expr(scores_sql(rs, None, ranked=True)).alias("_scores"))
 
 
 def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str]) -> DataFrame:
@@ -270,16 +274,24 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
 
 
 def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_description",
-                keep: list[str] | None = None) -> DataFrame:
-    """First highest-scoring domain in rule order and its score (before threshold/overrides)."""
-    d = dictionary_for(rs)
+                keep: list[str] | None = None, method: str = "auto") -> DataFrame:
+    """First highest-scoring domain in rule order and its score (before threshold/overrides).
+
+    ``method`` as in ``classify``: the join form above the inline bound.
+    """
     keep = keep if keep is not None else list(df.columns)
+    first_max = ("named_struct('rank', 0, 'domain', CAST(NULL AS STRING), 'score', -1.0D), "
+                 "(acc, x) -> IF(x.score > acc.score, x, acc))")
+    if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
+        staged = _join_scores(df, rs, title, desc, keep)
+        return staged.select(*keep, F.expr(f"aggregate(_scores, {first_max}").alias("_b")).select(
+            *keep, F.col("_b.domain").alias("best_domain"), F.col("_b.score").alias("best_score"))
+    d = dictionary_for(rs)
     df = spread(df)
     staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
                              normalized(desc, rs).alias("_d")), keep, d)
     staged = staged.select(*keep, "_th", "_dh", F.array_union("_th", "_dh").alias("_both"),
                            fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
-    best = (f"aggregate({scores_sql(rs, d)}, named_struct('rank', 0, 'domain', CAST(NULL AS STRING), "
-            f"'score', -1.0D), (acc, x) -> IF(x.score > acc.score, x, acc))")
+    best = f"aggregate({scores_sql(rs, d)}, {first_max}"
     return staged.select(*keep, F.expr(best).alias("_b")).select(
         *keep, F.col("_b.domain").alias("best_domain"), F.col("_b.score").alias("best_score"))

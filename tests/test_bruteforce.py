@@ -221,3 +221,15 @@ def test_keyword_hits_join_form_equals_inline(spark):
     assert a.schema == b.schema
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert a.count() > 0
+
+
+def test_best_scores_join_form_equals_inline(spark):
+    from scoreplane.functions.text import compose_text
+    from scoreplane.sources import fixtures as FX
+
+    p = FX.postings(spark, "/root/testdata/sf0.001")
+    rs = R.sample_ruleset()
+    desc = compose_text("job_description", "resume_text")
+    a = CL.best_scores(p, rs, "job_title", desc, keep=["id"], method="inline")
+    b = CL.best_scores(p, rs, "job_title", desc, keep=["id"], method="join")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
