@@ -70,7 +70,7 @@ VIEWS = {
   SELECT doc_id AS id,
          {pick(R.SAMPLE_TITLES, f'doc_id % {len(R.SAMPLE_TITLES)}')} AS job_title,
          {pick(R.SAMPLE_PHRASES, f'(doc_id * 7) % {len(R.SAMPLE_PHRASES)}')} AS job_description,
-         CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS resume_text
+         text AS resume_text
   FROM documents""",
     "model_labels": f"""
   SELECT doc_id AS id,
@@ -115,7 +115,7 @@ VIEWS["submissions"] = f"""
          ((doc_id * 7) % 102) / 100.0 AS bias_score,
          {pick(R.SAMPLE_TITLES, f'doc_id % {len(R.SAMPLE_TITLES)}')} AS job_title,
          {pick(R.SAMPLE_PHRASES, f'(doc_id * 7) % {len(R.SAMPLE_PHRASES)}')} AS job_description,
-         CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS resume_text
+         text AS resume_text
   FROM documents"""
 
 

@@ -115,14 +115,19 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job postings over whole documents: title and phrase chosen by doc_id."""
+    """Job postings over whole documents: title and phrase chosen by doc_id.
+
+    Every posting carries its document's whole text as the resume text; the
+    empty-resume and short-description rules are covered by the edge-row
+    and brute-force tests.
+    """
     d = spread(read_table(spark, sf_dir, "documents"))
     did = F.col("doc_id")
     return d.select(
         did.alias("id"),
         _pick(R.SAMPLE_TITLES, did % len(R.SAMPLE_TITLES)).alias("job_title"),
         _pick(R.SAMPLE_PHRASES, (did * 7) % len(R.SAMPLE_PHRASES)).alias("job_description"),
-        F.when(did % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("resume_text"),
+        F.col("text").alias("resume_text"),
     )
 
 
@@ -225,5 +230,5 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((did * 7) % 102) / 100.0).alias("bias_score"),
         _pick(R.SAMPLE_TITLES, did % len(R.SAMPLE_TITLES)).alias("job_title"),
         _pick(R.SAMPLE_PHRASES, (did * 7) % len(R.SAMPLE_PHRASES)).alias("job_description"),
-        F.when(did % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("resume_text"),
+        F.col("text").alias("resume_text"),
     )
