@@ -53,14 +53,19 @@ def build_session(master: str | None = None, app: str = "scoreplane",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir``. Only a local-mode session (tests, one
+    machine) without it gets a fresh scratch folder; on a cluster a
+    machine-local folder would scatter checkpoints over executor disks, so
+    a missing setting raises instead.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS, object store) "
+                           "that every executor can read and write")
     d = tempfile.mkdtemp(prefix="scoreplane-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
