@@ -208,9 +208,9 @@ def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list
     return _label(_join_scores(df, rs, title, desc, keep), keep, out, with_score)
 
 
-def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str]) -> DataFrame:
+def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None) -> DataFrame:
     """keep + _th + _scores from the join form of the hits."""
-    staged = _join_hits(df, rs, title, desc, keep)
+    staged = _join_hits(df, rs, title, desc, keep, tables)
     staged = staged.select(
         *keep, "_thr", "_dhr", F.array_distinct(F.concat("_thr", "_dhr")).alias("_bothr"),
         F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"),
@@ -219,10 +219,55 @@ def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str]) -> Da
     return staged.select(*keep, "_th", F.expr(scores_sql(rs, None, ranked=True)).alias("_scores"))
 
 
-def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str]) -> DataFrame:
+def keyword_term_table(rs: RuleSet, keywords: DataFrame) -> tuple[DataFrame, list[tuple[str, list[int]]]]:
+    """``term_table`` built in Spark from a keyword table of any size.
+
+    ``keywords(domain, keyword)``: the domain's rank comes from the rule
+    order of ``rs`` (its weight table); a keyword of a domain without a
+    weight scores nothing and is left out of the ranks. The fixed phrases
+    and boost terms of ``rs`` are added with no ranks. Only letterless
+    terms are collected, after a size check.
+    """
+    spark = keywords.sparkSession
+    rank_map = F.create_map(*[x for i, dom in enumerate(rs.domains, start=1) for x in (F.lit(dom), F.lit(i))])
+    kw = keywords.select(F.col("keyword").alias("term"),
+                         F.array(F.element_at(rank_map, F.col("domain"))).alias("ranks"))
+    fixed = [t for t in dictionary_terms(RuleSet(replacements=[], keywords=[], weights=rs.weights, boosts=rs.boosts))]
+    fixed_df = spark.createDataFrame([(t,) for t in fixed], "term string").select(
+        "term", F.array().cast("array<int>").alias("ranks"))
+    terms = (kw.unionByName(fixed_df).groupBy("term")
+               .agg(F.filter(F.flatten(F.collect_list("ranks")), lambda r: r.isNotNull()).alias("ranks")))
+    runs = F.regexp_extract_all("term", F.lit("([a-z]+)"), 1)
+    anchor = F.aggregate(runs, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
+    quoted = F.regexp_replace("term", r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    terms = terms.select(
+        "term", anchor.alias("anchor"), F.col("term").rlike("^[a-z]+$").alias("exact"),
+        F.concat(F.lit("(?<![a-z])"), quoted, F.lit("(?![a-z])")).alias("pat"), "ranks")
+    letterless = terms.where(F.col("anchor") == "")
+    if letterless.limit(MAX_INLINE_TERMS + 1).count() > MAX_INLINE_TERMS:
+        raise ValueError(f"more than {MAX_INLINE_TERMS} terms without letters; too many to test per text")
+    free = [(r["term"], list(r["ranks"])) for r in letterless.select("term", "ranks").collect()]
+    return terms.where(F.col("anchor") != ""), free
+
+
+def classify_table(df: DataFrame, rs: RuleSet, keywords: DataFrame, title: str | Column = "job_title",
+                   desc: str | Column = "job_description", out: str = "kw_domain",
+                   keep: list[str] | None = None, with_score: bool = False) -> DataFrame:
+    """J1 with the keyword table kept as a DataFrame (no size bound): the join form.
+
+    ``rs`` supplies the replacements, weights (domain order) and boosts;
+    ``rs.keywords`` is not used. Same labels as ``classify`` with the
+    keywords collected into ``rs``.
+    """
+    keep = keep if keep is not None else list(df.columns)
+    tables = keyword_term_table(rs, keywords)
+    return _label(_join_scores(df, rs, title, desc, keep, tables), keep, out, with_score)
+
+
+def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None) -> DataFrame:
     """keep + _d + _thr/_dhr (array<struct<term, ranks>> of confirmed hits) by the anchor join."""
     spark = df.sparkSession
-    terms, free = term_table(spark, rs)
+    terms, free = tables if tables is not None else term_table(spark, rs)
     checkpoint_dir(spark)
     x = (df.select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"))
            .withColumn("_rid", F.monotonically_increasing_id())

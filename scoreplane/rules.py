@@ -126,7 +126,8 @@ def ruleset_from_tables(replacements: DataFrame, keywords: DataFrame,
     for name, t in (("replacements", replacements), ("keywords", keywords),
                     ("weights", weights), ("boosts", boosts)):
         if t is not None and t.limit(MAX_RULE_ROWS + 1).count() > MAX_RULE_ROWS:
-            raise ValueError(f"rule table {name} exceeds {MAX_RULE_ROWS} rows")
+            raise ValueError(f"rule table {name} exceeds {MAX_RULE_ROWS} rows; "
+                             "pass a large keyword table to plans.classify.classify_table instead")
     rep = [(r["old"], r["new"]) for r in replacements.orderBy("seq").collect()]
     order = ["rank"] + (["pos"] if "pos" in keywords.columns else [])
     kws = [(r["domain"], r["keyword"]) for r in keywords.orderBy(*order).collect()]

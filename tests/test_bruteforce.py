@@ -233,3 +233,16 @@ def test_best_scores_join_form_equals_inline(spark):
     a = CL.best_scores(p, rs, "job_title", desc, keep=["id"], method="inline")
     b = CL.best_scores(p, rs, "job_title", desc, keep=["id"], method="join")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_classify_table_keeps_keywords_as_dataframe(spark):
+    """Keyword table as a DataFrame (the unbounded form) equals the plain-Python restatement."""
+    rng = random.Random(11)
+    rs = R.sample_ruleset()
+    rows = [(i, random_text(rng, rng.randint(0, 4)), random_text(rng, rng.choice([0, 3, 7, 8, 12, 40])))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, job_title string, job_description string")
+    kt = spark.createDataFrame(rs.keywords, "domain string, keyword string")
+    got = {r["id"]: r["kw_domain"] for r in CL.classify_table(df, rs, kt, keep=["id"]).collect()}
+    want = {i: py_classify(t, d, rs) for i, t, d in rows}
+    assert got == want
