@@ -269,7 +269,7 @@ def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=
     spark = df.sparkSession
     terms, free = tables if tables is not None else term_table(spark, rs)
     checkpoint_dir(spark)
-    x = (df.select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"))
+    x = (spread(df).select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"))
            .withColumn("_rid", F.monotonically_increasing_id())
            .checkpoint(eager=True))
     sides = F.array(
