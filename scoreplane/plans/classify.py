@@ -124,17 +124,18 @@ def _hits(staged: DataFrame, keep: list[str], d: Dictionary) -> DataFrame:
 def classify(df: DataFrame, rs: RuleSet, title: str | Column = "job_title",
              desc: str | Column = "job_description", out: str = "kw_domain",
              keep: list[str] | None = None, with_score: bool = False,
-             method: str = "auto") -> DataFrame:
+             method: str = "auto", key: str | None = None) -> DataFrame:
     """Append the keyword label of each row.
 
     ``method``: ``inline`` (the dictionary as plan literals, map-only),
     ``join`` (the dictionary as a DataFrame joined on token anchors), or
     ``auto``: inline up to ``rules.MAX_INLINE_TERMS`` terms, join above.
-    Both give the same labels.
+    Both give the same labels. ``key`` names a unique row key for the join
+    form (see ``_join_hits``).
     """
     keep = keep if keep is not None else list(df.columns)
     if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
-        return _classify_join(df, rs, title, desc, out, keep, with_score)
+        return _classify_join(df, rs, title, desc, out, keep, with_score, key)
     d = dictionary_for(rs)
     df = spread(df)
     staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
@@ -193,7 +194,7 @@ def _free_hits_sql(text: str, free: list[tuple[str, list[int]]]) -> str:
 
 
 def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list[str],
-                   with_score: bool) -> DataFrame:
+                   with_score: bool, key: str | None = None) -> DataFrame:
     """J1 for dictionaries too large to inline: the dictionary is a DataFrame.
 
     Each text's distinct letter-run tokens are joined with the dictionary on
@@ -201,16 +202,15 @@ def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list
     candidates are gathered per text, joined back to the text by a row id,
     and confirmed with the same boundary test as the inline form (a
     single-run term is a hit when it is a token). Per-domain counts come
-    from each hit's domain ranks, so no keyword list is inlined. The texts
-    get their row id in a checkpoint on the shared folder, so both sides of
-    the join agree on it.
+    from each hit's domain ranks, so no keyword list is inlined.
     """
-    return _label(_join_scores(df, rs, title, desc, keep), keep, out, with_score)
+    return _label(_join_scores(df, rs, title, desc, keep, key=key), keep, out, with_score)
 
 
-def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None) -> DataFrame:
+def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None,
+                 key: str | None = None) -> DataFrame:
     """keep + _th + _scores from the join form of the hits."""
-    staged = _join_hits(df, rs, title, desc, keep, tables)
+    staged = _join_hits(df, rs, title, desc, keep, tables, key)
     staged = staged.select(
         *keep, "_thr", "_dhr", F.array_distinct(F.concat("_thr", "_dhr")).alias("_bothr"),
         F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"),
@@ -252,26 +252,36 @@ def keyword_term_table(rs: RuleSet, keywords: DataFrame) -> tuple[DataFrame, lis
 
 def classify_table(df: DataFrame, rs: RuleSet, keywords: DataFrame, title: str | Column = "job_title",
                    desc: str | Column = "job_description", out: str = "kw_domain",
-                   keep: list[str] | None = None, with_score: bool = False) -> DataFrame:
+                   keep: list[str] | None = None, with_score: bool = False,
+                   key: str | None = None) -> DataFrame:
     """J1 with the keyword table kept as a DataFrame (no size bound): the join form.
 
     ``rs`` supplies the replacements, weights (domain order) and boosts;
     ``rs.keywords`` is not used. Same labels as ``classify`` with the
-    keywords collected into ``rs``.
+    keywords collected into ``rs``. ``key``: a unique row key, if any.
     """
     keep = keep if keep is not None else list(df.columns)
     tables = keyword_term_table(rs, keywords)
-    return _label(_join_scores(df, rs, title, desc, keep, tables), keep, out, with_score)
+    return _label(_join_scores(df, rs, title, desc, keep, tables, key), keep, out, with_score)
 
 
-def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None) -> DataFrame:
-    """keep + _d + _thr/_dhr (array<struct<term, ranks>> of confirmed hits) by the anchor join."""
+def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None,
+               key: str | None = None) -> DataFrame:
+    """keep + _d + _thr/_dhr (array<struct<term, ranks>> of confirmed hits) by the anchor join.
+
+    The candidates are joined back to their text by a row id. With a
+    caller's unique ``key`` that column is the id and the texts are simply
+    read twice; without one, the normalised texts get a generated id in a
+    checkpoint on the shared folder, so both sides of the join (and any
+    retried task) agree on it.
+    """
     spark = df.sparkSession
     terms, free = tables if tables is not None else term_table(spark, rs)
-    checkpoint_dir(spark)
-    x = (spread(df).select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"))
-           .withColumn("_rid", F.monotonically_increasing_id())
-           .checkpoint(eager=True))
+    x = spread(df).select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"),
+                          *([F.col(key).alias("_rid")] if key else []))
+    if not key:
+        checkpoint_dir(spark)
+        x = x.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.array_distinct(F.split("_t", "[^a-z]+")).alias("toks")),
         F.struct(F.lit(1).alias("side"), F.array_distinct(F.split("_d", "[^a-z]+")).alias("toks")))
@@ -292,13 +302,15 @@ def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=
 
 
 def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_title",
-                 desc="job_description", method: str = "auto") -> DataFrame:
+                 desc="job_description", method: str = "auto", unique_id: bool = False) -> DataFrame:
     """Per (row, domain) the listed-keyword hit counts in title and description.
 
-    ``method`` as in ``classify``: the join form above the inline bound.
+    ``method`` as in ``classify``: the join form above the inline bound;
+    ``unique_id`` says ``id_col`` is unique, so the join form needs no
+    checkpoint.
     """
     if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
-        staged = _join_hits(df, rs, title, desc, [id_col])
+        staged = _join_hits(df, rs, title, desc, [id_col], key=id_col if unique_id else None)
         per_dom = ", ".join(
             f"named_struct('domain', {sql_str(dom)}, 'title_hits', {_ranked_count_sql('_thr', r)}, "
             f"'desc_hits', {_ranked_count_sql('_dhr', r)})"
@@ -319,7 +331,7 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
 
 
 def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_description",
-                keep: list[str] | None = None, method: str = "auto") -> DataFrame:
+                keep: list[str] | None = None, method: str = "auto", key: str | None = None) -> DataFrame:
     """First highest-scoring domain in rule order and its score (before threshold/overrides).
 
     ``method`` as in ``classify``: the join form above the inline bound.
@@ -328,7 +340,7 @@ def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_descrip
     first_max = ("named_struct('rank', 0, 'domain', CAST(NULL AS STRING), 'score', -1.0D), "
                  "(acc, x) -> IF(x.score > acc.score, x, acc))")
     if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
-        staged = _join_scores(df, rs, title, desc, keep)
+        staged = _join_scores(df, rs, title, desc, keep, key=key)
         return staged.select(*keep, F.expr(f"aggregate(_scores, {first_max}").alias("_b")).select(
             *keep, F.col("_b.domain").alias("best_domain"), F.col("_b.score").alias("best_score"))
     d = dictionary_for(rs)

@@ -204,7 +204,7 @@ register("j1_keyword_domain", W("SELECT id, kw_domain FROM kwres", "postings",
 # large to inline or collect): same labels, checked against the same SQL.
 register("j1_keyword_domain_table", ORACLE["j1_keyword_domain"])(
     lambda s, d: CL.classify_table(FX.postings(s, d), _RS, R.keywords_table(s, _RS), "job_title",
-                                   compose_text("job_description", "resume_text"), keep=["id"]))
+                                   compose_text("job_description", "resume_text"), keep=["id"], key="id"))
 
 register("d12_keyword_hits", W("""
 SELECT COALESCE(tc.id, dc.id) AS id, dm.domain, COALESCE(tc.n, 0) AS title_hits, COALESCE(dc.n, 0) AS desc_hits

@@ -82,6 +82,9 @@ def test_classifier_matches_python_restatement(spark, method):
     want = {i: py_classify(t, d, rs) for i, t, d in rows}
     assert got == want
     assert len(set(want.values())) > 5
+    if method == "join":
+        keyed = CL.classify(df, rs, keep=["id"], method="join", key="id")
+        assert {r["id"]: r["kw_domain"] for r in keyed.collect()} == want
 
 
 def test_classifier_row_order_invariant(spark):
