@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,12 +108,54 @@ def fold_latest_stream(rows: DataFrame, key: str, order: list[str], cols: list[s
     return base
 
 
+def _newest_snapshot(spark: SparkSession, base: str) -> int | None:
+    """Batch id covered by the newest snapshot (a max over partition values), if any."""
+    try:
+        snaps = spark.read.parquet(f"{base}/snapshots")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e.getCondition() or "") or "Path does not exist" in str(e):
+            return None
+        raise
+    return snaps.agg(F.max("upto")).first()[0]
+
+
 def read_latest(spark: SparkSession, base: str, key: str, order: list[str]) -> DataFrame:
-    """Current state of a fold: latest change per key over all published batches."""
-    ch = spark.read.parquet(f"{base}/changes").drop("batch")
+    """Current state of a fold: latest row per key over the newest snapshot and later batches.
+
+    Only change folders after the snapshot are read (partition pruning on
+    the batch id), so a compacted log stays cheap to read.
+    """
+    ch = spark.read.parquet(f"{base}/changes")
+    upto = _newest_snapshot(spark, base)
+    if upto is not None:
+        snap = spark.read.parquet(f"{base}/snapshots").where(F.col("upto") == upto).drop("upto")
+        ch = snap.unionByName(ch.where(F.col("batch") > upto).drop("batch"))
+    else:
+        ch = ch.drop("batch")
     return _latest(ch, key, order, [c for c in ch.columns if c != key])
 
 
+def compact_state(spark: SparkSession, base: str, key: str, order: list[str]) -> int:
+    """Write the state up to the newest published batch as a snapshot; returns that batch id.
+
+    Runs beside the stream: the snapshot covers a fixed batch range (batches
+    published later are read from the change log), and it becomes visible
+    only once written, so readers never see a partial one.
+    """
+    ch = spark.read.parquet(f"{base}/changes")
+    upto = ch.agg(F.max("batch")).first()[0]
+    prev = _newest_snapshot(spark, base)
+    rows = ch.where(F.col("batch") <= upto)
+    if prev is not None:
+        snap = spark.read.parquet(f"{base}/snapshots").where(F.col("upto") == prev).drop("upto")
+        rows = snap.unionByName(rows.where(F.col("batch") > prev).drop("batch"))
+    else:
+        rows = rows.drop("batch")
+    state = _latest(rows, key, order, [c for c in rows.columns if c != key])
+    state.write.mode("overwrite").parquet(f"{base}/snapshots/upto={upto}")
+    return upto
+
+
 def failure_state_stream(calls: DataFrame, name: str = "failures", base: str | None = None) -> str:
     """S3: running failure state per key (latest state-changing call; I7 + I4)."""
     ev = CG.failure_events(calls)

@@ -86,3 +86,24 @@ def test_failure_fold_resumes_after_restart(spark, split_events, tmp_path):
     batches = sorted(int(d.split("=")[1]) for d in os.listdir(os.path.join(base, "changes"))
                      if d.startswith("batch="))
     assert batches == [0, 1, 2, 3]
+
+
+def test_compacted_fold_reads_snapshot_plus_later_batches(spark, split_events, tmp_path):
+    """Compaction between runs: snapshot + later change folders equal the batch state."""
+    src = tmp_path / "events.parquet"
+    src.mkdir()
+    for i in range(2):
+        os.link(os.path.join(split_events, f"{i:02d}.parquet"), src / f"{i:02d}.parquet")
+    base = str(tmp_path / "state")
+    s1 = FX.call_log_from(SS.file_stream(spark, str(tmp_path), "events", max_files=1))
+    SS.cache_state_stream(s1, base=base)
+    assert SS.compact_state(spark, base, "prompt_hash", ["ts", "call_id"]) == 1
+    for i in range(2, 4):
+        os.link(os.path.join(split_events, f"{i:02d}.parquet"), src / f"{i:02d}.parquet")
+    s2 = FX.call_log_from(SS.file_stream(spark, str(tmp_path), "events", max_files=1))
+    SS.cache_state_stream(s2, base=base)
+    want = CG.cache_state(FX.call_log(spark, SF))
+    cols = ["prompt_hash", "response", "timestamp"]
+    assert _as_set(SS.read_cache_state(spark, base), cols) == _as_set(want, cols)
+    assert SS.compact_state(spark, base, "prompt_hash", ["ts", "call_id"]) == 3
+    assert _as_set(SS.read_cache_state(spark, base), cols) == _as_set(want, cols)
