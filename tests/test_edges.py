@@ -385,3 +385,20 @@ def test_inline_dictionary_size_is_checked():
     Dictionary.of([f"t{i}" for i in range(R.MAX_INLINE_TERMS)])
     with pytest.raises(ValueError):
         Dictionary.of([f"t{i}" for i in range(R.MAX_INLINE_TERMS + 1)])
+
+
+def test_checkpoint_dir_required_on_a_cluster():
+    """Without spark.checkpoint.dir a cluster session raises; it never falls back to a local folder."""
+    from types import SimpleNamespace
+
+    from scoreplane.session import checkpoint_dir
+
+    sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None,
+                         setCheckpointDir=lambda d: pytest.fail("must not set a local folder"))
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: default), sparkContext=sc)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(fake)
+    fake.conf = SimpleNamespace(get=lambda k, default=None: "hdfs://nn/ckpt/" if k == "spark.checkpoint.dir" else default)
+    seen = []
+    sc.setCheckpointDir = seen.append
+    assert checkpoint_dir(fake) == "hdfs://nn/ckpt" and seen == ["hdfs://nn/ckpt/"]
