@@ -63,8 +63,7 @@ def ingest(batch: DataFrame, existing: DataFrame, model_labels: DataFrame, rs: R
     be missing or NULL), bias_score, job_title, job_description, resume_text.
     ``as_of`` is the UTC instant of the insert; rows get its local wall clock.
     """
-    if "format_score" not in batch.columns:
-        batch = batch.withColumn("format_score", F.lit(None).cast("double"))
+    batch = _with_format(batch)
     text = compose_text("job_description", "resume_text")
     keep = [c for c in batch.columns if c not in ("job_title", "job_description", "resume_text")]
     k = classify(batch, rs, "job_title", text, keep=keep)
@@ -87,5 +86,21 @@ def ingest(batch: DataFrame, existing: DataFrame, model_labels: DataFrame, rs: R
         F.col("bias_score").cast("float").alias("bias_score"),
         "domain", "confidence", local.alias("timestamp"))
     numbered = assign_ids(rows, existing, "id", [id_col], materialize=False).drop(id_col)
-    rejected = j.where(F.size("errors") > 0).select(id_col, "errors")
-    return IngestResult(numbered, rejected)
+    return IngestResult(numbered, j.where(F.size("errors") > 0).select(id_col, "errors"))
+
+
+def _with_format(batch: DataFrame) -> DataFrame:
+    if "format_score" not in batch.columns:
+        batch = batch.withColumn("format_score", F.lit(None).cast("double"))
+    return batch
+
+
+def rejected(batch: DataFrame, id_col: str = "sub_id") -> DataFrame:
+    """Records that fail validation, with every failing field.
+
+    Validation does not depend on the label, so this is map-only (no
+    classification); it equals ``ingest(..).rejected``.
+    """
+    b = _with_format(batch)
+    return (b.select(id_col, validation_errors(b).alias("errors"))
+             .where(F.size("errors") > 0))

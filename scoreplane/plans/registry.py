@@ -535,7 +535,7 @@ FROM j WHERE len(errors) = 0""", "candidates", "submissions", "postings", "model
 register("h19_ingest_rejected", W("""
 SELECT sub_id, array_to_string(errors, ',') AS errors FROM j WHERE len(errors) > 0""",
                                   "submissions", "model_labels", extra=_INGEST_CTES))(
-    lambda s, d: _ingest(s, d).rejected.select("sub_id", F.array_join("errors", ",").alias("errors")))
+    lambda s, d: IG.rejected(FX.submissions(s, d)).select("sub_id", F.array_join("errors", ",").alias("errors")))
 
 register("i1_delete_ids", W(f"""
 SELECT {ALL_CAND} FROM candidates WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",

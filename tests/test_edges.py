@@ -402,3 +402,14 @@ def test_checkpoint_dir_required_on_a_cluster():
     seen = []
     sc.setCheckpointDir = seen.append
     assert checkpoint_dir(fake) == "hdfs://nn/ckpt" and seen == ["hdfs://nn/ckpt/"]
+
+
+def test_rejected_without_classification_equals_ingest(spark):
+    from scoreplane.sources import fixtures as FX
+
+    sub = FX.submissions(spark, "/root/testdata/sf0.001")
+    full = IG.ingest(sub, FX.candidates(spark, "/root/testdata/sf0.001"),
+                     FX.model_labels(spark, "/root/testdata/sf0.001"), R.sample_ruleset(), "2025-02-20 06:30:00")
+    a = sorted((r["sub_id"], tuple(r["errors"])) for r in full.rejected.collect())
+    b = sorted((r["sub_id"], tuple(r["errors"])) for r in IG.rejected(sub).collect())
+    assert a == b and len(a) > 0
