@@ -6,9 +6,11 @@ removed; a document that loses more than ``MAX_LOST`` of its word characters
 is rejected, as is one that fails the document rules (fewer than 50 words,
 or more than half of its words inside repeated three-word windows).
 
-Repeated windows are found per document by sorting (window, position) pairs:
-equal neighbours mark repeats and the sorted positions give the words they
-cover, n log n in the length of the text and without a shuffle.
+Repeated windows are found inside each row: windows become 64-bit hashes,
+equal neighbours of the sorted hashes are the repeated ones, and the sorted
+positions of those give the words they cover: n log n in the length of the
+text, no shuffle. (Two different windows of one text share a hash with a
+chance of about n * n / 2^65.)
 
 Defined results: a null text has no words and is rejected; a text without
 line break is one line; repeated rows are judged alike; an empty table gives
@@ -20,13 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import SPACES, whole
+from scoreplane.llm.common import SPACE, WORD, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MAX_LOST = 0.4
-SYMBOLS = "#*$%&|<>"
-#: share of a line's visible characters that may be symbols
+#: share of a line's characters that may be symbols (#*$%&|<>)
 MAX_SYMBOL_SHARE = 0.1
 #: share of a line's words that may end in doubled marks
 MAX_SHOUT_SHARE = 0.3
@@ -37,63 +38,78 @@ BOILERPLATE = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+#: parts of the phrases as they are written; texts without any of them skip the line pattern
+_PARTS = ("ights reserved", "RIGHTS RESERVED", "ookie", "COOKIE", "olicy", "POLICY", "erms of", "TERMS OF", "lick here",
+          "CLICK HERE", "p for our", "P FOR OUR", "ubscribe", "SUBSCRIBE", "avaScript", "avascript", "JAVASCRIPT",
+          "icensed", "ICENSED", "eleased under", "ELEASED UNDER", "orem ipsum", "OREM IPSUM", "ack to top", "ACK TO TOP",
+          "ead more", "EAD MORE")
+_MARKED = r"[#*$%&|<>\u00BB\u203A\u2022\u00B7]|[!?]{2}"
+_FEW = 32
+
+
+def _any(text: Column, parts) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | text.contains(p)
+    return out
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
-
-
-def line_fails(line: Column) -> Column:
-    """True if the line is removed. A line without a visible character stays."""
-    visible = F.char_length(_without(line, SPACES))
-    symbols = visible - F.char_length(_without(_without(line, SPACES), SYMBOLS))
-    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    shouts = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D!?]+(!{2,}|\?{2,}|[!?]{3,})(?=[\x20\x09-\x0D]|$)"))
-    separators = F.regexp_count(line, F.lit(r"(^|[\x20\x09-\x0D])[|»›•·/>](?=[\x20\x09-\x0D]|$)"))
-    low = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | low.contains(phrase)
-    return (visible > 0) & (
-        (symbols > MAX_SYMBOL_SHARE * visible)
-        | (~line.rlike(r"[\p{L}]"))
-        | (shouts > MAX_SHOUT_SHARE * n_words)
-        | ((separators >= 3) & (separators >= 0.2 * n_words))
-        | boiler)
+    return F.array_remove(F.split(text, SPACE), "")
+
+
+def line_fails(line: Column, marked: Column, boiler: Column) -> Column:
+    """True if the line is removed. A line without a visible character stays.
+
+    ``marked`` and ``boiler`` say whether the text has a mark or a part of a
+    phrase anywhere, so that clean texts skip the tests.
+    """
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    symbols = count(r"[#*$%&|<>]") > MAX_SYMBOL_SHARE * F.char_length(line)
+    shouts = count(r"[^\x20\x09-\x0D!?]+(!{2,}|\?{2,}|[!?]{3,})(?=[\x20\x09-\x0D]|$)") > MAX_SHOUT_SHARE * count(WORD)
+    separators = count(r"(^|[\x20\x09-\x0D])[|\u00BB\u203A\u2022\u00B7>](?=[\x20\x09-\x0D]|$)")
+    phrases = "|".join(BOILERPLATE)
+    return ((marked & (symbols | shouts | (separators >= F.greatest(F.lit(3), 0.2 * count(WORD)))))
+            | (boiler & line.rlike(f"(?i)(?:{phrases})"))
+            | (~line.rlike(r"\p{L}") & line.rlike(WORD)))
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct ``__q`` of counts, the cleaned text and the verdict."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
+    t = F.col("__t")
     df = docs.select(*cols, whole(text_col).alias("__t"))
-    df = df.withColumn("__w", words(F.col("__t"))).withColumn("__l", F.split("__t", "\n"))
+    df = df.withColumns({"__w": words(t), "__l": F.split(t, "\n"), "__m": t.rlike(_MARKED), "__b": _any(t, _PARTS)})
     n = F.size("__w")
-    window = F.transform(
-        F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("t"),
-                           i.alias("p")))
-    df = df.withColumn("__s", F.sort_array(window))
-    repeated = F.transform(
-        F.filter("__s", lambda x, i: (x["t"] == F.get("__s", i - 1)["t"]) | (x["t"] == F.get("__s", i + 1)["t"])),
-        lambda x: x["p"])
-    df = df.withColumn("__p", F.sort_array(repeated)).drop("__s")
+    # hash of the window that begins at each word; the last two are no windows
+    h = F.transform("__w", lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2)))
+    df = df.withColumns({"__n": n, "__wc": F.char_length(F.array_join("__w", "")).cast("long"),
+                         "__h": F.slice(h, F.lit(1), F.greatest(n - 2, F.lit(0)))})
+    df = df.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array("__h")))
+    df = df.withColumn("__d", F.array_distinct(F.filter("__s", lambda x, i: x == F.get("__s", i - 1)))).drop("__s")
+    # positions of repeated windows: a short list is searched, a long one met by sorting (window, position)
+    df = df.withColumn("__z", F.when(F.size("__d") > _FEW, F.sort_array(
+        F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
+    found = F.when(F.size("__d") > _FEW, F.array_sort(F.transform(
+        F.filter("__z", lambda x, i: (x["h"] == F.get("__z", i - 1)["h"]) | (x["h"] == F.get("__z", i + 1)["h"])),
+        lambda x: x["p"]))).when(F.size("__d") > 0, F.array_compact(
+            F.transform("__h", lambda x, i: F.when(F.array_contains("__d", x), i))))
+    df = df.withColumn("__p", found).drop("__z", "__h", "__d", "__w")
     # words covered: 3 per window, less the overlap with the window before
     covered = F.aggregate(
         F.transform("__p", lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get("__p", i - 1)))),
         F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn("__r", covered).drop("__p")
-    with_word = F.filter("__l", lambda x: F.char_length(_without(x, SPACES)) > 0)
-    df = df.withColumn("__lw", with_word)
-    df = df.withColumn("__ok", F.filter("__l", lambda x: ~line_fails(x)))
-    df = df.withColumn("__c", F.array_join("__ok", "\n")).drop("__ok", "__l")
-    chars = F.char_length(_without(F.col("__t"), SPACES)).cast("long")
-    left = F.char_length(_without(F.col("__c"), SPACES)).cast("long")
+    df = df.withColumns({
+        "__r": F.coalesce(covered, F.lit(0).cast("long")),
+        "__lw": F.filter("__l", lambda x: x.rlike(WORD)),
+        "__c": F.array_join(F.filter("__l", lambda x: ~line_fails(x, F.col("__m"), F.col("__b"))), "\n")}).drop("__p")
+    n, chars = F.col("__n"), F.col("__wc")
+    left = F.when(F.char_length("__c") == F.char_length(t), chars).otherwise(
+        F.char_length(F.regexp_replace("__c", SPACE, ""))).cast("long")
     failed = (n < MIN_WORDS) | (100 * F.col("__r") > MAX_REPEAT_PCT * n)
     q = F.struct(
         n.cast("long").alias("n_words"), chars.alias("word_chars"),
-        (F.char_length("__t") - F.char_length(_without(F.col("__t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.when(F.col("__m"), F.regexp_count(t, F.lit(r"[#*$%&|<>]"))).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("__lw") - F.size(F.array_distinct("__lw"))).cast("long").alias("n_dup_lines"),
         F.col("__r").alias("n_repeat_words"), left.alias("left_chars"), failed.alias("base_failed"),
         (~failed & (left >= (1 - MAX_LOST) * chars)).alias("kept"), F.col("__c").alias("clean_text"))
