@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreplane.llm import exact_dedup, quality
+from scoreplane.llm import exact_dedup, mixing, near_dedup, packing, quality
 from scoreplane.llm.common import documents, written
 
 
@@ -22,9 +22,27 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_repeats(docs)
 
 
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.drop_near(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each time a document is taken."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences, with their token ids (two bytes each)."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", drop_exact),
+    ("near dedup", drop_near),
+    ("mixing", mix_sources),
+    ("packing", pack),
 ]
 
 # no SQL form: alignment of near-duplicates, tokenizer ids and packing; tests hold each stage against brute force

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreplane.llm import exact_dedup, quality
+from scoreplane.llm import exact_dedup, mixing, near_dedup, packing, quality
 from scoreplane.llm.common import documents
 
 QUERIES: dict = {}
@@ -35,3 +35,48 @@ def op8_quality_rules(spark, sf_dir):
 
 
 QUERIES["op8_quality_rules"] = op8_quality_rules
+
+
+def op5_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+QUERIES["op5_minhash_near_dedup"] = op5_minhash_near_dedup
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op6_mixing"] = op6_mixing
+ORACLE["op6_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+           FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w,
+             (3 * source_size)::DOUBLE AS cap FROM s),
+r AS (SELECT *, cap / w AS ratio,
+        ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0))
+          / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS rate
+      FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT rate AS common FROM r WHERE rate * w <= cap ORDER BY ratio, rate LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(cap, (SELECT common FROM c) * w), cap) AS target FROM r),
+q AS (SELECT d.*, t.source_size, t.target, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, (sum(size) OVER (PARTITION BY source, epoch ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING)
+                 + epoch * source_size)::DOUBLE / target AS finish
+      FROM (SELECT * FROM q WHERE size > 0), (SELECT unnest([0, 1, 2]) AS epoch)
+),
+e AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, epoch, h, doc_id ROWS UNBOUNDED PRECEDING) AS out
+      FROM f),
+k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM e WHERE out <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken
+FROM q LEFT JOIN k USING (doc_id)
+"""
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir)).drop("ids")
+
+
+QUERIES["op9_packing"] = op9_packing
