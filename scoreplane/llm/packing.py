@@ -149,7 +149,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def positions(rows: DataFrame, order: list[str], size: str) -> DataFrame:
-    """rows (row_id, order columns, size) with ``pos``, the sum of the sizes before them in the order.
+    """(row_id, pos) of rows: the sum of the sizes before each in the order, which ends with row_id.
 
     Sizes are summed per range partition, then over the partitions before.
     """
@@ -164,7 +164,7 @@ def positions(rows: DataFrame, order: list[str], size: str) -> DataFrame:
             yield pdf[["row_id"]].assign(part=k, local=after - n, own=n)
             at = int(after[-1]) if len(after) else at
 
-    ranged = rows.select("row_id", *order, size).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = rows.select(*order, size).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     local = written(ranged.mapInPandas(run, "row_id long, part long, local long, own long"), "positions")
     from pyspark.sql import Window
 

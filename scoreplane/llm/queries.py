@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreplane.llm import exact_dedup, mixing, near_dedup, packing, quality
+from scoreplane.llm import exact_dedup, mixing, near_dedup, packing, quality, warc
 from scoreplane.llm.common import documents
 
 QUERIES: dict = {}
@@ -80,3 +80,22 @@ def op9_packing(spark, sf_dir):
 
 
 QUERIES["op9_packing"] = op9_packing
+
+
+def op2_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.archive_and_read(spark, pages, min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op2_warc"] = op2_warc
+ORACLE["op2_warc"] = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)),
+        'string_agg', '') AS payload_digest,
+      min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
