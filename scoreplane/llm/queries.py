@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreplane.llm import exact_dedup, mixing, near_dedup, packing, quality, warc
+from scoreplane.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, warc
 from scoreplane.llm.common import documents
 
 QUERIES: dict = {}
@@ -99,3 +99,12 @@ b AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to FROM b
 """
+
+
+def op7_pii(spark, sf_dir):
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return pii.find(documents(spark, sf_dir)).select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(F.col("base_text").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+QUERIES["op7_pii"] = op7_pii
