@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreplane.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, warc
-from scoreplane.llm.common import documents
+from scoreplane.llm import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, toxicity, warc
+from scoreplane.llm.common import documents, remainder
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -108,3 +108,25 @@ def op7_pii(spark, sf_dir):
 
 
 QUERIES["op7_pii"] = op7_pii
+
+
+def op4_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, remainder("doc_id", 3) != 1)
+    out = langid.identify(docs, model)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op4_language_id"] = op4_language_id
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon, weights = toxicity.fit(docs, labels, remainder("doc_id", 4) != 2)
+    out = toxicity.score(docs, lexicon, weights)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+QUERIES["op10_toxicity"] = op10_toxicity
