@@ -9,8 +9,8 @@ table that a text's symbols run through, clause by clause; the weights of
 what it emits (plain, aimed, negated, reported insults and threats) are the
 features of a logistic score.
 
-Stems are prefixes of 3 to 8 letters and whole words with a clearly raised
-log odds among toxic rows. At most ``FIT_ROWS`` labelled rows (by hash) are
+Stems are prefixes of 3 to 8 letters and whole words whose log odds among
+toxic rows are raised by ``MIN_ODDS`` at least, two standard errors off. At most ``FIT_ROWS`` labelled rows (by hash) are
 used: one half for the lexicon, the other half for the logistic weights, so
 that accidental stems get no credit.
 
@@ -199,10 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         (~total).cast("int"), ((F.col("yes") + 0.5) / (F.col("no") + F.col("yes") * 0.02 + 0.5)).desc(), "stem").limit(LEXICON + 1)
     got = top.collect()  # at most LEXICON stems
     n = next(((r.no, r.yes) for r in got if r.stem == "#rows"), (0, 0))
+    yes = {r.stem: r.yes for r in got}
+    # a prefix that one longer stem explains says no more than that one
+    longer = Counter()
+    for stem, k in yes.items():
+        for cut in range(3, len(stem)):
+            longer[stem[:cut]] = max(longer[stem[:cut]], k)
     lexicon = {}
     for r in got:
         odds = np.log((r.yes + 0.5) / (n[1] + 1)) - np.log((r.no + 0.5) / (n[0] + 1))
-        if r.stem != "#rows" and odds >= MIN_ODDS:
+        sure = odds - 2 * np.sqrt(1 / (r.yes + 0.5) + 1 / (r.no + 0.5))
+        if r.stem != "#rows" and sure >= MIN_ODDS and longer[r.stem] < 0.9 * r.yes:
             lexicon[r.stem] = float(odds)
 
     def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
