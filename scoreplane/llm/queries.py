@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreplane.llm import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, toxicity, warc
+from scoreplane.llm import (exact_dedup, langid, lm_score, mixing, near_dedup, packing, pii, quality, toxicity,
+                            warc)
 from scoreplane.llm.common import documents, remainder
 
 QUERIES: dict = {}
@@ -130,3 +131,12 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES["op10_toxicity"] = op10_toxicity
+
+
+def op3_lm_scoring(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    out = lm_score.score(docs, remainder("doc_id", 10) != 0)
+    return out.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
+QUERIES["op3_lm_scoring"] = op3_lm_scoring
