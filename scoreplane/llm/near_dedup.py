@@ -13,15 +13,17 @@ k-mers inside matched runs, over all distinct k-mers of both, must be at
 least ``SIMILARITY``.
 
 No bucket is expanded into pairs. Copies collapse first (equal word
-sequences). Then rounds: in every bucket whose members are in more than one
-class yet, each class names leaders, which are compared with the members of
-other classes; links merge classes. A bucket is done when it holds one class
-or all members of all classes but one have been leaders, so every pair of a
-bucket that is not in one class has been compared. Leaders per class grow
-fourfold a round, so rounds are logarithmic in the largest class that is not
-merged. Pairs whose sketches agree too seldom for the similarity are not
-aligned (at 0.8 a pair agrees in 10 of 48 on average; ``MIN_AGREE`` of 2
-loses about 2e-4 of the pairs at 0.8, 1e-6 of those at 0.85).
+sequences). Then each member of a bucket is compared with the bucket's first
+member, and links merge classes; that settles the usual groups. What is left
+are links between members of different classes of one bucket. For them, the
+groups that buckets connect and that hold more than one class are cut into
+blocks of about ``BLOCK`` k-mers, those of the group's largest class apart.
+Pairs of blocks (not of two blocks of the largest class) are compared as
+incidence matrices, which gives the exact k-mer Jaccard of all their pairs;
+those of different classes at ``SIMILARITY`` or more are kept, and of each
+pair of classes the most similar pair is aligned, then the next if the
+alignment refuses it, until no pair is left. A block pair is one bounded
+task, so a large group costs many tasks, not a large one.
 
 Defined results: null and empty texts and texts of spaces are equal (one
 class); a text of fewer than ``K`` words has one k-mer, all its words;
@@ -46,6 +48,7 @@ SKETCHES = 48
 PICKS = 7
 SIMILARITY = 0.8
 MIN_AGREE = 2
+BLOCK = 40_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -187,10 +190,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
     """(doc, sketches) of (doc, text)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            codes = [word_codes(t) for t in pdf.text]
-            keep = [len(c) > 0 for c in codes]
-            yield pd.DataFrame({"doc": pdf.doc[keep], "sketches": [
-                sketches(c).view(np.int64) for c, k in zip(codes, keep) if k]})
+            found = [(d, sketches(c).view(np.int64)) for d, c in zip(pdf.doc, map(word_codes, pdf.text)) if len(c)]
+            yield pd.DataFrame({"doc": pd.Series([d for d, _ in found], dtype="int64"),
+                                "sketches": pd.Series([x for _, x in found], dtype=object)})
 
     return docs.mapInPandas(run, "doc long, sketches array<long>")
 
@@ -208,6 +210,62 @@ def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
 
 
+def _kmer_sets(docs: DataFrame) -> DataFrame:
+    """(doc, kmers) of (doc, text): distinct k-mers as 32-bit hashes."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            sets = [np.unique((kmers(word_codes(t)) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in pdf.text]
+            yield pd.DataFrame({"doc": pdf.doc, "kmers": pd.Series(sets, dtype=object)})
+
+    return docs.mapInPandas(run, "doc long, kmers array<int>")
+
+
+def _incidence(sets: list[np.ndarray], names: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Documents x k-mers names[lo:hi], 1 where a document has the k-mer."""
+    out = np.zeros((len(sets), hi - lo), np.float32)
+    for i, x in enumerate(sets):
+        own = x[np.isin(x, names[lo:hi], assume_unique=True)]
+        out[i, np.searchsorted(names[lo:hi], own)] = 1
+    return out
+
+
+def _across(docs: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b, jaccard) of all pairs of a group (grp, doc, cls, kmers) in different classes, of least or more."""
+    n = F.size("kmers")
+    per_class = docs.groupBy("grp", "cls").agg(F.sum(n).alias("n"))
+    main = per_class.groupBy("grp").agg(F.max(F.struct("n", "cls"))["cls"].alias("m_cls"), F.max("n").alias("m"),
+                                        F.sum("n").alias("all_n"))
+    main = main.select("grp", "m_cls", F.ceil(F.col("m") / block).alias("m_blocks"),
+                       F.greatest(F.lit(1), F.ceil((F.col("all_n") - F.col("m")) / block)).alias("blocks"))
+    d = docs.join(written(main, "near-blocks"), "grp")
+    big = F.col("cls") == F.col("m_cls")
+    own = F.when(big, F.col("blocks") + F.pmod(F.xxhash64("doc"), F.col("m_blocks"))).otherwise(
+        F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(big, F.col("blocks")).otherwise(F.col("blocks") + F.col("m_blocks")) - 1)
+    d = d.withColumn("own", own).withColumn("other", F.explode(others)).select(
+        "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "cls", "kmers")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf.own == pdf.lo], pdf[pdf.own == pdf.hi]
+        cols = {"a": [], "b": [], "jaccard": []}
+        if len(x) and len(y):
+            sx, sy = list(x.kmers), list(y.kmers)
+            names = np.intersect1d(np.concatenate(sx), np.concatenate(sy))
+            both = np.zeros((len(sx), len(sy)), np.float32)
+            for lo in range(0, len(names), 4096):
+                hi = min(len(names), lo + 4096)
+                both += _incidence(sx, names, lo, hi) @ _incidence(sy, names, lo, hi).T
+            nx, ny = np.array([len(k) for k in sx]), np.array([len(k) for k in sy])
+            jaccard = both / (nx[:, None] + ny[None, :] - both)
+            ok = (jaccard >= least - 1e-6) & (x.cls.to_numpy()[:, None] != y.cls.to_numpy()[None, :])
+            i, j = np.nonzero(ok)
+            a, b = x.doc.to_numpy()[i], y.doc.to_numpy()[j]
+            cols = {"a": np.minimum(a, b), "b": np.maximum(a, b), "jaccard": jaccard[i, j].astype(float)}
+        return pd.DataFrame(cols).drop_duplicates(["a", "b"])
+
+    return d.groupBy("grp", "lo", "hi").applyInPandas(compare, "a long, b long, jaccard double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc, cls): the smallest doc that links reach, for the docs that occur in links (a, b).
 
@@ -234,6 +292,10 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _classes_of(docs: DataFrame, links: DataFrame) -> DataFrame:
+    return written(docs.join(components(links), "doc", "left").select("doc", F.coalesce("cls", "doc").alias("cls")), "near-cls")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(row_id, doc_id, class_id, kept) of every row; class_id is the smallest doc_id of the class.
 
@@ -256,41 +318,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = written(texts.join(candidates, "doc", "left_semi"), "near-texts")
     marks = sketched.join(candidates, "doc", "left_semi")
 
-    # first each member of a bucket meets the bucket's first member
-    met = members.join(shared.select("key", "lead"), "key").where("doc <> lead").select(
-        F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    cls = candidates.withColumn("cls", F.col("doc"))
-    links = tested = None
-    turn = F.pmod(F.xxhash64("doc", "key"), F.lit(1 << 30)) / float(1 << 30)
-    width, rest = 1, 1
+    # each member of a bucket meets the bucket's first member
+    star = written(members.join(shared.select("key", "lead"), "key").where("doc <> lead").select(
+        F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "near-star")
+    agree = F.size(F.array_intersect("sa", "sb"))
+    likely = star.join(marks.select(F.col("doc").alias("a"), F.col("sketches").alias("sa")), "a").join(
+        marks.select(F.col("doc").alias("b"), F.col("sketches").alias("sb")), "b").where(agree >= MIN_AGREE).select("a", "b")
+    links = tested = written(_aligned(likely, texts, least), "near-links").select("a", "b")
+    cls = _classes_of(candidates, links)
+    # groups that buckets connect and that hold several classes
+    grp = components(star).select("doc", F.col("cls").alias("grp"))
+    placed = written(grp.join(cls, "doc"), "near-placed")
+    still = placed.groupBy("grp").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("grp")
+    placed = placed.join(still, "grp")
+    sets = written(_kmer_sets(texts.join(placed.select("doc"), "doc", "left_semi")), "near-kmers")
+    across = written(_across(placed.join(sets, "doc"), least, BLOCK), "near-across")
     while True:
-        likely = F.size(F.array_intersect("sa", "sb")) >= MIN_AGREE
-        pairs = met.join(marks.select(F.col("doc").alias("a"), F.col("sketches").alias("sa")), "a").join(
-            marks.select(F.col("doc").alias("b"), F.col("sketches").alias("sb")), "b").select("a", "b", likely.alias("likely"))
-        pairs = written(pairs, "near-pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        found = written(_aligned(pairs.where("likely").select("a", "b"), texts, least), "near-links")
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            label = components(links)
-            cls = written(candidates.join(label, "doc", "left").select("doc", F.coalesce("cls", "doc").alias("cls")),
-                          "near-cls")
-        now = members.join(cls, "doc").withColumn("turn", turn)
-        per_class = now.groupBy("key", "cls").agg(F.count("*").alias("size"), F.min("turn").alias("first"))
-        still = written(per_class.groupBy("key").agg(
-            F.count("*").alias("classes"), (F.sum("size") - F.max("size")).alias("rest")).where("classes > 1"), "near-open")
-        if rest < width:  # all members but those of the largest class have led
-            break
-        rest = still.agg(F.max("rest")).first()[0] or 0
-        if not rest:
+        named = across.join(cls.select(F.col("doc").alias("a"), F.col("cls").alias("ca")), "a").join(
+            cls.select(F.col("doc").alias("b"), F.col("cls").alias("cb")), "b").where("ca <> cb")
+        named = named.join(tested, ["a", "b"], "left_anti")
+        best = named.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(
+            F.max(F.struct("jaccard", "a", "b")).alias("w"))
+        pairs = written(best.select("w.a", "w.b"), "near-pairs")
+        if pairs.isEmpty():
             break
-        leaders = now.join(per_class, ["key", "cls"]).join(still.select("key"), "key", "left_semi").where(
-            F.col("turn") <= F.greatest(F.col("first"), width / F.col("size")))
-        leaders = leaders.select(F.col("doc").alias("lead"), F.col("cls").alias("lead_cls"), "key")
-        met = now.join(leaders, "key").where("cls <> lead_cls").select(
-            F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-        met = met.join(tested, ["a", "b"], "left_anti")
-        width *= 4
+        tested = tested.unionByName(pairs)
+        found = written(_aligned(pairs, texts, least), "near-links").select("a", "b")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            cls = _classes_of(candidates, links)
     groups = groups.join(cls, "doc", "left").select("copy", F.coalesce("cls", "doc").alias("cls"))
     named = rows.join(groups, "copy").select("row_id", "doc_id", "cls")
     first = named.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("w"),
