@@ -12,10 +12,7 @@ key, hash of the row, row), which spreads copies of one text over
 partitions; each partition sums its own rows, and the sums of the partitions
 (one row each) give their offsets. No task sees more than its partition.
 
-Token ids fit two bytes and are kept as bytes. A unit of text between two
-single spaces is tokenised by itself (the pre-tokeniser always splits before
-a single space), so repeated units come from a bounded cache; texts with
-other runs of white space go through the tokenizer whole.
+Token ids fit two bytes and are kept as bytes.
 
 Defined results: a null text is empty; every document ends with id 1, so an
 empty one has one token; repeated rows are packed each for itself; an empty
@@ -24,7 +21,6 @@ table gives no piece; extra columns are never read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,9 +37,7 @@ END_ID = 1
 DIMS = 3
 BITS = 10
 TOKENIZER = "byte_bpe_50k"
-CACHE_UNITS = 200_000
 BATCH_BYTES = 4 << 20
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
 
 class Tokens:
@@ -58,35 +52,16 @@ class Tokens:
 
         with open(P.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        # the same vocabulary and pattern; the word-by-word form of it is several times faster
+        # the same vocabulary and pattern in a form that is several times faster
         self.fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.full = Tokenizer.from_file(P.path(f"{name}.json"))
-        self.units: dict[str, bytes] = {}
-
-    def _unit(self, unit: str) -> bytes:
-        ids = np.array(self.fast.encode_ordinary(unit), "<u2").tobytes()
-        if len(self.units) >= CACHE_UNITS:
-            self.units.clear()
-        if len(unit) <= 40:
-            self.units[unit] = ids
-        return ids
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:  # a special token's string
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if _ODD_SPACE.search(text):
-            return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
-        known, out = self.units, []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(known.get("\n") or self._unit("\n"))
-            first = True
-            for unit in line.split(" "):
-                if not first:
-                    unit = " " + unit
-                first = False
-                out.append(known.get(unit) or self._unit(unit))
-        return b"".join(out) if text else b""
+            ids = self.full.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u2").tobytes()
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -118,16 +93,14 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _signs(n_ids: int = 1 << 16) -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (n_ids, DIMS))
+    return np.random.default_rng(7).choice(np.array([-1, 1], np.int32), (DIMS, n_ids))
 
 
-def curve_key(ids: np.ndarray, signs: np.ndarray) -> int:
-    """Hilbert key of a document's hashed, projected, length-normalised vector."""
-    if not len(ids):
-        return 0
-    v = signs[ids].sum(axis=0, dtype=np.int64) / np.sqrt(len(ids))
-    cell = np.clip((np.tanh(v / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-    return int(hilbert(cell[None, :], BITS)[0])
+def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents' hashed, projected, length-normalised vectors."""
+    v = np.array([[s[i].sum() / np.sqrt(max(1, len(i))) for s in signs] for i in ids]).reshape(len(ids), DIMS)
+    cells = np.clip((np.tanh(v / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    return hilbert(cells, BITS)
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +113,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 ids = [tok.encode(t) + end for t in part.text]
                 yield pd.DataFrame({
                     "row_id": part.row_id, "doc_id": part.doc_id,
-                    "key": [curve_key(np.frombuffer(b, "<u2")[:-1], signs) for b in ids],
+                    "key": curve_keys([np.frombuffer(b, "<u2")[:-1] for b in ids], signs),
                     "n": [len(b) // 2 for b in ids], "ids": ids})
 
     rows = row_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")))
