@@ -50,6 +50,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S", re.ASCII)
 _TRIGGER = re.compile(r"[0-9@]|\[at\]|\(at\)")
+_AT = re.compile(r"@|\[at\]|\(at\)")
 _CUE = {"email": re.compile(r"(?i)(e-?mail|mail|contact|write)\W*$"), "ip": re.compile(r"(?i)\b(ip|host|server|addr\w*)\W*$"),
         "card": re.compile(r"(?i)(card|visa|mastercard|payment)\W*$"),
         "phone": re.compile(r"(?i)(tel|phone|call|mobile|fax|whatsapp)\W*$")}
@@ -151,12 +152,26 @@ def segments(w: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.nda
     """Tokens of a window, and its candidate segments (first token, token after, feature vector)."""
     tokens = [m.span() for m in _TOKEN.finditer(w)]
     out = []
+    signs = [m.start() for m in _AT.finditer(w)]
+    next_sign, k = [], 0
+    for a, _ in tokens:
+        while k < len(signs) and signs[k] < a:
+            k += 1
+        next_sign.append(signs[k] if k < len(signs) else len(w) + 1)
     for i, (a, _) in enumerate(tokens):
         if not (w[a].isalnum() or w[a] in "+("):
             continue
+        plain = True
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            if (f := features(w, a, tokens[j][1])) is not None:
-                x = np.zeros(N_FEATURES)
+            lo, hi = tokens[j]
+            plain = plain and w[lo] in "0123456789().+-"
+            # neither digits and signs only, nor an address within reach
+            if not plain and (next_sign[i] > tokens[min(len(tokens), i + MAX_TOKENS) - 1][1]):
+                break
+            if not plain and hi <= next_sign[i]:
+                continue
+            if (f := features(w, a, hi)) is not None:
+                x = np.zeros(N_FEATURES, np.float32)
                 x[f] = 1
                 out.append((i, j + 1, x))
     return tokens, out
