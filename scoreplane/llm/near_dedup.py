@@ -13,8 +13,8 @@ k-mers inside matched runs, over all distinct k-mers of both, must be at
 least ``SIMILARITY``.
 
 No bucket is expanded into pairs. Copies collapse first (equal word
-sequences). Then each member of a bucket is compared with the bucket's first
-member, and links merge classes; that settles the usual groups. What is left
+sequences). Then each member of a bucket is compared with the bucket's leader
+(the member whose buckets are largest), and links merge classes; that settles the usual groups. What is left
 are links between members of different classes of one bucket. For them, the
 groups that buckets connect and that hold more than one class are cut into
 blocks of about ``BLOCK`` k-mers, those of the group's largest class apart.
@@ -312,15 +312,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("row_id").alias("doc"), "text")
     sketched = written(_sketched(texts), "near-sketches")
     keys = sketched.select("doc", F.posexplode("sketches").alias("i", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).where("n > 1")
-    members = written(keys.select("doc", "key").join(shared.select("key"), "key"), "near-members")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(keys.select("doc", "key").join(shared, "key"), "near-members")
+    # the member with the largest buckets leads: the buckets of one group then have few leaders
+    weight = members.groupBy("doc").agg(F.sum("n").alias("weight"))
+    leads = members.join(weight, "doc").groupBy("key").agg(F.max(F.struct("weight", "doc"))["doc"].alias("lead"))
     candidates = members.select("doc").distinct()
     texts = written(texts.join(candidates, "doc", "left_semi"), "near-texts")
     marks = sketched.join(candidates, "doc", "left_semi")
 
-    # each member of a bucket meets the bucket's first member
-    star = written(members.join(shared.select("key", "lead"), "key").where("doc <> lead").select(
-        F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "near-star")
+    # each member of a bucket meets the bucket's leader
+    star = written(members.join(leads, "key").where("doc <> lead").select(
+        F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct(), "near-star")
     agree = F.size(F.array_intersect("sa", "sb"))
     likely = star.join(marks.select(F.col("doc").alias("a"), F.col("sketches").alias("sa")), "a").join(
         marks.select(F.col("doc").alias("b"), F.col("sketches").alias("sb")), "b").where(agree >= MIN_AGREE).select("a", "b")
