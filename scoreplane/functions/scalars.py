@@ -25,22 +25,6 @@ def percent_of(n, total, digits: int = 2) -> Column:
     return F.round(_c(n).cast("double") * 100.0 / _c(total), digits).cast("double")
 
 
-def clamp0(c) -> Column:
-    """Floor at zero."""
-    return F.greatest(F.lit(0.0), _c(c))
-
-
-def zero_if_missing(c) -> Column:
-    """A missing or zero value becomes 0."""
-    c = _c(c)
-    return F.when(c.isNull() | (c == 0), F.lit(0)).otherwise(c)
-
-
-def day_of(c) -> Column:
-    """H8: DATE(timestamp)."""
-    return F.to_date(_c(c))
-
-
 def day_of_text(c, fmt: str = FV.LOG_TIME_FORMAT) -> Column:
     """H9: DATE(text); malformed text gives NULL instead of failing."""
     return F.to_date(F.try_to_timestamp(_c(c), F.lit(fmt)))
@@ -68,11 +52,6 @@ def failure_reason(error) -> Column:
     return F.when(hit, F.lit(FV.REASON_QUOTA)).otherwise(F.lit(FV.REASON_ERROR))
 
 
-def labels_equal_ci(a, b) -> Column:
-    """Case-insensitive label equality."""
-    return F.lower(_c(a)) == F.lower(_c(b))
-
-
 def valid_email(c) -> Column:
     """E-mail format rule."""
     return _c(c).rlike(FV.EMAIL_PATTERN)
@@ -88,9 +67,3 @@ def check_unit_interval(x: float, name: str = "threshold") -> float:
     if not (0.0 <= x <= 1.0):
         raise ValueError(f"{name} must be between 0.0 and 1.0, got {x}")
     return x
-
-
-def in_range(c, lo, hi) -> Column:
-    """Inclusive numeric range test; NaN and NULL fail."""
-    c = _c(c)
-    return c.isNotNull() & ~F.isnan(c.cast("double")) & (c >= lo) & (c <= hi)

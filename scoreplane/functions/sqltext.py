@@ -14,15 +14,6 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def sql_ident(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def int_array(ids) -> str:
-    ids = list(ids)
-    return f"array({', '.join(str(int(i)) for i in ids)})" if ids else "CAST(array() AS array<int>)"
-
-
 def str_array(items) -> str:
     items = list(items)
     return f"array({', '.join(sql_str(s) for s in items)})" if items else "CAST(array() AS array<string>)"

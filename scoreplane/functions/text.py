@@ -25,21 +25,11 @@ def strip_ws(c) -> Column:
     return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
-def strip_ws_regex(c) -> Column:
-    """Regex form of ``strip_ws`` (same result, scans the whole text)."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
-
-
 def normalize(c) -> Column:
     """H1: lower case + strip."""
     return F.lower(strip_ws(c))
 
 
-def apply_replacements(c, pairs) -> Column:
-    """H2: ordered substring replacement; each step sees the previous output."""
-    return functools.reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, _c(c))
-
-
 def quote_regex(s: str) -> str:
     """Literal quoting understood by Java regex and RE2."""
     if "\\E" in s:
@@ -85,7 +75,7 @@ def compose_text(description, resume) -> Column:
     """H5: description, blank line, résumé; stripped; only when résumé is non-empty."""
     d, r = _c(description), _c(resume)
     return F.when(F.coalesce(r, F.lit("")) != "",
-                  strip_ws(F.concat(d, F.lit("\n\n"), r))).otherwise(d)
+                  strip_ws(F.concat(F.coalesce(d, F.lit("")), F.lit("\n\n"), r))).otherwise(d)
 
 
 def split_list(c, sep: str = ",") -> Column:

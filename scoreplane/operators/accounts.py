@@ -122,7 +122,7 @@ def update_column(table: DataFrame, updates: DataFrame, key: str, col: str,
     """I8: set ``col`` from ``updates`` by key (latest update wins); flag changed rows."""
     u = updates
     if ts:
-        u = u.groupBy(key).agg(F.max_by(F.col(col), F.col(ts)).alias("_new"))
+        u = u.groupBy(key).agg(F.max_by(F.col(col), F.struct(ts, col)).alias("_new"))
     else:
         u = u.groupBy(key).agg(F.max(col).alias("_new"))
     j = table.join(u.withColumnRenamed(key, "_uk"), F.col(key) == F.col("_uk"), "left")

@@ -133,8 +133,3 @@ def table_summary(df: DataFrame, key: str = "domain", ts: str = "timestamp") ->
 def row_count(df: DataFrame, name: str = "cnt") -> DataFrame:
     """Total rows as a one-row frame."""
     return df.agg(F.count(F.lit(1)).alias(name))
-
-
-def count_where(df: DataFrame, cond: Column, name: str = "cnt") -> DataFrame:
-    """D11 building block: filtered count as a one-row frame."""
-    return df.where(cond).agg(F.count(F.lit(1)).alias(name))

@@ -219,7 +219,7 @@ kwres AS (
 def compose_sql(desc: str, resume: str) -> str:
     """H5 in DuckDB."""
     return (f"CASE WHEN COALESCE({resume}, '') <> '' "
-            f"THEN regexp_replace({desc} || chr(10) || chr(10) || {resume}, '^{WS}+|{WS}+$', '', 'g') "
+            f"THEN regexp_replace(COALESCE({desc}, '') || chr(10) || chr(10) || {resume}, '^{WS}+|{WS}+$', '', 'g') "
             f"ELSE {desc} END")
 
 

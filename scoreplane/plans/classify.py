@@ -19,7 +19,7 @@ from scoreplane.functions.text import fewer_words_than, normalize, phrase_patter
 from scoreplane.operators.textmatch import (Dictionary, any_hit_sql, hit_count_sql,
                                             term_hits_sql, tokens_sql)
 from scoreplane.rules import MAX_INLINE_TERMS, RuleSet
-from scoreplane.session import checkpoint_dir, spread
+from scoreplane.session import checkpoint_dir
 
 
 def dictionary_terms(rs: RuleSet) -> list[str]:
@@ -137,7 +137,6 @@ def classify(df: DataFrame, rs: RuleSet, title: str | Column = "job_title",
     if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
         return _classify_join(df, rs, title, desc, out, keep, with_score, key)
     d = dictionary_for(rs)
-    df = spread(df)
     staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
                              normalized(desc, rs).alias("_d")), keep, d)
     staged = staged.select(*keep, "_th", "_dh", F.array_union("_th", "_dh").alias("_both"),
@@ -277,7 +276,7 @@ def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=
     """
     spark = df.sparkSession
     terms, free = tables if tables is not None else term_table(spark, rs)
-    x = spread(df).select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"),
+    x = df.select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"),
                           *([F.col(key).alias("_rid")] if key else []))
     if not key:
         checkpoint_dir(spark)
@@ -319,7 +318,6 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
                 .where((F.col("title_hits") > 0) | (F.col("desc_hits") > 0))
                 .select(id_col, "domain", F.col("title_hits").cast("bigint"), F.col("desc_hits").cast("bigint")))
     d = dictionary_for(rs)
-    df = spread(df)
     staged = _hits(df.select(id_col, normalized(title, rs).alias("_t"),
                              normalized(desc, rs).alias("_d")), [id_col], d)
     per_dom = ", ".join(
@@ -344,7 +342,6 @@ def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_descrip
         return staged.select(*keep, F.expr(f"aggregate(_scores, {first_max}").alias("_b")).select(
             *keep, F.col("_b.domain").alias("best_domain"), F.col("_b.score").alias("best_score"))
     d = dictionary_for(rs)
-    df = spread(df)
     staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
                              normalized(desc, rs).alias("_d")), keep, d)
     staged = staged.select(*keep, "_th", "_dh", F.array_union("_th", "_dh").alias("_both"),

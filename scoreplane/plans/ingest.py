@@ -45,8 +45,8 @@ def _truncate(d: Column) -> Column:
 
 
 def to_int_score(c: Column) -> Column:
-    """Float assigned to an INTEGER column: round half to even."""
-    return F.bround(c.cast("double"), 0).cast("int")
+    """Float assigned to an INTEGER column as a decimal literal: half away from zero."""
+    return F.round(c.cast("double"), 0).cast("int")
 
 
 @dataclass

@@ -109,11 +109,8 @@ WHERE action = 'login' AND CAST(strptime(timestamp, '%Y-%m-%d %H:%M:%S') AS DATE
 
 register("d14_having_min_count", W(f"""
 SELECT domain, {ravg('ats_score')} AS avg_ats_score, COUNT(*) AS candidate_count
-FROM candidates WHERE CAST(timestamp AS DATE) >= DATE '2024-12-01'
-GROUP BY domain HAVING COUNT(*) >= 40""", "candidates"))(
-    lambda s, d: AG.average_by_group(
-        FX.candidates(s, d).where(F.to_date("timestamp") >= F.lit("2024-12-01").cast("date")),
-        min_count=40))
+FROM candidates GROUP BY domain HAVING COUNT(*) >= 300""", "candidates"))(
+    lambda s, d: AG.average_by_group(FX.candidates(s, d), min_count=300))
 
 # ---------------------------------------------------------------- filters
 register("b1_list_candidates_paged", W(f"""
@@ -176,8 +173,8 @@ FROM (SELECT req_id, username FROM registrations) r LEFT JOIN accounts a ON r.us
     lambda s, d: FL.attribute_for_users(FX.accounts(s, d),
                                         FX.registrations(s, d).select("req_id", "username"), "email"))
 
-# random order is not comparable row by row; rows-only check.
-register("f6_shuffled_keys")(
+# the order is random, the set of rows is not
+register("f6_shuffled_keys", W("SELECT DISTINCT api_key FROM call_log", "call_log"))(
     lambda s, d: FL.shuffled(FX.call_log(s, d).select("api_key").distinct()))
 
 # ---------------------------------------------------------------- text rules
@@ -525,7 +522,7 @@ j AS (SELECT s.*, CASE WHEN l.llm_domain IS NULL THEN k.kw_domain ELSE l.llm_dom
 register("j4_ingest_accepted", W(f"""
 SELECT CAST((SELECT max(id) FROM candidates) + row_number() OVER (ORDER BY sub_id) AS BIGINT) AS id,
        resume_name, candidate_name,
-       {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in IG.INT_SCORES)},
+       {', '.join(f'CAST(ROUND(CAST({c} AS DECIMAL(18,6))) AS INTEGER) AS {c}' for c in IG.INT_SCORES)},
        CAST(trunc(COALESCE(format_score, 0.0)) AS INTEGER) AS format_score,
        CAST(bias_score AS FLOAT) AS bias_score, domain, confidence,
        TIMESTAMP '{_LOCAL}' AS timestamp
@@ -568,18 +565,25 @@ from scoreplane.streaming import streams as SS  # noqa: E402
 
 
 def _s1(s, d):
-    return SS.run_to_table(SS.daily_usage(FX.call_log_from(SS.file_stream(s, d, "events"))), "s1")
+    return SS.run_updates(SS.daily_usage(FX.call_log_from(SS.file_stream(s, d, "events"))), "s1",
+                          ["window_start", "window_end", "api_key"], "calls")
 
 
 register("s1_daily_usage_stream", W("""
-SELECT * FROM (
-  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start,
-         CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, api_key, COUNT(*) AS calls
-  FROM call_log WHERE error IS NULL GROUP BY 1, 2, 3)
-WHERE window_end <= (SELECT max(ts) FROM call_log WHERE error IS NULL) - INTERVAL 1 HOUR""", "call_log"))(_s1)
-
-register("s2_first_prompts_stream")(
-    lambda s, d: SS.run_to_table(SS.first_prompts(FX.call_log_from(SS.file_stream(s, d, "events"))), "s2"))
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start,
+       CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, api_key, COUNT(*) AS calls
+FROM call_log WHERE error IS NULL GROUP BY 1, 2, 3""", "call_log"))(_s1)
+
+register("s2_cache_misses_stream", W(f"""
+SELECT min(h.call_id) AS call_id, prompt_hash, ts FROM h JOIN miss USING (prompt_hash, ts) GROUP BY 2, 3""",
+                                     "call_log", extra=f"""
+h AS (SELECT call_id, ts, {O.hash_sql()} AS prompt_hash FROM call_log),
+miss AS (SELECT prompt_hash, min(ts) AS ts FROM h GROUP BY 1
+         UNION ALL
+         SELECT h.prompt_hash, min(h.ts) FROM miss m JOIN h
+           ON h.prompt_hash = m.prompt_hash AND h.ts > m.ts + INTERVAL {FV.CACHE_TTL_HOURS} HOUR GROUP BY 1)""").replace(
+    "WITH ", "WITH RECURSIVE ", 1))(
+    lambda s, d: SS.run_to_table(SS.cache_misses(FX.call_log_from(SS.file_stream(s, d, "events"))), "s2"))
 
 
 def _s3(s, d):
@@ -599,11 +603,9 @@ register("s3_failure_state_stream", W("SELECT * FROM failures", "call_log",
 
 register("s4_logins_per_day_stream", W("""
 SELECT CAST(strptime(timestamp, '%Y-%m-%d %H:%M:%S') AS DATE) AS day, COUNT(*) AS logins
-FROM user_logs WHERE action = 'login' GROUP BY 1
-HAVING CAST(CAST(strptime(timestamp, '%Y-%m-%d %H:%M:%S') AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
-       <= (SELECT max(strptime(timestamp, '%Y-%m-%d %H:%M:%S')) FROM user_logs WHERE action = 'login')
-          - INTERVAL 1 HOUR""", "user_logs"))(
-    lambda s, d: SS.run_to_table(SS.logins_per_local_day(FX.user_logs_from(SS.file_stream(s, d, "events"))), "s4"))
+FROM user_logs WHERE action = 'login' GROUP BY 1""", "user_logs"))(
+    lambda s, d: SS.run_updates(SS.logins_per_local_day(FX.user_logs_from(SS.file_stream(s, d, "events"))), "s4",
+                                ["day"], "logins"))
 
 
 def _s5(s, d):
@@ -620,7 +622,6 @@ JOIN (SELECT * FROM code_events WHERE kind = 'issue') i
 
 # ---------------------------------------------------------------- scalar rules as queries
 from scoreplane.functions import scalars as SC  # noqa: E402
-from scoreplane.session import spread  # noqa: E402
 from scoreplane.functions import text as TX  # noqa: E402
 
 _DOC_LOWER = "lower(text)"
@@ -639,7 +640,7 @@ register("h3_bounded_phrases", f"""
 SELECT doc_id, {', '.join(
     f"regexp_matches(lower(text), {O.q(TX.phrase_pattern_portable(p))}) AS has_{i}" for i, p in enumerate(_PHRASES))}
 FROM documents""")(
-    lambda s, d: spread(ST.read_table(s, d, "documents")).select(
+    lambda s, d: FX.dealt(ST.read_table(s, d, "documents")).select(
         "doc_id", *[TX.has_phrase(F.lower("text"), p).alias(f"has_{i}") for i, p in enumerate(_PHRASES)]))
 
 register("h4_word_count", f"""
@@ -647,7 +648,7 @@ SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{TX.WS}+'), lambda w
        NOT regexp_matches(text, '^{TX.WS}*(?:{TX.WS.replace('[', '[^', 1)}+{TX.WS}+){{7}}{TX.WS.replace('[', '[^', 1)}')
          AS short_text
 FROM documents""")(
-    lambda s, d: spread(ST.read_table(s, d, "documents")).select(
+    lambda s, d: FX.dealt(ST.read_table(s, d, "documents")).select(
         "doc_id", TX.word_count("text").alias("words"), TX.fewer_words_than("text", 8).alias("short_text")))
 
 register("h5_compose_text", W(f"SELECT id, {_COMPOSED} AS text FROM postings", "postings"))(
@@ -715,12 +716,27 @@ def _a6(s, d):
 register("a6_export_csv_readback", ORACLE["b5_export_filter"])(_a6)
 
 
+def _a6_texts(s, d):
+    """Whole texts with padding, line breaks, quotes and a backslash; an empty and a missing field."""
+    out = scratch_path(s, "export")
+    rows = ST.read_table(s, d, "documents").select(
+        "doc_id", F.concat(F.lit("  "), "text", F.lit('\r\n"x" \\ ')).alias("name"), F.lit("").alias("empty"),
+        F.lit(None).cast("string").alias("missing"))
+    ST.export_csv(rows, out)
+    return ST.read_csv(s, out, rows.schema)
+
+
+register("a6_export_csv_texts", """
+SELECT doc_id, '  ' || text || chr(13) || chr(10) || '"x" ' || chr(92) || ' ' AS name, '' AS empty,
+       CAST(NULL AS VARCHAR) AS missing FROM documents""")(_a6_texts)
+
+
 def _a7(s, d):
     out = scratch_path(s, "audit")
-    logs = FX.user_logs(s, d).where(F.col("action") == "register")
+    logs = FX.user_logs(s, d)
     ST.append(logs.where(F.col("timestamp") < "2024-01-15"), out)
     ST.append(logs.where(F.col("timestamp") >= "2024-01-15"), out)
     return s.read.schema(USER_LOGS).parquet(out)
 
 
-register("a7_append_audit", W("SELECT * FROM user_logs WHERE action = 'register'", "user_logs"))(_a7)
+register("a7_append_audit", W("SELECT * FROM user_logs", "user_logs"))(_a7)

@@ -2,7 +2,7 @@
 
 Rules are data: small DataFrames with an order column. The classifier's
 keyword and replacement tables are supplied by the caller; ``sample_*``
-below is an independently written test vocabulary. Domain weights, boost
+below is a test vocabulary of words of the ``documents`` table. Domain weights, boost
 terms and similarity tables default to the fixed values.
 """
 
@@ -20,72 +20,64 @@ MAX_RULE_ROWS = 200_000
 # (with its literals) travels with every task, so this keeps it to a few MB.
 MAX_INLINE_TERMS = 20_000
 
-# Sample ordered phrase replacements (seq, old, new): applied one after the
-# other, substring based, so one step may create a match for a later one.
+# Sample ordered phrase replacements (seq, old, new), applied one after the
+# other to substrings. Their words occur in the ``documents`` table. The first
+# step makes a match for the second, the fourth one for the fifth; "her" also
+# matches inside longer words.
 SAMPLE_REPLACEMENTS = [
-    ("cyber security", "cybersecurity"),
-    ("security engineer", "cybersecurity"),
-    ("ml engineer", "machine learning"),
-    ("data engineer", "data science"),
-    ("frontend developer", "frontend"),
-    ("backend developer", "backend"),
-    ("full stack developer", "full stack"),
-    ("devops engineer", "devops"),
-    ("qa engineer", "quality assurance"),
-    ("sre", "site reliability engineering"),
-    ("dba", "database management"),
-    ("product manager", "product management"),
-    ("mobile developer", "mobile development"),
-    ("game developer", "game development"),
+    ("thon ther", "thonther"),
+    ("thonther", "anea"),
+    ("nicht aulich", "aulich"),
+    ("mit license", "open terms"),
+    ("open terms", "licence grant"),
+    ("her", "ther"),
+    ("onnd the", "onnd"),
+    ("dans les", "dedans"),
 ]
 
-# Sample keyword lists per domain (domain order follows DOMAIN_WEIGHTS).
+# Sample keyword lists per domain (domain order follows DOMAIN_WEIGHTS), of
+# words and phrases that occur in the ``documents`` table.
 SAMPLE_KEYWORDS = {
-    "Data Science": ["pandas", "sql", "data analysis", "tableau", "statistics",
-                     "data science", "etl", "a/b testing"],
-    "AI/Machine Learning": ["machine learning", "pytorch", "nlp", "llm",
-                            "computer vision", "scikit-learn"],
-    "Mobile Development": ["mobile development", "kotlin", "swift", "flutter"],
-    "Frontend Development": ["react", "css", "html", "javascript", "typescript",
-                             "frontend", "vue"],
-    "Backend Development": ["django", "flask", "api", "node.js", "go", "postgres",
-                            "backend", "java"],
-    "Full Stack Development": ["full stack", "mern", "end-to-end"],
-    "Cybersecurity": ["cybersecurity", "penetration testing", "siem", "owasp"],
-    "Cloud Engineering": ["aws", "kubernetes", "terraform", "cloud"],
-    "DevOps/Infrastructure": ["devops", "ci/cd", "docker", "kubernetes"],
-    "Quality Assurance": ["quality assurance", "selenium", "test", "unit tests"],
-    "Game Development": ["unity", "c++", "game development", "3d"],
-    "Database Management": ["database management", "sql", "oracle"],
-    "Networking": ["tcp/ip", "ipv6", "802.11", "routing"],
-    "Site Reliability Engineering": ["site reliability engineering", "slo", "on-call"],
-    "Product Management": ["product management", "roadmap"],
+    "Data Science": ["anea", "tion the", "thing", "version 2.0", "eriner", "then"],
+    "AI/Machine Learning": ["thble", "erin is", "attion", "onan", "thanea"],
+    "Mobile Development": ["erer", "anon", "reou", "pour"],
+    "Frontend Development": ["that", "ered", "thly", "onnd", "eron", "sich"],
+    "Backend Development": ["with", "erat", "thea", "retion", "nicht", "dans", "anti"],
+    "Full Stack Development": ["thnd", "that the", "onre"],
+    "Cybersecurity": ["licence grant", "public license", "ernd", "token ="],
+    "Cloud Engineering": ["from", "thou", "erble", "rean"],
+    "DevOps/Infrastructure": ["this", "thst", "erly", "anea", "of."],
+    "Quality Assurance": ["ther", "test", "is, the", "onin"],
+    "Game Development": ["erth", "onwh", "thnt", "reen", "+1"],
+    "Database Management": ["eres", "tion", "reing"],
+    "Networking": ["mail1.example.com", "555", "erwh", "onou"],
+    "Site Reliability Engineering": ["oned", "thor", "reer"],
+    "Product Management": ["only", "heat", "para"],
 }
 
-# Job titles and short descriptions used to build posting fixtures.
+# Titles and short phrases used to build posting fixtures.
 SAMPLE_TITLES = [
-    "Senior Data Engineer", "ML Engineer", "Frontend Developer", "Backend Developer",
-    "Full Stack Developer", "Cyber Security Engineer", "Cloud Engineer", "DevOps Engineer",
-    "QA Engineer", "Game Developer", "Mobile Developer", "Product Manager",
-    "SRE", "Network Engineer", "Office Manager", "full stack developer developer",
+    "Senior Anea Thing", "Thble Attion", "That Thly Onnd", "With Retion", "Thnd Onre", "Mit License Ernd",
+    "From Erble", "This Thst", "Test Onin", "Erth Reen", "Anon Reou", "Only Heat",
+    "Oned Reer", "Erwh Onou", "Unda Seco", "Thnd onre developer developer",
 ]
 SAMPLE_PHRASES = [
-    "python pandas sql etl and tableau dashboards",
-    "pytorch nlp and computer vision with llm tooling",
-    "react css html javascript typescript plus django flask api postgres",
-    "go and java backend services with postgres",
-    "aws kubernetes terraform cloud",
-    "docker ci/cd kubernetes",
-    "selenium unit tests",
-    "unity c++ 3d",
-    "kotlin swift flutter",
-    "roadmap",
-    "802.11 ipv6 routing tcp/ip",
-    "slo on-call",
-    "owasp siem penetration testing",
-    "mern end-to-end",
+    "anea thing with version 2.0 and eriner",
+    "thble onan with thanea and attion",
+    "that ered thly eron plus with erat thea retion",
+    "erat and thea with anti retion",
+    "from thou erble rean",
+    "this thst erly",
+    "test onin ther",
+    "erth onwh reen +1",
+    "anon reou pour",
+    "only",
+    "555 erwh onou mail1.example.com",
+    "oned thor",
+    "public license ernd",
+    "thnd that the onre",
     "ai",
-    "django",
+    "erat",
 ]
 
 
@@ -155,12 +147,6 @@ def keywords_table(spark: SparkSession, rs: RuleSet | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, domain string, weight double, keyword string, pos int")
 
 
-def labels_table(spark: SparkSession) -> DataFrame:
-    """The valid label set."""
-    return spark.createDataFrame([(i + 1, d) for i, d in enumerate(FV.DOMAIN_LABELS)],
-                                 "rank int, label string")
-
-
 def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FV.SIMILARITY_ALIASES.items()), "alias string, label string")
 

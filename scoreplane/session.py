@@ -76,16 +76,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def spread(df, spark: SparkSession | None = None):
-    """Give CPU-heavy per-row work at least one task per core.
-
-    Large inputs already arrive in many file splits and are returned as is
-    (no shuffle). Only an input with fewer splits than the cluster has cores
-    (a small table stored as one file) is spread round-robin.
-    """
-    spark = spark or df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(cores) if n < cores else df

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from scoreplane import fixed_values as FV
 from scoreplane import rules as R
-from scoreplane.session import spread
 from scoreplane.sources.tables import read_table
 
 # Fixed reference instant for "now"-relative queries on the fixtures.
@@ -27,6 +26,13 @@ TITLE_LABELS = [
     "Quality Assurance", "Game Development", "Mobile Development", "Product Management",
     "Site Reliability Engineering", "Networking", "Unclassified", "Full Stack Development",
 ]
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table stored as one file, dealt to all cores once."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 INVALID_LABEL = "LLM unavailable: no healthy key"
 MODEL_ERRORS = ["HTTP 429", "Rate limit reached", "Quota exceeded", "connection reset"]
 
@@ -121,7 +127,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty-resume and short-description rules are covered by the edge-row
     and brute-force tests.
     """
-    d = spread(read_table(spark, sf_dir, "documents"))
+    d = dealt(read_table(spark, sf_dir, "documents"))
     did = F.col("doc_id")
     return d.select(
         did.alias("id"),
@@ -212,7 +218,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     1.01, format is missing on every 4th row and fractional elsewhere,
     and every 97th row has a NaN skills score.
     """
-    d = spread(read_table(spark, sf_dir, "documents"))
+    d = dealt(read_table(spark, sf_dir, "documents"))
     did = F.col("doc_id")
     return d.select(
         did.alias("sub_id"),

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 
 CSV_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+CSV_NULL = "\\N"
+CSV_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
@@ -68,20 +70,28 @@ def publish(df: DataFrame, path: str) -> str:
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
-    """Distributed CSV export with header; quotes escaped by doubling.
+    """Distributed CSV export with header; every field quoted, quotes doubled.
 
-    Sorting is kept by the writer per partition; ``single_file`` funnels the
-    output through one task and is only for small extracts.
+    Padding, line breaks and empty text survive; NULL is the mark ``\\N``.
+    A file with line breaks is read by one task, so files hold at most
+    ``CSV_ROWS`` records. Sorting is kept by the writer per partition;
+    ``single_file`` funnels the output through one task and is only for
+    small extracts.
     """
     out = df.coalesce(1) if single_file else df
-    (out.write.mode("errorifexists")
-        .option("header", True).option("escape", '"').option("quoteAll", False)
-        .option("timestampFormat", CSV_TS).option("timestampNTZFormat", CSV_TS)
-        .csv(path))
+    w = (out.write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("nullValue", CSV_NULL).option("emptyValue", "")
+         .option("timestampFormat", CSV_TS).option("timestampNTZFormat", CSV_TS))
+    if not single_file:
+        w = w.option("maxRecordsPerFile", CSV_ROWS)
+    w.csv(path)
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read an export back with its schema (microsecond time stamps kept)."""
-    return (spark.read.schema(schema).option("header", True).option("escape", '"')
+    return (spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("nullValue", CSV_NULL).option("emptyValue", "")
             .option("timestampFormat", CSV_TS).option("timestampNTZFormat", CSV_TS).csv(path))

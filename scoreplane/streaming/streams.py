@@ -50,9 +50,25 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
+def run_updates(stream: DataFrame, name: str, keys: list[str], count: str) -> DataFrame:
+    """Run a counting query in update mode and read its state: open windows count as far as they got.
+
+    Every micro-batch writes the changed keys to a folder of its own id, which
+    a retried batch overwrites; counts only grow, so a key's state is its
+    largest count.
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, f"stream-{name}")
+    q = (stream.writeStream.outputMode("update")
+         .foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/changes/batch={epoch}"))
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/changes").groupBy(*keys).agg(F.max(count).alias(count))
+
+
 # S1 -----------------------------------------------------------------------
 def daily_usage(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Successful calls per key and UTC day; a day is emitted once the watermark passes it."""
+    """Successful calls per key and UTC day; a window's state goes once the watermark passes it."""
     ok = event_time(calls.where(F.col("error").isNull()))
     return (ok.withWatermark("event_ts", delay)
               .groupBy(F.window("event_ts", "1 day").alias("w"), "api_key")
@@ -62,16 +78,38 @@ def daily_usage(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 # S2 -----------------------------------------------------------------------
-def first_prompts(calls: DataFrame, ttl_hours: int = FV.CACHE_TTL_HOURS) -> DataFrame:
-    """Drop repeated prompts while their state lives (watermark = cache lifetime).
+def cache_misses(calls: DataFrame, ttl_hours: int = FV.CACHE_TTL_HOURS) -> DataFrame:
+    """The calls that miss the response cache.
 
-    State expires only when the watermark moves between micro-batches, so
-    this is the streaming approximation; ``cache_versions`` is exact.
+    A call misses if its prompt has no miss within the lifetime before it;
+    each miss refreshes the entry. The state of a prompt is the time of its
+    last miss, dropped once the event time is a lifetime past it. Calls of a
+    prompt are decided in time order within a micro-batch.
     """
-    h = event_time(CG.with_hash(calls))
-    return (h.withWatermark("event_ts", f"{ttl_hours} hours")
-             .dropDuplicatesWithinWatermark(["prompt_hash"])
-             .select("call_id", "prompt_hash", F.col("event_ts").cast("timestamp_ntz").alias("ts")))
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    life = int(ttl_hours * 3600 * 1_000_000)
+
+    def decide(key, chunks, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(chunks)).sort_values(["at", "call_id"])
+        last, kept = (state.get[0] if state.exists else None), []
+        for call, at in zip(rows.call_id, rows["at"]):
+            if last is None or at - last > life:
+                last = int(at)
+                kept.append((int(call), key[0], last))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
+        yield pd.DataFrame(kept, columns=["call_id", "prompt_hash", "at"])
+
+    h = event_time(CG.with_hash(calls)).withWatermark("event_ts", f"{ttl_hours} hours")
+    out = h.select("call_id", "prompt_hash", "event_ts", F.unix_micros("event_ts").alias("at")).groupBy(
+        "prompt_hash").applyInPandasWithState(
+        decide, "call_id long, prompt_hash string, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("call_id", "prompt_hash", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
 
 
 # S3 (and exact S2) ---------------------------------------------------------

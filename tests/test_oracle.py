@@ -58,7 +58,8 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_a_callable_and_most_have_oracles():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(o) >= len(q) - 3
+    own = {n for n in q if n != "pipeline" and not n.startswith("op")}  # the others have brute-force tests
+    assert len(own - set(o)) <= 1
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
