@@ -107,12 +107,15 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     left = F.when(F.char_length("__c") == F.char_length(t), chars).otherwise(
         F.char_length(F.regexp_replace("__c", SPACE, ""))).cast("long")
     failed = (n < MIN_WORDS) | (100 * F.col("__r") > MAX_REPEAT_PCT * n)
+    # always true, and not deterministic: a filter on the verdict stays above this projection instead of
+    # being rewritten down through all of the above, each time with every expression written out again
+    here = F.monotonically_increasing_id() >= 0
     q = F.struct(
         n.cast("long").alias("n_words"), chars.alias("word_chars"),
         F.when(F.col("__m"), F.regexp_count(t, F.lit(r"[#*$%&|<>]"))).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("__lw") - F.size(F.array_distinct("__lw"))).cast("long").alias("n_dup_lines"),
         F.col("__r").alias("n_repeat_words"), left.alias("left_chars"), failed.alias("base_failed"),
-        (~failed & (left >= (1 - MAX_LOST) * chars)).alias("kept"), F.col("__c").alias("clean_text"))
+        (~failed & (left >= (1 - MAX_LOST) * chars) & here).alias("kept"), F.col("__c").alias("clean_text"))
     return df.select(*cols, q.alias("__q"))
 
 
