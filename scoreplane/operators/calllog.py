@@ -30,8 +30,8 @@ def successes(calls: DataFrame) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str, ts: str, tie: str, cols: list[str]) -> DataFrame:
-    """Last row per key by (ts, tie) via ``max_by``: partial aggregation, no window sort."""
-    order = F.struct(F.col(ts), F.col(tie))
+    """Last row per key by (ts, tie, then the values) via ``max_by``: partial aggregation, no window sort."""
+    order = F.struct(F.col(ts), F.col(tie), *[F.col(c).alias(f"_v{k}") for k, c in enumerate(cols)])
     payload = F.struct(*[F.col(c) for c in cols])
     return (df.groupBy(key).agg(F.max_by(payload, order).alias("_last"))
               .select(key, *[F.col("_last")[c].alias(c) for c in cols]))

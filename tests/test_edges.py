@@ -457,3 +457,15 @@ def test_latest_update_of_a_tie_is_fixed(spark):
 
     for order in (["email"], [F.col("email").desc()]):
         assert AC.update_column(t, u.orderBy(*order), "username", "email", "ts").first()["email"] == "z"
+
+
+def test_failures_at_one_instant_have_a_fixed_last(spark):
+    schema = "api_key string, fail_time timestamp, reason string"
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    old = spark.createDataFrame([("k", t, "quota")], schema)
+    rows = [("k", t, "a"), ("k", t, "c"), ("k", t, "b")]
+    from scoreplane.operators import calllog as CG
+
+    for new in (rows, rows[::-1]):
+        assert CG.mark_failures(old, spark.createDataFrame(new, schema)).first()["reason"] == "c"
