@@ -38,16 +38,12 @@ BOILERPLATE = (
 )
 
 
-#: parts of the phrases as they are written; texts without any of them skip the line pattern
-_PARTS = ("ights reserved", "RIGHTS RESERVED", "ookie", "COOKIE", "olicy", "POLICY", "erms of", "TERMS OF", "lick here",
-          "CLICK HERE", "p for our", "P FOR OUR", "ubscribe", "SUBSCRIBE", "avaScript", "avascript", "JAVASCRIPT",
-          "icensed", "ICENSED", "eleased under", "ELEASED UNDER", "orem ipsum", "OREM IPSUM", "ack to top", "ACK TO TOP",
-          "ead more", "EAD MORE")
 _MARKED = r"[#*$%&|<>\u00BB\u203A\u2022\u00B7]|[!?]{2}"
 _FEW = 32
 
 
 def _any(text: Column, parts) -> Column:
+    """True if lower-case text has one of the parts (the phrase pattern ignores the case of A-Z only)."""
     out = F.lit(False)
     for p in parts:
         out = out | text.contains(p)
@@ -61,8 +57,8 @@ def words(text: Column) -> Column:
 def line_fails(line: Column, marked: Column, boiler: Column) -> Column:
     """True if the line is removed. A line without a visible character stays.
 
-    ``marked`` and ``boiler`` say whether the text has a mark or a part of a
-    phrase anywhere, so that clean texts skip the tests.
+    ``marked`` and ``boiler`` say whether the text has a mark or a phrase (in
+    any case) anywhere, so that clean texts skip the tests.
     """
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     symbols = count(r"[#*$%&|<>]") > MAX_SYMBOL_SHARE * F.char_length(line)
@@ -79,7 +75,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cols = [F.col(f"`{c}`") for c in docs.columns]
     t = F.col("__t")
     df = docs.select(*cols, whole(text_col).alias("__t"))
-    df = df.withColumns({"__w": words(t), "__l": F.split(t, "\n"), "__m": t.rlike(_MARKED), "__b": _any(t, _PARTS)})
+    df = df.withColumns({"__w": words(t), "__l": F.split(t, "\n"), "__m": t.rlike(_MARKED), "__low": F.lower(t)})
+    df = df.withColumn("__b", _any(F.col("__low"), BOILERPLATE)).drop("__low")
     n = F.size("__w")
     # hash of the window that begins at each word; the last two are no windows
     h = F.transform("__w", lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2)))

@@ -136,3 +136,12 @@ def test_stages(spark, edge, empty, k):
     assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == edge.columns
     assert out.count() > 0
     assert stage(spark, empty, "").count() == 0
+
+
+def test_quality_phrases_in_any_case(spark):
+    clean = "\n".join(" ".join(f"word{k}x{j}" for j in range(9)) for k in range(12))
+    cases = [f(p) for p in quality.BOILERPLATE for f in (str.lower, str.title, str.upper, str.capitalize,
+                                                         lambda p: "".join(c.upper() if i % 2 else c for i, c in enumerate(p)))]
+    docs = spark.createDataFrame([(k, f"{clean}\n{p} 2020") for k, p in enumerate(cases)], "doc_id long, text string")
+    rows = quality.measured(docs).select("doc_id", "__q.*").collect()
+    assert [cases[r.doc_id] for r in rows if r.clean_text != clean or not r.kept] == []
