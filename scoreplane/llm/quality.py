@@ -1,7 +1,9 @@
 """Line-first quality rules, DataFrame functions only.
 
 Every line is judged by itself: symbol noise, shouting punctuation,
-navigation (separator-studded) and boilerplate phrases. Failing lines are
+navigation (separator-studded) and boilerplate phrases (a phrase fails a line
+of up to ``SHORT_LINE`` characters; a longer one, such as a text without line
+breaks, only if phrases are ``MIN_PHRASE_SHARE`` of it). Failing lines are
 removed; a document that loses more than ``MAX_LOST`` of its word characters
 is rejected, as is one that fails the document rules (fewer than 50 words,
 or more than half of its words inside repeated three-word windows).
@@ -31,6 +33,10 @@ MAX_LOST = 0.4
 MAX_SYMBOL_SHARE = 0.1
 #: share of a line's words that may end in doubled marks
 MAX_SHOUT_SHARE = 0.3
+#: a line of at most so many characters fails with one boilerplate phrase
+SHORT_LINE = 200
+#: share of a longer line's characters that phrases must make up to fail it
+MIN_PHRASE_SHARE = 0.1
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of service", "terms of use",
     "click here", "sign up for our", "subscribe to our", "enable javascript", "licensed under the",
@@ -64,9 +70,12 @@ def line_fails(line: Column, marked: Column, boiler: Column) -> Column:
     symbols = count(r"[#*$%&|<>]") > MAX_SYMBOL_SHARE * F.char_length(line)
     shouts = count(r"[^\x20\x09-\x0D!?]+(!{2,}|\?{2,}|[!?]{3,})(?=[\x20\x09-\x0D]|$)") > MAX_SHOUT_SHARE * count(WORD)
     separators = count(r"(^|[\x20\x09-\x0D])[|\u00BB\u203A\u2022\u00B7>](?=[\x20\x09-\x0D]|$)")
-    phrases = "|".join(BOILERPLATE)
+    phrases = f"(?i)(?:{'|'.join(BOILERPLATE)})"
+    without = F.char_length(F.regexp_replace(line, phrases, ""))
+    mostly = (F.char_length(line) <= SHORT_LINE) | (
+        F.char_length(line) - without >= MIN_PHRASE_SHARE * F.char_length(line))
     return ((marked & (symbols | shouts | (separators >= F.greatest(F.lit(3), 0.2 * count(WORD)))))
-            | (boiler & line.rlike(f"(?i)(?:{phrases})"))
+            | (boiler & line.rlike(phrases) & mostly)
             | (~line.rlike(r"\p{L}") & line.rlike(WORD)))
 
 

@@ -145,3 +145,13 @@ def test_quality_phrases_in_any_case(spark):
     docs = spark.createDataFrame([(k, f"{clean}\n{p} 2020") for k, p in enumerate(cases)], "doc_id long, text string")
     rows = quality.measured(docs).select("doc_id", "__q.*").collect()
     assert [cases[r.doc_id] for r in rows if r.clean_text != clean or not r.kept] == []
+
+
+def test_quality_phrase_in_a_long_line(spark):
+    words = " ".join(f"word{k}" for k in range(2000))
+    cases = [f"{words} to {p} about {words[::-1]}" for p in quality.BOILERPLATE]
+    menu = " - ".join(f"{p} {k}" for k in range(5) for p in quality.BOILERPLATE)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*cases, f"{words}\n{menu}"])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.measured(docs).select("doc_id", "__q.*").collect()}
+    assert [cases[k] for k in range(len(cases)) if rows[k].clean_text != cases[k] or not rows[k].kept] == []
+    assert rows[len(cases)].clean_text == words  # a long line that is mostly phrases is removed
