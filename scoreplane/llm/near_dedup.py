@@ -1,11 +1,20 @@
 """Near-duplicate classes by order MinHash and banded alignment.
 
-A text is its sequence of words; its k-mers are runs of ``K`` words, each
-labelled with the number of equal k-mers before it. A sketch takes the
-``PICKS`` labelled k-mers with the smallest hashes and keeps them in text
-order, so it is equal for texts that share those k-mers in the same order.
-Texts that share one of ``SKETCHES`` sketches are candidates (at similarity
-0.8 a pair misses all of them with a chance of about 1e-5).
+A text is its sequence of words; its k-mers are runs of ``K`` words. A sketch
+takes the ``PICKS`` distinct k-mers with the smallest hashes and keeps them in
+the order of their first occurrence, so it is equal for texts that share those
+k-mers in the same order. Texts with repeated k-mers have sketches in the
+order of the last occurrences too. Texts that share one of ``SKETCHES``
+sketches are candidates: at similarity 0.8 a pair of texts whose distinct
+k-mers come in one order misses all of them with a chance of 1.2e-5 if they
+are many, and 4e-5 at most above the ``SHORT`` k-mers where the next rule begins. (Not
+covered by these rates: passages that both texts have in another order by
+first and by last occurrence, and are similar by a copy between.)
+
+Texts of few k-mers have an exact rule besides: k-mers are put in order of
+their number of texts, and of n k-mers of a text the n - ceil(similarity * n)
++ 1 rarest are keys. Similar texts share one of them, whatever their order.
+Every text that can be similar to one of up to ``SHORT`` k-mers has them.
 
 Candidates are verified by a banded alignment of their words (furthest
 reaching points, band as wide as the similarity still allows): the distinct
@@ -46,6 +55,7 @@ from scoreplane.llm.common import SPACE, row_ids, whole, written
 K = 5
 SKETCHES = 48
 PICKS = 7
+SHORT = 40
 SIMILARITY = 0.8
 MIN_AGREE = 2
 BLOCK = 40_000
@@ -72,21 +82,17 @@ def kmers(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def labelled(h: np.ndarray) -> np.ndarray:
-    """k-mer hashes mixed with the number of equal ones before."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
-    at = np.arange(len(s))
-    occurrence = np.empty(len(s), np.uint64)
-    occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    with np.errstate(over="ignore"):
-        return h ^ (occurrence * np.uint64(0xD6E8FEB86659FD93))
+def _in_order(h: np.ndarray) -> list[np.ndarray]:
+    """The distinct k-mers by first occurrence and, if some occur again, by last occurrence."""
+    first = h[np.sort(np.unique(h, return_index=True)[1])]
+    if len(first) == len(h):
+        return [first]
+    back = h[::-1]
+    return [first, back[np.sort(np.unique(back, return_index=True)[1])][::-1]]
 
 
-def sketches(codes: np.ndarray) -> np.ndarray:
-    """Order-MinHash sketches (SKETCHES hashes) of a word sequence."""
-    x = labelled(kmers(codes))
+def _sketch(x: np.ndarray) -> np.ndarray:
+    """Order-MinHash sketches (SKETCHES hashes) of distinct k-mers in their order."""
     picks = min(PICKS, len(x))
     out = np.empty(SKETCHES, np.uint64)
     with np.errstate(over="ignore"):
@@ -105,6 +111,12 @@ def sketches(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(codes: np.ndarray) -> np.ndarray:
+    """Sketches of a word sequence, each once."""
+    found = [_sketch(x) for x in _in_order(kmers(codes))]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
 def _slide(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
     """Length of the run of equal words from a[i], b[j]."""
     n, step, start = min(len(a) - i, len(b) - j), 16, 0
@@ -186,15 +198,33 @@ def similarity(a: list[bytes], b: list[bytes], least: float = SIMILARITY) -> flo
     return len(found & ux & uy) / all_
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc, sketches) of (doc, text)."""
+def _sketched(docs: DataFrame, least: float) -> DataFrame:
+    """(doc, sketches, short) of (doc, text); short: the distinct k-mers, if few."""
+    most = int(SHORT / least + 1e-9)
+
+    def few(codes: np.ndarray) -> np.ndarray:
+        x = np.unique(kmers(codes))
+        return x.view(np.int64) if len(x) <= most else np.empty(0, np.int64)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            found = [(d, sketches(c).view(np.int64)) for d, c in zip(pdf.doc, map(word_codes, pdf.text)) if len(c)]
-            yield pd.DataFrame({"doc": pd.Series([d for d, _ in found], dtype="int64"),
-                                "sketches": pd.Series([x for _, x in found], dtype=object)})
+            found = [(d, sketches(c).view(np.int64), few(c)) for d, c in zip(pdf.doc, map(word_codes, pdf.text)) if len(c)]
+            yield pd.DataFrame({"doc": pd.Series([x[0] for x in found], dtype="int64"),
+                                "sketches": pd.Series([x[1] for x in found], dtype=object),
+                                "short": pd.Series([x[2] for x in found], dtype=object)})
+
+    return docs.mapInPandas(run, "doc long, sketches array<long>, short array<long>")
+
 
-    return docs.mapInPandas(run, "doc long, sketches array<long>")
+def _rare(sketched: DataFrame, least: float) -> DataFrame:
+    """(doc, key): of the n k-mers of a text of few, the n - ceil(least * n) + 1 rarest, as far as another text has them."""
+    flat = sketched.select("doc", F.size("short").alias("n"), F.explode("short").alias("kmer"))
+    often = flat.groupBy("kmer").agg(F.count("*").alias("f")).where("f > 1")
+    own = flat.join(often, "kmer").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("f", "kmer"))).alias("s"))
+    # the k-mers of one text only are the rarest; they come before those in s
+    take = F.size("s") + 1 - F.ceil(F.col("n") * least - 1e-9).cast("int")
+    return own.select("doc", F.explode(F.slice("s", F.lit(1), F.greatest(take, F.lit(0)))).alias("k")).select(
+        "doc", F.xxhash64(F.lit("rare"), "k.kmer").alias("key"))
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -310,8 +340,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = written(groups, "near-groups")
     texts = base.join(groups.select("doc"), F.col("row_id") == F.col("doc"), "left_semi").select(
         F.col("row_id").alias("doc"), "text")
-    sketched = written(_sketched(texts), "near-sketches")
-    keys = sketched.select("doc", F.posexplode("sketches").alias("i", "key"))
+    sketched = written(_sketched(texts, least), "near-sketches")
+    rare = written(_rare(sketched, least), "near-rare")
+    keys = sketched.select("doc", F.explode("sketches").alias("key")).unionByName(rare)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keys.select("doc", "key").join(shared, "key"), "near-members")
     # the member with the largest buckets leads: the buckets of one group then have few leaders
@@ -325,8 +356,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     star = written(members.join(leads, "key").where("doc <> lead").select(
         F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct(), "near-star")
     agree = F.size(F.array_intersect("sa", "sb"))
-    likely = star.join(marks.select(F.col("doc").alias("a"), F.col("sketches").alias("sa")), "a").join(
-        marks.select(F.col("doc").alias("b"), F.col("sketches").alias("sb")), "b").where(agree >= MIN_AGREE).select("a", "b")
+    few = (F.size("ka") > 0) & (F.size("kb") > 0)
+    alike = F.size(F.array_intersect("ka", "kb")) >= least * F.size(F.array_union("ka", "kb")) - 1e-6
+    likely = star.join(marks.select(F.col("doc").alias("a"), F.col("sketches").alias("sa"), F.col("short").alias("ka")), "a").join(
+        marks.select(F.col("doc").alias("b"), F.col("sketches").alias("sb"), F.col("short").alias("kb")), "b").where(
+        F.when(few, alike).otherwise(agree >= MIN_AGREE)).select("a", "b")
     links = tested = written(_aligned(likely, texts, least), "near-links").select("a", "b")
     cls = _classes_of(candidates, links)
     # groups that buckets connect and that hold several classes

@@ -137,6 +137,30 @@ def test_near_chain_across_leaders(spark):
     assert got == want and got[12] == 1 and got[100] == 100
 
 
+def test_near_few_words_and_repeated_passages(spark):
+    """Edits of short texts and passages that stand several times: every similar pair is found."""
+    rows, doc = [], 0
+
+    def add(*texts):
+        nonlocal doc
+        for t in texts:
+            doc += 1
+            rows.append((doc, " ".join(t)))
+    for n in range(8, 61):
+        for c in range(3):
+            base = [f"s{n}x{c}x{k}" for k in range(n)]
+            add(base, [*base, "end"], ["new", *base[1:]], [*base, "end", "more"])
+    for c in range(6):
+        passage, other = [f"p{c}x{k}" for k in range(100)], [f"q{c}x{k}" for k in range(100)]
+        add(passage, passage * 2, passage * 3, passage * 5)
+        add(other + passage[:50], other + passage[:50] + other)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    words = {d: t.encode().split() for d, t in rows}
+    similar = [(a, b) for a in words for b in range(a + 1, a + 6) if b in words and near_dedup.similarity(words[a], words[b]) >= 0.8]
+    assert len(similar) > 300 and [p for p in similar if got[p[0]] != got[p[1]]] == []
+
+
 def test_alignment_similarity_is_ordered():
     a = [b"w%d" % k for k in range(100)]
     assert near_dedup.similarity(a, a) == 1.0
