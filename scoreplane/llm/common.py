@@ -1,10 +1,9 @@
 """Helpers that the training-data operators share.
 
-``row_ids`` stamps ``monotonically_increasing_id`` on a scan. It repeats on
-every read of the same stored table (partition index and position), also
-when a task is retried on another executor, so two branches of a plan and a
-later read agree on it. Inputs that are not a plain scan should be written
-first (``written``).
+``row_ids`` stamps ``monotonically_increasing_id`` on a scan. The number
+follows from the file splits, and these from the cores and settings at the
+time of the scan, so two scans of one table need not agree on it. What is
+joined by it later is therefore written with it once (``numbered``).
 """
 
 from __future__ import annotations
@@ -32,11 +31,11 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("long")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write below the shared checkpoint folder, read again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +43,11 @@ def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, table: str, name: str = "row_id") -> DataFrame:
+    """df with row ids, written with them: every later scan has the same."""
+    return written(row_ids(df, name), table, compression="zstd")
+
+
 def remainder(c: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     c = F.col(c) if isinstance(c, str) else c

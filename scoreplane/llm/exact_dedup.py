@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import SPACE, row_ids, whole, written
+from scoreplane.llm.common import SPACE, numbered, row_ids, whole, written
 
 BUCKET_KEYS = 512
 GAMMA = 2.0
@@ -136,13 +136,15 @@ def _classes(rows: DataFrame) -> DataFrame:
         "digest", F.col("w.doc_id").alias("win_id"), F.col("w.row_id").alias("win_row"), "n")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(row_id, doc_id, digest, win_id, win_row, group_size) of every row.
 
     The rows with the smaller half of the id range are the history the index
     is built on; all others are looked up. Any cut gives the same result.
+    ``row_col`` names stored row ids, if docs has them.
     """
-    rows = row_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest")))
+    cols = [F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest")]
+    rows = docs.select(F.col(row_col).alias("row_id"), *cols) if row_col else row_ids(docs.select(*cols))
     rows = written(rows, "dedup-rows")
     lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     old = F.coalesce(F.col("doc_id") <= F.lit(((lo or 0) + (hi or 0)) // 2), F.lit(False))
@@ -161,6 +163,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row per group of equal texts, all columns."""
-    kept = exact_groups(docs, id_col, text_col).where(F.col("row_id") == F.col("win_row")).select(
+    docs = numbered(docs, "dedup-input", "__own_row")
+    kept = exact_groups(docs, id_col, text_col, "__own_row").where(F.col("row_id") == F.col("win_row")).select(
         F.col("row_id").alias("__kept_row"))
-    return row_ids(docs, "__own_row").join(kept, F.col("__own_row") == F.col("__kept_row"), "left_semi").drop("__own_row")
+    return docs.join(kept, F.col("__own_row") == F.col("__kept_row"), "left_semi").drop("__own_row")

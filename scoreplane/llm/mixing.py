@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import row_ids, whole, word_count, written
+from scoreplane.llm.common import numbered, row_ids, whole, word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -74,16 +74,17 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], size
         "__in", "b_before", *[f"b_{k}" for k in [*keys, bucket]])
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = row_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                               word_count(whole(text_col)).alias("size")))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None) -> DataFrame:
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+            word_count(whole(text_col)).alias("size")]
+    rows = docs.select(F.col(row_col).alias("row_id"), *cols) if row_col else row_ids(docs.select(*cols))
     return written(rows, "mix-sizes")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-            weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(row_id, doc_id, size, source_size, target, taken, copies) of every row."""
-    rows = _sized(docs, id_col, text_col, source_col)
+            weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row_col: str | None = None) -> DataFrame:
+    """(row_id, doc_id, size, source_size, target, taken, copies) of every row; row_col: stored row ids, if docs has them."""
+    rows = _sized(docs, id_col, text_col, source_col, row_col)
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     per_source = written(targets(per_source, weights, max_epochs), "mix-targets")
     buckets = max(1, min(MAX_BUCKETS, rows.count() // BUCKET_ROWS))
@@ -110,8 +111,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs as the mix takes them: a row for each copy taken, all columns."""
-    taken = mixture(docs, id_col, text_col, source_col, **how).where("copies > 0").select(
+    names = docs.columns
+    docs = numbered(docs, "mix-input", "__own_row")
+    taken = mixture(docs, id_col, text_col, source_col, row_col="__own_row", **how).where("copies > 0").select(
         F.col("row_id").alias("__taken_row"), F.col("copies").cast("int").alias("__copies"))
-    out = row_ids(docs, "__own_row").join(taken, F.col("__own_row") == F.col("__taken_row"))
+    out = docs.join(taken, F.col("__own_row") == F.col("__taken_row"))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+        *[F.col(f"`{c}`") for c in names])

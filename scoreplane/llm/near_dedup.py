@@ -50,7 +50,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import SPACE, row_ids, whole, written
+from scoreplane.llm.common import SPACE, numbered, row_ids, whole, written
 
 K = 5
 SKETCHES = 48
@@ -326,15 +326,19 @@ def _classes_of(docs: DataFrame, links: DataFrame) -> DataFrame:
     return written(docs.join(components(links), "doc", "left").select("doc", F.coalesce("cls", "doc").alias("cls")), "near-cls")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
+                 row_col: str | None = None) -> DataFrame:
     """(row_id, doc_id, class_id, kept) of every row; class_id is the smallest doc_id of the class.
 
     Of a class the row with the smallest doc_id is kept (null ids last, of
-    repeated ids the first row).
+    repeated ids the first row). ``row_col`` names stored row ids, if docs has them.
     """
     normal = F.btrim(F.regexp_replace(whole(text_col), SPACE, " "), F.lit(" "))
-    base = row_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), normal.alias("text")))
-    rows = written(base.select("row_id", "doc_id", F.sha2("text", 256).alias("copy")), "near-rows")
+    cols = [F.col(id_col).cast("long").alias("doc_id"), normal.alias("text")]
+    base = docs.select(F.col(row_col).alias("row_id"), *cols) if row_col else row_ids(docs.select(*cols))
+    # written once with the text: the ids of another scan of docs may differ
+    base = written(base.withColumn("copy", F.sha2("text", 256)), "near-rows", compression="zstd")
+    rows = base.select("row_id", "doc_id", "copy")
     # the first row of each group of copies stands for it; rows are numbered in table order
     groups = rows.groupBy("copy").agg(F.min("row_id").alias("doc"), F.count("*").alias("n"))
     groups = written(groups, "near-groups")
@@ -395,5 +399,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """docs with one row per class, all columns."""
-    kept = near_classes(docs, id_col, text_col, least).where("kept").select(F.col("row_id").alias("__kept_row"))
-    return row_ids(docs, "__own_row").join(kept, F.col("__own_row") == F.col("__kept_row"), "left_semi").drop("__own_row")
+    docs = numbered(docs, "near-input", "__own_row")
+    kept = near_classes(docs, id_col, text_col, least, "__own_row").where("kept").select(F.col("row_id").alias("__kept_row"))
+    return docs.join(kept, F.col("__own_row") == F.col("__kept_row"), "left_semi").drop("__own_row")

@@ -7,7 +7,8 @@ mark. Rows of one record lie together in their file, so a file's bytes one
 after another are a WARC file. Payloads are cut in the JVM into pieces of
 ``CHUNK`` bytes; no Python process holds more than a batch of pieces.
 
-Writing: the digests of all payloads (streamed over the chunks) decide which
+Writing: the pages are written once with their record ids, which the input's
+file splits decide. The digests of all payloads (streamed over the chunks) decide which
 record is the response of its payload and which ones revisit it, and the
 decision is joined back to the pages by row. Reading: every task streams its
 chunks through a parser that checks numbers, lengths, and the running and
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import row_ids, written
+from scoreplane.llm.common import numbered, written
 from scoreplane.session import scratch_path
 
 CHUNK = 16 << 10
@@ -44,8 +45,9 @@ RECORD = ("record_id long, page_id string, url string, record_type string, paylo
 
 def _payloads(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     url = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("urn:none")), r"[\x00-\x20]", "%20")
-    return row_ids(pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
-                                F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")), "record_id")
+    return numbered(pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
+                                 F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")),
+                    "warc-pages", "record_id")
 
 
 def _chunks(rows: DataFrame, chunk: int) -> DataFrame:

@@ -1,11 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
+import itertools
+
 import pytest
 
 pytest.importorskip("scoreplane.llm")
 import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from scoreplane.llm import exact_dedup, langid, lm_score, mixing, near_dedup, packing, pii, quality, toxicity, warc  # noqa: E402
+from scoreplane.llm import common, exact_dedup, langid, lm_score, mixing, near_dedup, packing, pii, quality, toxicity, warc  # noqa: E402
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, row_id string, digest string, size string, "
           "`key` string, ids string, target string, cls string, part string, n string, page_id long, url string, html string, "
@@ -155,3 +157,39 @@ def test_quality_phrase_in_a_long_line(spark):
     rows = {r.doc_id: r for r in quality.measured(docs).select("doc_id", "__q.*").collect()}
     assert [cases[k] for k in range(len(cases)) if rows[k].clean_text != cases[k] or not rows[k].kept] == []
     assert rows[len(cases)].clean_text == words  # a long line that is mostly phrases is removed
+
+
+@pytest.mark.parametrize("name", ["near", "drop_near", "drop_repeats", "mix", "warc"])
+def test_file_splits_may_change_between_scans(spark, tmp_path, monkeypatch, name):
+    """Every table written moves the file splits of the scans that follow: the rows stay the same."""
+    rows = [(k % 40 if k % 3 else k, " ".join(f"t{k % 40}x{j}" for j in range(60)), f"s{k % 2}", f"u{k}") for k in range(120)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, source string, url string").repartition(6).write.parquet(path)
+    run = {
+        "near": lambda d: near_dedup.near_classes(d).select("doc_id", "class_id", "class_size", "kept"),
+        "drop_near": near_dedup.drop_near, "drop_repeats": exact_dedup.drop_repeats, "mix": mixing.mix,
+        "warc": lambda d: warc.archive_and_read(spark, d.select(F.col("doc_id").alias("page_id"), "url", F.col("text").alias("html")))
+        .select("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "fault"),
+    }[name]
+    splits, real, count = "spark.sql.files.maxPartitionBytes", common.written, itertools.count()
+    found = lambda: sorted(map(repr, run(spark.read.parquet(path)).collect()))
+    kept = {k: spark.conf.get(k) for k in (splits, "spark.sql.files.openCostInBytes")}
+
+    def moved(*args, **how):
+        out = real(*args, **how)
+        spark.conf.set(splits, ("700", "134217728")[next(count) % 2])
+        return out
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set(splits, "134217728")
+        want = found()
+        for m in (common, near_dedup, exact_dedup, mixing, warc):
+            monkeypatch.setattr(m, "written", moved)
+        for first in ("700", "134217728"):
+            spark.conf.set(splits, first)
+            assert len(found()) == len(want)
+        spark.conf.set(splits, "134217728")
+        assert found() == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
