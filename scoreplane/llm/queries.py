@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreplane.llm import (exact_dedup, langid, lm_score, mixing, near_dedup, packing, pii, quality, toxicity,
-                            warc)
+from scoreplane.llm import (ballkmeans, divergence, exact_dedup, langid, lm_score, mixing, near_dedup, packing, pii, quality,
+                            toxicity, vptree, warc)
 from scoreplane.llm.common import documents, remainder
 
 QUERIES: dict = {}
@@ -140,3 +140,84 @@ def op3_lm_scoring(spark, sf_dir):
 
 
 QUERIES["op3_lm_scoring"] = op3_lm_scoring
+
+
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir)).select("lang", "source", "part", "item", "value", "rank")
+
+
+QUERIES["op11_source_divergence"] = op11_source_divergence
+ORACLE["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total
+         FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s) AS p,
+             1 + (1000000000::HUGEINT * (total + 5)) // (sum(total) OVER s + 5 * count(*) OVER s) AS q
+      FROM cell WINDOW s AS (PARTITION BY lang, source)),
+v AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_vantage_point_search(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vptree.nearest(rows, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+QUERIES["op12_vantage_point_search"] = op12_vantage_point_search
+ORACLE["op12_vantage_point_search"] = """
+WITH v AS (SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, q.id AS query_row, c.vec_id, c.id, list_cosine_similarity(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.id <> c.id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id NULLS LAST, id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op13_vector_codes(spark, sf_dir):
+    rows, books = ballkmeans.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ballkmeans.with_label_error(rows).select(
+        "vec_id", "code", "error", "label_error", F.lit(ballkmeans.digest(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = ballkmeans.ROUNDS) -> str:
+    """Each round: distances to every entry, the nearest, the floor of the means."""
+    ctes = ["""k AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            "p AS (SELECT id, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM k, range(16) t(part))",
+            "b0 AS (SELECT part, id - 1 AS entry, x AS c FROM p WHERE id <= 64)"]
+    near = """a{k} AS (SELECT id, part, any_value(x) AS x, arg_min(struct_pack(entry := entry, d := d), d * 64 + entry) AS e
+      FROM (SELECT id, p.part, x, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM p JOIN b{k} b ON p.part = b.part) GROUP BY id, part)"""
+    move = """b{n} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (
+      SELECT part, entry, list(floor(s::DECIMAL(38, 0) / n)::BIGINT ORDER BY i) AS c FROM (
+        SELECT part, e.entry AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n
+        FROM a{k}, range(1, 1025) t(i) WHERE i <= len(x) GROUP BY ALL) GROUP BY part, entry) m
+      ON m.part = b.part AND m.entry = b.entry)"""
+    for k in range(rounds):
+        ctes += [near.format(k=k), move.format(k=k, n=k + 1)]
+    ctes += [near.format(k=rounds), f"""r AS (SELECT id, string_agg(printf('%02x', e.entry), '' ORDER BY part) AS code,
+      sum(e.d)::BIGINT AS error FROM a{rounds} GROUP BY id)"""]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(list_aggregate(c, 'string_agg', ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM k JOIN r USING (id)"""
+
+
+QUERIES["op13_vector_codes"] = op13_vector_codes
+ORACLE["op13_vector_codes"] = _codes_sql()
