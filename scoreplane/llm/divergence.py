@@ -88,7 +88,7 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
 
 
 def vocabulary(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, n, pos): the kept terms, their count in the language and their place, from 0 in each language."""
+    """(lang, term, n, pos): the kept terms, their count in the language and their place; a language's places are successive."""
     own = counts.where("term IS NOT NULL")
     sizes = own.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     # one row per group
@@ -100,9 +100,7 @@ def vocabulary(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         F.col("docs") >= min_docs).drop("docs")
     kept = numbered(kept.withColumn("one", F.lit(1)), "divergence-terms")
     at = positions(kept, ["lang", *(f"k{k}" for k in range(ORDER_COLUMNS)), "n", "term", "row_id"], "one")
-    placed = written(kept.select("row_id", "lang", "term", "n").join(at, "row_id"), "divergence-vocabulary")
-    start = placed.groupBy("lang").agg(F.min("pos").alias("start"))
-    return placed.join(start, "lang").select("lang", "term", "n", (F.col("pos") - F.col("start")).alias("pos"))
+    return written(kept.join(at, "row_id").select("lang", "term", "n", "pos"), "divergence-vocabulary")
 
 
 def encode(at: np.ndarray, n: list, width: int) -> tuple[np.ndarray, list]:
@@ -138,39 +136,46 @@ def intersect(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def columns(counts: DataFrame, words: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Run-length columns: (lang, source, block, whole, ends, counts, p); whole: the language's own column."""
-    sizes = words.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("total"))
-    groups = counts.where("term IS NULL").select("lang", "source").join(sizes, "lang", "left").fillna(0, ["terms", "total"])
-    cells = counts.where("term IS NOT NULL").join(words.select("lang", "term", "pos"), ["lang", "term"]).select(
-        "lang", "source", F.floor(F.col("pos") / block).alias("block"), (F.col("pos") % block).cast("int").alias("at"), "n")
-    packed = [F.collect_list(F.struct("at", "n")).alias("cells"), F.sum("n").alias("own")]
-    parts = cells.groupBy("lang", "source", "block").agg(*packed)
+    """Run-length columns: (lang, source, block, first, whole, ends, counts, p) of the language's places in each block,
+    from its place ``first``; whole: the language's own column. A language without vocabulary has the block -1."""
+    sizes = words.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("total"), F.min("pos").alias("start"))
+    groups = counts.where("term IS NULL").select("lang", "source").join(sizes, "lang", "left").fillna(0, ["terms"])
+    at = [F.floor(F.col("pos") / block).alias("block"), F.col("pos"), F.col("n")]
+    cells = counts.where("term IS NOT NULL").join(words.select("lang", "term", "pos"), ["lang", "term"]).select("lang", "source", *at)
+    packed = F.collect_list(F.struct("pos", "n")).alias("cells")
+    parts = cells.groupBy("lang", "source", "block").agg(packed, F.sum("n").alias("own"))
+    parts = written(parts, "divergence-cells")
     own = parts.groupBy("lang", "source").agg(F.sum("own").alias("size"))
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("terms") - 1) / block))))
-    every = groups.join(own, ["lang", "source"], "left").fillna(0, ["size"]).withColumn("block", blocks)
+    end = F.col("start") + F.col("terms")
+    blocks = F.when(F.col("terms") == 0, F.array(F.lit(-1).cast("long"))).otherwise(
+        F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
+    every = groups.join(own, ["lang", "source"], "left").fillna(0, ["size"]).withColumn("block", F.explode(blocks))
     per_source = every.join(parts.drop("own"), ["lang", "source", "block"], "left").select(
-        "lang", "source", "block", F.lit(False).alias("whole"), "terms", "size", "cells")
-    in_lang = words.select("lang", F.floor(F.col("pos") / block).alias("block"), (F.col("pos") % block).cast("int").alias("at"), "n")
-    in_lang = in_lang.groupBy("lang", "block").agg(packed[0]).join(sizes, "lang").select(
-        "lang", F.lit("").alias("source"), "block", F.lit(True).alias("whole"), "terms", F.col("total").alias("size"), "cells")
+        "lang", "source", "block", F.lit(False).alias("whole"), "terms", "size", "start", "cells")
+    in_lang = words.select("lang", *at).groupBy("lang", "block").agg(packed).join(sizes, "lang").select(
+        "lang", F.lit("").alias("source"), "block", F.lit(True).alias("whole"), "terms", F.col("total").alias("size"), "start", "cells")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            runs, shared = [], []
-            for terms, size, no, at, n in zip(pdf.terms, pdf["size"], pdf.block, pdf["at"], pdf.n):
-                width = min(block, int(terms) - int(no) * block)
-                at, n = ([], []) if at is None else (at, n)
-                runs.append(encode(np.asarray(at, np.int64), n, width))
+            firsts, runs, shared = [], [], []
+            for terms, size, no, start, pos, n in zip(pdf.terms, pdf["size"], pdf.block, pdf.start, pdf.pos, pdf.n):
+                first = 0 if no < 0 else max(int(start), int(no) * block)
+                stop = 0 if no < 0 else min(int(start) + int(terms), (int(no) + 1) * block)
+                pos, n = ([], []) if pos is None else (pos, n)
+                firsts.append(first)
+                runs.append(encode(np.asarray(pos, np.int64) - first, n, stop - first))
                 shared.append(shares(runs[-1][1], int(size), int(terms)))
-            yield pd.DataFrame({"lang": pdf.lang, "source": pdf.source, "block": pdf.block, "whole": pdf.whole,
+            yield pd.DataFrame({"lang": pdf.lang, "source": pdf.source, "block": pdf.block, "first": firsts, "whole": pdf.whole,
                                 "ends": [r[0] for r in runs], "counts": [np.array(r[1], np.int64) for r in runs], "p": shared})
 
-    both = per_source.unionByName(in_lang).withColumns({"at": F.col("cells.at"), "n": F.col("cells.n")}).drop("cells")
-    return both.mapInPandas(run, "lang string, source string, block long, whole boolean, ends array<long>, counts array<long>, p array<long>")
+    both = per_source.unionByName(in_lang).withColumns({"pos": F.col("cells.pos"), "n": F.col("cells.n")}).drop("cells")
+    both = both.withColumn("start", F.coalesce("start", F.lit(0)))
+    return both.mapInPandas(run, "lang string, source string, block long, first long, whole boolean, ends array<long>, "
+                                 "counts array<long>, p array<long>")
 
 
 def compared(cols: DataFrame, ranks: int = TERM_RANKS, tile: int = TILE) -> DataFrame:
-    """(lang, block, kind, source, other, value, start, stop) of every pair of columns of a block.
+    """(lang, kind, source, other, value, start, stop) of every pair of columns of a block.
 
     kind pair: value is the block's part of the sum. kind term: a run of the source's column against the
     language's, cut to those that can hold one of the ``ranks`` first terms.
@@ -184,8 +189,8 @@ def compared(cols: DataFrame, ranks: int = TERM_RANKS, tile: int = TILE) -> Data
                              "tb": F.when(F.col("whole"), F.col("t")).otherwise(F.greatest("own", "t"))})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lang, block, ta, tb = key
-        out = []
+        lang, _, ta, tb = key
+        out, first = [], int(pdf["first"].iloc[0])
         total = next(((e, p) for e, p, w in zip(pdf.ends, pdf.p, pdf.whole) if w), None)
         own = pdf[~pdf.whole.astype(bool)]
         rows = list(zip(own.own, own.source, own.ends, own["counts"], own.p))
@@ -204,12 +209,13 @@ def compared(cols: DataFrame, ranks: int = TERM_RANKS, tile: int = TILE) -> Data
                     reach = np.cumsum(length[good])
                     least = over[good][min(np.searchsorted(reach, ranks), len(good) - 1)]
                     good = good[over[good] >= least]
-                out += [("term", source, "", int(over[k]), int(cut[k] - length[k]), int(cut[k])) for k in good]
+                out += [("term", source, "", int(over[k]), first + int(cut[k] - length[k]), first + int(cut[k]))
+                        for k in good]
         got = pd.DataFrame(out, columns=["kind", "source", "other", "value", "start", "stop"])
-        return got.assign(lang=lang, block=block)
+        return got.assign(lang=lang)
 
     return cols.groupBy("lang", "block", "ta", "tb").applyInPandas(
-        run, "kind string, source string, other string, value long, start long, stop long, lang string, block long")
+        run, "kind string, source string, other string, value long, start long, stop long, lang string")
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -223,7 +229,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     pairs = sums.withColumn("s", F.explode(F.array(side("source", "other"), side("other", "source")))).select(
         "lang", "s.source", F.lit("pair").alias("part"), "s.item", "value")
     places = found.where("kind = 'term'").withColumn("pos", F.explode(F.sequence("start", F.col("stop") - 1))).select(
-        "lang", "source", "value", (F.col("pos") + F.col("block") * block).alias("pos"))
+        "lang", "source", "value", "pos")
     terms = places.join(words.select("lang", "pos", F.col("term").alias("item")), ["lang", "pos"]).select(
         "lang", "source", F.lit("term").alias("part"), "item", "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
