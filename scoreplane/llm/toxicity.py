@@ -9,12 +9,15 @@ table that a text's symbols run through, clause by clause; the weights of
 what it emits (plain, aimed, negated, reported insults and threats) are the
 features of a logistic score.
 
-Stems are prefixes of 3 to 8 letters and whole words whose log odds among
-toxic rows are raised by ``MIN_ODDS`` at least, two standard errors off. At most ``FIT_ROWS`` labelled rows (by hash) are
-used: one half for the lexicon, the other half for the logistic weights, so
-that accidental stems get no credit.
-
-Defined results: null and empty texts have no clause and get the score of
+Stems are prefixes of 3 to 8 letters and whole words of ``MIN_ROWS`` toxic
+rows at least whose log odds among toxic rows are raised by ``MIN_ODDS`` at
+least, two standard errors off. At most ``FIT_ROWS`` labelled rows (by hash)
+are used, and all of them twice, by cross-fitting: they are dealt to ``FOLDS``
+folds, the features of a fold come from a lexicon of the other folds, so that
+accidental stems get no credit, and the logistic weights are fitted on the
+features of all folds. The final lexicon is that of all rows.
+
+Defined results: labels other than 0 and 1 count as no label; null and empty texts have no clause and get the score of
 the intercept; with no labelled row the score is 0; repeated rows are
 treated alike, of repeated labels of a document the highest counts; an empty
 table gives an empty result; extra columns are never read.
@@ -31,10 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import whole
+from scoreplane.llm.common import whole, written
 
 FIT_ROWS = 20_000
-LEXICON = 4000
+FOLDS = 5
 MIN_ROWS = 5
 MIN_ODDS = 2.0
 CUT = 0.3
@@ -170,57 +173,72 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
     return w
 
 
+def lexicon_of(stems_: list[tuple[str, int, int]], no: int, yes: int) -> dict[str, float]:
+    """Weights of the stems (stem, rows without, rows with the label) that tell, of ``no`` and ``yes`` rows."""
+    out, rows = {}, {}
+    for stem, n, y in stems_:
+        odds = np.log((y + 0.5) / (yes + 1)) - np.log((n + 0.5) / (no + 1))
+        if y >= MIN_ROWS and odds - 2 * np.sqrt(1 / (y + 0.5) + 1 / (n + 0.5)) >= MIN_ODDS:
+            out[stem], rows[stem] = float(odds), y
+    # a prefix that one longer telling stem explains says no more than that one
+    longer: Counter = Counter()
+    for stem, k in rows.items():
+        for cut in range(3, len(stem)):
+            longer[stem[:cut]] = max(longer[stem[:cut]], k)
+    return {stem: odds for stem, odds in out.items() if longer[stem] < 0.9 * rows[stem]}
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], np.ndarray | None]:
+        label_col: str = "toxic", fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> tuple[dict[str, float], np.ndarray | None]:
     """(lexicon, logistic weights) of the labelled rows where ``train`` holds."""
-    own = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    own = labels.where(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     own = own.groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max(label_col).cast("int").alias("y"))
     # at most fit_rows ids and labels: a bounded side
     chosen = own.withColumn("h", F.xxhash64(F.col("l_id"), F.lit(5))).orderBy("h", "l_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).join(
-        F.broadcast(chosen), F.col("id") == F.col("l_id")).select("text", "y", (F.pmod("h", F.lit(2)) == 0).alias("lex"))
+        F.broadcast(chosen), F.col("id") == F.col("l_id")).select("text", "y", F.pmod("h", F.lit(folds)).cast("int").alias("fold"))
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen = [(Counter(), Counter()) for _ in range(folds)]
         for pdf in it:
-            for text, y in zip(pdf.text, pdf.y):
+            for text, y, fold in zip(pdf.text, pdf.y, pdf.fold):
                 words = {_STRIP.sub("", t) for t in set(text.lower().split())}
-                seen[y].update({s for w in words if w for s in stems(w)})
-                seen[y]["#rows"] += 1
-        keys = list(seen[0].keys() | seen[1].keys())
-        for lo in range(0, len(keys), 100_000):
-            part = keys[lo:lo + 100_000]
-            yield pd.DataFrame({"stem": part, "no": [seen[0][k] for k in part], "yes": [seen[1][k] for k in part]})
-
-    counts = rows.where("lex").select("text", "y").mapInPandas(count, "stem string, no long, yes long")
-    counts = counts.groupBy("stem").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    total = F.expr("stem = '#rows'")
-    top = counts.where(total | (F.col("yes") >= MIN_ROWS)).orderBy(
-        (~total).cast("int"), ((F.col("yes") + 0.5) / (F.col("no") + F.col("yes") * 0.02 + 0.5)).desc(), "stem").limit(LEXICON + 1)
-    got = top.collect()  # at most LEXICON stems
-    n = next(((r.no, r.yes) for r in got if r.stem == "#rows"), (0, 0))
-    yes = {r.stem: r.yes for r in got}
-    # a prefix that one longer stem explains says no more than that one
-    longer = Counter()
-    for stem, k in yes.items():
-        for cut in range(3, len(stem)):
-            longer[stem[:cut]] = max(longer[stem[:cut]], k)
-    lexicon = {}
-    for r in got:
-        odds = np.log((r.yes + 0.5) / (n[1] + 1)) - np.log((r.no + 0.5) / (n[0] + 1))
-        sure = odds - 2 * np.sqrt(1 / (r.yes + 0.5) + 1 / (r.no + 0.5))
-        if r.stem != "#rows" and sure >= MIN_ODDS and longer[r.stem] < 0.9 * r.yes:
-            lexicon[r.stem] = float(odds)
+                seen[fold][y].update({s for w in words if w for s in stems(w)})
+                seen[fold][y]["#rows"] += 1
+        for fold, (no, yes) in enumerate(seen):
+            keys = list(no.keys() | yes.keys())
+            for lo in range(0, len(keys), 100_000):
+                part = keys[lo:lo + 100_000]
+                yield pd.DataFrame({"stem": part, "fold": fold, "no": [no[k] for k in part], "yes": [yes[k] for k in part]})
+
+    counts = rows.mapInPandas(count, "stem string, fold int, no long, yes long")
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("no", "yes") for k in range(folds)]
+    counts = counts.groupBy("stem").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"), *by_fold)
+    total = written(counts.where((F.col("yes") >= MIN_ROWS) | (F.col("stem") == "#rows")), "toxicity-stems")
+    sums = total.where("stem = '#rows'").first()
+    if sums is None:
+        return {}, None
+
+    def tells(no: Column, yes: Column, n_no: int, n_yes: int) -> Column:
+        odds = F.log((yes + 0.5) / (n_yes + 1)) - F.log((no + 0.5) / (n_no + 1))
+        return (yes >= MIN_ROWS) & (odds - 2 * F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)) >= MIN_ODDS - 1e-9)
+
+    some = tells(F.col("no"), F.col("yes"), sums.no, sums.yes)
+    for k in range(folds):
+        some = some | tells(F.col("no") - F.col(f"no{k}"), F.col("yes") - F.col(f"yes{k}"), sums.no - sums[f"no{k}"],
+                            sums.yes - sums[f"yes{k}"])
+    got = total.where((F.col("stem") != "#rows") & some).collect()  # stems that tell, of at most fit_rows rows
+    lexicon = lexicon_of([(r.stem, r.no, r.yes) for r in got], sums.no, sums.yes)
+    left = [lexicon_of([(r.stem, r.no - r[f"no{k}"], r.yes - r[f"yes{k}"]) for r in got], sums.no - sums[f"no{k}"],
+                       sums.yes - sums[f"yes{k}"]) for k in range(folds)]
 
     def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(lexicon)
+        scorers = [Scorer(x) for x in left]
         for pdf in it:
-            yield pd.DataFrame({"x": [scorer.features(t) for t in pdf.text], "y": pdf.y})
+            yield pd.DataFrame({"x": [scorers[k].features(t) for t, k in zip(pdf.text, pdf.fold)], "y": pdf.y})
 
     # at most fit_rows short feature vectors
-    got = rows.where("not lex").select("text", "y").mapInPandas(measure, "x array<double>, y int").toPandas()
-    if not len(got):
-        return lexicon, None
+    got = rows.mapInPandas(measure, "x array<double>, y int").toPandas()
     return lexicon, logistic(np.array(got.x.tolist()), got.y.to_numpy("float64"))
 
 

@@ -171,10 +171,9 @@ class Search:
         self.through(0, len(self.vecs), qs)
 
 
-def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
+def index(rows: DataFrame, shards: int, leaf: int = LEAF) -> DataFrame:
     """(dim, shard, pos, row_id, vec_id, named, vec, b0 .. b3) of (vec_id, vec): every usable row in its shard's tree order;
     named is false, vec_id 0, where the id is null."""
-    shards = max(1, math.ceil(rows.count() / shard_rows))
     rows = row_ids(rows).where(usable(F.col("vec"))).select(
         F.size("vec").alias("dim"), F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard"), "row_id",
         F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNotNull().alias("named"), "vec")
@@ -194,7 +193,8 @@ def nearest(embeddings: DataFrame, is_query: Column, id_col: str = "vec_id", vec
             sample_rows: int = SAMPLE_ROWS, leaf: int = LEAF) -> DataFrame:
     """(query_id, query_row, rank, vec_id, row_id, score) of the rows for which ``is_query`` of vec_id holds."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    tree = written(index(rows, shard_rows, leaf), "vantage-trees")
+    shards = max(1, math.ceil(rows.count() / shard_rows))
+    tree = written(index(rows, shards, leaf), "vantage-trees")
     queries = tree.where(is_query & F.col("named")).select("dim", "row_id", "vec_id", "vec")
     # at most sample_rows vectors: a bounded side
     sample = tree.orderBy(F.xxhash64("row_id", F.lit(3)), "row_id").limit(sample_rows).select("dim", "row_id", "vec").toPandas()
@@ -214,9 +214,9 @@ def nearest(embeddings: DataFrame, is_query: Column, id_col: str = "vec_id", vec
     blocks = max(1, math.ceil(queries.count() / query_rows))
     queries = queries.mapInPandas(bound, "dim int, row_id long, vec_id long, vec array<double>, least double")
     queries = queries.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)))
-    shards = tree.select("dim", "shard").distinct()
-    asked = queries.join(shards, "dim")  # each query to every shard, in blocks
-    every = tree.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.withColumn("shard", upto(shards))  # each query to every shard, in blocks
+    every = tree.withColumn("block", upto(blocks))
 
     def run(qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(qs):

@@ -193,3 +193,15 @@ def test_file_splits_may_change_between_scans(spark, tmp_path, monkeypatch, name
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_toxicity_labels_outside_0_and_1_are_no_labels(spark):
+    docs = spark.createDataFrame([(k, f"you idiot number{k % 7}" if k % 3 == 0 else f"a calm day number{k % 7}") for k in range(300)],
+                                 "doc_id long, text string")
+    good = [(k, int(k % 3 == 0)) for k in range(300)]
+    labels = lambda more: spark.createDataFrame(good + more, "doc_id long, toxic int")
+    lexicon, weights = toxicity.fit(docs, labels([]), F.lit(True))
+    assert "idiot$" in lexicon
+    odd = toxicity.fit(docs, labels([(k, v) for k in range(90) for v in (2, -1, None)]), F.lit(True))
+    assert odd[0] == lexicon and odd[1].tolist() == weights.tolist()
+    assert toxicity.fit(docs, spark.createDataFrame([(1, 2), (2, -1)], "doc_id long, toxic int"), F.lit(True)) == ({}, None)
