@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import SPACE, numbered, row_ids, whole, written
+from scoreplane.llm.common import SPACE, placed, row_ids, whole, written
 
 BUCKET_KEYS = 512
 GAMMA = 2.0
@@ -107,6 +107,17 @@ def build_index(classes: DataFrame, n_buckets: int) -> DataFrame:
     return classes.withColumn("bucket", bucket_of(n_buckets)).groupBy("bucket").applyInPandas(build, INDEX)
 
 
+def _slots(digests: pd.Series, x: pd.Series) -> np.ndarray:
+    """Slot of each digest in an index row whose stored digest equals it byte by byte; -1: no member."""
+    if not len(digests):
+        return np.empty(0, np.int64)
+    keys = _words(digests)
+    levels = [np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in x.bits]
+    slots = find_slots(keys, levels)
+    stored = np.frombuffer(x.digests, "<u8").reshape(-1, 4)
+    return np.where((slots >= 0) & (stored[slots] == keys).all(axis=1), slots, -1)
+
+
 def lookup(classes: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
     """classes with ``hit`` and, for members, the stored winner instead of their own."""
     out = "digest binary, win_id long, win_row long, n long, hit boolean"
@@ -116,11 +127,8 @@ def lookup(classes: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
         hit = np.zeros(len(pdf), bool)
         if len(idx) and len(pdf):
             x = idx.iloc[0]
-            keys = _words(pdf.digest)
-            levels = [np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in x.bits]
-            slots = find_slots(keys, levels)
-            stored = np.frombuffer(x.digests, "<u8").reshape(-1, 4)
-            hit = (slots >= 0) & (stored[slots] == keys).all(axis=1)
+            slots = _slots(pdf.digest, x)
+            hit = slots >= 0
             ids = np.frombuffer(x.ids, "<i8")[slots[hit]]
             pdf.loc[hit, "win_id"] = pd.array(np.where(ids == np.iinfo(np.int64).min, 0, ids), "Int64")
             pdf.loc[hit, "win_row"] = np.frombuffer(x.rows, "<i8")[slots[hit]]
@@ -130,6 +138,33 @@ def lookup(classes: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
     return new.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(probe, out)
 
 
+def merged(classes: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
+    """(digest, win_id, win_row, n) of the history and of ``classes``, one row per digest of either.
+
+    Members add their count to the slot that holds their digest and take its
+    winner; nonmembers, of one row per digest, stay as they are. Nothing is
+    grouped by digest again, so a member that no slot admits would come twice.
+    """
+    def settle(pdf: pd.DataFrame, idx: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[["digest", "win_id", "win_row", "n"]].astype({"win_id": "Int64"})
+        if not len(idx):
+            return own
+        x = idx.iloc[0]
+        slots = _slots(own.digest, x)
+        n = np.frombuffer(x.row_n, "<i8").copy()
+        member = slots >= 0
+        np.add.at(n, slots[member], own.n.to_numpy("int64")[member])
+        ids = np.frombuffer(x.ids, "<i8")
+        history = pd.DataFrame({"digest": [x.digests[k:k + 32] for k in range(0, 32 * len(n), 32)],
+                                "win_id": pd.array(ids, "Int64"), "win_row": np.frombuffer(x.rows, "<i8"), "n": n})
+        history.loc[ids == np.iinfo(np.int64).min, "win_id"] = pd.NA
+        return pd.concat([history, own[~member]], ignore_index=True)
+
+    new = classes.withColumn("bucket", bucket_of(n_buckets))
+    return new.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(
+        settle, "digest binary, win_id long, win_row long, n long")
+
+
 def _classes(rows: DataFrame) -> DataFrame:
     w = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
     return rows.groupBy("digest").agg(w.alias("w"), F.count("*").alias("n")).select(
@@ -151,19 +186,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     history = written(_classes(rows.where(old)), "dedup-history")
     n_buckets = max(1, history.count() // BUCKET_KEYS)
     index = written(build_index(history, n_buckets), "dedup-index")
-    found = lookup(_classes(rows.where(~old)), index, n_buckets)
-    one = history.withColumn("hit", F.lit(True)).unionByName(found)
-    # the members' stored winner is the history's own; nonmembers have a row of their own
-    whole_classes = one.groupBy("digest").agg(
-        F.min(F.struct(F.col("win_id").isNull().alias("none"), "win_id", "win_row")).alias("w"),
-        F.sum("n").alias("group_size")).select(
-        "digest", F.col("w.win_id").alias("win_id"), F.col("w.win_row").alias("win_row"), "group_size")
-    return rows.join(whole_classes, "digest")
+    # a member's winner is its slot's: history ids are the smaller ones, and null ids are looked up
+    every = merged(_classes(rows.where(~old)), index, n_buckets)
+    return rows.join(every.withColumnRenamed("n", "group_size"), "digest")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row per group of equal texts, all columns."""
-    docs = numbered(docs, "dedup-input", "__own_row")
+    docs = placed(docs, "dedup-input", "__own_row")
     kept = exact_groups(docs, id_col, text_col, "__own_row").where(F.col("row_id") == F.col("win_row")).select(
         F.col("row_id").alias("__kept_row"))
     return docs.join(kept, F.col("__own_row") == F.col("__kept_row"), "left_semi").drop("__own_row")

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import numbered, row_ids, whole, word_count, written
+from scoreplane.llm.common import placed, row_ids, whole, word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -112,7 +112,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs as the mix takes them: a row for each copy taken, all columns."""
     names = docs.columns
-    docs = numbered(docs, "mix-input", "__own_row")
+    docs = placed(docs, "mix-input", "__own_row")
     taken = mixture(docs, id_col, text_col, source_col, row_col="__own_row", **how).where("copies > 0").select(
         F.col("row_id").alias("__taken_row"), F.col("copies").cast("int").alias("__copies"))
     out = docs.join(taken, F.col("__own_row") == F.col("__taken_row"))

@@ -50,7 +50,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import SPACE, numbered, row_ids, whole, written
+from scoreplane.llm.common import SPACE, placed, whole, written
 
 K = 5
 SKETCHES = 48
@@ -199,21 +199,23 @@ def similarity(a: list[bytes], b: list[bytes], least: float = SIMILARITY) -> flo
 
 
 def _sketched(docs: DataFrame, least: float) -> DataFrame:
-    """(doc, sketches, short) of (doc, text); short: the distinct k-mers, if few."""
+    """(doc, doc_id, copy, sketches, short) of (doc, doc_id, copy, text); short: the distinct k-mers, if few."""
     most = int(SHORT / least + 1e-9)
+    none = np.empty(0, np.int64)
 
     def few(codes: np.ndarray) -> np.ndarray:
         x = np.unique(kmers(codes))
-        return x.view(np.int64) if len(x) <= most else np.empty(0, np.int64)
+        return x.view(np.int64) if len(x) <= most else none
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            found = [(d, sketches(c).view(np.int64), few(c)) for d, c in zip(pdf.doc, map(word_codes, pdf.text)) if len(c)]
-            yield pd.DataFrame({"doc": pd.Series([x[0] for x in found], dtype="int64"),
-                                "sketches": pd.Series([x[1] for x in found], dtype=object),
-                                "short": pd.Series([x[2] for x in found], dtype=object)})
+            found = [(sketches(c).view(np.int64), few(c)) if len(c) else (none, none) for c in map(word_codes, pdf.text)]
+            yield pdf[["doc", "doc_id", "copy"]].assign(sketches=pd.Series([x[0] for x in found], dtype=object),
+                                                        short=pd.Series([x[1] for x in found], dtype=object))
 
-    return docs.mapInPandas(run, "doc long, sketches array<long>, short array<long>")
+    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, "doc long, doc_id string, copy string, sketches array<long>, short array<long>").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))
 
 
 def _rare(sketched: DataFrame, least: float) -> DataFrame:
@@ -334,17 +336,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated ids the first row). ``row_col`` names stored row ids, if docs has them.
     """
     normal = F.btrim(F.regexp_replace(whole(text_col), SPACE, " "), F.lit(" "))
-    cols = [F.col(id_col).cast("long").alias("doc_id"), normal.alias("text")]
-    base = docs.select(F.col(row_col).alias("row_id"), *cols) if row_col else row_ids(docs.select(*cols))
-    # written once with the text: the ids of another scan of docs may differ
-    base = written(base.withColumn("copy", F.sha2("text", 256)), "near-rows", compression="zstd")
-    rows = base.select("row_id", "doc_id", "copy")
+    docs, row_col = (docs, row_col) if row_col else (placed(docs, "near-input", "__own_row"), "__own_row")
+    base = docs.select(F.col(row_col).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), normal.alias("text"))
+    marked = written(_sketched(base.withColumn("copy", F.sha2("text", 256)), least), "near-sketches")
+    rows = marked.select(F.col("doc").alias("row_id"), "doc_id", "copy")
     # the first row of each group of copies stands for it; rows are numbered in table order
     groups = rows.groupBy("copy").agg(F.min("row_id").alias("doc"), F.count("*").alias("n"))
     groups = written(groups, "near-groups")
-    texts = base.join(groups.select("doc"), F.col("row_id") == F.col("doc"), "left_semi").select(
-        F.col("row_id").alias("doc"), "text")
-    sketched = written(_sketched(texts, least), "near-sketches")
+    sketched = written(marked.join(groups.select("doc"), "doc", "left_semi").select("doc", "sketches", "short"), "near-distinct")
     rare = written(_rare(sketched, least), "near-rare")
     keys = sketched.select("doc", F.explode("sketches").alias("key")).unionByName(rare)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -353,7 +352,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weight = members.groupBy("doc").agg(F.sum("n").alias("weight"))
     leads = members.join(weight, "doc").groupBy("key").agg(F.max(F.struct("weight", "doc"))["doc"].alias("lead"))
     candidates = members.select("doc").distinct()
-    texts = written(texts.join(candidates, "doc", "left_semi"), "near-texts")
+    texts = written(base.select("doc", "text").join(candidates, "doc", "left_semi"), "near-texts")
     marks = sketched.join(candidates, "doc", "left_semi")
 
     # each member of a bucket meets the bucket's leader
@@ -369,11 +368,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cls = _classes_of(candidates, links)
     # groups that buckets connect and that hold several classes
     grp = components(star).select("doc", F.col("cls").alias("grp"))
-    placed = written(grp.join(cls, "doc"), "near-placed")
-    still = placed.groupBy("grp").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("grp")
-    placed = placed.join(still, "grp")
-    sets = written(_kmer_sets(texts.join(placed.select("doc"), "doc", "left_semi")), "near-kmers")
-    across = written(_across(placed.join(sets, "doc"), least, BLOCK), "near-across")
+    grouped = written(grp.join(cls, "doc"), "near-placed")
+    still = grouped.groupBy("grp").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("grp")
+    grouped = grouped.join(still, "grp")
+    sets = written(_kmer_sets(texts.join(grouped.select("doc"), "doc", "left_semi")), "near-kmers")
+    across = written(_across(grouped.join(sets, "doc"), least, BLOCK), "near-across")
     while True:
         named = across.join(cls.select(F.col("doc").alias("a"), F.col("cls").alias("ca")), "a").join(
             cls.select(F.col("doc").alias("b"), F.col("cls").alias("cb")), "b").where("ca <> cb")
@@ -399,6 +398,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """docs with one row per class, all columns."""
-    docs = numbered(docs, "near-input", "__own_row")
+    docs = placed(docs, "near-input", "__own_row")
     kept = near_classes(docs, id_col, text_col, least, "__own_row").where("kept").select(F.col("row_id").alias("__kept_row"))
     return docs.join(kept, F.col("__own_row") == F.col("__kept_row"), "left_semi").drop("__own_row")

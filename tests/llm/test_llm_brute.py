@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("scoreplane.llm")
 import corpus_pipeline  # noqa: E402
-from scoreplane.llm import (exact_dedup, langid, lm_score, mixing, near_dedup, packing, pii, quality, toxicity,  # noqa: E402
+from scoreplane.llm import (common, exact_dedup, langid, lm_score, mixing, near_dedup, packing, pii, quality, toxicity,  # noqa: E402
                             warc)
 from scoreplane.llm.queries import ORACLE, QUERIES  # noqa: E402
 
@@ -62,6 +62,32 @@ def test_lookup_splits_members_and_nonmembers(spark):
         assert (r.hit, r.win_id) == ((True, k) if k < 300 else (False, 1000 + k))
 
 
+def test_members_are_settled_by_their_slot_alone(spark, monkeypatch):
+    d = lambda x: hashlib.sha256(x.encode()).digest()
+    schema = "digest binary, win_id long, win_row long, n long"
+    history = spark.createDataFrame([(d(f"t{k}"), k, 10 * k, 2) for k in range(300)], schema)
+    new = spark.createDataFrame([(d(f"t{k}"), 1000 + k, k, 5) for k in range(250, 350)], schema)
+    rows = exact_dedup.merged(new, exact_dedup.build_index(history, 3), 3).collect()
+    assert len(rows) == 350  # a lookup that finds no member would give 400
+    assert {bytes(r.digest): (r.win_id, r.n) for r in rows} == {
+        d(f"t{k}"): (k if k < 300 else 1000 + k, 2 if k < 250 else 7 if k < 300 else 5) for k in range(350)}
+
+
+def test_rows_of_files_have_the_same_ids_in_every_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 5000, 1, 7).selectExpr("id AS doc_id", "repeat('x', 50) AS text").write.parquet(path)
+    seen = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = common.placed(spark.read.parquet(path).where("doc_id % 2 = 0").select("doc_id", "text"), "unused")
+        seen.append({(r.doc_id, r.row_id) for r in df.collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len({r for _, r in seen[0]}) == 2500
+    assert df.columns == ["doc_id", "text", "row_id"] and df.count() == 2500
+    made = common.placed(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, _metadata string"), "placed-test")
+    assert len({r.row_id for r in made.collect()}) == 2 and made.columns == ["doc_id", "_metadata", "row_id"]
+
+
 def test_quality_counts(spark, texts):
     for r in QUERIES["op8_quality_rules"](spark, SF).collect():
         t = texts[r.doc_id]
