@@ -16,7 +16,12 @@ Both prefix sums (words in a queue, words in the merged order) run over
 buckets of the sort key that hold some ``BUCKET_ROWS`` rows whatever the
 source, so a source with a third of all rows is spread like the rest: sums
 per bucket, a running sum over the bucket totals, and a window inside each
-bucket.
+bucket. The bucket totals of the merged order are themselves summed by
+``RANGE`` buckets first, so that only one row of each range passes one task.
+
+Copies that finish after 1 plus the longest document's share of its target are
+left out before the merge: by then every queue has sent its target, that is
+all together the budget.
 
 Defined results: null and empty texts have size 0, are taken 0 times and
 cost nothing; equal finish times are ordered by source, epoch and hash;
@@ -36,6 +41,7 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 BUCKET_ROWS = 256
 MAX_BUCKETS = 1 << 16
+RANGE = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -62,8 +68,15 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], size
     """df with ``out``: the sum of ``size`` up to and with each row, by keys in the order; bucket follows the order."""
     same = [df[k].eqNullSafe(F.col(f"b_{k}")) for k in [*keys, bucket]]
     sums = df.groupBy(*keys, bucket).agg(F.sum(size).alias("b_sum"))
-    run = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.orderBy(bucket)
-    sums = sums.withColumn("b_before", F.sum("b_sum").over(run) - F.col("b_sum")).drop("b_sum")
+    if keys:
+        sums = sums.withColumn("b_before", F.sum("b_sum").over(Window.partitionBy(*keys).orderBy(bucket)) - F.col("b_sum"))
+    else:
+        sums = sums.withColumn("b_range", F.floor(F.col(bucket) / RANGE))
+        ranges = sums.groupBy(F.col("b_range").alias("r_range")).agg(F.sum("b_sum").alias("r_sum"))
+        ranges = ranges.withColumn("r_before", F.sum("r_sum").over(Window.orderBy("r_range")) - F.col("r_sum")).drop("r_sum")
+        inside = F.sum("b_sum").over(Window.partitionBy("b_range").orderBy(bucket)) - F.col("b_sum")
+        sums = sums.withColumn("b_in", inside).join(ranges, F.col("b_range") == F.col("r_range")).withColumn(
+            "b_before", F.col("b_in") + F.col("r_before"))
     sums = sums.select(*[F.col(k).alias(f"b_{k}") for k in [*keys, bucket]], "b_before")
     cond = same[0]
     for c in same[1:]:
@@ -97,6 +110,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     queue = queue.join(s, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
     copies = queue.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     copies = copies.withColumn("finish", (F.col("sent") + F.col("epoch") * F.col("source_size")).cast("double") / F.col("target"))
+    # one row: the finish time by which every queue has sent its target; rounding aside
+    longest = rows.join(s, F.col("source").eqNullSafe(F.col("s_source"))).where("size > 0").agg(
+        (1 + F.max(F.col("size") / F.col("target")) + 1e-6).alias("last"))
+    copies = copies.crossJoin(F.broadcast(longest)).where("finish <= last")
     copies = written(copies.select("row_id", "source", "epoch", "h", "doc_id", "size", "finish"), "mix-copies")
     copies = copies.withColumn("slot", F.floor(F.col("finish") * buckets))
     order = ["finish", F.col("source").isNull(), "source", "epoch", "h", "doc_id", "row_id"]
