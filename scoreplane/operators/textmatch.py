@@ -16,8 +16,9 @@ no shuffle and no row explosion:
    needs all its runs among the tokens, then a ``contains`` test and the
    bounded regex confirm it. Terms without letters are always tested.
 
-Hits are arrays of term strings. The dictionary is inlined into the plan
-as literals, so its size is checked against ``rules.MAX_INLINE_TERMS``.
+Hits are arrays of term strings. The dictionary is a Python list that the
+caller holds, inlined into the plan as literals; a dictionary that is a
+table is joined instead (``operators.phrase_join``).
 Functions here return Spark SQL expression text over column names.
 """
 
@@ -29,7 +30,6 @@ from dataclasses import dataclass
 
 from scoreplane.functions.sqltext import sql_str, str_array
 from scoreplane.functions.text import phrase_pattern
-from scoreplane.rules import MAX_INLINE_TERMS
 
 _RUN = re.compile(r"[a-z]+")
 _EXACT = re.compile(r"[a-z]+")
@@ -39,11 +39,6 @@ _EXACT = re.compile(r"[a-z]+")
 class Dictionary:
     terms: tuple[str, ...]
 
-    def __post_init__(self):
-        if len(self.terms) > MAX_INLINE_TERMS:
-            raise ValueError(f"term dictionary has {len(self.terms)} terms (> {MAX_INLINE_TERMS}); "
-                             "too large to inline into a plan")
-
     @staticmethod
     def of(terms) -> "Dictionary":
         return Dictionary(tuple(dict.fromkeys(terms)))
@@ -88,20 +83,6 @@ class Dictionary:
         free_sql = f"array({', '.join(self._other_struct(t) for t in free)})" if free else empty
         return str_array(list(by_anchor)), amap, free_sql
 
-    def others_literal_sql(self) -> str:
-        """array<struct<term, anchor, runs, pat>> of the terms that need a text test.
-
-        ``anchor`` is the term's longest letter run (usually its rarest), tested
-        first so most terms are rejected with one lookup.
-        """
-        items = []
-        for t in self.other_terms:
-            runs = _RUN.findall(t)
-            anchor = sql_str(max(runs, key=len)) if runs else "CAST(NULL AS STRING)"
-            items.append(f"named_struct('term', {sql_str(t)}, 'anchor', {anchor}, "
-                         f"'runs', {str_array(runs)}, 'pat', {sql_str(phrase_pattern(t))})")
-        return f"array({', '.join(items)})"
-
 
 def tokens_sql(text: str, d: Dictionary) -> str:
     """Distinct letter-run tokens of ``text`` that occur in some dictionary term."""

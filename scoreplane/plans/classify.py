@@ -1,24 +1,28 @@
 """Rule-based domain classification of (title, description) pairs.
 
-Per row, map-only: normalise, apply ordered replacements, find dictionary
-terms (``operators.textmatch``), score every domain, take the arg-max in
-rule order. The rules are a bounded literal in the plan, so a 100 TB input
-is classified in one scan with no exchange.
+Normalise, apply ordered replacements, find dictionary terms, score every
+domain, take the arg-max in rule order. There are two forms with the same
+results; which one runs follows from what the caller holds, not from a size:
+
+* a ``RuleSet`` of Python lists is inlined into the plan (``operators.
+  textmatch``): map-only, one scan with no exchange;
+* a keyword table is a DataFrame of any size, joined with the texts by
+  position (``operators.phrase_join``): ``classify_table``, ``keyword_hits``
+  and ``best_scores`` with ``keywords``, or ``method="join"``.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreplane import fixed_values as FV
 from scoreplane.functions.sqltext import sql_str
-from scoreplane.functions.text import fewer_words_than, normalize, phrase_pattern
+from scoreplane.functions.text import fewer_words_than, normalize
+from scoreplane.operators.phrase_join import phrase_hits
 from scoreplane.operators.textmatch import (Dictionary, any_hit_sql, hit_count_sql,
                                             term_hits_sql, tokens_sql)
-from scoreplane.rules import MAX_INLINE_TERMS, RuleSet
+from scoreplane.rules import RuleSet
 from scoreplane.session import checkpoint_dir
 
 
@@ -124,18 +128,17 @@ def _hits(staged: DataFrame, keep: list[str], d: Dictionary) -> DataFrame:
 def classify(df: DataFrame, rs: RuleSet, title: str | Column = "job_title",
              desc: str | Column = "job_description", out: str = "kw_domain",
              keep: list[str] | None = None, with_score: bool = False,
-             method: str = "auto", key: str | None = None) -> DataFrame:
+             method: str = "inline", key: str | None = None) -> DataFrame:
     """Append the keyword label of each row.
 
-    ``method``: ``inline`` (the dictionary as plan literals, map-only),
-    ``join`` (the dictionary as a DataFrame joined on token anchors), or
-    ``auto``: inline up to ``rules.MAX_INLINE_TERMS`` terms, join above.
-    Both give the same labels. ``key`` names a unique row key for the join
-    form (see ``_join_hits``).
+    ``method``: ``inline`` (the dictionary as plan literals, map-only) or
+    ``join`` (the dictionary as a DataFrame, joined by position). Both give
+    the same labels. ``key`` names a unique row key for the join form (see
+    ``_join_hits``).
     """
     keep = keep if keep is not None else list(df.columns)
-    if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
-        return _classify_join(df, rs, title, desc, out, keep, with_score, key)
+    if method == "join":
+        return _label(_join_scores(df, rs, title, desc, keep, key=key), keep, out, with_score)
     d = dictionary_for(rs)
     staged = _hits(df.select(*keep, normalized(title, rs).alias("_t"),
                              normalized(desc, rs).alias("_d")), keep, d)
@@ -152,101 +155,44 @@ def _label(staged: DataFrame, keep: list[str], out: str, with_score: bool) -> Da
     return staged.select(*cols)
 
 
-_RUN = re.compile(r"[a-z]+")
-_WORD = re.compile(r"[a-z]+")
-_HIT = "struct<term:string,ranks:array<int>>"
-
+def term_table(spark, rs: RuleSet) -> DataFrame:
+    """The dictionary as rows (term, ranks).
 
-def term_table(spark, rs: RuleSet) -> tuple[DataFrame, list[tuple[str, list[int]]]]:
-    """The dictionary as rows (term, anchor, exact, pat, ranks) plus the letterless terms.
-
-    ``anchor`` is the term's longest letter run: a term can only occur in a
-    text that has its anchor as a token. ``ranks`` lists the rule rank of
-    every domain that names the term as a keyword (once per listing).
-    Letterless terms (``802.11``) have no anchor and are tested on every
-    text, so their number is bounded by ``rules.MAX_INLINE_TERMS``.
+    ``ranks`` lists the rule rank of every domain that names the term as a
+    keyword (once per listing).
     """
     rank_of = {dom: i for i, dom in enumerate(rs.domains, start=1)}
     ranks: dict[str, list[int]] = {}
     for dom, kw in rs.keywords:
         ranks.setdefault(kw, []).append(rank_of[dom])
-    rows, free = [], []
-    for t in dictionary_terms(rs):
-        runs = _RUN.findall(t)
-        if runs:
-            rows.append((t, max(runs, key=len), bool(_WORD.fullmatch(t)), phrase_pattern(t), ranks.get(t, [])))
-        else:
-            free.append((t, ranks.get(t, [])))
-    if len(free) > MAX_INLINE_TERMS:
-        raise ValueError(f"{len(free)} terms without letters (> {MAX_INLINE_TERMS}); too many to test per text")
-    table = spark.createDataFrame(rows, "term string, anchor string, exact boolean, pat string, ranks array<int>")
-    return table, free
-
-
-def _free_hits_sql(text: str, free: list[tuple[str, list[int]]]) -> str:
-    if not free:
-        return f"CAST(array() AS array<{_HIT}>)"
-    lit = ", ".join(f"named_struct('term', {sql_str(t)}, 'pat', {sql_str(phrase_pattern(t))}, "
-                    f"'ranks', CAST(array({', '.join(map(str, r))}) AS array<int>))" for t, r in free)
-    return (f"transform(filter(array({lit}), f -> contains({text}, f.term) AND regexp({text}, f.pat)), "
-            f"f -> named_struct('term', f.term, 'ranks', f.ranks))")
-
-
-def _classify_join(df: DataFrame, rs: RuleSet, title, desc, out: str, keep: list[str],
-                   with_score: bool, key: str | None = None) -> DataFrame:
-    """J1 for dictionaries too large to inline: the dictionary is a DataFrame.
-
-    Each text's distinct letter-run tokens are joined with the dictionary on
-    the term's anchor (a shuffle on the token; AQE splits a hot token), the
-    candidates are gathered per text, joined back to the text by a row id,
-    and confirmed with the same boundary test as the inline form (a
-    single-run term is a hit when it is a token). Per-domain counts come
-    from each hit's domain ranks, so no keyword list is inlined.
-    """
-    return _label(_join_scores(df, rs, title, desc, keep, key=key), keep, out, with_score)
+    return spark.createDataFrame([(t, ranks.get(t, [])) for t in dictionary_terms(rs)], "term string, ranks array<int>")
 
 
-def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None,
+def _join_scores(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], terms: DataFrame | None = None,
                  key: str | None = None) -> DataFrame:
     """keep + _th + _scores from the join form of the hits."""
-    staged = _join_hits(df, rs, title, desc, keep, tables, key)
+    staged = _join_hits(df, rs, title, desc, keep, terms, key)
     staged = staged.select(
         *keep, "_thr", "_dhr", F.array_distinct(F.concat("_thr", "_dhr")).alias("_bothr"),
-        F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"),
-        fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short"))
+        F.expr("transform(_thr, x -> x.term)").alias("_th"), F.expr("transform(_dhr, x -> x.term)").alias("_dh"), "_short")
     staged = staged.withColumn("_both", F.array_union("_th", "_dh"))
     return staged.select(*keep, "_th", F.expr(scores_sql(rs, None, ranked=True)).alias("_scores"))
 
 
-def keyword_term_table(rs: RuleSet, keywords: DataFrame) -> tuple[DataFrame, list[tuple[str, list[int]]]]:
+def keyword_term_table(rs: RuleSet, keywords: DataFrame) -> DataFrame:
     """``term_table`` built in Spark from a keyword table of any size.
 
     ``keywords(domain, keyword)``: the domain's rank comes from the rule
     order of ``rs`` (its weight table); a keyword of a domain without a
     weight scores nothing and is left out of the ranks. The fixed phrases
-    and boost terms of ``rs`` are added with no ranks. Only letterless
-    terms are collected, after a size check.
+    and boost terms of ``rs`` are added with no ranks. Nothing is collected.
     """
     spark = keywords.sparkSession
     rank_map = F.create_map(*[x for i, dom in enumerate(rs.domains, start=1) for x in (F.lit(dom), F.lit(i))])
-    kw = keywords.select(F.col("keyword").alias("term"),
-                         F.array(F.element_at(rank_map, F.col("domain"))).alias("ranks"))
-    fixed = [t for t in dictionary_terms(RuleSet(replacements=[], keywords=[], weights=rs.weights, boosts=rs.boosts))]
-    fixed_df = spark.createDataFrame([(t,) for t in fixed], "term string").select(
-        "term", F.array().cast("array<int>").alias("ranks"))
-    terms = (kw.unionByName(fixed_df).groupBy("term")
-               .agg(F.filter(F.flatten(F.collect_list("ranks")), lambda r: r.isNotNull()).alias("ranks")))
-    runs = F.regexp_extract_all("term", F.lit("([a-z]+)"), 1)
-    anchor = F.aggregate(runs, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    quoted = F.regexp_replace("term", r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    terms = terms.select(
-        "term", anchor.alias("anchor"), F.col("term").rlike("^[a-z]+$").alias("exact"),
-        F.concat(F.lit("(?<![a-z])"), quoted, F.lit("(?![a-z])")).alias("pat"), "ranks")
-    letterless = terms.where(F.col("anchor") == "")
-    if letterless.limit(MAX_INLINE_TERMS + 1).count() > MAX_INLINE_TERMS:
-        raise ValueError(f"more than {MAX_INLINE_TERMS} terms without letters; too many to test per text")
-    free = [(r["term"], list(r["ranks"])) for r in letterless.select("term", "ranks").collect()]
-    return terms.where(F.col("anchor") != ""), free
+    kw = keywords.select(F.col("keyword").alias("term"), F.element_at(rank_map, F.col("domain")).alias("rank"))
+    fixed = dictionary_terms(RuleSet(replacements=[], keywords=[], weights=rs.weights, boosts=rs.boosts))
+    fixed_df = spark.createDataFrame([(t, None) for t in fixed], "term string, rank int")
+    return kw.unionByName(fixed_df).groupBy("term").agg(F.collect_list("rank").alias("ranks"))
 
 
 def classify_table(df: DataFrame, rs: RuleSet, keywords: DataFrame, title: str | Column = "job_title",
@@ -260,60 +206,54 @@ def classify_table(df: DataFrame, rs: RuleSet, keywords: DataFrame, title: str |
     keywords collected into ``rs``. ``key``: a unique row key, if any.
     """
     keep = keep if keep is not None else list(df.columns)
-    tables = keyword_term_table(rs, keywords)
-    return _label(_join_scores(df, rs, title, desc, keep, tables, key), keep, out, with_score)
+    return _label(_join_scores(df, rs, title, desc, keep, keyword_term_table(rs, keywords), key), keep, out, with_score)
 
 
-def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], tables=None,
+def _join_hits(df: DataFrame, rs: RuleSet, title, desc, keep: list[str], terms: DataFrame | None = None,
                key: str | None = None) -> DataFrame:
-    """keep + _d + _thr/_dhr (array<struct<term, ranks>> of confirmed hits) by the anchor join.
+    """keep + _short + _thr/_dhr (array<struct<term, ranks>> of the hits) by the positional join.
 
-    The candidates are joined back to their text by a row id. With a
-    caller's unique ``key`` that column is the id and the texts are simply
-    read twice; without one, the normalised texts get a generated id in a
-    checkpoint on the shared folder, so both sides of the join (and any
-    retried task) agree on it.
+    Hits are gathered per row and joined back by a row id; the texts stay
+    where they are. With a caller's unique ``key`` that column is the id and
+    the texts are simply read twice; without one, the normalised texts get a
+    generated id in a lazy checkpoint on the shared folder, so both sides of
+    the join (and any retried task) agree on it.
     """
     spark = df.sparkSession
-    terms, free = tables if tables is not None else term_table(spark, rs)
+    terms = term_table(spark, rs) if terms is None else terms
     x = df.select(*keep, normalized(title, rs).alias("_t"), normalized(desc, rs).alias("_d"),
-                          *([F.col(key).alias("_rid")] if key else []))
+                  *([F.col(key).alias("_rid")] if key else []))
     if not key:
         checkpoint_dir(spark)
-        x = x.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.array_distinct(F.split("_t", "[^a-z]+")).alias("toks")),
-        F.struct(F.lit(1).alias("side"), F.array_distinct(F.split("_d", "[^a-z]+")).alias("toks")))
-    toks = (x.select("_rid", F.explode(sides).alias("_s"))
-             .select("_rid", F.col("_s.side").alias("side"), F.explode("_s.toks").alias("tok")))
-    cand = (toks.join(terms, F.col("tok") == F.col("anchor"))
-                .groupBy("_rid").agg(F.collect_list(F.struct("side", "term", "exact", "pat", "ranks")).alias("_c")))
-    j = x.join(cand, "_rid", "left")
-    empty = "CAST(array() AS array<struct<side:int,term:string,exact:boolean,pat:string,ranks:array<int>>>)"
-
-    def confirmed(side: int, text: str) -> str:
-        found = (f"transform(filter(coalesce(_c, {empty}), c -> c.side = {side} AND "
-                 f"(c.exact OR (contains({text}, c.term) AND regexp({text}, c.pat)))), "
-                 f"c -> named_struct('term', c.term, 'ranks', c.ranks))")
-        return f"concat({found}, {_free_hits_sql(text, free)})"
-
-    return j.select(*keep, "_d", F.expr(confirmed(0, "_t")).alias("_thr"), F.expr(confirmed(1, "_d")).alias("_dhr"))
+        x = x.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=False)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("_t").alias("text")),
+                    F.struct(F.lit(1).alias("side"), F.col("_d").alias("text")))
+    texts = x.select("_rid", F.explode(sides).alias("_s")).select(
+        F.struct("_rid", "_s.side").alias("row"), "_s.text")
+    hits = phrase_hits(texts, terms).join(terms, "term")
+    hit = F.struct("term", "ranks")
+    of = lambda side: F.sort_array(F.collect_list(F.when(F.col("row.side") == side, hit)))
+    hits = hits.groupBy(F.col("row._rid").alias("_rid")).agg(of(0).alias("_thr"), of(1).alias("_dhr"))
+    none = F.array().cast("array<struct<term:string,ranks:array<int>>>")
+    return x.select(*keep, "_rid", fewer_words_than(F.col("_d"), FV.SHORT_DESC_WORDS).alias("_short")).join(
+        hits, "_rid", "left").withColumns({"_thr": F.coalesce("_thr", none), "_dhr": F.coalesce("_dhr", none)})
 
 
 def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_title",
-                 desc="job_description", method: str = "auto", unique_id: bool = False) -> DataFrame:
+                 desc="job_description", method: str = "inline", unique_id: bool = False,
+                 keywords: DataFrame | None = None) -> DataFrame:
     """Per (row, domain) the listed-keyword hit counts in title and description.
 
-    ``method`` as in ``classify``: the join form above the inline bound;
-    ``unique_id`` says ``id_col`` is unique, so the join form needs no
-    checkpoint.
+    ``method`` as in ``classify``; with a ``keywords(domain, keyword)`` table
+    the join form runs on it. ``unique_id`` says ``id_col`` is unique, so the
+    join form needs no checkpoint.
     """
-    if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
-        staged = _join_hits(df, rs, title, desc, [id_col], key=id_col if unique_id else None)
+    if method == "join" or keywords is not None:
+        terms = None if keywords is None else keyword_term_table(rs, keywords)
+        staged = _join_hits(df, rs, title, desc, [id_col], terms, key=id_col if unique_id else None)
         per_dom = ", ".join(
             f"named_struct('domain', {sql_str(dom)}, 'title_hits', {_ranked_count_sql('_thr', r)}, "
-            f"'desc_hits', {_ranked_count_sql('_dhr', r)})"
-            for r, dom in enumerate(rs.domains, start=1) if dom in _kw_terms(rs))
+            f"'desc_hits', {_ranked_count_sql('_dhr', r)})" for r, dom in enumerate(rs.domains, start=1))
         return (staged.select(id_col, F.expr(f"inline(array({per_dom}))"))
                 .where((F.col("title_hits") > 0) | (F.col("desc_hits") > 0))
                 .select(id_col, "domain", F.col("title_hits").cast("bigint"), F.col("desc_hits").cast("bigint")))
@@ -329,16 +269,18 @@ def keyword_hits(df: DataFrame, rs: RuleSet, id_col: str = "id", title="job_titl
 
 
 def best_scores(df: DataFrame, rs: RuleSet, title="job_title", desc="job_description",
-                keep: list[str] | None = None, method: str = "auto", key: str | None = None) -> DataFrame:
+                keep: list[str] | None = None, method: str = "inline", key: str | None = None,
+                keywords: DataFrame | None = None) -> DataFrame:
     """First highest-scoring domain in rule order and its score (before threshold/overrides).
 
-    ``method`` as in ``classify``: the join form above the inline bound.
+    ``method`` and ``keywords`` as in ``keyword_hits``.
     """
     keep = keep if keep is not None else list(df.columns)
     first_max = ("named_struct('rank', 0, 'domain', CAST(NULL AS STRING), 'score', -1.0D), "
                  "(acc, x) -> IF(x.score > acc.score, x, acc))")
-    if method == "join" or (method == "auto" and len(dictionary_terms(rs)) > MAX_INLINE_TERMS):
-        staged = _join_scores(df, rs, title, desc, keep, key=key)
+    if method == "join" or keywords is not None:
+        terms = None if keywords is None else keyword_term_table(rs, keywords)
+        staged = _join_scores(df, rs, title, desc, keep, terms, key=key)
         return staged.select(*keep, F.expr(f"aggregate(_scores, {first_max}").alias("_b")).select(
             *keep, F.col("_b.domain").alias("best_domain"), F.col("_b.score").alias("best_score"))
     d = dictionary_for(rs)

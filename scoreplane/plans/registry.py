@@ -211,6 +211,32 @@ JOIN doms dm ON dm.rank = COALESCE(tc.rank, dc.rank)""", "postings",
     lambda s, d: CL.keyword_hits(FX.postings(s, d), _RS, "id", "job_title",
                                  compose_text("job_description", "resume_text")))
 
+# D12 and D13 with the keyword table kept as a DataFrame.
+register("d12_keyword_hits_table", ORACLE["d12_keyword_hits"])(
+    lambda s, d: CL.keyword_hits(FX.postings(s, d), _RS, "id", "job_title", compose_text("job_description", "resume_text"),
+                                 unique_id=True, keywords=R.keywords_table(s, _RS)))
+
+# C6 with a vocabulary that Spark draws from the documents: their first three and
+# last two words, as they stand (over 1,000 phrases at sf0.01).
+from scoreplane.operators.phrase_join import phrase_hits  # noqa: E402
+
+_OPENING = "^[^a-z]*([a-z]+[^a-z]+[a-z]+[^a-z]+[a-z]+)"
+_CLOSING = "([a-z]+[^a-z]+[a-z]+)[^a-z]*$"
+
+
+def _phrases_in_documents(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    phrase = F.explode(F.array(*[F.regexp_extract("text", p, 1) for p in (_OPENING, _CLOSING)]))
+    return phrase_hits(docs, docs.select(phrase.alias("phrase")).where("phrase <> ''"), "doc_id", "text", "phrase")
+
+
+register("c6_phrase_join", f"""
+WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
+p AS (SELECT regexp_extract(t, '{_OPENING}', 1) AS phrase FROM d UNION SELECT regexp_extract(t, '{_CLOSING}', 1) FROM d)
+SELECT doc_id, phrase FROM d, p WHERE phrase <> ''
+  AND CASE WHEN contains(t, phrase) THEN regexp_matches(t, '(^|[^a-z])' || regexp_escape(phrase) || '([^a-z]|$)') ELSE false END
+""")(_phrases_in_documents)
+
 # ---------------------------------------------------------------- similarity and labels
 from scoreplane.operators import labels as LB  # noqa: E402
 from scoreplane.operators import similarity as SM  # noqa: E402
@@ -691,6 +717,10 @@ register("d13_best_domain_score", W("SELECT id, domain AS best_domain, score AS
     lambda s, d: CL.best_scores(FX.postings(s, d), _RS, "job_title",
                                 compose_text("job_description", "resume_text"), keep=["id"]))
 
+register("d13_best_domain_score_table", ORACLE["d13_best_domain_score"])(
+    lambda s, d: CL.best_scores(FX.postings(s, d), _RS, "job_title", compose_text("job_description", "resume_text"),
+                                keep=["id"], key="id", keywords=R.keywords_table(s, _RS)))
+
 register("d17_boost_any", W("""
 SELECT n.id, bs.rank IS NOT NULL AS ai_boost_in_text
 FROM norm n LEFT JOIN (SELECT DISTINCT id, rank FROM bd WHERE rank = 2) bs ON bs.id = n.id""", "postings",

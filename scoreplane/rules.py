@@ -16,9 +16,6 @@ from scoreplane import fixed_values as FV
 
 # Upper bound on rule rows that are collected, inlined into a plan or broadcast.
 MAX_RULE_ROWS = 200_000
-# Upper bound on dictionary terms inlined into the classifier's plan: the plan
-# (with its literals) travels with every task, so this keeps it to a few MB.
-MAX_INLINE_TERMS = 20_000
 
 # Sample ordered phrase replacements (seq, old, new), applied one after the
 # other to substrings. Their words occur in the ``documents`` table. The first

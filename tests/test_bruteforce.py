@@ -12,6 +12,7 @@ from scoreplane import fixed_values as FV
 from scoreplane import rules as R
 from scoreplane.operators.asof import asof_join
 from scoreplane.operators.tables import assign_ids
+from scoreplane.operators.phrase_join import phrase_hits
 from scoreplane.plans import classify as CL
 
 
@@ -168,17 +169,46 @@ def test_classifier_shared_anchor_dictionary(spark, method):
     assert len(set(want.values())) > 3
 
 
-def test_classifier_switches_to_join_above_inline_bound(spark, monkeypatch):
-    """A dictionary above the inline bound is classified by the join form, same labels."""
+def test_classifier_forms_follow_the_callers_rules_not_a_size(spark):
+    """30,000 keywords: as a list they are inlined, as a table joined; the labels are the same and no job runs early."""
     rs = R.sample_ruleset()
-    rows = [(i, t, d) for i, (t, d) in enumerate(
-        [(x, "python django sql developer with react and css") for x in R.SAMPLE_TITLES])]
+    more = R.RuleSet(replacements=rs.replacements, keywords=rs.keywords + [("Networking", f"zz{k} qq") for k in range(30_000)])
+    rows = [(i, x, "that ered thly with zz7 qq, zz29999 qq and zz30000 qq") for i, x in enumerate(R.SAMPLE_TITLES[:2])]
     df = spark.createDataFrame(rows, "id long, job_title string, job_description string")
-    want = {r["id"]: r["kw_domain"] for r in CL.classify(df, rs, keep=["id"]).collect()}
-    monkeypatch.setattr(CL, "MAX_INLINE_TERMS", 10)
-    q = CL.classify(df, rs, keep=["id"])
-    assert "Join" in q._jdf.queryExecution().executedPlan().toString()
-    assert {r["id"]: r["kw_domain"] for r in q.collect()} == want
+    kt = spark.createDataFrame(more.keywords, "domain string, keyword string")
+    spark.sparkContext.setJobGroup("table-plan", "table-plan")
+    q = CL.classify_table(df, more, kt, keep=["id"], with_score=True)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("table-plan")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["id"]: r["kw_domain"] for r in q.collect()} == {i: py_classify(t, d, more) for i, t, d in rows}
+
+
+def test_phrase_join_matches_regex(spark):
+    """Every kind of edge: letters and gaps at the ends, inner gaps, phrases without letters, overlaps, odd characters."""
+    rng = random.Random(4)
+    parts = ["a", "b", "ab", "c++", ".net", "node.js", " ", "  ", ". ", "1", "11", "+", "\n", "ba", "é", "x", "A", "'", "\\"]
+    texts = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for k in range(250)] + [(900, None)]
+    terms = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(400)})
+    got = phrase_hits(spark.createDataFrame(texts, "row long, text string").repartition(3),
+                      spark.createDataFrame([(t,) for t in [*terms, terms[0], "", None]], "term string"))
+    want = sorted((k, p) for k, s in texts for p in terms if s and re.search("(?<![a-z])" + re.escape(p) + "(?![a-z])", s))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+
+
+def test_fifty_thousand_phrases_on_one_run(spark):
+    """All phrases share their only frequent run, with other gaps or other rare runs: candidates stay near the hits."""
+    terms = [f"data {k}" for k in range(25_000)] + [f"data w{_letters(k)}" for k in range(25_000)]
+    texts = [(k, f"the data {k} and data w{_letters(2 * k)}, more data, data " * 5) for k in range(400)]
+    t, p = spark.createDataFrame(texts, "row long, text string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    got = {(r.row, r.term) for r in phrase_hits(t, p).collect()}
+    assert {(k, x) for k, x in got if "w" in x} == {(k, f"data w{_letters(2 * k)}") for k in range(400)}
+    # digits are boundaries of letters only: data 39 is in data 399 too
+    assert {(k, x) for k, x in got if "w" not in x} == {
+        (k, f"data {str(k)[:n]}") for k in range(400) for n in range(1, len(str(k)) + 1)}
+
+
+def _letters(k):
+    return "".join(chr(97 + int(c)) for c in str(k))
 
 
 def test_registration_batch_equals_sequential_inserts(spark):

@@ -379,14 +379,6 @@ def test_rule_table_size_is_checked(spark):
         R.ruleset_from_tables(R.replacements_table(spark), big)
 
 
-def test_inline_dictionary_size_is_checked():
-    from scoreplane.operators.textmatch import Dictionary
-
-    Dictionary.of([f"t{i}" for i in range(R.MAX_INLINE_TERMS)])
-    with pytest.raises(ValueError):
-        Dictionary.of([f"t{i}" for i in range(R.MAX_INLINE_TERMS + 1)])
-
-
 def test_checkpoint_dir_required_on_a_cluster():
     """Without spark.checkpoint.dir a cluster session raises; it never falls back to a local folder."""
     from types import SimpleNamespace
