@@ -587,6 +587,7 @@ register("a4_add_missing_column", W(f"SELECT {ALL_CAND.replace('format_score', '
     lambda s, d: ST.conform(FX.candidates(s, d).drop("format_score"), CANDIDATES, {"format_score": 0}))
 
 # ---------------------------------------------------------------- streaming forms
+from scoreplane.operators import replay as RP  # noqa: E402
 from scoreplane.streaming import streams as SS  # noqa: E402
 
 
@@ -600,17 +601,43 @@ SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start,
        CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, api_key, COUNT(*) AS calls
 FROM call_log WHERE error IS NULL GROUP BY 1, 2, 3""", "call_log"))(_s1)
 
-register("s2_cache_misses_stream", W(f"""
-SELECT min(h.call_id) AS call_id, prompt_hash, ts FROM h JOIN miss USING (prompt_hash, ts) GROUP BY 2, 3""",
-                                     "call_log", extra=f"""
-h AS (SELECT call_id, ts, {O.hash_sql()} AS prompt_hash FROM call_log),
-miss AS (SELECT prompt_hash, min(ts) AS ts FROM h GROUP BY 1
+def _misses_sql(prompt: str = "prompt") -> str:
+    """The calls reached from each prompt's first: the next one after an unanswered miss, else the first beyond the lifetime."""
+    log = f"(SELECT * REPLACE ({prompt} AS prompt) FROM call_log)"
+    return W("SELECT call_id, prompt_hash, ts FROM miss", "call_log", extra=f"""
+h AS (SELECT call_id, ts, error IS NULL AND coalesce(response, '') <> '' AS ok, {O.hash_sql()} AS prompt_hash FROM {log}),
+n AS (SELECT *, row_number() OVER (PARTITION BY prompt_hash ORDER BY ts, call_id) AS k FROM h),
+step AS (SELECT n.*, CASE WHEN ok THEN 1 + (SELECT count(*) FROM n b WHERE b.prompt_hash = n.prompt_hash
+                                           AND b.ts <= n.ts + INTERVAL {FV.CACHE_TTL_HOURS} HOUR) ELSE k + 1 END AS nxt FROM n),
+miss AS (SELECT * FROM step WHERE k = 1
          UNION ALL
-         SELECT h.prompt_hash, min(h.ts) FROM miss m JOIN h
-           ON h.prompt_hash = m.prompt_hash AND h.ts > m.ts + INTERVAL {FV.CACHE_TTL_HOURS} HOUR GROUP BY 1)""").replace(
-    "WITH ", "WITH RECURSIVE ", 1))(
+         SELECT s.* FROM miss m JOIN step s ON s.prompt_hash = m.prompt_hash AND s.k = m.nxt)""").replace(
+        "WITH ", "WITH RECURSIVE ", 1)
+
+
+register("s2_cache_misses_stream", _misses_sql())(
     lambda s, d: SS.run_to_table(SS.cache_misses(FX.call_log_from(SS.file_stream(s, d, "events"))), "s2"))
 
+# batch form, by pointer doubling; with one prompt for each key the calls come well inside the lifetime
+register("s2_cache_misses", _misses_sql())(lambda s, d: RP.cache_misses(FX.call_log(s, d)))
+register("s2_cache_misses_hot_prompts", _misses_sql("api_key"))(
+    lambda s, d: RP.cache_misses(FX.call_log(s, d).withColumn("prompt", F.col("api_key"))))
+
+register("j6_health_at_calls", W(f"""
+SELECT c.call_id, c.api_key, c.ts, CASE
+    WHEN e.failed AND c.ts < e.ts + INTERVAL 1 MINUTE * (CASE WHEN e.reason = '{FV.REASON_QUOTA}' THEN {FV.QUOTA_COOLDOWN_MINUTES}
+                                                              ELSE {FV.ERROR_COOLDOWN_MINUTES} END) THEN 'cooling'
+    WHEN c.used >= 20 THEN 'over_quota' ELSE 'healthy' END AS status
+FROM u c LEFT JOIN e ON e.api_key = c.api_key AND e.call_id = c.e_call""", "call_log", extra=f"""
+e AS (SELECT api_key, ts, call_id, error IS NOT NULL AS failed,
+             CASE WHEN regexp_matches(lower(error), 'quota|rate limit|429') THEN '{FV.REASON_QUOTA}' ELSE 'error' END AS reason
+      FROM call_log WHERE error IS NOT NULL OR NOT own_key),
+u AS (SELECT *, count(CASE WHEN error IS NULL THEN 1 END) OVER (PARTITION BY api_key, CAST(ts AS DATE) ORDER BY ts, call_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used,
+             last_value(CASE WHEN error IS NOT NULL OR NOT own_key THEN call_id END IGNORE NULLS)
+               OVER (PARTITION BY api_key ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e_call
+      FROM call_log)"""))(lambda s, d: RP.health_at_calls(FX.call_log(s, d), daily_limit=20))
+
 
 def _s3(s, d):
     base = SS.failure_state_stream(FX.call_log_from(SS.file_stream(s, d, "events")), "s3")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from scoreplane import fixed_values as FV
 from scoreplane.operators import calllog as CG
+from scoreplane.operators.replay import answered
 from scoreplane.session import scratch_path
 
 
@@ -81,10 +82,11 @@ def daily_usage(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
 def cache_misses(calls: DataFrame, ttl_hours: int = FV.CACHE_TTL_HOURS) -> DataFrame:
     """The calls that miss the response cache.
 
-    A call misses if its prompt has no miss within the lifetime before it;
-    each miss refreshes the entry. The state of a prompt is the time of its
-    last miss, dropped once the event time is a lifetime past it. Calls of a
-    prompt are decided in time order within a micro-batch.
+    A call misses unless an answered miss of its prompt lies within the
+    lifetime before it; a failed call or an empty response fills nothing. The
+    state of a prompt is the time of its last answered miss, dropped once the
+    event time is a lifetime past it. Calls of a prompt are decided in time
+    order within a micro-batch. ``replay.cache_misses`` is the batch form.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -97,16 +99,17 @@ def cache_misses(calls: DataFrame, ttl_hours: int = FV.CACHE_TTL_HOURS) -> DataF
             return
         rows = pd.concat(list(chunks)).sort_values(["at", "call_id"])
         last, kept = (state.get[0] if state.exists else None), []
-        for call, at in zip(rows.call_id, rows["at"]):
+        for call, at, ok in zip(rows.call_id, rows["at"], rows.ok):
             if last is None or at - last > life:
-                last = int(at)
-                kept.append((int(call), key[0], last))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
+                last = int(at) if ok else last
+                kept.append((int(call), key[0], int(at)))
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
         yield pd.DataFrame(kept, columns=["call_id", "prompt_hash", "at"])
 
     h = event_time(CG.with_hash(calls)).withWatermark("event_ts", f"{ttl_hours} hours")
-    out = h.select("call_id", "prompt_hash", "event_ts", F.unix_micros("event_ts").alias("at")).groupBy(
+    out = h.select("call_id", "prompt_hash", "event_ts", F.unix_micros("event_ts").alias("at"), answered().alias("ok")).groupBy(
         "prompt_hash").applyInPandasWithState(
         decide, "call_id long, prompt_hash string, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("call_id", "prompt_hash", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
