@@ -661,6 +661,13 @@ FROM user_logs WHERE action = 'login' GROUP BY 1""", "user_logs"))(
                                 ["day"], "logins"))
 
 
+# the rows of c10 that the last watermark (ten minutes behind the newest event) has passed
+register("s5_attempt_outcomes_stream", f"""
+SELECT * FROM ({ORACLE["c10_code_match"]})
+WHERE ts < (SELECT max(ts) FROM events WHERE event_type IN ('signup', 'click')) - INTERVAL 10 MINUTE""")(
+    lambda s, d: SS.run_to_table(SS.attempt_outcomes(FX.code_events_from(SS.file_stream(s, d, "events")), CODE_TTL), "s5-outcomes"))
+
+
 def _s5(s, d):
     ce = FX.code_events_from(SS.file_stream(s, d, "events"))
     return SS.run_to_table(SS.code_interval_join(ce.where("kind = 'issue'"), ce.where("kind = 'attempt'"),

@@ -243,3 +243,60 @@ def code_interval_join(issues: DataFrame, attempts: DataFrame,
     return a.join(i, cond, "inner").select(
         "event_id", F.col("a_user").alias("user_id"), F.col("a_ts").cast("timestamp_ntz").alias("ts"),
         F.col("i_ts").cast("timestamp_ntz").alias("issue_ts"), (F.col("code") == F.col("issue_code")).alias("code_ok"))
+
+
+def attempt_outcomes(events: DataFrame, ttl_seconds: float = FV.CODE_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """The outcome of every code attempt, also those without a pending issue, expired or wrong.
+
+    ``events(event_id, user_id, kind, code, ts)`` may arrive in any order
+    within the delay. A user's rows wait in keyed state until the watermark
+    passes them, then they are replayed in time order (issues before attempts
+    at one instant): an issue replaces the one before, the first attempt that
+    is right or too late uses it up. The state of a user is that issue and the
+    rows still waiting; an event-time timer wakes it when the watermark
+    passes the first of them. Same rows as ``accounts.match_codes`` for all
+    attempts before the watermark.
+    """
+    import json
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    ttl = ttl_seconds * 1_000_000
+    cols = ["event_id", "user_id", "at", "code", "issue_at", "outcome"]
+
+    def replay(key, chunks, state):
+        issue, waiting = json.loads(state.get[0]) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for pdf in chunks:
+                waiting += [[int(a), int(t), int(e), c] for a, t, e, c in zip(pdf["at"], pdf.attempt, pdf.event_id, pdf.code)]
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        waiting.sort(key=lambda r: r[:3])
+        due = next((k for k, r in enumerate(waiting) if r[0] >= passed), len(waiting))
+        for at, attempt, event, code in waiting[:due]:
+            if not attempt:
+                issue = [at, code, False]
+                continue
+            if issue is None or issue[2]:
+                outcome = "no_pending"
+            elif at - issue[0] > ttl:
+                outcome = "expired"
+            else:
+                outcome = "ok" if code == issue[1] else "invalid"
+            if outcome in ("ok", "expired"):
+                issue[2] = True
+            out.append((event, key[0], at, code, issue and issue[0], outcome))
+        waiting = waiting[due:]
+        state.update((json.dumps([issue, waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=cols).astype({"issue_at": "Int64"})
+
+    e = event_time(events).withWatermark("event_ts", delay).select(
+        "event_id", "user_id", "event_ts", F.unix_micros("event_ts").alias("at"),
+        (F.col("kind") == "attempt").alias("attempt"), F.coalesce("code", F.lit("")).alias("code"))
+    out = e.groupBy("user_id").applyInPandasWithState(
+        replay, "event_id long, user_id long, at long, code string, issue_at long, outcome string", "state string", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return out.select("event_id", "user_id", stamp("at").alias("ts"), "code", stamp("issue_at").alias("issue_ts"), "outcome")

@@ -107,3 +107,49 @@ def test_compacted_fold_reads_snapshot_plus_later_batches(spark, split_events, t
     assert _as_set(SS.read_cache_state(spark, base), cols) == _as_set(want, cols)
     assert SS.compact_state(spark, base, "prompt_hash", ["ts", "call_id"]) == 3
     assert _as_set(SS.read_cache_state(spark, base), cols) == _as_set(want, cols)
+
+
+CODE_EVENTS = "event_id long, user_id long, kind string, code string, ts timestamp_ntz"
+
+
+def _code_events():
+    import datetime as dt
+    import random
+
+    rng, t0, rows = random.Random(5), dt.datetime(2024, 3, 1), []
+    for k in range(400):  # user 0 has over a third of all events; many at one second
+        rows.append((k, 0 if rng.random() < 0.4 else rng.randrange(1, 6), rng.choice(["issue", "attempt", "attempt"]),
+                     rng.choice(["a", "b"]), t0 + dt.timedelta(seconds=rng.randrange(12_000))))
+    # one issue of a user at one instant: the batch form knows no order of two
+    seen, kept = set(), []
+    for r in rows:
+        if r[2] == "attempt" or (r[1], r[4]) not in seen:
+            kept.append(r)
+            seen |= {(r[1], r[4])} if r[2] == "issue" else set()
+    return kept + [(900, 99, "attempt", "a", t0 + dt.timedelta(hours=9))]  # moves the watermark past all others
+
+
+@pytest.mark.parametrize("order", ["in time order", "shuffled"])
+def test_attempt_outcomes_equal_the_batch_form(spark, tmp_path, order):
+    import random
+
+    from scoreplane.operators.accounts import match_codes
+
+    rows = _code_events()
+    batches = sorted(rows[:-1], key=lambda r: r[4])
+    if order == "shuffled":
+        random.Random(1).shuffle(batches)
+    path = tmp_path / "events"
+    for k in range(4):
+        part = batches[k * 100:(k + 1) * 100 if k < 3 else None] + (rows[-1:] if k == 3 else [])
+        spark.createDataFrame(part, CODE_EVENTS).coalesce(1).write.mode("append").parquet(str(path))
+        for f in sorted(path.glob("part-*.parquet")):
+            os.rename(f, path / f"b{k}.parquet")
+            os.utime(path / f"b{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(CODE_EVENTS).option("maxFilesPerTrigger", 1).parquet(str(path))
+    # shuffled rows are up to the whole span late: the delay says so
+    got = SS.run_to_table(SS.attempt_outcomes(stream, 180, "4 hours" if order == "shuffled" else "10 minutes"), "outcomes")
+    want = match_codes(spark.createDataFrame(rows[:-1], CODE_EVENTS), 180)
+    cols = ["event_id", "user_id", "ts", "code", "issue_ts", "outcome"]
+    assert _as_set(got, cols) == _as_set(want, cols) and got.count() == want.count()
+    assert {r.outcome for r in got.collect()} == {"ok", "invalid", "expired", "no_pending"}
