@@ -99,7 +99,8 @@ def logins_on(logs: DataFrame, day: str, action: str = FV.LOGIN_ACTION) -> DataF
 
 def log_listing(logs: DataFrame) -> DataFrame:
     """Three columns, newest text timestamp first."""
-    return logs.select("username", "action", "timestamp").orderBy(F.desc("timestamp"), F.desc("username"))
+    return logs.select("username", "action", "timestamp").orderBy(
+        F.desc("timestamp"), F.desc("username"), F.desc("action"))
 
 
 def username_for_email(accounts: DataFrame, email: str) -> DataFrame:

@@ -586,6 +586,28 @@ register("a4_add_missing_column", W(f"SELECT {ALL_CAND.replace('format_score', '
                                     "candidates"))(
     lambda s, d: ST.conform(FX.candidates(s, d).drop("format_score"), CANDIDATES, {"format_score": 0}))
 
+# ---------------------------------------------------------------- places in listings
+from scoreplane.operators import listings as LS  # noqa: E402
+
+register("f2_deep_page", W(f"""
+SELECT * FROM (SELECT {ALL_CAND}, row_number() OVER (ORDER BY timestamp DESC, id) AS rank FROM candidates)
+WHERE rank > 7000 AND rank <= 7100""", "candidates"))(
+    lambda s, d: LS.deep_page(FX.candidates(s, d), [(F.col("timestamp"), "desc")], "id", 100, 7000))
+
+# the place at which each listing shows a row, so that its order is compared too
+for _name, _of, _order in (
+        ("d1_avg_score_by_domain", lambda s, d: AG.average_by_group(FX.candidates(s, d)), "avg_ats_score DESC, domain"),
+        ("d3_domain_distribution", lambda s, d: AG.group_distribution(FX.candidates(s, d)), "count DESC, domain"),
+        ("d6_daily_stats", lambda s, d: AG.recent_daily_stats(FX.candidates(s, d), AS_OF, 90), "date"),
+        ("d8_domain_frequency", lambda s, d: AG.group_frequency(FX.candidates(s, d)), "frequency DESC, domain")):
+    register("f4_order_of_" + _name, f"SELECT *, row_number() OVER (ORDER BY {_order}) AS place FROM ({ORACLE[_name]})")(
+        lambda s, d, of=_of: LS.with_place(of(s, d)))
+
+# equal rows of the log cannot be told apart, so it does not matter which of them comes first
+register("f5_order_of_log", W("""
+SELECT username, action, timestamp, row_number() OVER (ORDER BY timestamp DESC, username DESC, action DESC) AS place
+FROM user_logs""", "user_logs"))(lambda s, d: LS.with_place(FL.log_listing(FX.user_logs(s, d))))
+
 # ---------------------------------------------------------------- streaming forms
 from scoreplane.operators import replay as RP  # noqa: E402
 from scoreplane.streaming import streams as SS  # noqa: E402
