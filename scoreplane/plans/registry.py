@@ -488,6 +488,22 @@ FROM pages"""
 ROLE_HOST = "blog.tionsh.example.net"
 
 register("h21_flatten_catalog", _FLAT_SQL)(lambda s, d: CT.flatten(FX.catalog(s, d)))
+
+
+def _a8(s, d):
+    """Every page's catalogue as a JSON line, beside it a cut line, one without catalogue and ones with an empty level."""
+    from scoreplane.session import scratch_path
+    from scoreplane.sources import catalog as CS
+
+    path = CS.write_catalog_json(FX.catalog(s, d), scratch_path(s, "catalog-json"))
+    lines = s.read.text(path)
+    odd = F.array(F.expr("substr(value, 1, length(value) div 2)"), F.lit('{"other": 1}'), F.lit('{"catalog": {"xx": null}}'),
+                  F.lit('{"catalog": {"xx": {"yy": null, "zz": []}}}'), F.lit("no json"))
+    lines.select(F.explode(odd).alias("value")).write.mode("append").text(path)
+    return CT.flatten(CS.read_catalog_json(s, path)).select("name", "link", "category", "role")
+
+
+register("a8_catalog_json", f"SELECT name, link, category, role FROM ({_FLAT_SQL})")(_a8)
 register("c7_courses_for_role", f"""
 SELECT catalog_id, name, link FROM ({_FLAT_SQL}) WHERE category = 'en' AND role = '{ROLE_HOST}'""")(
     lambda s, d: CT.courses_for_role(FX.catalog(s, d), "en", ROLE_HOST))
