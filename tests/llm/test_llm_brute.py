@@ -356,30 +356,66 @@ def test_class_model_probabilities_and_base(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_model_sums_to_one_and_matches_plain_score(spark):
-    train = ["the cat sat on the mat", "the dog sat on the rug", "a cat and a dog", ""]
-    docs = spark.createDataFrame([(t,) for t in train], "text string")
-    model, _ = lm_score.train(docs, units=4, classes=6, heavy=6)
-    assert np.allclose((10 ** model.trans).sum(axis=1), 1)
-    counts = collections.Counter(w for t in train for w in lm_score.tokens(t))
-    unit = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:4])}
-    cls = {w: int(model.unit_class[unit.get(w, model.n_words + lm_score.ending(w))]) for w in counts}
-    for k in range(6):
-        own = [w for w in counts if cls[w] == k]
-        total = sum(counts[w] + 0.1 for w in own) + (4.1 if k == 5 else 0) + 0.1
-        assert np.isclose(10 ** model.class_log[k], total)
-    many = spark.createDataFrame([(k, t) for k, t in enumerate([*train, "the unseen cat"])], "doc_id long, text string")
+@pytest.mark.parametrize("heavy", [6, 4, 100])
+def test_class_model_matches_plain_score(spark, heavy):
     from pyspark.sql import functions as F
 
-    got = {r.doc_id: r.score for r in lm_score.score(many, F.col("doc_id") < 4, units=4, classes=6, heavy=6).collect()}
-    for k, t in enumerate([*train, "the unseen cat"]):
-        at, s = 5, 0.0
-        for w in [*lm_score.tokens(t), None]:
-            c = 5 if w is None else int(model.unit_class[unit.get(w, model.n_words + lm_score.ending(w))])
-            n = 4 if w is None else counts[w]
-            s += model.trans[at, c] + math.log10(n + 0.1) - model.class_log[c]
-            at = c
-        assert got[k] == pytest.approx(s)
+    train = ["the cat sat on the mat", "the dog sat on the rug", "a cat and a dog", "", "the Dog and the cat"]
+    texts = [*train, "the unseen cat", "mat rug mat"]
+    docs = spark.createDataFrame([(t,) for t in train], "text string")
+    how = {"units": 4, "classes": 6, "heavy": heavy}
+    model, rare = lm_score.train(docs, **how)
+    counts = collections.Counter(w for t in train for w in lm_score.tokens(t))
+    tail = {r.word.encode(): (r.c, r.cls) for r in rare.collect()}
+    cls = {w: int(model.heavy_class[k]) for w, k in model.heavy.items()} | {w: k for w, (_, k) in tail.items()}
+    assert set(cls) == set(counts) and all(counts[w] == c for w, (c, _) in tail.items())
+    of = lambda w: 5 if w is None else cls.get(w, int(model.ending_class[lm_score.ending(w)]))
+    path = lambda t: [5, *[of(w) for w in lm_score.tokens(t)], 5]
+    trans = collections.Counter(p for t in train for p in zip(path(t), path(t)[1:]))
+    after = collections.Counter(a for t in train for a in path(t)[:-1])
+    size = collections.Counter(b for t in train for b in path(t)[1:])
+    words = collections.Counter([*cls.values(), 5])
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score(many, F.col("doc_id") < len(train), **how).collect()}
+    for k, t in enumerate(texts):
+        want = sum(math.log10((trans[a, b] + 0.5) / (after[a] + 0.5 * 6)) - math.log10(size[b] + 0.1 * (words[b] + 1))
+                   for a, b in zip(path(t), path(t)[1:]))
+        want += sum(math.log10((len(train) if w is None else counts[w]) + 0.1) for w in [*lm_score.tokens(t), None])
+        assert got[k] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("heavy", [4, 100])
+def test_every_training_word_has_its_likeliest_class(spark, heavy):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(300):
+        a, b = rng.choice(["red", "big"]), rng.choice(["runs", "eats"])
+        texts.append(f"{a} n{rng.integers(40)}x {b} v{rng.integers(40)}x")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    unit = {w: k for k, w in enumerate([b"red", b"big", b"runs", b"eats"])}
+    bigrams = lm_score.unit_bigrams(docs, unit)
+    cls = lm_score.exchange(bigrams, 6)
+    top = lm_score.frequent(lm_score.word_counts(docs), heavy)
+    place = {w: k for k, (w, _) in enumerate(top)}
+    got = {(top[r.h][0] if r.h >= 0 else r.word.encode()): r for r in
+           lm_score.placements(docs, unit, cls, bigrams, place).collect()}
+    member = np.eye(6)[cls]
+    m = member.T @ bigrams @ member + 0.5
+    of = lambda w: 5 if w is None else int(cls[unit.get(w, 4 + lm_score.ending(w))])
+    near = collections.defaultdict(list)
+    for t in texts:
+        w = [None, *lm_score.tokens(t), None]
+        for x, y, z in zip(w, w[1:], w[2:]):
+            if y not in unit:
+                near[y].append((of(x), of(z)))
+    assert set(got) == set(near)
+    for w, pairs in near.items():
+        s = [sum(math.log(m[a, k]) - math.log(m[:, k].sum()) + math.log(m[k, b]) - math.log(m[k].sum()) for a, b in pairs)
+             for k in range(5)]
+        assert got[w].c == len(pairs) and s[got[w].cls] == pytest.approx(max(s))
+    # what stands in one place of a sentence shares a class, however it ends
+    nouns = collections.Counter(got[w].cls for w in near if w.startswith(b"n"))
+    assert nouns.most_common(1)[0][1] >= 0.9 * nouns.total()
 
 
 def test_exchange_groups_words_of_one_use():
