@@ -112,6 +112,31 @@ SELECT domain, {ravg('ats_score')} AS avg_ats_score, COUNT(*) AS candidate_count
 FROM candidates GROUP BY domain HAVING COUNT(*) >= 300""", "candidates"))(
     lambda s, d: AG.average_by_group(FX.candidates(s, d), min_count=300))
 
+# ---------------------------------------------------------------- profiles kept up under changes
+from scoreplane.operators import maintained as MT  # noqa: E402
+from scoreplane.operators import tables as _TB  # noqa: E402
+
+
+def _maintained(s, d):
+    """State of the rows before 2024-07, then the later rows come in, then a year's retention run deletes."""
+    rows = FX.candidates(s, d)
+    early = F.col("timestamp") < F.lit("2024-07-01").cast("timestamp_ntz")
+    state = MT.kept(MT.state_of(MT.signed(rows.where(early), None)))
+    state = MT.kept(MT.apply(state, MT.signed(rows.where(~early), None)))
+    return MT.apply(state, MT.signed(None, _TB.expired_rows(rows, AS_OF, 365)))
+
+
+_LIVE = f"(SELECT * FROM candidates WHERE CAST(timestamp AS DATE) >= DATE '{AS_OF}' - 365)"
+register("d7_maintained_profile", ORACLE["d7_domain_profile"].replace("FROM candidates GROUP", f"FROM {_LIVE} GROUP"))(
+    lambda s, d: MT.profile(_maintained(s, d)))
+register("d8_maintained_frequency", ORACLE["d8_domain_frequency"].replace(
+    "FROM candidates)", f"FROM {_LIVE})").replace("FROM candidates GROUP", f"FROM {_LIVE} GROUP"))(
+    lambda s, d: MT.frequency(_maintained(s, d)))
+register("d9_maintained_summary", ORACLE["d9_table_summary"].replace("latest_date\nFROM candidates", f"latest_date\nFROM {_LIVE}"))(
+    lambda s, d: MT.summary(_maintained(s, d)))
+register("d6_maintained_days", ORACLE["d6_daily_stats"].replace("FROM candidates WHERE", f"FROM {_LIVE} WHERE"))(
+    lambda s, d: MT.recent_days(_maintained(s, d), AS_OF, 90))
+
 # ---------------------------------------------------------------- filters
 register("b1_list_candidates_paged", W(f"""
 SELECT {ALL_CAND} FROM candidates
