@@ -63,21 +63,18 @@ def ingest(batch: DataFrame, existing: DataFrame, model_labels: DataFrame, rs: R
     be missing or NULL), bias_score, job_title, job_description, resume_text.
     ``as_of`` is the UTC instant of the insert; rows get its local wall clock.
     """
-    batch = _with_format(batch)
+    # validation does not depend on the label: only valid rows are classified
+    valid = _with_format(batch).where(F.size(validation_errors(_with_format(batch))) == 0)
     text = compose_text("job_description", "resume_text")
-    keep = [c for c in batch.columns if c not in ("job_title", "job_description", "resume_text")]
-    k = classify(batch, rs, "job_title", text, keep=keep)
-    j = LB.reconcile(LB.attach_labels(k, model_labels, id_col=id_col))
-    j = j.withColumn("errors", validation_errors(j))
-    # Materialise the decided batch once (no text columns are kept): the
-    # accepted and rejected outputs and the id assignment's range sampling
-    # all read it instead of re-running the classifier.
+    keep = [c for c in valid.columns if c not in ("job_title", "job_description", "resume_text")]
+    k = classify(valid, rs, "job_title", text, keep=keep)
+    # Materialise the decided batch once (no text columns are kept): the id
+    # assignment's range sampling reads it instead of re-running the classifier.
     checkpoint_dir(batch.sparkSession)
-    j = j.checkpoint(eager=True)
+    ok = LB.reconcile(LB.attach_labels(k, model_labels, id_col=id_col)).checkpoint(eager=True)
     local = F.to_timestamp(F.date_format(
         F.from_utc_timestamp(F.lit(as_of).cast("timestamp"), FV.LOCAL_ZONE), FV.LOG_TIME_FORMAT)).cast(
         "timestamp_ntz")
-    ok = j.where(F.size("errors") == 0)
     fmt = F.coalesce(_truncate(F.col("format_score").cast("double")), F.lit(0.0))
     rows = ok.select(
         id_col, "resume_name", "candidate_name",
@@ -86,7 +83,7 @@ def ingest(batch: DataFrame, existing: DataFrame, model_labels: DataFrame, rs: R
         F.col("bias_score").cast("float").alias("bias_score"),
         "domain", "confidence", local.alias("timestamp"))
     numbered = assign_ids(rows, existing, "id", [id_col], materialize=False).drop(id_col)
-    return IngestResult(numbered, j.where(F.size("errors") > 0).select(id_col, "errors"))
+    return IngestResult(numbered, rejected(batch, id_col))
 
 
 def _with_format(batch: DataFrame) -> DataFrame:

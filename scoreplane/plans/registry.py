@@ -601,6 +601,28 @@ SELECT sub_id, array_to_string(errors, ',') AS errors FROM j WHERE len(errors) >
                                   "submissions", "model_labels", extra=_INGEST_CTES))(
     lambda s, d: IG.rejected(FX.submissions(s, d)).select("sub_id", F.array_join("errors", ",").alias("errors")))
 
+
+
+def _ingest_stream(s, d):
+    """All accepted rows of the stream; ids are compared as a range, as files come in any order."""
+    from scoreplane.streaming import streams as SS
+
+    base = SS.ingest_stream(FX.submissions_from(SS.file_stream(s, d, "documents", max_files=64)), FX.candidates(s, d),
+                            FX.model_labels(s, d), _RS, INGEST_AS_OF)
+    rows = SS.read_ingested(s, base).drop("batch")
+    ids = rows.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("id").alias("ids"))
+    return rows.drop("id").crossJoin(F.broadcast(ids))  # one row
+
+
+register("j4_ingest_stream", W(f"""
+SELECT resume_name, candidate_name,
+       {', '.join(f'CAST(ROUND(CAST({c} AS DECIMAL(18,6))) AS INTEGER) AS {c}' for c in IG.INT_SCORES)},
+       CAST(trunc(COALESCE(format_score, 0.0)) AS INTEGER) AS format_score,
+       CAST(bias_score AS FLOAT) AS bias_score, domain, confidence, TIMESTAMP '{_LOCAL}' AS timestamp,
+       CAST((SELECT max(id) FROM candidates) + 1 AS BIGINT) AS first_id,
+       CAST((SELECT max(id) FROM candidates) + COUNT(*) OVER () AS BIGINT) AS last_id, COUNT(*) OVER () AS ids
+FROM j WHERE len(errors) = 0""", "candidates", "submissions", "postings", "model_labels", extra=_INGEST_CTES))(_ingest_stream)
+
 register("i1_delete_ids", W(f"""
 SELECT {ALL_CAND} FROM candidates WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",
                             "candidates"))(

@@ -218,7 +218,10 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     1.01, format is missing on every 4th row and fractional elsewhere,
     and every 97th row has a NaN skills score.
     """
-    d = dealt(read_table(spark, sf_dir, "documents"))
+    return submissions_from(dealt(read_table(spark, sf_dir, "documents")))
+
+
+def submissions_from(d: DataFrame) -> DataFrame:
     did = F.col("doc_id")
     return d.select(
         did.alias("sub_id"),

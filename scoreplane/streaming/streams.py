@@ -11,6 +11,7 @@ Event time must be ``TIMESTAMP`` for watermarks, so NTZ columns are cast
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 
 from pyspark.errors import AnalysisException
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from scoreplane import fixed_values as FV
 from scoreplane.operators import calllog as CG
 from scoreplane.operators.replay import answered
+from scoreplane.plans import ingest as IG
+from scoreplane.rules import RuleSet
 from scoreplane.session import scratch_path
 
 
@@ -300,3 +303,57 @@ def attempt_outcomes(events: DataFrame, ttl_seconds: float = FV.CODE_TTL_SECONDS
         GroupStateTimeout.EventTimeTimeout)
     stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return out.select("event_id", "user_id", stamp("at").alias("ts"), "code", stamp("issue_at").alias("issue_ts"), "outcome")
+
+
+# J4/A5 --------------------------------------------------------------------
+class IngestWriter:
+    """Publishes micro-batches of submissions so that a repeated one changes nothing.
+
+    Batch E gets the ids after those of batch E-1, whose last id the ledger
+    holds; both its rows (``rows/batch=E``) and its rejected records
+    (``rejected/batch=E``) have a folder of their own, which a repeat
+    overwrites with the same rows under the same ids, as a repeated
+    micro-batch holds the same records. The ledger entry is written last and
+    is the publish marker: readers see no batch without one. One writer at a
+    time; ``existing`` is the table before the stream's first batch.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, existing: DataFrame, model_labels: DataFrame, rs: RuleSet,
+                 as_of: str | _dt.datetime, id_col: str = "sub_id"):
+        self.spark, self.base, self.existing, self.labels = spark, base, existing, model_labels
+        self.rs, self.as_of, self.id_col = rs, as_of, id_col
+
+    def _last(self, epoch: int) -> int:
+        """The last id given before batch ``epoch``."""
+        if epoch == 0:
+            return self.existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        return self.spark.read.parquet(f"{self.base}/ledger/batch={epoch - 1}").first()["last_id"]
+
+    def publish(self, batch: DataFrame, epoch: int) -> None:
+        last = self._last(epoch)
+        before = self.spark.range(1).select(F.lit(last).cast("long").alias("id"))
+        done = IG.ingest(batch, before, self.labels, self.rs, self.as_of, self.id_col)
+        rows = f"{self.base}/rows/batch={epoch}"
+        done.accepted.write.mode("overwrite").parquet(rows)
+        done.rejected.write.mode("overwrite").parquet(f"{self.base}/rejected/batch={epoch}")
+        n = self.spark.read.parquet(rows).count()
+        self.spark.range(1).select(F.lit(last + n).cast("long").alias("last_id"), F.lit(n).cast("long").alias("accepted")).coalesce(
+            1).write.mode("overwrite").parquet(f"{self.base}/ledger/batch={epoch}")
+
+
+def ingest_stream(submissions: DataFrame, existing: DataFrame, model_labels: DataFrame, rs: RuleSet,
+                  as_of: str | _dt.datetime, base: str | None = None) -> str:
+    """Ingest a stream of submissions exactly once; returns its folder (pass it as ``base`` to go on after a stop)."""
+    spark = submissions.sparkSession
+    base = base or scratch_path(spark, "stream-ingest")
+    writer = IngestWriter(spark, base, existing, model_labels, rs, as_of)
+    q = (submissions.writeStream.foreachBatch(writer.publish)
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return base
+
+
+def read_ingested(spark: SparkSession, base: str, part: str = "rows") -> DataFrame:
+    """Rows (or ``rejected`` records) of the published batches, with the number of their batch."""
+    ledger = spark.read.parquet(f"{base}/ledger").select("batch")
+    return spark.read.parquet(f"{base}/{part}").join(ledger, "batch", "left_semi")
