@@ -1,12 +1,17 @@
 """Personal data: base patterns plus a semi-Markov conditional random field.
 
 Base spans (e-mail, IP, card, phone) come from fixed patterns and always
-stay. The semi-Markov model segments windows around digits and at-signs:
-every segment of at most ``MAX_TOKENS`` tokens is scored as a whole (shape,
+stay. The semi-Markov model segments windows around digits and at-signs
+(the two words before, up to ``BEFORE`` characters, the rest of the word, up
+to ``WORD``, and the next one, up to ``AFTER``; windows that touch are one).
+Every segment of at most ``MAX_TOKENS`` tokens is scored as a whole (shape,
 digit count, check sum, separators, signs, cue words before it) for each
 kind, and a dynamic program over token positions, bounded by that length,
-picks boundaries and kinds together. Its segments that touch no base span
-are added.
+picks boundaries and kinds together. A segment holds one at-sign or, without
+any, at most ``MAX_DIGITS`` digits: no kind has more. The program holds a
+score for each position and the segments that begin at one, so its memory
+grows with the window's tokens, not with its segments. Segments that touch
+no base span are added.
 
 The weights are fitted by gradient ascent on the conditional likelihood
 (forward and backward sums over segmentations) of at most ``FIT_WINDOWS``
@@ -25,6 +30,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +43,9 @@ from scoreplane.llm.common import whole
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
+MAX_DIGITS = 19
+BEFORE, WORD, AFTER = 80, 200, 40
+FIT_CHARS = 400
 FIT_WINDOWS = 300
 EPOCHS = 60
 RATE = 0.5
@@ -98,16 +108,16 @@ def windows(text: str) -> Iterator[tuple[int, str]]:
             continue
         lo, hi = m.start(), m.end()
         for _ in range(3):
-            while lo > 0 and not text[lo - 1].isspace() and m.start() - lo < 80:
+            while lo > 0 and not text[lo - 1].isspace() and m.start() - lo < BEFORE:
                 lo -= 1
-            while lo > 0 and text[lo - 1].isspace() and m.start() - lo < 80:
+            while lo > 0 and text[lo - 1].isspace() and m.start() - lo < BEFORE:
                 lo -= 1
-        while hi < len(text) and (not text[hi].isspace()) and hi - m.end() < 200:
+        while hi < len(text) and (not text[hi].isspace()) and hi - m.end() < WORD:
             hi += 1
         more = hi
         while more < len(text) and text[more] == " ":
             more += 1
-        while more < len(text) and not text[more].isspace() and more - hi < 40:
+        while more < len(text) and not text[more].isspace() and more - hi < AFTER:
             more += 1
         if start >= 0 and lo <= stop:
             stop = max(stop, more)
@@ -119,89 +129,134 @@ def windows(text: str) -> Iterator[tuple[int, str]]:
         yield start, text[start:stop]
 
 
+def cues(w: str, a: int) -> list[int]:
+    """Indices of the features of the words before position a."""
+    before = w[max(0, a - 24):a]
+    return [N_TESTS + k for k, kind in enumerate(KINDS) if _CUE[kind].search(before)]
+
+
 def features(w: str, a: int, b: int) -> list[int] | None:
-    """Indices of the whole-span features of w[a:b]; None if it cannot be a span."""
+    """Indices of the whole-span features of w[a:b], less its cues; None if it cannot be a span."""
     s = w[a:b]
-    n = sum("0" <= c <= "9" for c in s)
+    n = sum(map(s.count, "0123456789"))
     at = "@" in s or "[at]" in s or "(at)" in s
     if not (at or n >= 7) or not (s[0].isalnum() or s[0] in "+(") or not s[-1].isalnum():
         return None
-    digits = "".join(c for c in s if "0" <= c <= "9")
-    plain = not re.search(r"[^0-9 ().+-]", s)
-    parts = s.split(".")
+    plain = not _OTHER.search(s)
+    parts = s.split(".") if s.count(".") == 3 else ()
     octets = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     glued = (a > 0 and (w[a - 1].isalnum() or w[a - 1] in "_=+")) or (b < len(w) and (w[b].isalnum() or w[b] in "_@="))
+    card = plain and 12 <= n <= 19
+    valid = card and luhn("".join(c for c in s if "0" <= c <= "9"))
+    ten = plain and n == 10
     tests = (
-        True, "@" in s, "[at]" in s or "(at)" in s, bool(re.search(r"\.[A-Za-z]{2,}$", s)),
-        bool(re.search(r"(\[dot\]|\(dot\))\s?[A-Za-z]{2,}$", s)), " " in s and at and "[" not in s and "(" not in s,
-        at and bool(re.match(r"[A-Za-z0-9._%+-]+\s?(@|\[at\]|\(at\))", s)), octets, len(parts) == 4 and plain,
-        plain and 12 <= n <= 19, plain and 12 <= n <= 19 and luhn(digits), plain and 12 <= n <= 19 and not luhn(digits),
-        s[0] == "+", s[0] == "+" and 9 <= n <= 15, plain and bool(re.match(r"\(\d{3}\) ?\d{3}[ .-]\d{4}$", s)),
-        plain and bool(re.match(r"\d{3}[ .-]\d{3}[ .-]\d{4}$", s)), plain and n == 10, plain and n < 9, n > 19, not plain and not at,
+        True, "@" in s, at and ("[at]" in s or "(at)" in s), not plain and bool(_ENDS.search(s)),
+        not plain and bool(_DOT_ENDS.search(s)), " " in s and at and "[" not in s and "(" not in s,
+        at and bool(_ADDRESS.match(s)), octets, len(parts) == 4 and plain,
+        card, valid, card and not valid,
+        s[0] == "+", s[0] == "+" and 9 <= n <= 15, ten and bool(_BRACKETS.match(s)),
+        ten and bool(_GROUPS.match(s)), ten, plain and n < 9, n > 19, not plain and not at,
         glued, b < len(w) and w[b] in "-." and b + 1 < len(w) and w[b + 1].isalnum(), "  " in s, s.isdigit(),
     )
-    out = [k for k, t in enumerate(tests) if t]
-    before = w[max(0, a - 24):a]
-    return out + [len(tests) + k for k, kind in enumerate(KINDS) if _CUE[kind].search(before)]
+    return [k for k, t in enumerate(tests) if t]
 
 
-N_FEATURES = 24 + len(KINDS)
+_OTHER = re.compile(r"[^0-9 ().+-]")
+_ENDS = re.compile(r"\.[A-Za-z]{2,}$")
+_DOT_ENDS = re.compile(r"(\[dot\]|\(dot\))\s?[A-Za-z]{2,}$")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+\s?(@|\[at\]|\(at\))")
+_BRACKETS = re.compile(r"\(\d{3}\) ?\d{3}[ .-]\d{4}$")
+_GROUPS = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}$")
+N_TESTS = 24
+N_FEATURES = N_TESTS + len(KINDS)
 
 
-def segments(w: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
-    """Tokens of a window, and its candidate segments (first token, token after, feature vector)."""
-    tokens = [m.span() for m in _TOKEN.finditer(w)]
-    out = []
-    signs = [m.start() for m in _AT.finditer(w)]
-    next_sign, k = [], 0
-    for a, _ in tokens:
-        while k < len(signs) and signs[k] < a:
-            k += 1
-        next_sign.append(signs[k] if k < len(signs) else len(w) + 1)
+def starts(w: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, list[int]]]]]:
+    """For each token that candidate segments begin with: its number, and (token after, feature indices) of each."""
+    signs = [m.start() for m in _AT.finditer(w)] + [len(w) + 1] * 2
+    k = 0
     for i, (a, _) in enumerate(tokens):
+        while signs[k] < a:
+            k += 1
         if not (w[a].isalnum() or w[a] in "+("):
             continue
-        plain = True
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+        last = min(len(tokens), i + MAX_TOKENS)
+        near = signs[k] <= tokens[last - 1][1]  # an address is within reach
+        out, plain, digits, cue = [], True, 0, None
+        for j in range(i, last):
             lo, hi = tokens[j]
+            if lo >= signs[k + 1]:
+                break
             plain = plain and w[lo] in "0123456789().+-"
+            digits += hi - lo if "0" <= w[lo] <= "9" else 0
+            alone = hi <= signs[k]
             # neither digits and signs only, nor an address within reach
-            if not plain and (next_sign[i] > tokens[min(len(tokens), i + MAX_TOKENS) - 1][1]):
+            if not near and (not plain or digits > MAX_DIGITS):
                 break
-            if not plain and hi <= next_sign[i]:
+            if alone and (not plain or not 7 <= digits <= MAX_DIGITS):
                 continue
             if (f := features(w, a, hi)) is not None:
-                x = np.zeros(N_FEATURES, np.float32)
-                x[f] = 1
-                out.append((i, j + 1, x))
-    return tokens, out
+                cue = cues(w, a) if cue is None else cue
+                out.append((j + 1, f + cue))
+        if out:
+            yield i, out
+
+
+def segments(w: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
+    """Tokens of a window, and its candidate segments (first token, token after, feature indices)."""
+    tokens = [m.span() for m in _TOKEN.finditer(w)]
+    return tokens, [(i, j, f) for i, out in starts(w, tokens) for j, f in out]
 
 
 def decode(w: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Best segmentation: (start, kind, end) of the segments that are entities."""
-    tokens, segs = segments(w)
-    if not segs:
-        return []
-    scores = np.array([x for _, _, x in segs]) @ weights.T - MARGIN
-    best, back = np.zeros(len(tokens) + 1), [None] * (len(tokens) + 1)
-    by_end: dict[int, list[int]] = {}
-    for k, (_, j, _) in enumerate(segs):
-        by_end.setdefault(j, []).append(k)
-    for j in range(1, len(tokens) + 1):
-        best[j] = best[j - 1]
-        for k in by_end.get(j, ()):
-            kind = int(scores[k].argmax())
-            if (s := best[segs[k][0]] + scores[k, kind]) > best[j]:
-                best[j], back[j] = s, (segs[k][0], kind)
-    out, j = [], len(tokens)
+    tokens = [m.span() for m in _TOKEN.finditer(w)]
+    table = weights.T.tolist()
+    kinds = range(len(KINDS))
+    best, back = array("d", [0.0]) * (len(tokens) + 1), {}
+    ahead: dict[int, tuple[float, int, int]] = {}  # best segment that ends at a token after the current one
+    done = 0
+
+    def settle(upto: int) -> None:
+        nonlocal done
+        while done < upto:
+            done += 1
+            best[done] = best[done - 1]
+            if (got := ahead.pop(done, None)) is not None and got[0] > best[done]:
+                best[done], back[done] = got[0], got[1:]
+
+    for i, out in starts(w, tokens):
+        settle(i)
+        for j, f in out:
+            of = [sum(table[x][kind] for x in f) for kind in kinds]
+            kind = max(kinds, key=of.__getitem__)
+            s = best[i] + of[kind] - MARGIN
+            if j not in ahead or s > ahead[j][0]:
+                ahead[j] = (s, i, kind)
+    settle(len(tokens))
+    found, j = [], len(tokens)
     while j:
-        if back[j] is None:
+        if j not in back:
             j -= 1
             continue
         i, kind = back[j]
-        out.append((tokens[i][0], kind, tokens[j - 1][1]))
+        found.append((tokens[i][0], kind, tokens[j - 1][1]))
         j = i
-    return out[::-1]
+    return found[::-1]
+
+
+def added(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The field's spans of a text that touch none of its base spans (in order of their starts)."""
+    begin, reach = [a for a, _, _ in base], []
+    for _, _, b in base:
+        reach.append(max(b, reach[-1]) if reach else b)
+    out = []
+    for start, w in windows(text):
+        for a, kind, b in decode(w, weights):
+            before = bisect_left(begin, b + start)  # base spans that begin before its end
+            if not before or reach[before - 1] <= a + start:
+                out.append((a + start, kind, b + start))
+    return out
 
 
 def _rewritten(w: str, spans) -> tuple[str, list]:
@@ -237,7 +292,10 @@ def fit(samples: list[str]) -> np.ndarray:
                 ij = np.array([(edges[i], edges[j]) for i, j, _ in segs])
                 into = [np.flatnonzero(ij[:, 1] == e) for e in range(len(edges))]
                 from_ = [np.flatnonzero(ij[:, 0] == e) for e in range(len(edges))]
-                data.append((len(edges) - 1, ij, np.array([s[2] for s in segs]), into, from_, y))
+                x = np.zeros((len(segs), N_FEATURES), np.float32)
+                for k, (_, _, f) in enumerate(segs):
+                    x[k, f] = 1
+                data.append((len(edges) - 1, ij, x, into, from_, y))
     weights, speed = np.zeros((len(KINDS), N_FEATURES)), np.full((len(KINDS), N_FEATURES), 1e-6)
     for _ in range(EPOCHS if data else 0):
         grad = -DECAY * len(data) * weights
@@ -261,10 +319,10 @@ def fit(samples: list[str]) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, text_col: str = "text", fit_windows: int = FIT_WINDOWS) -> np.ndarray:
-    """Weights from at most ``fit_windows`` windows, those with the smallest hashes (short ones: 400 characters)."""
+    """Weights from at most ``fit_windows`` windows, of at most ``FIT_CHARS`` characters, those with the smallest hashes."""
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            found = {w for t in pdf.text for _, w in windows(t) if len(w) <= 400}
+            found = {w for t in pdf.text for _, w in windows(t) if len(w) <= FIT_CHARS}
             rows = sorted((hashlib.md5(w.encode()).hexdigest(), w) for w in found)[:fit_windows]
             yield pd.DataFrame(rows, columns=["h", "w"])
 
@@ -286,13 +344,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_wi
             out = []
             for t in pdf.text:
                 base = base_spans(t)
-                more = []
-                for start, w in windows(t):
-                    for a, kind, b in decode(w, weights):
-                        a, b = a + start, b + start
-                        if not any(a < y and x < b for x, _, y in base):
-                            more.append((a, kind, b))
-                out.append((base, more))
+                out.append((base, added(t, base, weights)))
             show = lambda spans, t: [(KINDS[k], a, b, t[a:b]) for a, k, b in spans]
             yield pd.DataFrame({"doc_id": pdf.doc_id,
                                 "base": [show(b, t) for (b, _), t in zip(out, pdf.text)],
