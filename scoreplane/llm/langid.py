@@ -54,7 +54,16 @@ def script_of(letter: str) -> int:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters; a number sign (a half sign, a circled one) is none."""
+    words = _LETTERS.findall(text.lower())
+    return words if "".join(words).isalpha() or not words else [w[a:b] for w in words for a, b in _alpha(w)]
+
+
+def _alpha(word: str, at: int = 0) -> list[tuple[int, int]]:
+    """Places of the runs of letters in a run of letters and number signs that begins at ``at``."""
+    own = np.array([c.isalpha() for c in word])
+    edge = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))) + at
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +206,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 low = [t.lower() for t in part.text]
                 found = [[m.span() for m in _LETTERS.finditer(t)] if langs else [] for t in low]
                 texts = [[t[a:b] for a, b in f] for t, f in zip(low, found)]
+                for k, words in enumerate(texts):
+                    if words and not "".join(words).isalpha():
+                        found[k] = [x for w, (a, _) in zip(words, found[k]) for x in _alpha(w, a)]
+                        texts[k] = [low[k][a:b] for a, b in found[k]]
                 labels = labeller.label(texts)
                 pred, score, spans = [], [], []
                 for f, lab in zip(found, labels):
