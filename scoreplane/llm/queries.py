@@ -86,7 +86,7 @@ QUERIES["op9_packing"] = op9_packing
 def op2_warc(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return warc.archive_and_read(spark, pages, min_bytes=0).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "fault")
 
 
 QUERIES["op2_warc"] = op2_warc
@@ -98,7 +98,7 @@ b AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
         'string_agg', '') AS payload_digest,
       min(page_id) OVER (PARTITION BY h) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+       CASE WHEN page_id <> first THEN first END AS refers_to, '' AS fault FROM b
 """
 
 

@@ -241,7 +241,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archive(archive: DataFrame) -> DataFrame:
-    """A row per record of an archive table: RECORD; ``fault`` is empty if all checks held."""
+    """A row per record of an archive table: RECORD; ``fault`` is empty if all checks held.
+
+    A record of which a chunk is missing, the last one too, is a row of its id
+    and the fault alone.
+    """
     schema = RECORD + ", " + ", ".join(f"c_{x}" for x in ARCHIVE.split(", "))
     read = written(archive.select(*_COLS).mapInArrow(_parse, schema), "warc-read")
     whole_ = read.where("record_id IS NOT NULL").select(*_NAMES)
@@ -249,18 +253,32 @@ def read_archive(archive: DataFrame) -> DataFrame:
     n = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser()
+        parser, record, whole_so_far, finished = Parser(), None, True, True
+
+        def table(done):
+            cols = list(zip(*done)) if done else [[]] * len(_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], _NAMES)
+
+        def lost():
+            return (record, None, None, None, None, None, None, "chunk missing")
+
         for b in batches:
             done = []
             for i in range(b.num_rows):
                 row = tuple(b.column(c)[i].as_py() for c in range(len(_COLS)))
-                got = parser.feed(*row)
+                if row[0] != record:
+                    if not finished:
+                        done.append(lost())
+                    record, whole_so_far, finished = row[0], True, False
+                got = parser.feed(*row) if whole_so_far and not finished else None
                 if got is False:
-                    done.append((row[0], None, None, None, None, None, None, "chunk missing"))
+                    whole_so_far = False
                 elif got is not None:
                     done.append(got)
-            cols = list(zip(*done)) if done else [[]] * len(_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], _NAMES)
+                    finished = True
+            yield table(done)
+        if not finished:
+            yield table([lost()])
 
     joined = loose.repartition(n, "record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(rest, RECORD)
     return whole_.unionByName(joined).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
