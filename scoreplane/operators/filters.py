@@ -113,8 +113,3 @@ def attribute_for_users(accounts: DataFrame, requests: DataFrame, attr: str,
     """B11 batch form: left join of requests; empty attribute counts as missing."""
     a = accounts.select(F.col(key).alias("_k"), F.nullif(F.col(attr), F.lit("")).alias(attr))
     return requests.join(a, requests[key] == a["_k"], "left").drop("_k")
-
-
-def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
-    """random order."""
-    return df.orderBy(F.rand(seed))

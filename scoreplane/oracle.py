@@ -295,3 +295,12 @@ def failures_cte(name: str, src: str) -> str:
            CASE WHEN error IS NOT NULL THEN {reason_sql('error')} END AS reason,
            row_number() OVER (PARTITION BY api_key ORDER BY ts DESC, call_id DESC) AS rn
     FROM {src} WHERE error IS NOT NULL OR NOT own_key) WHERE rn = 1 AND failed)"""
+
+
+def permuted_sql(x: str, half: str, keys: list[int], multiplier: int, shift: int) -> str:
+    """One pass of the keyed permutation over the number ``x`` of 2 * ``half`` bits."""
+    mask = f"((1::BIGINT << {half}) - 1)"
+    left, right = f"({x} >> {half})", f"({x} & {mask})"
+    for k in keys:
+        left, right = right, f"xor({left}, (((({right} + {k}) * {multiplier}) >> {shift}) & {mask}))"
+    return f"(({left} << {half}) | {right})"

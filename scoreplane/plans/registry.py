@@ -199,9 +199,6 @@ FROM (SELECT req_id, username FROM registrations) r LEFT JOIN accounts a ON r.us
                                         FX.registrations(s, d).select("req_id", "username"), "email"))
 
 # the order is random, the set of rows is not
-register("f6_shuffled_keys", W("SELECT DISTINCT api_key FROM call_log", "call_log"))(
-    lambda s, d: FL.shuffled(FX.call_log(s, d).select("api_key").distinct()))
-
 # ---------------------------------------------------------------- text rules
 from scoreplane import oracle as O  # noqa: E402
 from scoreplane import rules as R  # noqa: E402
@@ -889,3 +886,26 @@ def _a7(s, d):
 
 
 register("a7_append_audit", W("SELECT * FROM user_logs", "user_logs"))(_a7)
+
+# ---------------------------------------------------------------- reproducible shuffle
+from scoreplane.operators import shuffle as SHUF  # noqa: E402
+
+_PERMUTED = O.permuted_sql("x", "half", SHUF.round_keys(42), SHUF.MULTIPLIER, SHUF.SHIFT)
+
+
+def _shuffled_sql(rows: str, key: str) -> str:
+    """Rows numbered by their key, the numbers permuted until they fall among the rows."""
+    return f"""
+SELECT {key}, x + 1 AS place FROM (
+WITH RECURSIVE k AS (SELECT {key}, row_number() OVER (ORDER BY {key}) - 1 AS x, count(*) OVER () AS n FROM ({rows})),
+h AS (SELECT *, greatest(1, (length(bin(n - 1)) + 1) // 2)::INT AS half FROM k),
+w AS (SELECT {key}, n, half, {_PERMUTED} AS x FROM h
+      UNION ALL SELECT {key}, n, half, {_PERMUTED} AS x FROM w WHERE x >= n)
+SELECT * FROM w WHERE x < n)"""
+
+
+register("f6_shuffled_keys", W(_shuffled_sql("SELECT DISTINCT api_key FROM call_log", "api_key"), "call_log"))(
+    lambda s, d: SHUF.shuffled(FX.call_log(s, d).select("api_key").distinct(), ["api_key"]))
+
+register("f6_shuffled_calls", W(_shuffled_sql("SELECT call_id FROM call_log", "call_id"), "call_log"))(
+    lambda s, d: SHUF.shuffled(FX.call_log(s, d).select("call_id"), ["call_id"]))
