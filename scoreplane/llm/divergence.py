@@ -193,7 +193,8 @@ def compared(cols: DataFrame, ranks: int = TERM_RANKS, tile: int = TILE) -> Data
         out, first = [], int(pdf["first"].iloc[0])
         total = next(((e, p) for e, p, w in zip(pdf.ends, pdf.p, pdf.whole) if w), None)
         own = pdf[~pdf.whole.astype(bool)]
-        rows = list(zip(own.own, own.source, own.ends, own["counts"], own.p))
+        # by source: rows come in any order, and a pair must have the same two sides in every block
+        rows = sorted(zip(own.own, own.source, own.ends, own["counts"], own.p), key=lambda r: r[1])
         for i, (t, source, ends, counts, p) in enumerate(rows):
             for t2, other, ends2, _, p2 in rows[i + 1:]:
                 if ta == tb or t != t2:

@@ -82,6 +82,22 @@ def test_divergence_ties_and_huge_counts(spark):
     assert divergence.shares([big, 0], big, 2).tolist() == [1 + 10**9 * (big + 5) // (big + 10), 1 + 5 * 10**9 // (big + 10)]
 
 
+@pytest.mark.parametrize("block, tile", [(7, 2), (7, 64)])
+def test_divergence_pairs_of_many_blocks_in_any_row_order(spark, block, tile):
+    """Shuffled joins of many partitions bring the sources of each block in another order."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = _texts(1, 120)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, divergence.audit(_docs(spark, rows), min_docs=5, ranks=6, block=block, tile=tile).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == sorted(plain_audit(rows, 5, 6))
+
+
 def test_divergence_empty_table(spark):
     assert divergence.audit(_docs(spark, [])).count() == 0
 
