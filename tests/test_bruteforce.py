@@ -207,6 +207,45 @@ def test_fifty_thousand_phrases_on_one_run(spark):
         (k, f"data {str(k)[:n]}") for k in range(400) for n in range(1, len(str(k)) + 1)}
 
 
+def _shuffled_bytes(plan):
+    """Bytes that the exchanges of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled_bytes(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled_bytes(plan.plan())
+    own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+    below = plan.children()
+    return own + (0 if kind == "ReusedExchangeExec" else sum(_shuffled_bytes(below.apply(k)) for k in range(below.size())))
+
+
+def test_phrase_join_shuffles_hits_not_words(spark):
+    """Every word of the texts is in some phrase, yet what is shuffled stays below the size of the texts."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(1500)]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(400))) for k in range(200)]
+    terms = {f"{w} {rng.choice(words)}" for w in words}
+    df = phrase_hits(spark.createDataFrame(texts, "row long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    got = sorted(map(tuple, df.collect()))
+    want = sorted({(k, f"{a} {b}") for k, s in texts for a, b in zip(s.split(), s.split()[1:]) if f"{a} {b}" in terms})
+    assert got == want and want
+    assert _shuffled_bytes(df._jdf.queryExecution().executedPlan()) < sum(len(s) for _, s in texts) / 2
+
+
+def test_phrase_filter_lets_every_phrase_through(spark):
+    """All bits of a tiny filter are set: slower, the same rows."""
+    from scoreplane.operators import phrase_join
+
+    old, phrase_join.FILTER_BITS = phrase_join.FILTER_BITS, 64
+    try:
+        t = spark.createDataFrame([(1, "c++ and node.js"), (1, "c++ and node.js"), (None, "no c, + + here")], "row long, text string")
+        p = spark.createDataFrame([("c++",), ("node",), ("node.js",), ("+ +",), ("no c",), ("odd",)], "term string")
+        got = sorted(map(tuple, phrase_hits(t, p).collect()), key=str)
+    finally:
+        phrase_join.FILTER_BITS = old
+    assert got == sorted([(1, "c++"), (1, "node"), (1, "node.js"), (None, "no c"), (None, "+ +")], key=str)
+
+
 def _letters(k):
     return "".join(chr(97 + int(c)) for c in str(k))
 
