@@ -418,6 +418,68 @@ def test_every_training_word_has_its_likeliest_class(spark, heavy):
     assert nouns.most_common(1)[0][1] >= 0.9 * nouns.total()
 
 
+def test_class_model_of_many_short_and_some_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(3000)] + ["Été", "\x1cx", "ÀB"]
+    space = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n"]
+
+    def text(n):
+        return "".join(str(rng.choice(space)) * int(rng.integers(2) or k > 0) + words[i]
+                       for k, i in enumerate((len(words) * rng.random(n) ** 4).astype(int)))
+
+    texts = [text(n) for n in rng.integers(0, 9, 4000)] + ["", " \n ", None, text(40), text(250_000) + " \t"]
+    rows = [(k if k % 50 else None, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, *rows[:100]], "doc_id long, text string").repartition(3)
+    train = F.coalesce(F.col("doc_id"), F.lit(0)) % 10 != 0
+    learned = [t or "" for d, t in [*rows, *rows[:100]] if (d or 0) % 10]
+    counts = collections.Counter(w for t in learned for w in lm_score.tokens(t))
+    top = counts.most_common(200)
+    coded = lm_score.encoded(docs.select("doc_id", train.alias("train"), F.coalesce("text", F.lit("")).alias("text")),
+                             {w: k for k, (w, _) in enumerate(top)})
+    # a row a block of documents, not one a document
+    assert coded.count() <= 12 and coded.select(F.explode("doc_id")).count() == len(texts) + 100
+    n, v = sum(counts.values()) + len(learned), len(counts) + 1
+
+    def plain(t):
+        w = lm_score.tokens(t or "")
+        base = [*(counts[x] for x in w), len(learned)]
+        return len(w) + 1, sum(c > 0 for c in base), sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in base)
+
+    how = {"units": 20, "classes": 6, "heavy": 200}
+    model, rare = lm_score.train(docs.where(train).select(F.coalesce("text", F.lit("")).alias("text")), **how)
+    tail = {r.word.encode(): r.cls for r in rare.collect()}
+    assert set(tail) | set(model.heavy) == set(counts) and not set(tail) & set(model.heavy)
+    cls = {w: int(model.heavy_class[k]) for w, k in model.heavy.items()} | tail
+    of = lambda w: 5 if w is None else cls.get(w, int(model.ending_class[lm_score.ending(w)]))
+    path = lambda t: [5, *[of(w) for w in lm_score.tokens(t or "")], 5]
+    trans = collections.Counter(p for t in learned for p in zip(path(t), path(t)[1:]))
+    after, size = collections.Counter(), collections.Counter()
+    for (a, b), c in trans.items():
+        after[a] += c
+        size[b] += c
+    members = collections.Counter([*cls.values(), 5])
+    step = {(a, b): math.log10((trans[a, b] + 0.5) / (after[a] + 0.5 * 6)) - math.log10(size[b] + 0.1 * (members[b] + 1))
+            for a in range(6) for b in range(6)}
+
+    def score(t):
+        known = sum(math.log10(counts[w] + 0.1) for w in lm_score.tokens(t or "")) + math.log10(len(learned) + 0.1)
+        return known + sum(step[p] for p in zip(path(t), path(t)[1:]))
+
+    got = collections.defaultdict(list)
+    for r in lm_score.score(docs, train, **how).collect():
+        assert r.train_tokens == n
+        got[r.doc_id].append((r.n_tokens, r.n_known, r.base_score, r.score))
+    want = collections.defaultdict(list)
+    for d, t in [*rows, *rows[:100]]:
+        want[d].append((*plain(t), score(t)))
+    assert set(got) == set(want)
+    for d in want:
+        assert len(got[d]) == len(want[d])
+        assert all(x == pytest.approx(y) for x, y in zip(sorted(got[d]), sorted(want[d])))
+
+
 def test_exchange_groups_words_of_one_use():
     b = np.zeros((7, 7), np.int64)  # 0, 1 stand before 2, 3; the end is 6
     b[np.ix_([0, 1], [2, 3])] = 50
